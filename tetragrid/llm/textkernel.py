@@ -136,3 +136,30 @@ def shingles(hashes: np.ndarray, first: np.ndarray, k: int = 5) -> tuple[np.ndar
         own = hashes[first[d] : first[d + 1]]
         out[bounds[d] : bounds[d] + 1] = mix((own * _SHINGLE[: len(own)]).sum(keepdims=True) + np.full(1, len(own), np.uint64) * _GOLDEN)
     return out, bounds
+
+
+def is_separator(data: np.ndarray) -> np.ndarray:
+    return _IS_SEP[data]
+
+
+_BYTE_ANY = _stream(256, 51)
+_BYTE_ANY[10] = 0
+
+
+def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    r"""Start and end of every line of at least one byte, its newline counted; \n alone ends a line, and so does a document."""
+    start = np.unique(np.concatenate([offsets[:-1], np.flatnonzero(data == 10) + 1]).astype(np.int64))
+    start = start[start < len(data)]
+    return start, np.append(start[1:], len(data))
+
+
+def segment_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each of the consecutive segments data[start:end], a newline at the end left out."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    size = end - start
+    place = np.arange(len(data)) - np.repeat(start, size)
+    factors = _PLACE if size.max() <= len(_PLACE) else _stream(int(size.max()), 23) | np.uint64(1)
+    sums = np.add.reduceat(_BYTE_ANY[data] * factors[place], start)
+    size = size - (data[end - 1] == 10)
+    return mix(sums + size.astype(np.uint64) * _GOLDEN)
