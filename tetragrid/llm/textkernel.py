@@ -142,7 +142,8 @@ def is_separator(data: np.ndarray) -> np.ndarray:
     return _IS_SEP[data]
 
 
-_BYTE_ANY = _stream(256, 51)
+_BYTE_ALL = _stream(256, 51)
+_BYTE_ANY = _BYTE_ALL.copy()
 _BYTE_ANY[10] = 0
 
 
@@ -153,13 +154,14 @@ def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start, np.append(start[1:], len(data))
 
 
-def segment_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each of the consecutive segments data[start:end], a newline at the end left out."""
+def segment_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, newline: bool = False) -> np.ndarray:
+    """A 64-bit hash of each of the consecutive segments data[start:end]; unless newline is set, one at the end is left out."""
     if not len(start):
         return np.zeros(0, np.uint64)
     size = end - start
     place = np.arange(len(data)) - np.repeat(start, size)
     factors = _PLACE if size.max() <= len(_PLACE) else _stream(int(size.max()), 23) | np.uint64(1)
-    sums = np.add.reduceat(_BYTE_ANY[data] * factors[place], start)
-    size = size - (data[end - 1] == 10)
+    sums = np.add.reduceat((_BYTE_ALL if newline else _BYTE_ANY)[data] * factors[place], start)
+    if not newline:
+        size = size - (data[end - 1] == 10)
     return mix(sums + size.astype(np.uint64) * _GOLDEN)
