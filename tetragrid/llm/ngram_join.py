@@ -279,3 +279,23 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     shared.destroy()
     own = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return rows.join(component, "node", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: tuple[int, int] = (3, 4)) -> DataFrame:
+    """The row of docs with the least id of each class of ngram_jaccard_join; all columns stay.
+
+    Where rows repeat an id that stays, one row of each different text with it
+    stays.
+    """
+    ws = Workspace(docs.sparkSession, "one-of-each")
+    joined = ngram_jaccard_join(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), id_col="id", text_col="text", k=k, threshold=threshold)
+    kept = ws.save(joined.where("id <=> component_id").groupBy("id").agg((F.count("*") > 1).alias("repeated")), "kept")
+    own = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(id_col).alias("_own_id"))
+    once = kept.where("not repeated")
+    out = own.join(once, own["_own_id"].eqNullSafe(once["id"]), "left_semi").select("row.*")
+    often = kept.where("repeated")
+    if often.isEmpty():
+        return out
+    more = own.join(often, own["_own_id"].eqNullSafe(often["id"]), "left_semi")
+    more = more.withColumn("_own_text", F.sha2(F.coalesce(F.col("row").getField(text_col).cast("string"), F.lit("")), 256)).dropDuplicates(["_own_id", "_own_text"])
+    return out.unionByName(more.select("row.*"))

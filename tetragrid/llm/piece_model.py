@@ -64,11 +64,10 @@ def double_array(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     Keys are sorted, so a node's keys are a range of them.
     """
     order = sorted(range(len(keys)), key=keys.__getitem__)
-    size = 1 << 16
-    base, check, value = np.zeros(size, np.int64), np.full(size, -1, np.int64), np.full(size, -1, np.int64)
-    taken = np.zeros(size, bool)
-    taken[0] = True
-    free = 1
+    base, check, value = {}, {}, {}
+    taken = bytearray(1 << 20)
+    taken[0] = 1
+    first_free = 1
     todo = [(0, 0, len(order), 0)]
     while todo:
         node, lo, hi, depth = todo.pop()
@@ -84,25 +83,33 @@ def double_array(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
                 children.append(c)
                 starts.append(i)
         starts.append(hi)
-        while taken[free]:
-            free += 1
-        codes = np.array(children)
-        at = max(free - children[0], 0)
+        slot, tries = max(first_free, children[0] + 1), 0
         while True:
-            if at + 256 >= len(taken):
-                grow = len(taken)
-                base, check, value = np.append(base, np.zeros(grow, np.int64)), np.append(check, np.full(grow, -1)), np.append(value, np.full(grow, -1))
-                taken = np.append(taken, np.zeros(grow, bool))
-            if at + children[0] > 0 and not taken[at + codes].any():
+            slot = taken.find(0, slot)
+            if slot < 0 or slot + 256 >= len(taken):
+                slot = max(len(taken) - 256, 0) if slot < 0 else slot
+                taken += bytes(len(taken))
+                continue
+            at = slot - children[0]
+            if not any(taken[at + c] for c in children):
                 break
-            at += 1
+            slot += 1
+            tries += 1
+        if tries > 64:  # what stands before is nearly full
+            first_free = slot
         base[node] = at
-        taken[at + codes] = True
-        check[at + codes] = node
+        for c in children:
+            taken[at + c] = 1
+            check[at + c] = node
         todo += [(at + c, a, b, depth + 1) for c, a, b in zip(children, starts[:-1], starts[1:], strict=True)]
-    end = int(np.flatnonzero(taken)[-1]) + 257
-    fit = lambda x, fill: np.append(x[:end], np.full(max(0, end - len(x)), fill))
-    return fit(base, 0).astype(np.int32), fit(check, -1).astype(np.int32), fit(value, -1).astype(np.int32)
+    size = max([0, *check]) + 257
+
+    def table(found: dict[int, int], fill: int) -> np.ndarray:
+        out = np.full(size, fill, np.int32)
+        out[list(found)] = list(found.values())
+        return out
+
+    return table(base, 0), table(check, -1), table(value, -1)
 
 
 def _ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:

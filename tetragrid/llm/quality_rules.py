@@ -118,6 +118,28 @@ def fit_verdict(x: np.ndarray, y: np.ndarray, good_rejected: float = GOOD_REJECT
     return fit(x, y, monotone), cut, float(((held >= cut) == (y == 1)).mean())
 
 
+def _marks(labels: DataFrame, label_id: str, label_col: str) -> DataFrame:
+    """(id, y) of the usable labels."""
+    marks = labels.select(F.col(label_id).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)")
+    return marks.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("most")).where("y = most").drop("most")
+
+
+def _model(labelled: DataFrame, train_rows: int, good_rejected: float) -> tuple[Forest, float, float] | None:
+    """The verdict fitted on at most train_rows labelled rows of statistics; None without labels of both kinds."""
+    order = [F.xxhash64(F.col("id").cast("string")), "id", *_COUNTS, *_TALLIES]
+    sample = labelled.orderBy(*order).limit(train_rows).toPandas()
+    if sample.y.nunique() < 2:
+        return None
+    return fit_verdict(features({c: sample[c].to_numpy() for c in _COUNTS + _TALLIES}), sample.y.to_numpy(float), good_rejected)
+
+
+def _kept(s: dict[str, np.ndarray], model: tuple[Forest, float, float] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """base_failed, kept and margin."""
+    failed = (s["n_words"] < 10) | (100 * s["n_repeat_words"] > 20 * s["n_words"])
+    margin = model[0].margin(features(s)) if model else None
+    return failed, ~failed & ((margin >= model[1]) if model else True), margin
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame | None, *, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "quality", train_rows: int = TRAIN_ROWS, good_rejected: float = GOOD_REJECTED) -> DataFrame:
     """Statistics and verdict for each row of docs.
 
@@ -134,23 +156,39 @@ def quality_rules(docs: DataFrame, labels: DataFrame | None, *, id_col: str = "d
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     counts = ", ".join(f"{c} long" for c in _COUNTS + _TALLIES)
     stats = ws.save(docs.mapInArrow(_statistics, f"id {docs.schema['id'].dataType.simpleString()}, {counts}"), "stats")
-    model = None
-    if labels is not None:
-        marks = labels.select(F.col(label_id).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)")
-        marks = marks.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("most")).where("y = most").drop("most")
-        joined = stats.join(marks, "id")
-        sample = joined.orderBy(F.xxhash64(F.col("id").cast("string")), *stats.columns).limit(train_rows).toPandas()
-        if sample.y.nunique() == 2:
-            model = fit_verdict(features({c: sample[c].to_numpy() for c in _COUNTS + _TALLIES}), sample.y.to_numpy(float), good_rejected)
+    model = None if labels is None else _model(stats.join(_marks(labels, label_id, label_col), "id"), train_rows, good_rejected)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = {c: batch.column(i + 1).to_numpy() for i, c in enumerate(_COUNTS + _TALLIES)}
-            failed = (s["n_words"] < 10) | (100 * s["n_repeat_words"] > 20 * s["n_words"])
-            margin = model[0].margin(features(s)) if model else None
-            kept = ~failed & ((margin >= model[1]) if model else True)
+            failed, kept, margin = _kept(s, model)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(batch.column(i + 1) for i in range(len(_COUNTS))), pa.array(failed), pa.array(kept), pa.nulls(len(batch), pa.float64()) if margin is None else pa.array(margin)], ["id", *_COUNTS, "base_failed", "kept", "margin"])
 
     counts = ", ".join(f"{c} long" for c in _COUNTS)
     out = stats.mapInArrow(judge, f"id {docs.schema['id'].dataType.simpleString()}, {counts}, base_failed boolean, kept boolean, margin double")
     return out.withColumnRenamed("id", id_col)
+
+
+def filter_quality(docs: DataFrame, labels: DataFrame | None, *, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "quality", train_rows: int = TRAIN_ROWS, good_rejected: float = GOOD_REJECTED) -> DataFrame:
+    """The rows of docs that quality_rules keeps, with all their columns.
+
+    The texts are not shuffled: a first pass computes the statistics of labelled
+    rows only, a second one judges every row where it is read.
+    """
+    model = None
+    if labels is not None:
+        kind = docs.schema[id_col].dataType.simpleString()
+        marks = _marks(labels, label_id, label_col)
+        texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(marks.select("id"), "id", "left_semi")
+        stats = texts.mapInArrow(_statistics, f"id {kind}, " + ", ".join(f"{c} long" for c in _COUNTS + _TALLIES))
+        model = _model(stats.join(marks, "id"), train_rows, good_rejected)
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = K.utf8(batch.column(place))
+            for a, b in K.slices(offsets):
+                _, kept, _ = _kept(statistics(data, offsets[a : b + 1]), model)
+                yield batch.slice(a, b - a).filter(pa.array(kept))
+
+    return docs.mapInArrow(run, docs.schema)

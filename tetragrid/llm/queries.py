@@ -5,10 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import pii_scan, secret_scan, source_mix
 from .ngram_join import ngram_jaccard_join
+from .pieces import decode_pieces, encode_pieces, load_model
 from .quality_rules import quality_rules
-from .workspace import read
+from .spans import digest_columns
+from .workspace import Workspace, read
+
+
+def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.mix_sources(read(spark, sf_dir, "documents"))
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.secret_scan(read(spark, sf_dir, "documents"))
+    return digest_columns(found, "doc_id", secret_scan.KINDS, ("assign", "access", "hex"))
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,9 +32,27 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op8_pii_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii_scan.pii_scan(read(spark, sf_dir, "documents"))
+    found = Workspace(spark, "pii-scan").save(found, "found")
+    return digest_columns(found, "doc_id", pii_scan.KINDS, pii_scan.KINDS)
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of each document, and whether they spell the text again."""
+    model = load_model(spark)
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    coded = decode_pieces(encode_pieces(docs, model), model)
+    ids = F.array_join(F.col("piece_ids").cast("array<string>"), ",")
+    return coded.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(ids, 256).alias("pieces_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"), (F.col("decoded") == F.col("text")).alias("same_text"))
+
+
+QUERIES = (op1_source_mix, op3_secret_scan, op4_ngram_jaccard_join, op7_quality_rules, op8_pii_scan, op9_sentencepiece)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_ngram_jaccard_join, op7_quality_rules)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_source_mix": source_mix.ORACLE_SQL}

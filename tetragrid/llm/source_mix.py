@@ -77,6 +77,26 @@ def _thresholds(docs: DataFrame, budgets: list[tuple[str | None, int, float]]) -
     return found
 
 
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """docs with the struct column mix: the row's source, size and hash."""
+    size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+    return docs.withColumn("mix", F.struct(F.col(source_col).cast("string").alias("source"), size.alias("size"), hash60(F.col(id_col)).alias("hash")))
+
+
+def _plan(docs: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
+    """For each source its size, target, how often all its documents are taken, and below which hash once more."""
+    sums = sorted(((r.source, r.words) for r in docs.groupBy("source").agg(F.sum("size").alias("words")).collect()), key=lambda r: (r[0] is None, r[0] or ""))
+    wanted = targets([n for _, n in sums], [weights[i % len(weights)] for i in range(len(sums))], most) if sums else []
+    whole = [min(most, int(t // n)) if n else 0 for (_, n), t in zip(sums, wanted, strict=True)]
+    below = _thresholds(docs, [(s, n, t - k * n) for (s, n), t, k in zip(sums, wanted, whole, strict=True)])
+    rows = [(s, n, t, k, below[s]) for (s, n), t, k in zip(sums, wanted, whole, strict=True)]
+    return docs.sparkSession.createDataFrame(rows, "source string, source_size long, target double, whole int, below long")
+
+
+def _repeats(hash_: Column, most: int) -> Column:
+    return F.least(F.col("whole") + F.when(hash_ < F.col("below"), 1).otherwise(0), F.lit(most))
+
+
 def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
     """How much of each document a mix of all sources takes.
 
@@ -88,19 +108,26 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     are taken or left together.  The driver holds one row for each source.
     Other columns are ignored.
     """
-    docs = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    docs = Workspace(docs.sparkSession, "source-mix").save(docs.withColumn("hash", hash60(F.col("id"))), "sizes")
-    sums = sorted(((r.source, r.words) for r in docs.groupBy("source").agg(F.sum("size").alias("words")).collect()), key=lambda r: (r[0] is None, r[0] or ""))
-    wanted = targets([n for _, n in sums], [weights[i % len(weights)] for i in range(len(sums))], most) if sums else []
-    whole = [min(most, int(t // n)) if n else 0 for (_, n), t in zip(sums, wanted, strict=True)]
-    below = _thresholds(docs, [(s, n, t - k * n) for (s, n), t, k in zip(sums, wanted, whole, strict=True)])
-    rows = [(s, n, t, k, below[s]) for (s, n), t, k in zip(sums, wanted, whole, strict=True)]
-    plan = docs.sparkSession.createDataFrame(rows, "source string, source_size long, target double, whole int, below long")
-    repeats = F.least(F.col("whole") + F.when(F.col("hash") < F.col("below"), 1).otherwise(0), F.lit(most))
-    out = docs.join(plan, docs["source"].eqNullSafe(plan["source"])).withColumn("repeats", repeats)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
+    rows = _sized(rows, "id", "text", "source").select("id", "mix.source", "mix.size", "mix.hash")
+    rows = Workspace(docs.sparkSession, "source-mix").save(rows, "sizes")
+    plan = _plan(rows, weights, most)
+    out = rows.join(plan, rows["source"].eqNullSafe(plan["source"])).withColumn("repeats", _repeats(F.col("hash"), most))
     return out.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"), "repeats")
 
 
+def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
+    """The rows of docs, each as often as mix_sources takes it; all columns stay."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
+    rows = _sized(rows, "id", "text", "source").select("mix.source", "mix.size", "mix.hash")
+    plan = _plan(Workspace(docs.sparkSession, "source-mix").save(rows, "sizes"), weights, most)
+    plan = plan.select(F.col("source").alias("_mix_source"), "whole", "below")
+    names = [F.col(c) for c in docs.columns]
+    own = docs.select(F.struct(*names).alias("row"), F.col(source_col).cast("string").alias("_mix_source"), hash60(F.col(id_col)).alias("_mix_hash"))
+    own = own.join(plan, own["_mix_source"].eqNullSafe(plan["_mix_source"])).where(_repeats(F.col("_mix_hash"), most) > 0)
+    return own.select("row", F.explode(F.sequence(F.lit(1), _repeats(F.col("_mix_hash"), most)))).select("row.*")
+
+
 #: The same rows from one sort for each source.
 ORACLE_SQL = r"""
 WITH d AS (

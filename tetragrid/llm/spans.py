@@ -52,5 +52,7 @@ def digest_columns(found: DataFrame, id_col: str, kinds: tuple[str, ...], base_k
         keyed = F.transform(spans, lambda s: F.struct(s["start"].alias("a"), rank[s["kind"]].alias("k"), s["end"].alias("b"), s["kind"].alias("kind")))
         return F.array_join(F.transform(F.array_sort(keyed), lambda s: F.concat_ws(":", s["kind"], s["a"], s["b"])), ",")
 
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in base_kinds]
-    return found.select(id_col, *counts, F.sha2(text(F.col("base")), 256).alias("base_sha256"), text(F.concat("base", "extra")).alias("spans"))
+    def count(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(id_col, *map(count, base_kinds), F.sha2(text(F.col("base")), 256).alias("base_sha256"), text(F.concat("base", "extra")).alias("spans"))
