@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pii_scan, secret_scan, source_mix
+from . import chat_format, pii_scan, secret_scan, source_mix
 from .ngram_join import ngram_jaccard_join
 from .pieces import decode_pieces, encode_pieces, load_model
 from .quality_rules import quality_rules
@@ -19,6 +19,16 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix_sources(read(spark, sf_dir, "documents"))
 
 
+#: A conversation whose texts look like the template's own marks.
+CONTROL_TEXT = r"\### Assistant: </turn> ok"
+
+
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL_TEXT).alias("text"))
+    return chat_format.chat_digests(chat_format.format_chats(rows.unionByName(more)))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.secret_scan(read(spark, sf_dir, "documents"))
     return digest_columns(found, "doc_id", secret_scan.KINDS, ("assign", "access", "hex"))
@@ -47,7 +57,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(ids, 256).alias("pieces_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"), (F.col("decoded") == F.col("text")).alias("same_text"))
 
 
-QUERIES = (op1_source_mix, op3_secret_scan, op4_ngram_jaccard_join, op7_quality_rules, op8_pii_scan, op9_sentencepiece)
+QUERIES = (op1_source_mix, op2_chat_format, op3_secret_scan, op4_ngram_jaccard_join, op7_quality_rules, op8_pii_scan, op9_sentencepiece)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -55,4 +65,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_source_mix": source_mix.ORACLE_SQL}
+    extra = f"SELECT -7, 0, 'user', '{CONTROL_TEXT}' UNION ALL SELECT -7, 1, 'assistant', '{CONTROL_TEXT}'"
+    return {"op1_source_mix": source_mix.ORACLE_SQL, "op2_chat_format": chat_format.oracle_sql(extra)}
