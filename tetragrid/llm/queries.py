@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, pii_scan, secret_scan, source_mix
+from . import chat_format, pii_scan, secret_scan, source_mix, warc
+from .html_layout import html_text
+from .media import media_columns
 from .ngram_join import ngram_jaccard_join
 from .pieces import decode_pieces, encode_pieces, load_model
 from .quality_rules import quality_rules
@@ -38,6 +40,14 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(read(spark, sf_dir, "documents"))
 
 
+def op5_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text(read(spark, sf_dir, "pages"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(read(spark, sf_dir, "pages"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -57,7 +67,11 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(ids, 256).alias("pieces_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"), (F.col("decoded") == F.col("text")).alias("same_text"))
 
 
-QUERIES = (op1_source_mix, op2_chat_format, op3_secret_scan, op4_ngram_jaccard_join, op7_quality_rules, op8_pii_scan, op9_sentencepiece)
+def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_columns(read(spark, sf_dir, "documents"))[1]
+
+
+QUERIES = (op1_source_mix, op2_chat_format, op3_secret_scan, op4_ngram_jaccard_join, op5_html_layout, op6_warc, op7_quality_rules, op8_pii_scan, op9_sentencepiece, op10_media_columns)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -66,4 +80,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     extra = f"SELECT -7, 0, 'user', '{CONTROL_TEXT}' UNION ALL SELECT -7, 1, 'assistant', '{CONTROL_TEXT}'"
-    return {"op1_source_mix": source_mix.ORACLE_SQL, "op2_chat_format": chat_format.oracle_sql(extra)}
+    return {"op1_source_mix": source_mix.ORACLE_SQL, "op2_chat_format": chat_format.oracle_sql(extra), "op6_warc": warc.ORACLE_SQL}
