@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ..functions.bases import clean
 
@@ -42,13 +43,13 @@ def precision_levels(seqs: DataFrame, *, id_col: str = "doc_id", seq_col: str =
     return rows.select("id", "precision_bits", left.alias("precision_remaining"), F.when(left > 10, "OK").otherwise("LOW").alias("status"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def bits_to_float(bits: pd.Series) -> pd.Series:
     """The correctly rounded value of a string of binary places; it may round to 1."""
     return bits.map(lambda b: int(b, 2) / (1 << len(b)) if b else 0.0)
 
 
-@F.pandas_udf("numerator string, denominator string")
+@F.pandas_udf(StructType([StructField("numerator", StringType()), StructField("denominator", StringType())]))
 def bits_to_fraction(bits: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"numerator": bits.map(lambda b: str(int(b, 2))), "denominator": bits.map(lambda b: str(1 << len(b)))})
 
@@ -57,7 +58,7 @@ def float_to_bits(precision: int = PRECISION_BITS):
     """A function from a number in [0, 1) to its binary places; a precision of 1024 or more overflows."""
     scale = float(2**precision) if precision < 1024 else None
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def convert(values: pd.Series) -> pd.Series:
         if scale is None:
             raise OverflowError("precision must be below 1024")
