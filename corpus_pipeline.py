@@ -50,7 +50,7 @@ def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("secrets", secrets), ("source_mix", source_mix), ("pieces", pieces)]
 
-#: The boosted trees, the near-duplicate graph and the piece search have no SQL form; tests hold run() against a plain version.
+#: The boosted trees, the near-duplicate graph and the piece search have no SQL form. A test of run() against a plain version is still to be written.
 ORACLE_SQL = None
 
 
