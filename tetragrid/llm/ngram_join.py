@@ -13,9 +13,11 @@ n-grams that many documents share at the end, out of all prefixes.
 
 Groups of copies are never expanded into all their pairs:
 
-* Texts with equal sets are one node from the start.
+* Texts with equal sets are one node from the start.  Its postings carry half of
+  its digest; where two nodes share that half, their pair is verified as well.
 * Round 1 verifies, for each n-gram, one hub against the other nodes with that
-  n-gram.  The hub is the node where it stands earliest, that is, the one with
+  n-gram.  A frequent n-gram has a hub in each of its parts, and one of these is
+  verified against the other hubs.  The hub is the node where it stands earliest, that is, the one with
   the fewest n-grams of its own: the middle of a group of near copies.
 * Round 2 verifies every pair that passes the filters and is not yet joined by
   verified links.  What it leaves out is joined already, so the components are
@@ -120,7 +122,7 @@ def prefix_length(n, num: int, den: int):
 
 
 def _postings(k: int, num: int, den: int, sketch, load: float):
-    """Prefix n-grams as rows (gram, salt, node64, n, pos), once per distinct set in a task."""
+    """Prefix n-grams as rows (gram, salt, node64, n, pos), once per distinct set in a task; the salt is 0 unless the n-gram is counted in parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sketch.value
@@ -144,7 +146,8 @@ def _postings(k: int, num: int, den: int, sketch, load: float):
                         continue
                     first = int.from_bytes(node[:8], "little", signed=True)
                     parts = 1 + np.maximum(often - int(4 * load), 0) // PART_NODES
-                    out.append((own[order][shared].view(np.int64), (abs(first) % parts)[shared], first, len(own), np.flatnonzero(shared)))
+                    salt = np.where(parts > 1, 1 + abs(first) % parts, 0)
+                    out.append((own[order][shared].view(np.int64), salt[shared], first, len(own), np.flatnonzero(shared)))
                 if out:
                     size = [len(x[0]) for x in out]
                     yield pa.RecordBatch.from_arrays(
@@ -190,10 +193,15 @@ def _verify(num: int, den: int):
     return run
 
 
+def _reach(n: Column, pos: Column, num: int, den: int) -> Column:
+    """The largest set that still can match at a posting: enough n-grams are left from pos on for the overlap that the two sizes ask for."""
+    return F.floor((n * den - pos * (num + den)) / F.lit(num))
+
+
 def _may_match(x: str, y: str, num: int, den: int) -> Column:
-    """Length and positional filter: from both positions on, enough n-grams are left for the overlap that the two sizes ask for."""
-    left = F.least(F.col(f"{x}.n") - F.col(f"{x}.pos"), F.col(f"{y}.n") - F.col(f"{y}.pos"))
-    return left * (num + den) >= (F.col(f"{x}.n") + F.col(f"{y}.n")) * num
+    """Length and positional filter: each size lies within the other posting's reach."""
+    left = F.least(F.col(f"{x}n") - F.col(f"{x}pos"), F.col(f"{y}n") - F.col(f"{y}pos"))
+    return left * (num + den) >= (F.col(f"{x}n") + F.col(f"{y}n")) * num
 
 
 def _sketch(scan: DataFrame, bits: int) -> np.ndarray:
@@ -203,21 +211,45 @@ def _sketch(scan: DataFrame, bits: int) -> np.ndarray:
     return np.concatenate([merged[i] for i in sorted(merged)]) if merged else np.zeros(1 << bits, np.uint32)
 
 
-def _hub_pairs(posts: DataFrame, num: int, den: int) -> DataFrame:
-    """For each n-gram, its hub with every other node that may match it."""
-    hubs = posts.groupBy("gram").agg(F.min(F.struct("pos", "node", "n")).alias("h")).select("gram", "h.*")
-    pairs = posts.alias("x").join(hubs.alias("y"), F.col("x.gram") == F.col("y.gram")).where("x.node <> y.node")
-    pairs = pairs.where(_may_match("x", "y", num, den))
-    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-
+def _matchable(posts: DataFrame, num: int, den: int) -> DataFrame:
+    """The postings that may match another one of their n-gram, each with the n-gram's hub: (gram, salt, node64, n, pos, hub_pos, hub_node64, hub_n).
 
-def _open_pairs(posts: DataFrame, roots: DataFrame, tested: DataFrame, ws: Workspace, num: int, den: int) -> DataFrame:
+    In order of size, a posting matches one before it only if some reach before
+    it comes up to its size, and one after it only if the next size is within
+    its own reach.  All of this happens in one shuffle, by n-gram and salt.
+    """
+    group = Window.partitionBy("gram", "salt")
+    by_size = group.orderBy("n", "pos", "node64")
+    copy = (F.lag("n").over(by_size) == F.col("n")) & (F.lag("pos").over(by_size) == F.col("pos")) & (F.lag("node64").over(by_size) == F.col("node64"))
+    posts = posts.withColumn("copy", F.coalesce(copy, F.lit(False))).where("not copy").withColumn("reach", _reach(F.col("n"), F.col("pos"), num, den))
+    posts = posts.withColumn("before", F.max("reach").over(by_size.rowsBetween(Window.unboundedPreceding, -1))).withColumn("after", F.lead("n").over(by_size))
+    posts = posts.where("salt > 0 or before >= n or after <= reach").drop("copy", "reach", "before", "after")
+    hub = F.min(F.struct("pos", "node64", "n")).over(group)
+    return posts.withColumn("hub", hub).select("gram", "salt", "node64", "n", "pos", F.col("hub.pos").alias("hub_pos"), F.col("hub.node64").alias("hub_node64"), F.col("hub.n").alias("hub_n"))
+
+
+def _hub_pairs(posts: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """Each node with the hub of its n-grams where they may match, hubs of the parts of one n-gram, and nodes that share half a digest."""
+    hubs = posts.where("salt > 0").select("gram", "hub_pos", "hub_node64", "hub_n").distinct()
+    first = hubs.groupBy("gram").agg(F.min(F.struct("hub_pos", "hub_node64", "hub_n")).alias("h")).select("gram", "h.*")
+    hubs = hubs.select("gram", F.col("hub_node64").alias("node64"), F.col("hub_n").alias("n"), F.col("hub_pos").alias("pos")).join(first, "gram")
+    names = ["node64", "n", "pos", "hub_node64", "hub_n", "hub_pos"]
+    pairs = posts.select(names).unionByName(hubs.select(names)).where("node64 <> hub_node64").where(_may_match("", "hub_", num, den))
+    pairs = pairs.select(F.least("node64", "hub_node64").alias("x"), F.greatest("node64", "hub_node64").alias("y")).distinct()
+    same = nodes.groupBy("node64").count().where("count > 1").select(F.col("node64").alias("x"), F.col("node64").alias("y"))
+    own = nodes.select("node64", "node")
+    pairs = pairs.unionByName(same).join(own.select(F.col("node64").alias("x"), F.col("node").alias("p")), "x").join(own.select(F.col("node64").alias("y"), F.col("node").alias("q")), "y")
+    return pairs.where("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+
+
+def _open_pairs(posts: DataFrame, nodes: DataFrame, roots: DataFrame, tested: DataFrame, ws: Workspace, num: int, den: int) -> DataFrame:
     """Every pair with a common n-gram that may match, is not tested and whose nodes are in different components."""
-    posts = posts.join(roots, "node", "left").select("gram", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
+    rooted = nodes.select("node64", "node").join(roots, "node", "left").select("node64", "node", F.coalesce("root", "node").alias("root"))
+    posts = posts.select("gram", "node64", "n", "pos").join(rooted, "node64").select("gram", "node", "n", "pos", "root")
     mixed = posts.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("gram")
     posts = ws.save(posts.join(mixed, "gram", "left_semi"), "open")
     pairs = posts.alias("x").join(posts.alias("y"), F.col("x.gram") == F.col("y.gram")).where("x.node < y.node and x.root <> y.root")
-    pairs = pairs.where(_may_match("x", "y", num, den)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    pairs = pairs.where(_may_match("x.", "y.", num, den)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     return pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
 
 
@@ -230,11 +262,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, ws: Workspace,
         ids = F.broadcast(ids)
     texts = docs.join(ids, docs["id"].eqNullSafe(ids["id"]), "left_semi").select("text")
     sets = texts.mapInArrow(_sets(k), "node binary, grams binary").where("node is not null")
-    sets = ws.save(sets.join(nodes, "node", "left_semi").dropDuplicates(["node"]), f"{name}-sets")
+    sets = sets.join(nodes, "node", "left_semi").dropDuplicates(["node"])
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("grams_a")), "a")
     both = both.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("grams_b")), "b")
     tested = ws.save(both.select("a", "b", "grams_a", "grams_b").mapInArrow(_verify(num, den), "a binary, b binary, linked boolean"), f"{name}-tested")
-    ws.drop(f"{name}-sets", f"{name}-nodes", f"{name}-pairs")
+    ws.drop(f"{name}-nodes", f"{name}-pairs")
     return tested
 
 
@@ -262,20 +294,17 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     shared = spark.sparkContext.broadcast(sketch)
     load = float(sketch.sum(dtype=np.int64)) / len(sketch)
     posts = docs.select("text").mapInArrow(_postings(k, num, den, shared, load), "gram long, salt int, node64 long, n long, pos long")
-    group = Window.partitionBy("gram", "salt")
-    posts = posts.withColumn("lo", F.min("node64").over(group)).withColumn("hi", F.max("node64").over(group)).where("lo <> hi or salt > 0")
-    posts = ws.save(posts.select("gram", "node64", "n", "pos"), "found")
-    posts = ws.save(posts.distinct().join(nodes.select("node", "node64"), "node64").drop("node64"), "posts")
-    tested = _verified(_hub_pairs(posts, num, den), docs, rows, ws, "hub", k, num, den)
+    posts = ws.save(_matchable(posts, num, den), "posts")
+    tested = _verified(_hub_pairs(posts, nodes, num, den), docs, rows, ws, "hub", k, num, den)
     links = tested.where("linked").select("a", "b")
     roots = connected_components(links, ws, "near")
-    more = _verified(_open_pairs(posts, roots, tested, ws, num, den), docs, rows, ws, "open", k, num, den)
+    more = _verified(_open_pairs(posts, nodes, roots, tested, ws, num, den), docs, rows, ws, "open", k, num, den)
     links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more.where("linked").select("a", "b"))
     roots = connected_components(links, ws, "all")
     least = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least_id")
     component = least.groupBy("root").agg(F.min("least_id").alias("component_id"))
     component = ws.save(least.join(component, "root").select("node", "component_id"), "component")
-    ws.drop("found", "posts", "hub-tested", "open", "open-tested", "nodes")
+    ws.drop("posts", "hub-tested", "open", "open-tested", "nodes")
     shared.destroy()
     own = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return rows.join(component, "node", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"))
