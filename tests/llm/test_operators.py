@@ -227,6 +227,14 @@ def test_html_layout(page, text):
     assert render(page) == text
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    ("<head><title>T</title><a href=x>Hello</a><p>rest", "Hello\n\nrest"), ("<head><title>T</title>Hello", "Hello"), ("<html><head>\n<meta charset=x>\n<style>a</style>\n<b>x<div>y</div>", "x\ny"),
+    ("<head><head><title>T</title>x", "x"), ("<head><script>s</script><noscript>n</noscript></br>x", "x"), ("<head><img src=x>y", "y"), ("<head><html><i>x", "x"),
+])
+def test_head_ends_without_its_tag(page, text):
+    assert render(page) == text
+
+
 def test_empty_tables(spark):
     none = docs(spark, [])
     pages = spark.createDataFrame([], "page_id long, url string, html string")

@@ -22,6 +22,8 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes".split(
 HIDDEN = frozenset("head script style template noscript title iframe noembed noframes object datalist audio video canvas".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul caption xmp".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl menu dir table pre blockquote figure fieldset hr xmp".split())
+#: What may stand in a head; any other opening tag ends it.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 CLOSES_P = BLOCK - frozenset("body html legend optgroup option summary tbody td tfoot th thead tr caption li dd dt".split())
 LISTS, CELLS, SECTIONS = frozenset("ul ol menu dir".split()), frozenset("td th".split()), frozenset("thead tbody tfoot".split())
 #: An opening tag closes the nearest of the first set, unless one of the second stands before it.
@@ -115,6 +117,8 @@ def tree(page: str) -> Node:
         return True
 
     for kind, name, more in tokens(page):
+        if stack[-1].tag == "head" and (name.strip(" \t\n\r\f") if kind == "text" else name not in IN_HEAD if kind == "open" else name == "br"):
+            pop()
         if kind == "text":
             stack[-1].children.append(name)
         elif kind == "open":
@@ -130,8 +134,6 @@ def tree(page: str) -> Node:
                     close({"tr"}, {"table"})
             if name in CELLS and opened.get("table") and stack[-1].tag in SECTIONS | {"table"}:
                 push("tr", {})
-            if name in BLOCK and name != "html" and stack[-1].tag == "head":
-                close({"head"}, set())
             push(name, _attributes(more))
         elif name == "br":
             push("br", {})
