@@ -235,6 +235,17 @@ def test_head_ends_without_its_tag(page, text):
     assert render(page) == text
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    ("<p class=don't>It is Bob, it's <b>here</b>", "It is Bob, it's here"), ("<p it's>a</p it's><p>b", "a\n\nb"), ("<p title='a>b' x=\"c>d\">e", "e"), ("<a title='x>y</a>z", "yz"),
+    ("<p class=>a<i x = '>' y>b", "ab"), ("<div hidden='it' title=x\"y>a</div>b", "b"), ("<p =\"a>b", "b"), ("\u0130<script>x</SCRIPT>y", "\u0130y"), ("<script>'</scripts>'</script >z", "z"),
+    ("<table><tr><td rowspan=2>aa<td>b<tr><td>c</table>", "aa  b\n    c"), ("<table><tr><td>a<td rowspan=0>b<td>c<tr><td>d<td>e<tbody><tr><td>f<td>g</table>", "a  b  c\nd     e\nf  g"),
+    ("<table><tr><td rowspan=9>a<td>b<tbody><tr><td>c</table>", "a  b\nc"), ("<table><tr><td rowspan=3>a<td>b<tr></tr><tr><td>c<tr><td>d</table>", "a  b\n   c\nd"),
+    ("<table><tr><td colspan=2 rowspan=2>ab<td>d<tr><td>e</table>", "ab  d\n    e"),
+])
+def test_stray_quotes_raw_ends_and_row_spans(page, text):
+    assert render(page) == text
+
+
 def test_empty_tables(spark):
     none = docs(spark, [])
     pages = spark.createDataFrame([], "page_id long, url string, html string")

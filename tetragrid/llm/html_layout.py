@@ -32,11 +32,17 @@ IMPLIED_END = {
     "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
     "thead": (SECTIONS | {"caption"}, {"table"}), "tbody": (SECTIONS | {"caption"}, {"table"}), "tfoot": (SECTIONS | {"caption"}, {"table"}), "body": ({"head"}, {"body"}),
 }
-TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)>""")
-ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+#: A quote opens a value only after "=" and if it is closed; any other is a character like the rest.
+_NAME = r"""(?:=[^ \t\n\r\f/>=]*+|[^ \t\n\r\f/>=]++)"""
+_EQUALS = r"""[ \t\n\r\f]*+=[ \t\n\r\f]*+"""
+TAG = re.compile(rf"""<(/?)([A-Za-z][^\s/>]*+)((?:[\s/]++|{_NAME}(?:{_EQUALS}(?:"[^"]*+"|'[^']*+'|[^ \t\n\r\f>]++)?+)?+)*+)>""")
+ATTRIBUTE = re.compile(rf"""({_NAME})(?:{_EQUALS}(?:"([^"]*+)"|'([^']*+)'|([^ \t\n\r\f>]++))?+)?+""")
+RAW_END = {name: re.compile(rf"</{name}(?=[ \t\n\r\f/>])", re.IGNORECASE | re.ASCII) for name in RAW}
 UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b")
 SPACE = re.compile(r"[ \t\n\r\f]+")
 GAP = "  "
+#: Lines, columns spanned and rows spanned; 0 rows reach to the end of the group.
+Cell = tuple[list[str], int, int]
 
 
 class Node:
@@ -51,14 +57,13 @@ def _attributes(text: str) -> dict[str, str]:
         return {}
     out: dict[str, str] = {}
     for m in ATTRIBUTE.finditer(text):
-        value = m[2] or ""
-        out.setdefault(m[1].lower(), html.unescape(value[1:-1] if value[:1] in "\"'" and value else value))
+        out.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
     return out
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
     """(kind, name or text, attributes) with kind text, open or close; comments and declarations are left out."""
-    at, size, low = 0, len(page), None
+    at, size = 0, len(page)
     while at < size:
         to = page.find("<", at)
         if to < 0:
@@ -76,9 +81,8 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
             name, at = m[2].lower(), m.end()
             yield "close" if m[1] else "open", name, m[3]
             if not m[1] and name in RAW:
-                low = page.lower() if low is None else low
-                end = low.find(f"</{name}", at) if len(low) == size else page.find(f"</{name}", at)
-                end = size if end < 0 else end
+                found = RAW_END[name].search(page, at)
+                end = found.start() if found else size
                 text = page[at:end]
                 yield "text", html.unescape(text) if name in ("textarea", "title") else text, ""
                 at = end
@@ -207,39 +211,62 @@ class Flow:
         return out[start:]
 
 
-def _columns(rows: list[list[tuple[list[str], int]]]) -> list[str]:
-    """Rows of (lines, columns spanned) as aligned text."""
+def _placed(table: list[list[Cell] | None]) -> list[list[tuple[int, list[str], int]]]:
+    """Rows of (column, lines, columns spanned): a cell stands right of those before it and of those that reach down to its row."""
+    groups: list[list[list[Cell]]] = [[]]
+    for row in table:
+        if row is None:
+            groups.append([])
+        else:
+            groups[-1].append(row)
+    out = []
+    for rows in groups:
+        until: dict[int, int] = {}
+        for i, row in enumerate(rows):
+            at, places = 0, []
+            for lines, span, down in row:
+                while until.get(at, 0) > i:
+                    at += 1
+                places.append((at, lines, span))
+                if down != 1:
+                    until |= dict.fromkeys(range(at, at + span), i + down if down else len(rows))
+                at += span
+            out.append(places)
+    return out
+
+
+def _columns(table: list[list[Cell] | None]) -> list[str]:
+    """Rows as aligned text; None stands between groups of rows, which no cell reaches across."""
+    rows = [r for r in _placed(table) if any(any(lines) for _, lines, _ in r)]
     width: list[int] = []
     for row in rows:
-        at = 0
-        for lines, span in row:
-            width += [0] * (at + 1 - len(width))
+        for at, lines, span in row:
+            width += [0] * (at + span - len(width))
             if span == 1:
                 width[at] = max(width[at], *(len(x) for x in lines), 0)
-            at += span
-            width += [0] * (at - len(width))
     out = []
     for row in rows:
-        height = max((len(lines) for lines, _ in row), default=0)
+        height = max((len(lines) for _, lines, _ in row), default=0)
         for i in range(height):
-            at, parts = 0, []
-            for lines, span in row:
+            last, parts = 0, []
+            for at, lines, span in row:
+                parts += [" " * w for w in width[last:at]]
                 room = sum(width[at : at + span]) + len(GAP) * (span - 1)
                 parts.append((lines[i] if i < len(lines) else "").ljust(room))
-                at += span
+                last = at + span
             out.append(GAP.join(parts).rstrip())
     return out
 
 
 def _number(text: str, default: int, most: int = 1000) -> int:
-    """A count attribute; the format itself bounds a span at 1000."""
+    """A count attribute; the format itself bounds a span at 1000 columns and 65534 rows."""
     return min(int(text), most) if text.isascii() and text.isdigit() and len(text) < 10 else default
 
 
 def render(page: str | None) -> str:
     """The visible text of a page; "" for null."""
     flows = [Flow()]
-    tables: list[list[list[tuple[list[str], int]]]] = []
+    tables: list[list[list[Cell] | None]] = []
     lists: list[tuple[bool, list[int]]] = []
     pre = 0
     todo: list[tuple[bool, Node | str]] = [(True, tree(page or ""))]
@@ -265,6 +292,8 @@ def render(page: str | None) -> str:
                 tables.append([])
             elif tag == "tr" and tables:
                 tables[-1].append([])
+            elif tag in SECTIONS and tables:
+                tables[-1].append(None)
             elif tag in LISTS:
                 lists.append((tag == "ol", [_number(node.attributes.get("start", ""), 1, 10**9)]))
             if tag in ("li", "dd", "blockquote", "table", "caption") or tag in CELLS:
@@ -275,12 +304,12 @@ def render(page: str | None) -> str:
         if tag in ("li", "dd", "blockquote", "table", "caption") or tag in CELLS:
             lines = flows.pop().done()
             if tag in CELLS and tables:
-                if not tables[-1]:
+                if not tables[-1] or tables[-1][-1] is None:
                     tables[-1].append([])
-                tables[-1][-1].append((lines or [""], max(1, _number(node.attributes.get("colspan", ""), 1))))
+                tables[-1][-1].append((lines or [""], max(1, _number(node.attributes.get("colspan", ""), 1)), _number(node.attributes.get("rowspan", ""), 1, 65534)))
             elif tag == "table":
                 flows[-1].block(True)
-                flows[-1].add(lines + _columns([r for r in tables.pop() if any(any(x) for x, _ in r)]))
+                flows[-1].add(lines + _columns(tables.pop()))
             else:
                 mark = ""
                 if tag == "li":
@@ -291,6 +320,8 @@ def render(page: str | None) -> str:
                     mark = "  "
                 flows[-1].block(False)
                 flows[-1].add([(mark if i == 0 else " " * len(mark) if line else "") + line for i, line in enumerate(lines)])
+        if tag in SECTIONS and tables:
+            tables[-1].append(None)
         if tag in LISTS:
             lists.pop()
         if tag in BLOCK and tag not in CELLS:
