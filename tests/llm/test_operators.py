@@ -94,6 +94,22 @@ def test_secret_scan_and_mask(spark):
     assert "hunter22" not in masked[0] and masked[8] is None and masked[9] == ""
 
 
+def test_secrets_behind_paths_and_prefixes(spark):
+    rng = random.Random(2)
+    plain, url = (dict(secret_scan.ENCODINGS)[n] for n in ("base64", "base64url"))
+    key = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    shapes = [("see https://files.example.com/v1/", url, "-_x"), ("key-", plain, "+/x"), ("sk_", plain, "/+x"), ("", plain[:52], ""), ("/download/archive/internationalization/documents/", url[:62], "")]
+    rows = [f"{before}{key(alphabet, 42)}{last} end" for before, alphabet, last in shapes for _ in range(20)]
+    words = ["https://example.com/some-long-title/of_the/internationalization-of-documents", "IncomprehensibilitiesOfDocuments", "counterrevolutionaries", "12345678901234567890123"]
+    tail = [r.split()[-2][-20:] for r in rows]
+    found = {r.doc_id: r for r in secret_scan.secret_scan(docs(spark, rows + words)).collect()}
+    for n in range(len(shapes)):
+        assert sum(any(s.end == len(rows[i]) - 4 for s in found[i].extra) for i in range(20 * n, 20 * n + 20)) >= 18, shapes[n][0]
+    assert not any(found[i].extra for i in range(len(rows), len(rows) + len(words)))
+    masked = {r.doc_id: r.text for r in secret_scan.mask_secrets(docs(spark, rows + words)).collect()}
+    assert sum(tail[i] in masked[i] for i in range(len(rows))) <= 10 and masked[len(rows)] == words[0]
+
+
 PII = ["mail a.b@c.example.org now", "a@b", "x@y@z.com", "1.2.3.4 and 256.1.1.1 1.2.3.4.5.6.7.8", "card 4111 1111 1111 1111", "+49 (30) 1234-5678", "jane [at] site [dot] org", "one two three four five six seven eight nine zero", "mailа@site.org", None, ""]
 
 

@@ -7,6 +7,11 @@ uniformity of the symbols (in blocks of the alphabet that expect five or more),
 the number of runs above and below the middle of the alphabet, and the lag-one
 serial correlation.  Their least p value is corrected for three tests.
 
+A run of symbols may be a key with a path or a prefix before it, so the whole is
+tested, and so are its parts: those between the signs that base 64 has and its
+URL form has not, the reverse, and those between any signs.  Parts that overlap
+are one token with the least p value, corrected for how many were tested.
+
 What passes may still be text.  Its p value under a text model is bounded by
 the likelihood ratio of the model to the uniform distribution (Markov's
 inequality), so it falls with the token's length.  The p values of the whole
@@ -33,6 +38,8 @@ ASSIGN_NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}")
+#: Parts of a run that one alphabet holds.
+PARTS = tuple(re.compile(rf"[A-Za-z0-9{signs}]{{20,}}={{0,2}}") for signs in ("_-", "+/", ""))
 #: Name and alphabet, smallest first.
 ENCODINGS = (
     ("hex", "0123456789abcdef"),
@@ -117,10 +124,10 @@ def text_log_p(token: str, base: int) -> float:
 
 
 def random_token(token: str) -> tuple[str, float] | None:
-    """The encoding and the text model's ln p of a token that passes the battery; a token without digits is a word."""
+    """The encoding and the text model's ln p of a token that passes the battery; a token of digits alone is a number."""
     token = token.rstrip("=")
     own = set(token)
-    if not own & set("0123456789") or not own - set("0123456789"):
+    if not own - set("0123456789"):
         return None
     for name, alphabet in ENCODINGS:
         if own <= set(alphabet):
@@ -131,6 +138,21 @@ def random_token(token: str) -> tuple[str, float] | None:
     return None
 
 
+def random_parts(run: str) -> list[tuple[int, int, int, float]]:
+    """Start, end, tested length and ln p of what is random in a run: of its readings that overlap, the range of all that a cut may accept."""
+    places = {(0, len(run))} | {m.span() for part in PARTS for m in part.finditer(run)}
+    readings = [(seen[1], a - b, a, b) for a, b in places if (seen := random_token(run[a:b]))]
+    out: list[tuple[int, int, int, float]] = []
+    for p, _, a, b in sorted(readings):
+        near = [t for t in out if t[0] < b and a < t[1]]
+        if not near:
+            out.append((a, b, b - a, p))
+        elif p <= math.log(FALSE_DISCOVERIES):
+            out = [t for t in out if t not in near] + [(min(a, *(t[0] for t in near)), max(b, *(t[1] for t in near)), *near[0][2:])]
+            out.sort(key=lambda t: t[3])
+    return [(a, b, size, min(0.0, p + math.log(len(places)))) for a, b, size, p in out]
+
+
 def band(length: int) -> int:
     return sum(length > top for top in BANDS)
 
@@ -140,8 +162,9 @@ def scan_text(text: str) -> tuple[list[Span], list[tuple[int, int, int, int]]]:
     found = ordered(base_spans(text), KINDS)
     tokens = {}
     for m in TOKEN.finditer(text):
-        if seen := random_token(m[0]):
-            tokens["random", m.start(), m.end()] = (m.start(), m.end(), band(m.end() - m.start()), min(BUCKETS - 1, int(-seen[1])))
+        for a, b, size, p in random_parts(m[0]):
+            a, b = m.start() + a, m.start() + b
+            tokens["random", a, b] = (a, b, band(size), min(BUCKETS - 1, int(-p)))
     return found, [tokens[s] for s in apart(tokens, found)]
 
 
