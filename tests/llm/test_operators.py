@@ -131,6 +131,16 @@ def test_pii_deobfuscation_maps_back(spark):
     assert not found[9].base and not found[10].base
 
 
+@pytest.mark.parametrize(("text", "extra", "masked"), [
+    ("mail jane [dot] smith@example.org now", ["jane [dot] smith@example.org"], "mail [PII] now"), ("x@mail.example[dot]org", ["x@mail.example[dot]org"], "[PII]"),
+    ("us at jane.doe@example.org", [], "us at [PII]"), ("us at jane [dot] doe@example.org", ["jane [dot] doe@example.org"], "us at [PII]"), ("jane at site.org at noon", ["jane at site.org"], "[PII] at noon"),
+    ("j\u0430ne@example.org, 1.2.3.4", ["j\u0430ne@example.org"], "[PII], [PII]"), ("+49 30 12345678\u201390", ["+49 30 12345678\u201390"], "[PII]"), ("a@b.org", [], "[PII]"),
+])
+def test_disguised_parts_beside_plain_ones(text, extra, masked):
+    base, more = pii_scan.scan_text(text)
+    assert base == pii_scan.ordered(pii_scan.base_spans(text), pii_scan.KINDS) and [text[a:b] for _, a, b in more] == extra and pii_scan.mask_pii(text) == masked
+
+
 def viterbi(model, text):
     """Best score of one text, byte by byte."""
     data = b" " + text.encode() if text else b""

@@ -4,8 +4,9 @@ Rewriting is done by transducers that emit characters together with the source
 range each came from: homoglyphs, wide and mathematical forms become ASCII,
 characters without width vanish, bracketed or spaced at and dot words become
 signs, and runs of spelled digits become digits.  Spans found in the copy are
-mapped back by those ranges; one that meets a span of the plain text is
-dropped, since base spans stay as they are.
+mapped back by those ranges; one that lies inside a span of its kind is dropped,
+one that goes beyond it is kept beside it.  A sign word before a plain address
+stays a word.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spans import Span, apart, masked, ordered
+from .spans import Span, masked, ordered
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -55,6 +56,7 @@ _NAME = r"[A-Za-z0-9-]+"
 _DOT_SIGN = rf"(?:{_OPEN}(?:{_DOT}|\.){_CLOSE}|\x20(?:{_DOT})\x20|\.)"
 _AT_SIGN = rf"(?:{_OPEN}(?:{_AT}|@){_CLOSE}|\x20(?:{_AT}|@)\x20|@)"
 _DISGUISED = re.compile(rf"(?P<at>{_AT_SIGN})(?P<host>{_NAME}(?:{_DOT_SIGN}{_NAME})+)", re.IGNORECASE)
+_SIGN_AFTER = re.compile(rf"[A-Za-z0-9._%+-]*(?:@|{_OPEN}(?:{_AT}|@){_CLOSE})", re.IGNORECASE)
 _DOTS = re.compile(_DOT_SIGN, re.IGNORECASE)
 _DOT_WORDS = tuple(f" {w} " for w in _DOT.split("|"))
 _HAS_BRACKETS = re.compile(rf"[\[({{<]\x20?(?:{_AT}|@|{_DOT}|\.)\x20?[\])}}>]")
@@ -165,6 +167,8 @@ def deobfuscated(text: str) -> Tape | None:
         tape = tape or Tape(text)
         edits = []
         for m in _DISGUISED.finditer(tape.text):
+            if m["at"].strip(" ").isalpha() and _SIGN_AFTER.match(tape.text, m.end()):
+                continue
             edits.append((m.start("at"), m.end("at"), "@"))
             edits += [(d.start(), d.end(), ".") for d in _DOTS.finditer(tape.text, m.start("host"), m.end("host"))]
         tape = tape.rewritten(edits)
@@ -183,8 +187,11 @@ def scan_text(text: str) -> tuple[list[Span], list[Span]]:
         _, a, b = tape.source(("phone", m.start(), m.end()))
         if b - a > 2 * (m.end() - m.start()) and 10 <= len(NOT_DIGITS.sub("", m[0])) <= 15:
             more.append(("phone", a, b))
-    more = [s for s in more if s not in found]
-    return found, ordered(apart(more, found), KINDS)
+    kept: list[Span] = []
+    for kind, a, b in sorted(set(more), key=lambda s: (s[1], -s[2])):
+        if not any(k == kind and start <= a and b <= end for k, start, end in (*found, *kept)):
+            kept.append((kind, a, b))
+    return found, ordered(kept, KINDS)
 
 
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
