@@ -223,6 +223,19 @@ def test_media_round_trip(spark):
     assert all(r.width == 64 and r.bit_depth == 8 and r.height == got[r.doc_id].payload_bytes // 64 for r in index.collect())
 
 
+def test_media_query_returns_header_only_reads(spark, tmp_path):
+    from tetragrid.llm.queries import op10_media_columns
+
+    docs(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    out = op10_media_columns(spark, str(tmp_path))
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 2
+    for r in out.collect():
+        with open(r.shard.removeprefix("file:"), "rb") as file:
+            file.seek(r.offset)
+            image = file.read(r.length)
+        assert hashlib.sha256(image).hexdigest() == r.media_sha256 and (r.width, r.height, r.bit_depth) == media.png_header(image)
+
+
 def test_media_shards_are_tar_files(spark, tmp_path):
     import tarfile
 

@@ -145,38 +145,41 @@ def media_headers(index: DataFrame) -> DataFrame:
     return _spread(index).mapInArrow(run, f"id {kind}, {INDEX}, width long, height long, bit_depth long")
 
 
-def media_features(index: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
-    """For each row of the index what its stored bytes hold; a range that copies share is read once in a task."""
+def media_features(headers: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
+    """For each row of media_headers, in its order, what its stored bytes hold, and its place and header columns; a range that copies share is read once in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, last, seen = Ranges(), None, None
         for batch in batches:
             rows = []
-            for digest, shard, offset, length in zip(*(batch.column(c).to_pylist() for c in ("digest", "shard", "offset", "length")), strict=True):
+            for digest, shard, offset, length, *head in zip(*(batch.column(c).to_pylist() for c in ("digest", "shard", "offset", "length", "width", "height", "bit_depth")), strict=True):
                 if (shard, offset) != last:
                     image = files.read(shard, offset, length)
                     if hashlib.sha256(image).hexdigest() != digest:
                         raise ValueError(f"{shard} at {offset} does not hold {digest}")
-                    _, height, _ = png_header(image)
+                    if png_header(image) != tuple(head):
+                        raise ValueError(f"{shard} at {offset} has not the header that was read")
                     payload = samples(image)
-                    last, seen = (shard, offset), (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(image), digest, feature(payload), height)
+                    last, seen = (shard, offset), (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(image), digest, feature(payload))
                 rows.append(seen)
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             more = [pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n_bytes"), *more], ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "height"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n_bytes"), *more, *map(batch.column, place)], ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", *place])
         files.close()
 
-    kind = index.schema["id"].dataType.simpleString()
-    out = _spread(index).mapInArrow(run, f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, height long")
+    place = ("height", "width", "bit_depth", "shard", "offset", "length")
+    kind = headers.schema["id"].dataType.simpleString()
+    out = headers.mapInArrow(run, f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, height long, width long, bit_depth long, shard string, offset long, length long")
     return out.withColumnRenamed("id", id_col)
 
 
 def media_columns(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Stores docs' texts; the index with header columns, and the features of the stored bytes.
+    """Stores docs' texts; the index with header columns, and these with the features of the stored bytes.
 
     A null or empty text is stored as 64 bytes 0.  Rows that repeat an id each
     have their own text's values; other columns are ignored.
     """
     ws = Workspace(docs.sparkSession, "media")
     index = ws.save(store_media(docs, f"{ws.base}/shards", id_col=id_col, text_col=text_col), "index")
-    return media_headers(index).withColumnRenamed("id", id_col), media_features(index, id_col=id_col)
+    headers = media_headers(index)
+    return headers.withColumnRenamed("id", id_col), media_features(headers, id_col=id_col)
