@@ -23,6 +23,10 @@ def walk_cells(bases: str, k: int) -> Counter:
     for base in bases:
         x, y = (x + (base in "CG")) / 2, (y + (base in "GT")) / 2
         found[min(int(x * side), side - 1), min(int(y * side), side - 1)] += 1
+    return named_cells(found, k)
+
+
+def named_cells(found: Counter, k: int) -> Counter:
     return Counter({"".join(str(2 * (i >> j & 1) + (j2 >> j & 1)) for j in range(k - 1, -1, -1)): n for (i, j2), n in found.items()})
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bases import clean, critical_value
 from ..operators import diagnostics, fcgr, metrics, point, quadtree
-from ..streaming.chunks import joined_chunks
+from ..streaming.chunks import chunk_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -97,8 +97,7 @@ def stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunked_fcgr_k3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    whole = joined_chunks(_read(spark, sf_dir, "conversations"))
-    return fcgr.fcgr_counts(whole, 3, id_col="id", seq_col="seq").select(F.col("id").alias("conv_id"), "z", "cnt")
+    return chunk_counts(_read(spark, sf_dir, "conversations"), 3).select(F.col("id").alias("conv_id"), "z", "cnt")
 
 
 def diag_premature_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.bases import clean
+from ..functions.bases import MANTISSA_BITS, carry_pattern, clean, digits, padding
+from ..operators.fcgr import named_cells
 from ..operators.point import PRECISION_BITS, point_bits
+from ..operators.ranges import ranged
 
 
 def stream_final_point(chunks: DataFrame, precision: int = PRECISION_BITS, *, id_col: str = "conv_id", order_col: str = "turn", seq_col: str = "text") -> DataFrame:
@@ -44,3 +48,57 @@ def joined_chunks(chunks: DataFrame, *, id_col: str = "conv_id", order_col: str
     """(id, seq): the batch form, each sequence's chunks in order."""
     parts = F.array_sort(F.collect_list(F.struct(F.col(order_col).alias("at"), clean(F.col(seq_col)).alias("b"))))
     return chunks.groupBy(F.col(id_col).alias("id")).agg(parts.alias("parts")).select("id", F.array_join(F.col("parts.b"), "").alias("seq"))
+
+
+def _walk(k: int):
+    """The float64 walk of sequences whose chunks come in order; what is held is the point and the cells."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        side, own, found, kind = 2**k, None, Counter(), None
+
+        def cells() -> pa.RecordBatch:
+            names = named_cells(found, k)
+            return pa.RecordBatch.from_arrays([pa.array([own[0]] * len(names), kind), pa.array(list(names), pa.string()), pa.array(list(names.values()), pa.int64())], ["id", "z", "cnt"])
+
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for cell, bases in zip(batch.column(0), batch.column(1), strict=True):
+                if own != (name := (cell.as_py(),)):
+                    if own:
+                        yield cells()
+                    own, found, x, y = name, Counter(), 0.5, 0.5
+                for base in bases.as_py():
+                    x, y = (x + (base in "CG")) / 2, (y + (base in "GT")) / 2
+                    found[min(int(x * side), side - 1), min(int(y * side), side - 1)] += 1
+        if own:
+            yield cells()
+
+    return run
+
+
+def chunk_counts(chunks: DataFrame, k: int, *, id_col: str = "conv_id", order_col: str = "turn", seq_col: str = "text") -> DataFrame:
+    """(id, z, cnt) of the sequences that the chunks make in order, without joining them.
+
+    A chunk sees the last bases before it: those of its range of (id, order) by
+    a window, those of earlier ranges by one row for each range.  Only sequences
+    with a run that can carry are walked in order.
+    """
+    keep = MANTISSA_BITS - k - 1  # a run that can carry and ends in a chunk begins within these
+    rows = chunks.select(F.col(id_col).alias("id"), F.col(order_col).alias("at"), clean(F.col(seq_col)).alias("b")).where("b <> ''")
+    rows = ranged(rows, "id", "at")
+    inside = Window.partitionBy("_part", "id").orderBy("at", "b")
+    ends = lambda col, over: F.right(F.array_join(F.collect_list(F.right(col, F.lit(keep))).over(over.rowsBetween(-keep, -1)), ""), F.lit(keep))
+    placed = rows.withColumn("near", ends(F.col("b"), inside)).withColumn("nth", F.row_number().over(inside))
+    tails = placed.groupBy("id", "_part").agg(F.max_by(F.right(F.concat("near", "b"), F.lit(keep)), "nth").alias("tail"))
+    far = tails.select(F.col("id").alias("_id"), F.col("_part").alias("_at"), ends(F.col("tail"), Window.partitionBy("id").orderBy("_part")).alias("far")).where("far <> ''")  # at most one row for each range
+    joined = placed.join(F.broadcast(far), F.col("id").eqNullSafe(F.col("_id")) & (F.col("_part") == F.col("_at")), "left")
+    seen = joined.select("id", "at", "b", F.right(F.concat(F.coalesce("far", F.lit("")), "near"), F.lit(keep)).alias("before"))
+    carried = seen.where(F.concat("before", "b").rlike(carry_pattern(k))).select(F.col("id").alias("_id")).distinct()
+    text = F.concat(F.right(F.concat(F.lit(padding(k)), "before"), F.lit(k - 1)), "b").cast("binary")
+    at = seen.select("id", text.alias("text"), F.explode(F.sequence(F.lit(1), F.length("b"))).alias("i"))
+    counts = at.groupBy("id", F.substring("text", F.col("i"), F.lit(k)).alias("w")).agg(F.count("*").alias("cnt"))
+    same = F.col("id").eqNullSafe(F.col("_id"))
+    counts = counts.join(carried, same, "left_anti").select("id", digits(F.col("w").cast("string")).alias("z"), "cnt")
+    kind = chunks.schema[id_col].dataType.simpleString()
+    walked = rows.join(carried, same, "left_semi").repartition("id").sortWithinPartitions("id", "at", "b").select("id", "b")
+    return counts.unionByName(walked.mapInArrow(_walk(k), f"id {kind}, z string, cnt long"))
