@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import ranged
+
 
 def confusion(rows: DataFrame) -> DataFrame:
     return rows.groupBy("label", "prediction").agg(F.count("*").alias("cnt"))
@@ -70,4 +72,14 @@ def label_codes(*tables: DataFrame, label_col: str = "label_raw") -> DataFrame:
 
 def stratified_folds(rows: DataFrame, folds: int = 4, *, id_col: str = "row_id") -> DataFrame:
     """rows with fold: each class cut into contiguous parts, the first ones larger."""
-    return rows.withColumn("fold", F.ntile(folds).over(Window.partitionBy("label").orderBy(id_col)) - 1)
+    rows_of = ranged(rows, "label", id_col)
+    inside = Window.partitionBy("_part", "label").orderBy(id_col)
+    sizes = rows_of.groupBy(F.col("_part").alias("_at"), F.col("label").alias("_label")).agg(F.count("*").alias("_n"))
+    own = Window.partitionBy("_label")  # one row for each range of a class
+    before = F.coalesce(F.sum("_n").over(own.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("_at", "_label", before.alias("_before"), F.sum("_n").over(own).alias("_size"))
+    placed = rows_of.withColumn("_nth", F.row_number().over(inside) - 1).join(F.broadcast(sizes), (F.col("_part") == F.col("_at")) & F.col("label").eqNullSafe(F.col("_label")))
+    nth, least, larger = F.col("_before") + F.col("_nth"), F.floor(F.col("_size") / folds), F.col("_size") % folds
+    cut = larger * (least + 1)
+    fold = F.when(nth < cut, F.floor(nth / (least + 1))).otherwise(larger + F.floor((nth - cut) / F.greatest(least, F.lit(1))))
+    return placed.select(*rows.columns, fold.cast("int").alias("fold"))
