@@ -31,7 +31,7 @@ def vectors(rows: DataFrame, features: DataFrame, size: int, *, id_col: str = "s
     return sparse_arrays(rows, features, id_col=id_col).withColumn("features", build("indices", "values")).drop("indices", "values")
 
 
-def train_and_evaluate(train: DataFrame, test: DataFrame, grid: dict = SMALL_GRID, *, id_col: str = "seq_id", folds: int = FOLDS) -> dict:
+def train_and_evaluate(train: DataFrame, test: DataFrame, grid: dict = FULL_GRID, *, id_col: str = "seq_id", folds: int = FOLDS) -> dict:
     """Grid search with stratified folds, a refit, and the metrics of the test rows.
 
     Spark has no least size of a split node: a least size of 2 is its default,
@@ -67,7 +67,7 @@ def train_and_evaluate(train: DataFrame, test: DataFrame, grid: dict = SMALL_GRI
     return out
 
 
-def run_task(spark: SparkSession, rows: DataFrame, name: str, *, ks=(4, 5, 6, 7, 8), methods=METHODS, grid_size: int = 128, depth: int = 6, threshold: float = 0.05, grid: dict = SMALL_GRID, output: str | None = None) -> list[dict]:
+def run_task(spark: SparkSession, rows: DataFrame, name: str, *, ks=(4, 5, 6, 7, 8), methods=METHODS, grid_size: int = 128, depth: int = 6, threshold: float = 0.05, grid: dict = FULL_GRID, output: str | None = None) -> list[dict]:
     """One result for each k that fits the grid and each method; the counts are made once, at the deepest level."""
     rows = rows.persist()
     fit = [k for k in ks if 2**k <= grid_size]
@@ -114,7 +114,8 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--tasks", nargs="+")
     p.add_argument("--data-root", required=True)
     p.add_argument("--list-tasks", action="store_true")
-    p.add_argument("--full-grid", action="store_true")
+    p.add_argument("--full-grid", action="store_true", help="accepted; it is the default")
+    p.add_argument("--small-grid", action="store_true", help="2 of the 24 candidates, 200 trees each")
     a = p.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
     tasks = discover_tasks(spark, a.data_root).collect()
@@ -132,7 +133,7 @@ def main(argv: list[str] | None = None) -> None:
     for t in chosen:
         rows = load_task(spark, t.train_path, t.test_path, t.name)
         print(f"{t.name}: {rows.where(rows.split == 'train').count()} train, {rows.where(rows.split == 'test').count()} test")
-        run_task(spark, rows, t.name, ks=a.k_values, methods=methods, grid_size=a.grid_size, depth=a.qt_max_depth, threshold=a.qt_split_threshold, grid=FULL_GRID if a.full_grid else SMALL_GRID, output=a.output)
+        run_task(spark, rows, t.name, ks=a.k_values, methods=methods, grid_size=a.grid_size, depth=a.qt_max_depth, threshold=a.qt_split_threshold, grid=SMALL_GRID if a.small_grid else FULL_GRID, output=a.output)
 
 
 if __name__ == "__main__":
