@@ -18,8 +18,10 @@ from . import textkernel as K
 from .boosted_trees import Forest, fit
 from .workspace import Workspace
 
-#: Labelled rows that the model is fitted on at most; they are those with the least hash of their id.
+#: Labelled rows that the model is fitted on at most; they are those with the least hash of their id.  Their ids are broadcast, their statistics go to the driver.
 TRAIN_ROWS = 20_000
+#: The sample is cut between buckets of so many bits of the hash.
+SAMPLE_BITS = 12
 #: The model may reject at most this share of the labelled good rows, as measured on rows that a fold held out.
 GOOD_REJECTED = 0.002
 SYMBOLS = b"#*$%&|<>"
@@ -124,13 +126,24 @@ def _marks(labels: DataFrame, label_id: str, label_col: str) -> DataFrame:
     return marks.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("most")).where("y = most").drop("most")
 
 
-def _model(labelled: DataFrame, train_rows: int, good_rejected: float) -> tuple[Forest, float, float] | None:
-    """The verdict fitted on at most train_rows labelled rows of statistics; None without labels of both kinds."""
-    order = [F.xxhash64(F.col("id").cast("string")), "id", *_COUNTS, *_TALLIES]
-    sample = labelled.orderBy(*order).limit(train_rows).toPandas()
-    if sample.y.nunique() < 2:
+def _sample(labels: DataFrame, label_id: str, label_col: str, train_rows: int) -> DataFrame:
+    """(id, y) of at most train_rows usable labels: all, or whole hash buckets of the id below a threshold, so the choice needs no sort."""
+    marks = _marks(labels, label_id, label_col).withColumn("lot", F.shiftrightunsigned(F.xxhash64(F.col("id").cast("string")), 64 - SAMPLE_BITS))
+    upto, least = 0, 0
+    for lot, n in sorted((r.lot, r["count"]) for r in marks.groupBy("lot").count().collect()):
+        upto += n
+        least = lot + 1 if upto <= train_rows else least
+    return marks.where(F.col("lot") < least).drop("lot")
+
+
+def _model(stats: DataFrame, sample: DataFrame, good_rejected: float) -> tuple[Forest, float, float] | None:
+    """The verdict fitted on the statistics of the sample's ids, of rows that repeat an id the least ones; None without labels of both kinds."""
+    counts = F.struct(*_COUNTS, *_TALLIES)
+    rows = stats.join(F.broadcast(sample), "id").groupBy("id", "y").agg(F.min(counts).alias("s")).select(F.xxhash64(F.col("id").cast("string")).alias("lot"), "id", "y", "s.*")
+    rows = rows.toPandas().sort_values(["lot", "id"])
+    if rows.y.nunique() < 2:
         return None
-    return fit_verdict(features({c: sample[c].to_numpy() for c in _COUNTS + _TALLIES}), sample.y.to_numpy(float), good_rejected)
+    return fit_verdict(features({c: rows[c].to_numpy() for c in _COUNTS + _TALLIES}), rows.y.to_numpy(float), good_rejected)
 
 
 def _kept(s: dict[str, np.ndarray], model: tuple[Forest, float, float] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
@@ -156,7 +169,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame | None, *, id_col: str = "d
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     counts = ", ".join(f"{c} long" for c in _COUNTS + _TALLIES)
     stats = ws.save(docs.mapInArrow(_statistics, f"id {docs.schema['id'].dataType.simpleString()}, {counts}"), "stats")
-    model = None if labels is None else _model(stats.join(_marks(labels, label_id, label_col), "id"), train_rows, good_rejected)
+    model = None if labels is None else _model(stats, _sample(labels, label_id, label_col, train_rows), good_rejected)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,16 +185,18 @@ def quality_rules(docs: DataFrame, labels: DataFrame | None, *, id_col: str = "d
 def filter_quality(docs: DataFrame, labels: DataFrame | None, *, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "quality", train_rows: int = TRAIN_ROWS, good_rejected: float = GOOD_REJECTED) -> DataFrame:
     """The rows of docs that quality_rules keeps, with all their columns.
 
-    The texts are not shuffled: a first pass computes the statistics of labelled
-    rows only, a second one judges every row where it is read.
+    The texts are not shuffled: a first pass picks the texts of the labelled
+    sample, whose ids are broadcast, and computes their statistics; a second one
+    judges every row where it is read.  Nulls, ties and rows that repeat an id are
+    treated as quality_rules does.
     """
     model = None
     if labels is not None:
         kind = docs.schema[id_col].dataType.simpleString()
-        marks = _marks(labels, label_id, label_col)
-        texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(marks.select("id"), "id", "left_semi")
+        sample = _sample(labels, label_id, label_col, train_rows)
+        texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample.select("id")), "id", "left_semi")
         stats = texts.mapInArrow(_statistics, f"id {kind}, " + ", ".join(f"{c} long" for c in _COUNTS + _TALLIES))
-        model = _model(stats.join(marks, "id"), train_rows, good_rejected)
+        model = _model(stats, sample, good_rejected)
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
