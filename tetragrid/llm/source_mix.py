@@ -23,6 +23,8 @@ WEIGHTS = (5, 2, 1)
 #: No document is taken more often.
 MOST_REPEATS = 3
 HASH_BITS, LEVEL_BITS = 60, 12
+#: The plan has one row for each source; up to this many (some 10 MB) it is broadcast, beyond it joined by a shuffle.
+BROADCAST_SOURCES = 100_000
 
 
 def hash60(id_: Column) -> Column:
@@ -54,7 +56,8 @@ def _thresholds(docs: DataFrame, budgets: list[tuple[str | None, int, float]]) -
         width = min(LEVEL_BITS, left)
         left -= width
         rows = [(source, prefix, float(need)) for source, (prefix, need) in open_.items()]
-        state = F.broadcast(spark.createDataFrame(rows, "source string, prefix long, need double"))
+        state = spark.createDataFrame(rows, "source string, prefix long, need double")
+        state = F.broadcast(state) if len(rows) <= BROADCAST_SOURCES else state
         near = docs.join(state, docs["source"].eqNullSafe(state["source"])).where(F.shiftright("hash", left + width) == F.col("prefix"))
         near = near.select(docs["source"], "size", "hash", "need", F.shiftright("hash", left).alias("bucket"))
         counted = near.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.min("hash").alias("low"), F.max("hash").alias("high"), F.first("need").alias("need"))
@@ -90,7 +93,8 @@ def _plan(docs: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
     whole = [min(most, int(t // n)) if n else 0 for (_, n), t in zip(sums, wanted, strict=True)]
     below = _thresholds(docs, [(s, n, t - k * n) for (s, n), t, k in zip(sums, wanted, whole, strict=True)])
     rows = [(s, n, t, k, below[s]) for (s, n), t, k in zip(sums, wanted, whole, strict=True)]
-    return docs.sparkSession.createDataFrame(rows, "source string, source_size long, target double, whole int, below long")
+    plan = docs.sparkSession.createDataFrame(rows, "source string, source_size long, target double, whole int, below long")
+    return F.broadcast(plan) if len(rows) <= BROADCAST_SOURCES else plan
 
 
 def _repeats(hash_: Column, most: int) -> Column:
@@ -117,14 +121,19 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 
 def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
-    """The rows of docs, each as often as mix_sources takes it; all columns stay."""
+    """The rows of docs, each as often as mix_sources takes it; all columns stay.
+
+    Where the plan is broadcast no text is shuffled.  A null text or one without
+    words has no size and is taken as often as its hash says; rows that repeat an
+    id are taken or left together, null ids count as one id.
+    """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
     rows = _sized(rows, "id", "text", "source").select("mix.source", "mix.size", "mix.hash")
     plan = _plan(Workspace(docs.sparkSession, "source-mix").save(rows, "sizes"), weights, most)
-    plan = plan.select(F.col("source").alias("_mix_source"), "whole", "below")
-    names = [F.col(c) for c in docs.columns]
+    plan = plan.select(F.col("source").alias("_of"), "whole", "below")
+    names = [F.col(f"`{c}`") for c in docs.columns]
     own = docs.select(F.struct(*names).alias("row"), F.col(source_col).cast("string").alias("_mix_source"), hash60(F.col(id_col)).alias("_mix_hash"))
-    own = own.join(plan, own["_mix_source"].eqNullSafe(plan["_mix_source"])).where(_repeats(F.col("_mix_hash"), most) > 0)
+    own = own.join(plan, own["_mix_source"].eqNullSafe(plan["_of"])).where(_repeats(F.col("_mix_hash"), most) > 0)
     return own.select("row", F.explode(F.sequence(F.lit(1), _repeats(F.col("_mix_hash"), most)))).select("row.*")
 
 
