@@ -3,18 +3,22 @@
 The method is prefix filtering.  Every document's distinct n-grams are put in
 one global order, rare ones first; two documents over the threshold must share
 an n-gram among the first |x| - ceil(t|x|) + 1 of each.  So only those prefix
-n-grams are shuffled and joined.  Length and positional filters thin the joined
-pairs, a suffix filter thins them again once the sets are at hand, and each
-pair that is left is verified once, by its exact overlap.
-
-Rarity comes from a count-min sketch of fixed size over the document
-frequencies of all n-grams.  Any order gives the same result; the sketch puts
-n-grams that many documents share at the end, out of all prefixes.
+n-grams are joined.  Length and positional filters thin the joined pairs, a
+suffix filter thins them again once the sets are at hand, and each pair that is
+left is verified once, by its exact overlap.
+
+Rarity is counted, not estimated, at the cost of some bytes for each n-gram: a
+task sends sorted fingerprints of the n-grams of about a megabyte of them at
+once, as compressed differences, to the counters of their ranges; these answer
+with a byte for each, which the task finds by the place of its first row when it
+reads the same rows again.  A fingerprint has ten bits more than the number of
+n-grams, so one in a thousand counts too many and none too few.  N-grams of one
+document alone then never leave their task.
 
 Groups of copies are never expanded into all their pairs:
 
-* Texts with equal sets are one node from the start.  Its postings carry half of
-  its digest; where two nodes share that half, their pair is verified as well.
+* Texts with equal sets are one node, the place of the row with the least id;
+  their other rows are passed over where they are read.
 * Round 1 verifies, for each n-gram, one hub against the other nodes with that
   n-gram.  A frequent n-gram has a hub in each of its parts, and one of these is
   verified against the other hubs.  The hub is the node where it stands earliest, that is, the one with
@@ -22,30 +26,37 @@ Groups of copies are never expanded into all their pairs:
 * Round 2 verifies every pair that passes the filters and is not yet joined by
   verified links.  What it leaves out is joined already, so the components are
   exact.
+
+To verify, a node's set goes once to each hub it is paired with; a hub of very
+many pairs has its set in several tasks.  Texts stay where they are.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import textkernel as K
 from .components import connected_components
+from .places import Facts, place, placed, places
 from .workspace import Workspace
 
-#: Node ids up to this many are broadcast to find their texts in the scan (some 50 MB); beyond it they are joined by a shuffle.
-BROADCAST_NODES = 1_000_000
-#: A prefix n-gram that may have more nodes than this is counted in several parts.
+#: N-grams whose fingerprints are sent together, and that one range of them has on the average.
+PIECE_GRAMS, RANGE_GRAMS = 1 << 20, 1 << 22
+#: Bits of a fingerprint beyond those of the number of n-grams.
+SPARE_BITS = 10
+#: A prefix n-gram that has more nodes than this is handled in several parts.
 PART_NODES = 65_536
-#: Digests that one task remembers in order not to emit a copy's n-grams again.
-SEEN_DIGESTS = 1 << 20
-_SKETCH_PARTS = 64
+#: A key with more than this share of a table's rows is dealt to several tasks; there can be no more such keys, so these are broadcast.
+SHARES = 1000
 _NODE_BYTES = 16
 
 
@@ -64,7 +75,7 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[tuple[int, list[np.ndarra
 
 
 def digest(grams: np.ndarray) -> bytes | None:
-    """A node's id: the digest of its set, None for the empty set."""
+    """What equal sets share; None for the empty set."""
     return hashlib.blake2b(grams.tobytes(), digest_size=_NODE_BYTES).digest() if len(grams) else None
 
 
@@ -72,99 +83,152 @@ def _ceil(num: int, den: int):
     return -(-num // den)
 
 
-def _scan(k: int, bits: int):
-    """Rows (id, n, node, node64), and at the end of each task its sketch in parts."""
-    mask = np.uint64((1 << bits) - 1)
-    names = ["id", "n", "node", "node64", "part", "counts"]
+def _scan(k: int):
+    """(id, file, row, n, digest) of (id, text, file, row)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, any_rows, kind = np.zeros(1 << bits, np.uint32), False, None
         for batch in batches:
-            kind, any_rows = batch.schema.field(0).type, True
-            sizes, nodes = [], []
+            sizes, digests = [], []
             for _, sets in shingle_sets(batch.column(1), k):
                 sizes += map(len, sets)
-                nodes += map(digest, sets)
-                np.add.at(sketch, (np.concatenate(sets) & mask).astype(np.int64), np.uint32(1))
-            none = pa.nulls(len(sizes))
-            short = pa.array([None if x is None else int.from_bytes(x[:8], "little", signed=True) for x in nodes], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), short, none.cast(pa.int32()), none.cast(pa.binary())], names)
-        if any_rows:
-            packer = zstandard.ZstdCompressor(level=1)
-            for part, counts in enumerate(sketch.reshape(_SKETCH_PARTS, -1)):
-                small = counts.astype(np.uint8) if counts.max() < 256 else counts
-                packed = bytes([small.itemsize]) + packer.compress(small.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.array([part], pa.int32()), pa.array([packed], pa.binary())], names)
+                digests += map(digest, sets)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary())], ["id", "file", "row", "n", "digest"])
 
     return run
 
 
-def _add_sketches(bits: int):
-    width = (1 << bits) // _SKETCH_PARTS
+def _pieces(batches: Iterator[pa.RecordBatch], k: int, copies: Facts) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """Files, rows and sets of runs of rows of (text, file, row) that are no copies; the same runs whenever the table is read."""
+    for batch in batches:
+        file, row = places(batch)
+        keep = ~copies.holds(file, row)
+        texts, file, row = batch.column(0).filter(pa.array(keep)), file[keep], row[keep]
+        held, grams, first = [], 0, 0
+        for a, sets in shingle_sets(texts, k):
+            held += sets
+            grams += sum(map(len, sets))
+            if grams >= PIECE_GRAMS or a + len(sets) == len(texts):
+                yield file[first : first + len(held)], row[first : first + len(held)], held
+                held, grams, first = [], 0, first + len(held)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
-            for part, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts = np.frombuffer(unpack.decompress(packed[1:]), np.uint8 if packed[0] == 1 else np.uint32)
-                if part not in sums:
-                    sums[part] = np.zeros(width, np.uint32)
-                sums[part] += counts
-        for part, counts in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([counts.tobytes()], pa.binary())], ["part", "counts"])
 
-    return run
+def _prints(sets: list[np.ndarray], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct fingerprints of some sets, sorted, and how many n-grams have each."""
+    prints = np.concatenate(sets) >> np.uint64(64 - bits)
+    prints.sort()
+    at = np.flatnonzero(np.append(True, prints[1:] != prints[:-1])) if len(prints) else np.zeros(0, np.int64)
+    return prints[at], np.diff(at, append=len(prints))
 
 
-def prefix_length(n, num: int, den: int):
-    return n - _ceil(num * n, den) + 1
+def _packed(values: np.ndarray) -> bytes:
+    """Small numbers with their bytes in planes, so that those that are all zero cost nothing."""
+    width = values.dtype.itemsize
+    return zstandard.ZstdCompressor(level=1).compress(values.view(np.uint8).reshape(-1, width).T.tobytes())
+
+
+def _unpacked(data: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return planes.reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
 
 
-def _postings(k: int, num: int, den: int, sketch, load: float):
-    """Prefix n-grams as rows (gram, salt, node64, n, pos), once per distinct set in a task; the salt is 0 unless the n-gram is counted in parts."""
+def _requests(k: int, bits: int, range_bits: int, copies: Facts):
+    """Rows (part, file, row, grams, counts): the fingerprints of a piece in one range, and how often it has each."""
+    cut = np.uint64(bits - range_bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = sketch.value
-        mask = np.uint64(len(counts) - 1)
-        seen: set[bytes] = set()
-        for batch in batches:
-            for _, sets in shingle_sets(batch.column(0), k):
-                out = []
-                for own in sets:
-                    node = digest(own)
-                    if node is None or node in seen:
-                        continue
-                    if len(seen) >= SEEN_DIGESTS:
-                        seen.clear()
-                    seen.add(node)
-                    often = counts[(own & mask).astype(np.int64)]
-                    order = np.argsort(often, kind="stable")[: prefix_length(len(own), num, den)]
-                    often = often[order].astype(np.int64)
-                    shared = often > 1  # a sketch never counts too few
-                    if not shared.any():
-                        continue
-                    first = int.from_bytes(node[:8], "little", signed=True)
-                    parts = 1 + np.maximum(often - int(4 * load), 0) // PART_NODES
-                    salt = np.where(parts > 1, 1 + abs(first) % parts, 0)
-                    out.append((own[order][shared].view(np.int64), salt[shared], first, len(own), np.flatnonzero(shared)))
-                if out:
-                    size = [len(x[0]) for x in out]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate([x[0] for x in out])), pa.array(np.concatenate([x[1] for x in out]).astype(np.int32))]
-                        + [pa.array(np.repeat(np.array([x[i] for x in out], np.int64), size)) for i in (2, 3)]
-                        + [pa.array(np.concatenate([x[4] for x in out]).astype(np.int64))],
-                        ["gram", "salt", "node64", "n", "pos"],
-                    )
+        for file, row, sets in _pieces(batches, k, copies):
+            prints, counts = _prints(sets, bits)
+            if not len(prints):
+                continue
+            counts = np.minimum(counts, 65535).astype(np.uint16)
+            part = (prints >> cut).astype(np.int64)
+            at = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+            ends = np.append(at[1:], len(part))
+            own = [prints[a:b] - (prints[a] >> cut << cut) for a, b in zip(at, ends, strict=True)]
+            columns = [pa.array(part[at].astype(np.int32)), pa.array(np.repeat(file[:1], len(at))), pa.array(np.repeat(row[:1], len(at)))]
+            columns += [pa.array([_packed(np.diff(x, prepend=np.uint64(0))) for x in own], pa.binary()), pa.array([_packed(counts[a:b]) for a, b in zip(at, ends, strict=True)], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["part", "file", "row", "grams", "counts"])
 
     return run
 
 
-def _sets(k: int):
+def level(count: np.ndarray) -> np.ndarray:
+    """A count as one byte: itself up to 127, beyond that four steps for each doubling."""
+    big = np.maximum(count, 128).astype(float)
+    return np.where(count < 128, count, np.minimum(128 + np.floor(4 * np.log2(big / 128)), 255)).astype(np.uint8)
+
+
+def least_count(levels: np.ndarray) -> np.ndarray:
+    """The least count of a level."""
+    return np.where(levels < 128, levels, np.floor(128 * 2 ** ((levels.astype(float) - 128) / 4))).astype(np.int64)
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (file, row, part, levels) that answer those of _requests, which come by part."""
+
+    def answers(part: int, rows: list[tuple[int, int, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        prints = np.concatenate([x[2] for x in rows])
+        own = np.concatenate([x[3] for x in rows]).astype(np.int64)
+        order = np.argsort(prints, kind="stable")
+        new = np.append(True, np.diff(prints[order]) != 0)
+        sums = np.add.reduceat(own[order], np.flatnonzero(new))
+        levels = np.empty(len(prints), np.uint8)
+        levels[order] = level(sums)[np.cumsum(new) - 1]
+        cuts = np.cumsum([0] + [len(x[2]) for x in rows])
+        packed = [_packed(levels[a:b]) for a, b in zip(cuts, cuts[1:])]  # noqa: B905
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.int64()), pa.array([part] * len(rows), pa.int32()), pa.array(packed, pa.binary())], ["file", "row", "part", "levels"])
+
+    held: list[tuple[int, int, np.ndarray, np.ndarray]] = []
+    last = None
+    for batch in batches:
+        for part, file, row, grams, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if part != last and held:
+                yield from answers(last, held)
+                held = []
+            last = part
+            held.append((file, row, np.cumsum(_unpacked(grams, np.uint64)), _unpacked(counts, np.uint16)))
+    if held:
+        yield from answers(last, held)
+
+
+def prefix_length(n, num: int, den: int):
+    return n - _ceil(num * n, den) + 1
+
+
+def _postings(k: int, num: int, den: int, bits: int, copies: Facts, rarity: Facts):
+    """Prefix n-grams that other nodes have too as rows (gram, salt, file, row, n, pos); the salt is 0 unless the n-gram is handled in parts."""
+    shift = np.uint64(64 - bits)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, sets in shingle_sets(batch.column(0), k):
-                yield pa.RecordBatch.from_arrays([pa.array(list(map(digest, sets)), pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "grams"])
+        for file, row, sets in _pieces(batches, k, copies):
+            prints, _ = _prints(sets, bits)
+            if not len(prints):
+                continue
+            facts = rarity.of(int(file[0]))
+            at = facts.column("row").to_numpy()
+            a, b = np.searchsorted(at, row[0]), np.searchsorted(at, row[0], side="right")
+            own = facts.slice(a, b - a).sort_by("part").column("levels").to_pylist()
+            levels = np.concatenate([_unpacked(x, np.uint8) for x in own]) if own else np.zeros(0, np.uint8)
+            if len(levels) != len(prints):
+                raise ValueError("the table was not read in the same pieces as before")
+            out = []
+            for f, r, grams in zip(file.tolist(), row.tolist(), sets, strict=True):
+                often = levels[np.searchsorted(prints, grams >> shift)]
+                order = np.argsort(often, kind="stable")[: prefix_length(len(grams), num, den)] if len(grams) else np.zeros(0, np.int64)
+                shared = np.flatnonzero(often[order] > 1)
+                if len(shared):
+                    order = order[shared]
+                    parts = 1 + least_count(often[order]) // PART_NODES
+                    salt = np.where(parts > 1, 1 + (f ^ r * 0x9E3779B1) % parts, 0)
+                    out.append((grams[order].view(np.int64), salt, f, r, len(grams), shared))
+            if out:
+                size = [len(x[0]) for x in out]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate([x[0] for x in out])), pa.array(np.concatenate([x[1] for x in out]).astype(np.int32))]
+                    + [pa.array(np.repeat(np.array([x[i] for x in out], np.int64), size)) for i in (2, 3, 4)]
+                    + [pa.array(np.concatenate([x[5] for x in out]).astype(np.int64))],
+                    ["gram", "salt", "file", "row", "n", "pos"],
+                )
 
     return run
 
@@ -184,11 +248,50 @@ def overlap(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return int((b[at] == a).sum()) >= need
 
 
+def _sets(k: int, wanted: Facts):
+    """Rows (head_file, head_row, salt, file, row, grams): the set of each wanted row, for each time it is wanted."""
+    names = ["head_file", "head_row", "salt"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            file, row = places(batch)
+            keep = wanted.holds(file, row)
+            file, row = file[keep], row[keep]
+            for first, sets in shingle_sets(batch.column(0).filter(pa.array(keep)), k):
+                uses = []
+                for f, r in zip(file[first : first + len(sets)].tolist(), row[first : first + len(sets)].tolist(), strict=True):
+                    known = wanted.of(f)
+                    at = known.column("row").to_numpy()
+                    a, b = np.searchsorted(at, r), np.searchsorted(at, r, side="right")
+                    uses.append(known.slice(a, b - a))
+                size = list(map(len, uses))
+                which = np.repeat(np.arange(len(sets)), size)
+                table = pa.concat_tables(uses).select([*names, "file", "row"]).combine_chunks()
+                data = [sets[i].tobytes() for i in range(len(sets))]
+                yield from (pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in table.slice(i, 256).columns), pa.array([data[j] for j in which[i : i + 256]], pa.binary())], [*names, "file", "row", "grams"]) for i in range(0, len(which), 256))
+
+    return run
+
+
 def _verify(num: int, den: int):
+    """(head_file, head_row, file, row, linked) of sets that come by head and salt, the head's own first."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, grams = None, None
         for batch in batches:
-            keep = [overlap(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), num, den) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keep, pa.bool_())], ["a", "b", "linked"])
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
+            own = list(zip(*(batch.column(i).to_pylist() for i in (3, 4)), strict=True))
+            keep, linked = [], []
+            for i, (key, at, cell) in enumerate(zip(keys, own, batch.column(5), strict=True)):
+                if at == key[:2]:
+                    head, grams = key, np.frombuffer(cell.as_py(), np.uint64)
+                    continue
+                if key != head:
+                    raise ValueError("a hub's set is missing")
+                keep.append(i)
+                linked.append(overlap(grams, np.frombuffer(cell.as_buffer(), np.uint64), num, den))
+            kept = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(kept) for i in (0, 1, 3, 4)), pa.array(linked, pa.bool_())], ["head_file", "head_row", "file", "row", "linked"])
 
     return run
 
@@ -204,73 +307,108 @@ def _may_match(x: str, y: str, num: int, den: int) -> Column:
     return left * (num + den) >= (F.col(f"{x}n") + F.col(f"{y}n")) * num
 
 
-def _sketch(scan: DataFrame, bits: int) -> np.ndarray:
-    """The merged sketch: 2^bits counters, whatever the input's size."""
-    parts = scan.where("part is not null").select("part", "counts").repartition(_SKETCH_PARTS, "part")
-    merged = {x.part: np.frombuffer(x.counts, np.uint32) for x in parts.mapInArrow(_add_sketches(bits), "part int, counts binary").collect()}
-    return np.concatenate([merged[i] for i in sorted(merged)]) if merged else np.zeros(1 << bits, np.uint32)
-
-
 def _matchable(posts: DataFrame, num: int, den: int) -> DataFrame:
-    """The postings that may match another one of their n-gram, each with the n-gram's hub: (gram, salt, node64, n, pos, hub_pos, hub_node64, hub_n).
+    """The postings that may match another one of their n-gram, each with the n-gram's hub: (gram, salt, place, n, pos, hub, hub_n, hub_pos).
 
     In order of size, a posting matches one before it only if some reach before
     it comes up to its size, and one after it only if the next size is within
     its own reach.  All of this happens in one shuffle, by n-gram and salt.
     """
     group = Window.partitionBy("gram", "salt")
-    by_size = group.orderBy("n", "pos", "node64")
-    copy = (F.lag("n").over(by_size) == F.col("n")) & (F.lag("pos").over(by_size) == F.col("pos")) & (F.lag("node64").over(by_size) == F.col("node64"))
-    posts = posts.withColumn("copy", F.coalesce(copy, F.lit(False))).where("not copy").withColumn("reach", _reach(F.col("n"), F.col("pos"), num, den))
+    by_size = group.orderBy("n", "pos", "file", "row")
+    posts = posts.withColumn("reach", _reach(F.col("n"), F.col("pos"), num, den))
     posts = posts.withColumn("before", F.max("reach").over(by_size.rowsBetween(Window.unboundedPreceding, -1))).withColumn("after", F.lead("n").over(by_size))
-    posts = posts.where("salt > 0 or before >= n or after <= reach").drop("copy", "reach", "before", "after")
-    hub = F.min(F.struct("pos", "node64", "n")).over(group)
-    return posts.withColumn("hub", hub).select("gram", "salt", "node64", "n", "pos", F.col("hub.pos").alias("hub_pos"), F.col("hub.node64").alias("hub_node64"), F.col("hub.n").alias("hub_n"))
-
-
-def _hub_pairs(posts: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """Each node with the hub of its n-grams where they may match, hubs of the parts of one n-gram, and nodes that share half a digest."""
-    hubs = posts.where("salt > 0").select("gram", "hub_pos", "hub_node64", "hub_n").distinct()
-    first = hubs.groupBy("gram").agg(F.min(F.struct("hub_pos", "hub_node64", "hub_n")).alias("h")).select("gram", "h.*")
-    hubs = hubs.select("gram", F.col("hub_node64").alias("node64"), F.col("hub_n").alias("n"), F.col("hub_pos").alias("pos")).join(first, "gram")
-    names = ["node64", "n", "pos", "hub_node64", "hub_n", "hub_pos"]
-    pairs = posts.select(names).unionByName(hubs.select(names)).where("node64 <> hub_node64").where(_may_match("", "hub_", num, den))
-    pairs = pairs.select(F.least("node64", "hub_node64").alias("x"), F.greatest("node64", "hub_node64").alias("y")).distinct()
-    same = nodes.groupBy("node64").count().where("count > 1").select(F.col("node64").alias("x"), F.col("node64").alias("y"))
-    own = nodes.select("node64", "node")
-    pairs = pairs.unionByName(same).join(own.select(F.col("node64").alias("x"), F.col("node").alias("p")), "x").join(own.select(F.col("node64").alias("y"), F.col("node").alias("q")), "y")
-    return pairs.where("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-
-
-def _open_pairs(posts: DataFrame, nodes: DataFrame, roots: DataFrame, tested: DataFrame, ws: Workspace, num: int, den: int) -> DataFrame:
-    """Every pair with a common n-gram that may match, is not tested and whose nodes are in different components."""
-    rooted = nodes.select("node64", "node").join(roots, "node", "left").select("node64", "node", F.coalesce("root", "node").alias("root"))
-    posts = posts.select("gram", "node64", "n", "pos").join(rooted, "node64").select("gram", "node", "n", "pos", "root")
-    mixed = posts.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("gram")
-    posts = ws.save(posts.join(mixed, "gram", "left_semi"), "open")
-    pairs = posts.alias("x").join(posts.alias("y"), F.col("x.gram") == F.col("y.gram")).where("x.node < y.node and x.root <> y.root")
-    pairs = pairs.where(_may_match("x.", "y.", num, den)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    return pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    posts = posts.where("salt > 0 or before >= n or after <= reach")
+    posts = posts.withColumn("first", F.min(F.struct("pos", "file", "row", "n")).over(group))
+    return posts.select("gram", "salt", place().alias("place"), "n", "pos", F.struct("first.file", "first.row").alias("hub"), F.col("first.n").alias("hub_n"), F.col("first.pos").alias("hub_pos"))
+
 
+def _hub_pairs(posts: DataFrame, num: int, den: int) -> DataFrame:
+    """(head, place): each node with the hub of its n-grams where they may match, and the hubs of the parts of one n-gram; a pair once, whichever is the hub."""
+    hubs = posts.where("salt > 0").select("gram", "hub_pos", "hub", "hub_n").distinct()
+    first = hubs.groupBy("gram").agg(F.min(F.struct("hub_pos", "hub", "hub_n")).alias("h")).select("gram", "h.*")
+    hubs = hubs.select("gram", F.col("hub").alias("place"), F.col("hub_n").alias("n"), F.col("hub_pos").alias("pos")).join(first, "gram")
+    names = ["place", "n", "pos", "hub", "hub_n", "hub_pos"]
+    pairs = posts.select(names).unionByName(hubs.select(names)).where("place <> hub").where(_may_match("", "hub_", num, den))
+    pairs = pairs.groupBy(F.least("place", "hub").alias("a"), F.greatest("place", "hub").alias("b")).agg(F.min("hub").alias("head"))
+    return pairs.select("head", F.when(F.col("a") == F.col("head"), F.col("b")).otherwise(F.col("a")).alias("place"))
 
-def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, ws: Workspace, name: str, k: int, num: int, den: int) -> DataFrame:
-    """(a, b, linked) for each pair, from the whole texts of one document of each node."""
+
+def _hot(rows: DataFrame, key: str) -> DataFrame:
+    """(key, n) of the keys with over 1/SHARES of the rows; there are no more than SHARES of them."""
+    counts, most = rows.groupBy(key).agg(F.count("*").alias("n")), rows.count() / SHARES
+    return F.broadcast(counts.where(F.col("n") > max(most, 1)).select(key, F.ceil(F.col("n") / F.lit(max(most, 1.0))).alias("shares")))
+
+
+def _open_pairs(posts: DataFrame, roots: DataFrame, tested: DataFrame, ws: Workspace, num: int, den: int) -> DataFrame:
+    """(head, place): every pair with a common n-gram that may match, is not tested and whose nodes are in different components.
+
+    A frequent n-gram's postings lie in a square of blocks, so that each pair
+    meets in one of them and none has all.
+    """
+    posts = posts.select("gram", "place", "n", "pos").join(roots, "place", "left").withColumn("root", F.coalesce("root", "place"))
+    posts = ws.save(posts, "rooted")
+    mixed = ws.save(posts.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("gram"), "mixed")
+    posts = ws.save(posts.join(mixed, "gram", "left_semi"), "open")
+    sides = F.coalesce(F.ceil(F.sqrt("shares")), F.lit(1)).cast("int")
+    posts = posts.join(_hot(posts, "gram"), "gram", "left").withColumn("sides", sides).withColumn("own", F.pmod(F.xxhash64("place"), F.col("sides")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("sides") - 1))
+    x, y = posts.withColumn("other", every).alias("x"), posts.withColumn("other", every).alias("y")
+    same = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.own") == F.col("y.other")) & (F.col("x.other") == F.col("y.own"))
+    pairs = x.join(y, same).where("x.place < y.place and x.root <> y.root").where(_may_match("x.", "y.", num, den))
+    pairs = pairs.select(F.col("x.place").alias("head"), F.col("y.place").alias("place")).distinct()
+    known = tested.select(F.least("head", "place").alias("head"), F.greatest("head", "place").alias("place"))
+    return pairs.join(known, ["head", "place"], "left_anti")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, files: int, ws: Workspace, name: str, k: int, num: int, den: int) -> DataFrame:
+    """(head, place, linked) for each pair, from the whole texts of the nodes' rows."""
     pairs = ws.save(pairs, f"{name}-pairs")
-    nodes = ws.save(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), f"{name}-nodes")
-    ids = rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")).select("id").distinct()
-    if nodes.count() <= BROADCAST_NODES:
-        ids = F.broadcast(ids)
-    texts = docs.join(ids, docs["id"].eqNullSafe(ids["id"]), "left_semi").select("text")
-    sets = texts.mapInArrow(_sets(k), "node binary, grams binary").where("node is not null")
-    sets = sets.join(nodes, "node", "left_semi").dropDuplicates(["node"])
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("grams_a")), "a")
-    both = both.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("grams_b")), "b")
-    tested = ws.save(both.select("a", "b", "grams_a", "grams_b").mapInArrow(_verify(num, den), "a binary, b binary, linked boolean"), f"{name}-tested")
-    ws.drop(f"{name}-nodes", f"{name}-pairs")
-    return tested
-
-
-def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: tuple[int, int] = (3, 4), sketch_bits: int = 22) -> DataFrame:
+    hot = _hot(pairs, "head")
+    salted = pairs.join(hot, "head", "left").withColumn("shares", F.coalesce("shares", F.lit(1)))
+    member = salted.select("head", F.pmod(F.xxhash64("place"), F.col("shares")).cast("int").alias("salt"), "place")
+    heads = salted.groupBy("head").agg(F.max("shares").alias("shares")).select("head", F.explode(F.sequence(F.lit(0), F.col("shares").cast("int") - 1)).alias("salt"), F.col("head").alias("place"))
+    uses = member.unionByName(heads).select("place.file", "place.row", F.col("head.file").alias("head_file"), F.col("head.row").alias("head_row"), "salt")
+    wanted = Facts.save(uses, ws, f"{name}-wanted", files)
+    sets = texts.mapInArrow(_sets(k, wanted), "head_file long, head_row long, salt int, file long, row long, grams binary")
+    by_head = sets.repartition("head_file", "head_row", "salt").sortWithinPartitions("head_file", "head_row", "salt", F.expr("file <> head_file or row <> head_row"), "file", "row")
+    tested = by_head.mapInArrow(_verify(num, den), "head_file long, head_row long, file long, row long, linked boolean")
+    return ws.save(tested.select(F.struct(F.col("head_file").alias("file"), F.col("head_row").alias("row")).alias("head"), place().alias("place"), "linked"), f"{name}-tested")
+
+
+def _classes(texts: DataFrame, ws: Workspace, k: int, num: int, den: int) -> tuple[DataFrame, int]:
+    """(id, file, row, n, least) of each row of (id, text, file, row), and the number of files; least is (no_id, id, file, row) of the class's row of least id, null for an empty set."""
+    fields = StructType([texts.schema["id"], *StructType.fromDDL("file long, row long, n long, digest binary").fields])
+    rows = ws.save(texts.mapInArrow(_scan(k), fields), "rows")
+    own = F.struct(F.col("id").isNull().alias("no_id"), "id", "file", "row")
+    nodes = ws.save(rows.where("digest is not null").groupBy("digest").agg(F.min(own).alias("least"), F.max("n").alias("n")), "nodes")
+    files, grams = rows.select("file").distinct().count(), nodes.agg(F.sum("n")).first()[0] or 0
+    texts = texts.select("text", "file", "row")
+    copies = rows.select("file", "row").join(nodes.select("least.file", "least.row"), ["file", "row"], "left_anti")
+    copies = Facts.save(copies, ws, "copies", files)
+    bits = min(64, max(grams, 1).bit_length() + SPARE_BITS)
+    range_bits = max(0, math.ceil(math.log2(max(grams, 1) / RANGE_GRAMS)))
+    asked = texts.mapInArrow(_requests(k, bits, range_bits, copies), "part int, file long, row long, grams binary, counts binary")
+    asked = asked.repartition(2**range_bits, "part").sortWithinPartitions("part")
+    rarity = Facts.save(asked.mapInArrow(_count, "file long, row long, part int, levels binary"), ws, "rarity", files, "part")
+    posts = texts.mapInArrow(_postings(k, num, den, bits, copies, rarity), "gram long, salt int, file long, row long, n long, pos long")
+    posts = ws.save(_matchable(posts, num, den), "posts")
+    ws.drop("rarity", "copies")
+    tested = _verified(_hub_pairs(posts, num, den), texts, files, ws, "hub", k, num, den)
+    edge = lambda t: t.where("linked").select(F.col("head").alias("a"), F.col("place").alias("b"))
+    roots = connected_components(edge(tested), ws, "near").withColumnRenamed("node", "place")
+    more = _verified(_open_pairs(posts, roots, tested, ws, num, den), texts, files, ws, "open", k, num, den)
+    roots = connected_components(roots.select(F.col("place").alias("a"), F.col("root").alias("b")).unionByName(edge(more)), ws, "all")
+    nodes = nodes.withColumn("node", F.struct("least.file", "least.row")).join(roots, "node", "left").select("digest", "least", F.coalesce("root", "node").alias("root"))
+    nodes = ws.save(nodes, "rooted-nodes")
+    # both sides of the joins below are shuffled, so that Spark can split what a large class or a frequent set has on the left
+    least = ws.save(nodes.groupBy("root").agg(F.min("least").alias("class")), "least")
+    nodes = ws.save(nodes.join(least, "root").select("digest", F.col("class").alias("least")), "classes")
+    ws.drop("posts", "rooted", "mixed", "open", "hub-pairs", "open-pairs", "hub-wanted", "open-wanted", "hub-tested", "open-tested", "nodes", "rooted-nodes", "least")
+    return rows.join(nodes, "digest", "left").select("id", "file", "row", "n", "least"), files
+
+
+def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: tuple[int, int] = (3, 4)) -> DataFrame:
     """Classes of documents linked by a Jaccard similarity of at least threshold[0]/threshold[1].
 
     Returns id_col, n_shingles (the size of the document's set) and component_id
@@ -280,51 +418,33 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     empty set, links with nothing and is its own class.  Rows that repeat an id
     are documents of their own, each with the component of its text; a null id
     never becomes a component_id unless all rows of the class have it.  Other
-    columns are ignored, whatever their names.
+    columns are ignored, whatever their names.  A table that is no plain scan of
+    Parquet files is written to the workspace first.
     """
-    num, den = threshold
-    spark = docs.sparkSession
-    ws = Workspace(spark, "ngram-join")
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    id_type = docs.schema["id"].dataType.simpleString()
-    scan = ws.save(docs.mapInArrow(_scan(k, sketch_bits), f"id {id_type}, n long, node binary, node64 long, part int, counts binary"), "scan")
-    rows = scan.where("part is null")
-    nodes = ws.save(rows.where("node is not null").groupBy("node", "node64").agg(F.min("id").alias("least_id")), "nodes")
-    sketch = _sketch(scan, sketch_bits)
-    shared = spark.sparkContext.broadcast(sketch)
-    load = float(sketch.sum(dtype=np.int64)) / len(sketch)
-    posts = docs.select("text").mapInArrow(_postings(k, num, den, shared, load), "gram long, salt int, node64 long, n long, pos long")
-    posts = ws.save(_matchable(posts, num, den), "posts")
-    tested = _verified(_hub_pairs(posts, nodes, num, den), docs, rows, ws, "hub", k, num, den)
-    links = tested.where("linked").select("a", "b")
-    roots = connected_components(links, ws, "near")
-    more = _verified(_open_pairs(posts, nodes, roots, tested, ws, num, den), docs, rows, ws, "open", k, num, den)
-    links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more.where("linked").select("a", "b"))
-    roots = connected_components(links, ws, "all")
-    least = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least_id")
-    component = least.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    component = ws.save(least.join(component, "root").select("node", "component_id"), "component")
-    ws.drop("posts", "hub-tested", "open", "open-tested", "nodes")
-    shared.destroy()
-    own = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return rows.join(component, "node", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"))
+    ws = Workspace(docs.sparkSession, "ngram-join")
+    docs = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    out, _ = _classes(placed(docs, ws).select("doc.id", "doc.text", "file", "row"), ws, k, *threshold)
+    own = F.when(F.col("least").isNull(), F.col("id")).otherwise(F.col("least.id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: tuple[int, int] = (3, 4)) -> DataFrame:
-    """The row of docs with the least id of each class of ngram_jaccard_join; all columns stay.
+    """One row of docs of each class of ngram_jaccard_join, that with the least id; all columns stay.
 
-    Where rows repeat an id that stays, one row of each different text with it
-    stays.
+    Of rows that repeat the least id one stays; a null id stays only where all
+    of its class have it.  Rows without words all stay.  The rows are dropped
+    where they are read: only their places are shuffled.
     """
     ws = Workspace(docs.sparkSession, "one-of-each")
-    joined = ngram_jaccard_join(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), id_col="id", text_col="text", k=k, threshold=threshold)
-    kept = ws.save(joined.where("id <=> component_id").groupBy("id").agg((F.count("*") > 1).alias("repeated")), "kept")
-    own = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(id_col).alias("_own_id"))
-    once = kept.where("not repeated")
-    out = own.join(once, own["_own_id"].eqNullSafe(once["id"]), "left_semi").select("row.*")
-    often = kept.where("repeated")
-    if often.isEmpty():
-        return out
-    more = own.join(often, own["_own_id"].eqNullSafe(often["id"]), "left_semi")
-    more = more.withColumn("_own_text", F.sha2(F.coalesce(F.col("row").getField(text_col).cast("string"), F.lit("")), 256)).dropDuplicates(["_own_id", "_own_text"])
-    return out.unionByName(more.select("row.*"))
+    whole = placed(docs, ws)
+    fields = whole.schema["doc"].dataType.fields
+    doc = lambda c: F.col("doc").getField(next(f.name for f in fields if f.name.lower() == c.lower()))
+    out, files = _classes(whole.select(doc(id_col).alias("id"), doc(text_col).cast("string").alias("text"), "file", "row"), ws, k, *threshold)
+    copies = out.where("least is not null and (file <> least.file or row <> least.row)").select("file", "row")
+    copies = Facts.save(copies, ws, "dropped", files)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(~copies.holds(*places(batch)))).select(["doc"])
+
+    return whole.mapInArrow(run, StructType([whole.schema["doc"]])).select("doc.*")
