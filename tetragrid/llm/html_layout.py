@@ -3,13 +3,16 @@
 A tree builder closes and opens implied tags; a renderer walks the tree without
 recursion and lays out what is visible: blocks on lines of their own, list items
 behind markers, preformatted text as it stands, and table cells in aligned
-columns.  A page is one row; memory is bounded by the largest page.
+columns.  Hidden is what its tag, its attributes or a plain rule of a style sheet
+(for a tag, a class or an id) hide.  A page is one row; memory is bounded by the
+largest page, and time grows in proportion to its length whatever its tags.
 """
 
 from __future__ import annotations
 
 import html
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,8 +40,19 @@ _NAME = r"""(?:=[^ \t\n\r\f/>=]*+|[^ \t\n\r\f/>=]++)"""
 _EQUALS = r"""[ \t\n\r\f]*+=[ \t\n\r\f]*+"""
 TAG = re.compile(rf"""<(/?)([A-Za-z][^\s/>]*+)((?:[\s/]++|{_NAME}(?:{_EQUALS}(?:"[^"]*+"|'[^']*+'|[^ \t\n\r\f>]++)?+)?+)*+)>""")
 ATTRIBUTE = re.compile(rf"""({_NAME})(?:{_EQUALS}(?:"([^"]*+)"|'([^']*+)'|([^ \t\n\r\f>]++))?+)?+""")
+#: For a page with many quotes that hide the end of their tag: there they mean nothing.
+PLAIN_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>")
+#: Tags that do not end on a page, each of which is sought to the end, before quotes lose their meaning.
+OPEN_TAGS = 8
+#: Lists, cells and quotes nested deeper than this are laid out like plain blocks.
+DEPTH = 40
+#: Elements nested deeper than this, other than hidden ones, hold nothing: what follows stands beside them.
+STACK = 512
 RAW_END = {name: re.compile(rf"</{name}(?=[ \t\n\r\f/>])", re.IGNORECASE | re.ASCII) for name in RAW}
 UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b")
+RULE = re.compile(r"([^{}]*)([{}])")
+SELECTOR = re.compile(r"([a-z][a-z0-9]*)?(?:([.#])([a-z0-9_-]+))?")
+SHOWN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*(?!none)[a-z]|visibility\s*:\s*visible)")
 SPACE = re.compile(r"[ \t\n\r\f]+")
 GAP = "  "
 #: Lines, columns spanned and rows spanned; 0 rows reach to the end of the group.
@@ -63,7 +77,7 @@ def _attributes(text: str) -> dict[str, str]:
 
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
     """(kind, name or text, attributes) with kind text, open or close; comments and declarations are left out."""
-    at, size = 0, len(page)
+    at, size, last, open_tags = 0, len(page), page.rfind(">"), 0
     while at < size:
         to = page.find("<", at)
         if to < 0:
@@ -77,7 +91,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
         elif page[to + 1 : to + 2] in ("!", "?"):
             end = page.find(">", to)
             at = size if end < 0 else end + 1
-        elif m := TAG.match(page, to):
+        elif to < last and (m := (TAG if open_tags < OPEN_TAGS else PLAIN_TAG).match(page, to)):
             name, at = m[2].lower(), m.end()
             yield "close" if m[1] else "open", name, m[3]
             if not m[1] and name in RAW:
@@ -87,6 +101,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
                 yield "text", html.unescape(text) if name in ("textarea", "title") else text, ""
                 at = end
         else:
+            open_tags += to < last and page[to + 1 : to + 2].isalpha()
             yield "text", "<", ""
             at = to + 1
 
@@ -100,7 +115,7 @@ def tree(page: str) -> Node:
     def push(tag: str, attributes: dict[str, str]) -> None:
         node = Node(tag, attributes)
         stack[-1].children.append(node)
-        if tag not in VOID:
+        if tag not in VOID and (len(stack) < STACK or tag in HIDDEN or tag in RAW):
             stack.append(node)
             opened[tag] = opened.get(tag, 0) + 1
 
@@ -150,11 +165,44 @@ def tree(page: str) -> Node:
     return root
 
 
-def visible(node: Node) -> bool:
+def hiding(sheet: str, rules: dict[tuple[str, str, str], bool]) -> None:
+    """Adds to rules what a style sheet hides: by (tag, "." or "#", name), for selectors of these parts alone; a later rule for the same one wins."""
+    depth, selectors, skipped = 0, "", 0
+    for m in RULE.finditer(re.sub(r"/\*.*?\*/", "", sheet.lower(), flags=re.DOTALL)):
+        if m[2] == "{":
+            depth += 1
+            if skipped or m[1].strip().rpartition(";")[2].strip().startswith("@"):
+                skipped = skipped or depth  # what holds for some media only
+            selectors = m[1]
+        elif depth:
+            if not skipped and (UNSEEN.search(m[1]) or SHOWN.search(m[1])):
+                for part in selectors.split(","):
+                    if (own := SELECTOR.fullmatch(part.strip())) and own[0]:
+                        rules[own[1] or "", own[2] or "", own[3] or ""] = bool(UNSEEN.search(m[1]))
+            skipped = 0 if skipped == depth else skipped
+            depth -= 1
+
+
+def visible(node: Node, rules: dict[tuple[str, str, str], bool]) -> bool:
     a = node.attributes
     if node.tag in HIDDEN or "hidden" in a or node.tag == "dialog" and "open" not in a:
         return False
-    return not ("style" in a and UNSEEN.search(a["style"].lower()))
+    if "style" in a and (UNSEEN.search(a["style"].lower()) or SHOWN.search(a["style"].lower())):
+        return not UNSEEN.search(a["style"].lower())
+    if not rules:
+        return True
+    names = [("#", a["id"].strip().lower())] if "id" in a else []
+    names += [(".", c) for c in a.get("class", "").lower().split()]
+    for kind, name in [*names, ("", "")]:  # an id's rule weighs more than a class's, this more than a tag's
+        for tag in (node.tag, ""):
+            if (hides := rules.get((tag, kind, name))) is not None:
+                return not hides
+    return True
+
+
+def wide(text: str) -> int:
+    """Columns that a text takes: two for each wide character, none for a mark that combines."""
+    return len(text) if text.isascii() else sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
 
 
 class Flow:
@@ -243,7 +291,7 @@ def _columns(table: list[list[Cell] | None]) -> list[str]:
         for at, lines, span in row:
             width += [0] * (at + span - len(width))
             if span == 1:
-                width[at] = max(width[at], *(len(x) for x in lines), 0)
+                width[at] = max(width[at], *map(wide, lines), 0)
     out = []
     for row in rows:
         height = max((len(lines) for _, lines, _ in row), default=0)
@@ -252,7 +300,8 @@ def _columns(table: list[list[Cell] | None]) -> list[str]:
             for at, lines, span in row:
                 parts += [" " * w for w in width[last:at]]
                 room = sum(width[at : at + span]) + len(GAP) * (span - 1)
-                parts.append((lines[i] if i < len(lines) else "").ljust(room))
+                line = lines[i] if i < len(lines) else ""
+                parts.append(line + " " * (room - wide(line)))
                 last = at + span
             out.append(GAP.join(parts).rstrip())
     return out
@@ -263,45 +312,68 @@ def _number(text: str, default: int, most: int = 1000) -> int:
     return min(int(text), most) if text.isascii() and text.isdigit() and len(text) < 10 else default
 
 
+def _place(text: str, default: int) -> int:
+    """A list item's number, which may be negative."""
+    text = text.strip()
+    return int(text) if re.fullmatch(r"-?[0-9]{1,9}", text) else default
+
+
+def _sheets(root: Node, rules: dict[tuple[str, str, str], bool]) -> None:
+    todo: list[Node | str] = [root]
+    while todo:
+        node = todo.pop()
+        if isinstance(node, Node):
+            if node.tag == "style" and "media" not in node.attributes:
+                hiding("".join(c for c in node.children if isinstance(c, str)), rules)
+            todo += reversed(node.children)
+
+
 def render(page: str | None) -> str:
     """The visible text of a page; "" for null."""
     flows = [Flow()]
     tables: list[list[list[Cell] | None]] = []
-    lists: list[tuple[bool, list[int]]] = []
+    lists: list[tuple[bool, list[int], int]] = []
     pre = 0
-    todo: list[tuple[bool, Node | str]] = [(True, tree(page or ""))]
+    root = tree(page or "")
+    rules: dict[tuple[str, str, str], bool] = {}
+    if page and "<style" in page.lower():
+        _sheets(root, rules)
+    todo: list[tuple[bool, Node | str, bool]] = [(True, root, False)]
     while todo:
-        enter, node = todo.pop()
+        enter, node, own = todo.pop()
         if isinstance(node, str):
             flows[-1].text(node, pre > 0)
             continue
         tag = node.tag
         spaced = tag in SPACED and not (tag in LISTS and len(lists) > (0 if enter else 1))
         if enter:
-            if not visible(node):
+            if not visible(node, rules):
                 continue
-            todo.append((False, node))
-            todo += [(True, c) for c in reversed(node.children)]
+            own = (tag in ("li", "dd", "blockquote", "table", "caption") or tag in CELLS) and len(flows) <= DEPTH
+            todo.append((False, node, own))
+            todo += [(True, c, False) for c in reversed(node.children)]
             if tag == "br":
                 flows[-1].newline()
-            elif tag in BLOCK and tag not in CELLS:
+            elif tag in BLOCK and (tag not in CELLS or not own):
                 flows[-1].block(spaced)
             if tag in ("pre", "xmp", "textarea"):
                 pre += 1
-            if tag == "table":
+            if tag == "table" and own:
                 tables.append([])
             elif tag == "tr" and tables:
                 tables[-1].append([])
             elif tag in SECTIONS and tables:
                 tables[-1].append(None)
             elif tag in LISTS:
-                lists.append((tag == "ol", [_number(node.attributes.get("start", ""), 1, 10**9)]))
-            if tag in ("li", "dd", "blockquote", "table", "caption") or tag in CELLS:
+                down = tag == "ol" and "reversed" in node.attributes
+                first = sum(isinstance(c, Node) and c.tag == "li" for c in node.children) if down else 1
+                lists.append((tag == "ol", [_place(node.attributes.get("start", ""), first)], -1 if down else 1))
+            if own:
                 flows.append(Flow())
             continue
         if tag in ("pre", "xmp", "textarea"):
             pre -= 1
-        if tag in ("li", "dd", "blockquote", "table", "caption") or tag in CELLS:
+        if own:
             lines = flows.pop().done()
             if tag in CELLS and tables:
                 if not tables[-1] or tables[-1][-1] is None:
@@ -313,10 +385,11 @@ def render(page: str | None) -> str:
             else:
                 mark = ""
                 if tag == "li":
-                    ordered, count = lists[-1] if lists else (False, [1])
+                    ordered, count, step = lists[-1] if lists else (False, [1], 1)
+                    count[0] = _place(node.attributes.get("value", ""), count[0])
                     mark = f"{count[0]}. " if ordered else "- "
-                    count[0] += 1
-                elif tag != "caption":
+                    count[0] += step
+                elif tag in ("dd", "blockquote"):
                     mark = "  "
                 flows[-1].block(False)
                 flows[-1].add([(mark if i == 0 else " " * len(mark) if line else "") + line for i, line in enumerate(lines)])
@@ -324,13 +397,18 @@ def render(page: str | None) -> str:
             tables[-1].append(None)
         if tag in LISTS:
             lists.pop()
-        if tag in BLOCK and tag not in CELLS:
+        if tag in BLOCK and (tag not in CELLS or not own):
             flows[-1].block(spaced)
     return "\n".join(flows[0].done())
 
 
 def html_text(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(id_col, text, n_chars, n_lines) of each row's page; a null or empty page gives an empty text, and other columns are ignored."""
+    """(id_col, text, n_chars, n_lines) of each row's page.
+
+    A null or empty page gives an empty text.  Rows that repeat an id are each
+    rendered from their own page, null ids stay, and an empty table gives no
+    rows.  Other columns are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,25 +1,29 @@
 """Personal data: fixed patterns on the text, and the same patterns on a deobfuscated copy whose offsets are kept.
 
-Rewriting is done by transducers that emit characters together with the source
-range each came from: homoglyphs, wide and mathematical forms become ASCII,
-characters without width vanish, bracketed or spaced at and dot words become
-signs, and runs of spelled digits become digits.  Spans found in the copy are
-mapped back by those ranges; one that lies inside a span of its kind is dropped,
-one that goes beyond it is kept beside it.  A sign word before a plain address
-stays a word.
+Rewriting is done by finite-state transducers that emit characters together with
+the source range each came from.  The first has one state and gives every
+look-alike, wide, mathematical or invisible character its ASCII form.  The second
+reads words and turns runs of spelled digits into digits.  The third reads words
+and signs and finds what stands for an at sign or a dot: a word or a sign in
+brackets, or a word between spaces.  A bare word is weak evidence, since prose
+has such words too: a bare "at" counts only before a host with a disguised dot,
+and a bare "dot" only before a common top-level domain or between numbers.
+
+Spans found in the copy are mapped back by those ranges; one that lies inside a
+span of its kind is dropped, one that goes beyond it is kept beside it.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spans import Span, masked, ordered
+from .spans import Span, beyond, masked, ordered
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -28,12 +32,12 @@ IP = re.compile(r"(?<![0-9])([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NOT_DIGITS = re.compile(r"[^0-9]+")
-#: Letters of other scripts that look like an ASCII letter.
-HOMOGLYPHS = {
-    "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "ο": "o", "ν": "v",
-    "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "Ѕ": "S", "І": "I", "Ј": "J",
-    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "ԁ": "d", "ԛ": "q", "ԝ": "w",
-    "ı": "i", "ɡ": "g", "‐": "-", "‑": "-", "‒": "-", "–": "-", "−": "-", "․": ".", "。": ".", " ": " ", " ": " ", " ": " ",
+#: Characters that look like an ASCII one and have no compatibility form of it.
+LOOK_ALIKES = {
+    "A": "ΑАᎪᴀ", "B": "ΒВᏴʙ", "C": "СϹᏟᴄ", "D": "Ꭰᴅ", "E": "ΕЕᎬᴇ", "F": "Ϝ", "G": "Ԍɢ", "H": "ΗНᎻʜ", "I": "ΙІӀ", "J": "ЈᎫᴊ", "K": "ΚКᏦᴋ", "L": "Ꮮʟ", "M": "ΜМᎷᴍ", "N": "Νɴ",
+    "O": "ΟОՕ", "P": "ΡРᏢᴘ", "Q": "Ԛ", "R": "Ꭱʀ", "S": "ЅՏᏚ", "T": "ΤТᎢᴛ", "U": "Սᴜ", "V": "ѴᏙᴠ", "W": "ԜᎳᴡ", "X": "ΧХ", "Y": "ΥҮ", "Z": "ΖᏃᴢ",
+    "a": "аɑα", "b": "Ьƅ", "c": "сϲ", "d": "ԁ", "e": "еҽ", "g": "ɡց", "h": "һհ", "i": "іıɩι", "j": "јϳ", "k": "κ", "l": "ӏǀ", "n": "ոп", "o": "оοօ", "p": "рρ", "q": "ԛգ", "r": "гᴦ", "s": "ѕꜱ", "t": "τ", "u": "υսʋ", "v": "νѵ", "w": "ԝѡա", "x": "хχ", "y": "уγү", "z": "ʐ",
+    "-": "‐‑‒–−", ".": "․。", " ": "\u00a0\u2007\u202f\u2009\u3000",
 }
 #: Characters that show nothing.
 INVISIBLE = frozenset("­​‌‍⁠﻿")
@@ -46,32 +50,29 @@ SPELLED = {
 }
 #: Spelled digits in a row that make a number; a mixed run may hold digits too.
 LEAST_SPELLED = 4
-_WORDS = "|".join(sorted(SPELLED, key=len, reverse=True))
-_SPELL = re.compile(rf"(?<![^\W_])(?:(?:{_WORDS}|[0-9])(?:[\x20,.-]{{1,2}}|$|(?![^\W_]))){{{LEAST_SPELLED},}}", re.IGNORECASE)
-_SPELL_ITEM = re.compile(rf"{_WORDS}|[0-9]", re.IGNORECASE)
-_HAS_SPELLED = re.compile(rf"(?:{_WORDS})[\x20,.-]{{1,2}}(?:{_WORDS}|[0-9])")
-_AT, _DOT = r"at|arroba|chez", r"dot|punto|punkt|point"
-_OPEN, _CLOSE = r"\x20?[\[({<]\x20?", r"\x20?[\])}>]\x20?"
-_NAME = r"[A-Za-z0-9-]+"
-_DOT_SIGN = rf"(?:{_OPEN}(?:{_DOT}|\.){_CLOSE}|\x20(?:{_DOT})\x20|\.)"
-_AT_SIGN = rf"(?:{_OPEN}(?:{_AT}|@){_CLOSE}|\x20(?:{_AT}|@)\x20|@)"
-_DISGUISED = re.compile(rf"(?P<at>{_AT_SIGN})(?P<host>{_NAME}(?:{_DOT_SIGN}{_NAME})+)", re.IGNORECASE)
-_SIGN_AFTER = re.compile(rf"[A-Za-z0-9._%+-]*(?:@|{_OPEN}(?:{_AT}|@){_CLOSE})", re.IGNORECASE)
-_DOTS = re.compile(_DOT_SIGN, re.IGNORECASE)
-_DOT_WORDS = tuple(f" {w} " for w in _DOT.split("|"))
-_HAS_BRACKETS = re.compile(rf"[\[({{<]\x20?(?:{_AT}|@|{_DOT}|\.)\x20?[\])}}>]")
-_HAS_AT = tuple(re.compile(rf"\x20{w}\x20{_NAME}\.[A-Za-z0-9-]") for w in (*_AT.split("|"), "@"))
-_LOCAL_DOT = re.compile(rf"(?<=[A-Za-z0-9]){_DOT_SIGN}(?=[A-Za-z0-9._%+-]+{_AT_SIGN})", re.IGNORECASE)
-
-
+#: Words for the signs in the corpus's languages, and common top-level domains that are no frequent words.
+AT_WORDS, DOT_WORDS = frozenset(("at", "arroba", "chez")), frozenset(("dot", "punto", "punkt", "point"))
+DOMAINS = frozenset("com org net edu gov mil info biz int io dev app ai co uk de fr es nl eu ch ca au jp cn br ru pl se dk fi pt mx ar cl nz za kr gr cz hu ro ie".split())
+#: What the transducers read: a word, or one other character.
+_SYMBOL = re.compile(r"[^\W_]+|[\W_]")
+#: The sign transducer: the next state for each state and class of symbol; states that end in a sign's name are final.
+_SIGNS = {
+    ("", " "): "space", ("", "("): "open", ("space", "("): "open", ("open", " "): "open",
+    ("space", "at"): "word at", ("space", "@"): "word @", ("space", "dot"): "word dot", ("word at", " "): "bare at", ("word @", " "): "spaced at", ("word dot", " "): "bare dot",
+    ("open", "at"): "inside at", ("open", "@"): "inside at", ("open", "dot"): "inside dot", ("open", "."): "inside dot", ("inside at", " "): "inside at", ("inside dot", " "): "inside dot",
+    ("inside at", ")"): "bracketed at", ("inside dot", ")"): "bracketed dot", ("bracketed at", " "): "closed at", ("bracketed dot", " "): "closed dot",
+}
+#: Final states: the sign they emit, and whether a bare word alone stands for it.
+_FINAL = {"bare at": ("@", True), "bare dot": (".", True), "spaced at": ("@", False), "bracketed at": ("@", False), "closed at": ("@", False), "bracketed dot": (".", False), "closed dot": (".", False)}
+_CLASSES = dict.fromkeys("[({<", "(") | dict.fromkeys("])}>", ")") | {" ": " ", "@": "@", ".": "."} | dict.fromkeys(AT_WORDS, "at") | dict.fromkeys(DOT_WORDS, "dot")
+_MAY_SIGN = tuple(f" {w} " for w in sorted(DOT_WORDS))
+_HAS_BRACKETS = re.compile(rf"[\[({{<]\x20?(?:{'|'.join(sorted(AT_WORDS | DOT_WORDS))}|@|\.)\x20?[\])}}>]|[A-Za-z0-9]\x20@\x20[A-Za-z0-9]")
+_HAS_SPELLED = re.compile(rf"(?:{'|'.join(sorted(SPELLED, key=len, reverse=True))})[\x20,.-]{{1,2}}(?:{'|'.join(sorted(SPELLED, key=len, reverse=True))}|[0-9])")
+_LINK = re.compile(r"[A-Za-z0-9._%+-]+")
+_HOST = re.compile(r"[A-Za-z0-9.-]*")
 _HAS_IP = re.compile(r"[0-9]\.[0-9]+\.[0-9]")
 
 
-def _at_or_dot(low: str) -> bool:
-    """Whether a lower-cased text may hold a disguised sign."""
-    return any(w in low for w in _DOT_WORDS) or bool(_HAS_BRACKETS.search(low)) or any(x.search(low) for x in _HAS_AT)
-
-
 def luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -105,23 +106,38 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-def _plain(c: str) -> str:
-    """What one character shows as, in ASCII where it has such a form."""
-    if c in INVISIBLE:
-        return ""
-    if c in HOMOGLYPHS:
-        return HOMOGLYPHS[c]
-    code = ord(c)
-    if 0xFF01 <= code <= 0xFF5E:
-        return chr(code - 0xFEE0)
-    if 0x1D400 <= code <= 0x1D7FF or 0x2460 <= code <= 0x24FF or 0x2070 <= code <= 0x209F:
+def _forms() -> dict[str, str]:
+    """What a character shows as in ASCII: by its compatibility form, its value as a digit, or the table of look-alikes."""
+    out = {}
+    for code in range(0x80, 0x20000):
+        c = chr(code)
         form = unicodedata.normalize("NFKC", c)
-        return form if form.isascii() else c
-    digit = unicodedata.digit(c, None)
-    return c if digit is None else str(digit)
+        digit = unicodedata.digit(c, None)
+        if len(form) == 1 and form.isascii():
+            out[c] = form
+        elif digit is not None:
+            out[c] = str(digit)
+    out |= {c: plain for plain, odd in LOOK_ALIKES.items() for c in odd}
+    return out | dict.fromkeys(INVISIBLE, "")
 
 
-_ODD = re.compile("[" + "".join(map(re.escape, sorted(set(HOMOGLYPHS) | INVISIBLE))) + "٠-٩۰-۹०-९⁰-₟①-⓿！-～\U0001d400-\U0001d7ff]")
+FORMS = _forms()
+
+
+def _class(chars: Iterable[str]) -> re.Pattern[str]:
+    """Any one of some characters, as ranges."""
+    ranges: list[list[int]] = []
+    for code in sorted(map(ord, chars)):
+        if ranges and ranges[-1][1] == code - 1:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    return re.compile("[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in ranges) + "]")
+
+
+#: Characters beyond the first plane make a slow class, so texts without them are searched for the others.
+_FAR = re.compile("[\U00010000-\U0010ffff]")
+_ODD_NEAR, _ODD = _class(c for c in FORMS if c < "\U00010000"), _class(FORMS)
 
 
 class Tape:
@@ -149,30 +165,101 @@ class Tape:
         return span[0], self.start[span[1]], self.end[span[2] - 1]
 
 
+def spelled_digits(text: str) -> list[tuple[int, int, str]]:
+    """Runs of at least LEAST_SPELLED digits, one of them spelled out, as (start, end, digits): the transducer's state is the run so far and the separators after it."""
+    out: list[tuple[int, int, str]] = []
+    start, end, digits, words, gap = 0, 0, "", 0, 0
+
+    def flush() -> None:
+        if words and len(digits) >= LEAST_SPELLED:
+            out.append((start, end, digits))
+
+    for m in _SYMBOL.finditer(text):
+        symbol = m[0]
+        if symbol in " ,.-":
+            gap += 1
+            continue
+        digit = SPELLED.get(symbol.lower()) or (symbol if len(symbol) == 1 and symbol in "0123456789" else None)
+        if digits and (digit is None or not 1 <= gap <= 2):
+            flush()
+            digits, words = "", 0
+        if digit is not None:
+            start, end = (start if digits else m.start()), m.end()
+            digits, words = digits + digit, words + (symbol not in "0123456789")
+        gap = 0
+    flush()
+    return out
+
+
+def disguised_signs(text: str) -> list[tuple[int, int, str, bool]]:
+    """(start, end, sign, bare) of what the sign transducer emits: from each symbol the longest way to a final state, else on from the next."""
+    symbols = [(m.start(), m.end(), _CLASSES.get(m[0].lower(), "")) for m in _SYMBOL.finditer(text)]
+    out, i = [], 0
+    while i < len(symbols):
+        state, j, last = "", i, None
+        while j < len(symbols) and j - i < 9 and (state := _SIGNS.get((state, symbols[j][2]))):
+            j += 1
+            if state in _FINAL:
+                last = (j, state)
+        if last:
+            out.append((symbols[i][0], symbols[last[0] - 1][1], *_FINAL[last[1]]))
+            i = last[0] - (text[symbols[last[0] - 1][0]] == " ")  # a space may end one sign and begin the next
+        else:
+            i += 1
+    return out
+
+
+def _accepted(text: str, signs: list[tuple[int, int, str, bool]]) -> list[tuple[int, int, str]]:
+    """Which signs are to be rewritten: chains of names with signs between them that make an address or a number."""
+    chains: list[list[tuple[int, int, str, bool]]] = []
+    for sign in signs:
+        before = _LINK.fullmatch(text, chains[-1][-1][1], sign[0]) if chains else None
+        if before is None or sign[0] < chains[-1][-1][1]:
+            chains.append([])
+        chains[-1].append(sign)
+    out: list[tuple[int, int, str]] = []
+    for chain in chains:
+        tail = _LINK.match(text, chain[-1][1])
+        plain = tail is not None and text.startswith("@", tail.end())
+        names = [text[a[1] : b[0]] for a, b in zip(chain, chain[1:])] + [_HOST.match(text, chain[-1][1])[0]]  # noqa: B905
+        tops = [name.strip(".-").rpartition(".")[2].lower() for name in names]
+        ats = [i for i, x in enumerate(chain) if x[2] == "@"]
+        begin = 0
+        for at, stop in zip([-1, *ats], [*ats, len(chain)], strict=True):
+            # the host ends after the last name whose domain is plausible: any of letters after a bracketed dot, a common one after a bare word
+            last = max((i + 1 for i in range(at + 1, stop) if (tops[i] in DOMAINS if chain[i][3] else len(tops[i]) >= 2 and tops[i].isalpha())), default=at + 1)
+            host = [x[:3] for x in chain[at + 1 : last]]
+            bare = at >= 0 and chain[at][3]
+            if at < 0:
+                if not ats and all(re.fullmatch(r"[0-9.]+", n.strip(".")) for n in names):
+                    out += [x[:3] for x in chain]
+                elif not ats:
+                    out += [x[:3] for x in chain if not x[3] or x[:3] in host]
+                continue
+            if bare and (plain if stop == len(chain) else not chain[stop][3]):  # a word before a plainer at sign
+                begin = at + 1
+                continue
+            own = "." in names[at].strip(".") and len(tops[at]) >= 2 and tops[at].isalpha()
+            if host or own and not bare:
+                out += [x[:3] for x in chain[begin : at + 1]] + host
+                begin = last
+            else:
+                begin = at + 1
+        if ats and plain:
+            out += [x[:3] for x in chain[begin:] if not x[3]]
+    return sorted(set(out))
+
+
 def deobfuscated(text: str) -> Tape | None:
     """The rewritten text, None where nothing is to be rewritten."""
     tape = None
-    if not text.isascii() and _ODD.search(text):
-        tape = Tape(text).rewritten([(m.start(), m.end(), _plain(m[0])) for m in _ODD.finditer(text)])
-    if _HAS_SPELLED.search((text if tape is None else tape.text).lower()):
-        tape = tape or Tape(text)
-        edits = []
-        for m in _SPELL.finditer(tape.text):
-            end = len(m[0].rstrip(" ,.-"))
-            found = list(_SPELL_ITEM.finditer(m[0], 0, end))
-            if any(not x[0].isdigit() for x in found):
-                edits.append((m.start(), m.start() + end, "".join(SPELLED.get(x[0].lower(), x[0]) for x in found)))
-        tape = tape.rewritten(edits)
-    if _at_or_dot((text if tape is None else tape.text).lower()):
-        tape = tape or Tape(text)
-        edits = []
-        for m in _DISGUISED.finditer(tape.text):
-            if m["at"].strip(" ").isalpha() and _SIGN_AFTER.match(tape.text, m.end()):
-                continue
-            edits.append((m.start("at"), m.end("at"), "@"))
-            edits += [(d.start(), d.end(), ".") for d in _DOTS.finditer(tape.text, m.start("host"), m.end("host"))]
-        tape = tape.rewritten(edits)
-        tape = tape.rewritten([(m.start(), m.end(), ".") for m in _LOCAL_DOT.finditer(tape.text)])
+    odd = None if text.isascii() else _ODD if _FAR.search(text) else _ODD_NEAR
+    if odd and odd.search(text):
+        tape = Tape(text).rewritten([(m.start(), m.end(), FORMS[m[0]]) for m in odd.finditer(text)])
+    for may, edits in ((lambda low: _HAS_SPELLED.search(low), spelled_digits), (lambda low: any(w in low for w in _MAY_SIGN) or _HAS_BRACKETS.search(low), lambda t: _accepted(t, disguised_signs(t)))):
+        now = text if tape is None else tape.text
+        if may(now.lower()) and (found := edits(now)):
+            tape = (tape or Tape(text)).rewritten(found)
     return tape
 
 
@@ -187,11 +274,7 @@ def scan_text(text: str) -> tuple[list[Span], list[Span]]:
         _, a, b = tape.source(("phone", m.start(), m.end()))
         if b - a > 2 * (m.end() - m.start()) and 10 <= len(NOT_DIGITS.sub("", m[0])) <= 15:
             more.append(("phone", a, b))
-    kept: list[Span] = []
-    for kind, a, b in sorted(set(more), key=lambda s: (s[1], -s[2])):
-        if not any(k == kind and start <= a and b <= end for k, start, end in (*found, *kept)):
-            kept.append((kind, a, b))
-    return found, ordered(kept, KINDS)
+    return found, ordered(beyond(more, found), KINDS)
 
 
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -208,7 +291,8 @@ def pii_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     """Personal data of each row of docs: id_col, base and extra spans as arrays of (kind, start, end) in code points.
 
     A null text counts as empty; rows with the same id are scanned each by its
-    own text; texts are scanned whole.  Other columns are ignored.
+    own text; texts are scanned whole.  Null ids stay; an empty table finds
+    nothing.  Other columns are ignored.
     """
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     spans = "array<struct<kind:string,start:bigint,end:bigint>>"

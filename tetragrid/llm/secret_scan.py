@@ -14,9 +14,13 @@ are one token with the least p value, corrected for how many were tested.
 
 What passes may still be text.  Its p value under a text model is bounded by
 the likelihood ratio of the model to the uniform distribution (Markov's
-inequality), so it falls with the token's length.  The p values of the whole
-corpus are counted in a fixed grid of length bands and log p buckets, and the
-Benjamini-Hochberg step-up rule gives each band its own cut.
+inequality), so it falls with the token's length; a token that the battery
+rejects has the p value 1.  A text model steps between classes of characters by
+fixed chances; from letter to letter one goes by fixed shares and another as the
+corpus's own words do, whose pairs are counted first, and the larger bound of the
+two holds.  The p values of all tokens that were tested are counted
+in a fixed grid of length bands and log p buckets, and the Benjamini-Hochberg
+step-up rule gives each band its own cut.
 """
 
 from __future__ import annotations
@@ -25,10 +29,12 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textkernel as K
 from .spans import Span, apart, masked, ordered
 from .workspace import Workspace
 
@@ -58,10 +64,14 @@ FALSE_DISCOVERIES = 0.01
 BANDS = (23, 31, 39, 47, 63, 127)
 #: Buckets of one unit of -ln p; the last one is open.
 BUCKETS = 200
-#: Text model: share of each class of characters, and the chance that the next character stays in its class.
-TEXT_CLASSES = (("abcdefghijklmnopqrstuvwxyz", 0.80), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 0.08), ("0123456789", 0.06), ("+/_-", 0.06))
-TEXT_STAYS = 0.85
-_CLASS = {c: (i, share, len(chars)) for i, (chars, share) in enumerate(TEXT_CLASSES) for c in chars}
+#: Text model: the characters of each class, and the chance of the next character's class after one of each class and at the start.
+TEXT_CLASSES = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "+/_-")
+CLASS_STEPS = ((0.80, 0.08, 0.04, 0.08), (0.40, 0.42, 0.06, 0.12), (0.14, 0.16, 0.60, 0.10), (0.50, 0.30, 0.18, 0.02), (0.50, 0.30, 0.18, 0.02))
+#: Shares of the letters a to z in English text, in thousandths.
+LETTER_SHARES = (82, 15, 28, 43, 127, 22, 20, 61, 70, 1.5, 7.7, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 9.8, 24, 1.5, 20, 0.7)
+#: How many counted letters the fixed shares weigh as much as.
+PRIOR_LETTERS = 300.0
+LETTERS = 26
 
 
 def base_spans(text: str) -> list[Span]:
@@ -112,18 +122,34 @@ def battery(symbols: list[int], base: int) -> tuple[float, float, float]:
     return uniform, run_p, _two_sided((serial + 1 / n) * math.sqrt(n))
 
 
-def text_log_p(token: str, base: int) -> float:
-    """ln of a bound on the chance that the text model makes a token as likely under uniformity as this one."""
-    out, last = 0.0, None
-    for c in token:
-        kind, share, size = _CLASS[c]
-        chance = share if last is None else TEXT_STAYS + (1 - TEXT_STAYS) * share if kind == last else (1 - TEXT_STAYS) * share
-        out += math.log(chance / size) + math.log(base)
-        last = kind
-    return min(0.0, out)
+def _steps(pairs: np.ndarray) -> dict[tuple[str, str], float]:
+    """ln of the chance of a character after another one or at the start, from counts of letter pairs (LETTERS + 1, LETTERS); the last row is of letters after no letter."""
+    shares = np.array(LETTER_SHARES) / sum(LETTER_SHARES)
+    after = (pairs + PRIOR_LETTERS * shares) / (pairs.sum(1, keepdims=True) + PRIOR_LETTERS)
+    place = {c: (i, j) for i, chars in enumerate(TEXT_CLASSES) for j, c in enumerate(chars)}
+    out: dict[tuple[str, str], float] = {}
+    for last in ("", *place):
+        kind, letter = place.get(last, (len(TEXT_CLASSES), LETTERS))
+        letter = letter if kind < 2 else LETTERS
+        for c, (own, nth) in place.items():
+            out[last, c] = math.log(CLASS_STEPS[kind][own] * (after[letter, nth] if own < 2 else 1 / len(TEXT_CLASSES[own])))
+    return out
 
 
-def random_token(token: str) -> tuple[str, float] | None:
+class TextModel:
+    """Two models of text: with the letter pairs of the corpus, and with fixed shares of letters for names that are not made of its words."""
+
+    def __init__(self, pairs: np.ndarray | None = None):
+        none = np.zeros((LETTERS + 1, LETTERS))
+        self.models = [_steps(none)] + ([] if pairs is None else [_steps(pairs)])
+
+    def log_p(self, token: str, base: int) -> float:
+        """ln of a bound on the chance that a text of either model is as likely under uniformity as this token."""
+        steps = list(zip(("", *token), token))  # noqa: B905
+        return min(0.0, max(sum(map(m.__getitem__, steps)) for m in self.models) + len(token) * math.log(base))
+
+
+def random_token(token: str, model: TextModel) -> tuple[str, float] | None:
     """The encoding and the text model's ln p of a token that passes the battery; a token of digits alone is a number."""
     token = token.rstrip("=")
     own = set(token)
@@ -134,14 +160,14 @@ def random_token(token: str) -> tuple[str, float] | None:
             place = {c: i for i, c in enumerate(alphabet)}
             if 3 * min(battery([place[c] for c in token], len(alphabet))) < REJECT:
                 return None
-            return name, text_log_p(token, len(alphabet))
+            return name, model.log_p(token, len(alphabet))
     return None
 
 
-def random_parts(run: str) -> list[tuple[int, int, int, float]]:
+def random_parts(run: str, model: TextModel) -> list[tuple[int, int, int, float]]:
     """Start, end, tested length and ln p of what is random in a run: of its readings that overlap, the range of all that a cut may accept."""
     places = {(0, len(run))} | {m.span() for part in PARTS for m in part.finditer(run)}
-    readings = [(seen[1], a - b, a, b) for a, b in places if (seen := random_token(run[a:b]))]
+    readings = [(seen[1], a - b, a, b) for a, b in places if (seen := random_token(run[a:b], model))]
     out: list[tuple[int, int, int, float]] = []
     for p, _, a, b in sorted(readings):
         near = [t for t in out if t[0] < b and a < t[1]]
@@ -157,27 +183,72 @@ def band(length: int) -> int:
     return sum(length > top for top in BANDS)
 
 
-def scan_text(text: str) -> tuple[list[Span], list[tuple[int, int, int, int]]]:
-    """The base spans, and of the other tokens that pass the battery start, end, band and bucket of -ln p."""
+def scan_text(text: str, model: TextModel) -> tuple[list[Span], list[tuple[int, int, int, int]], list[int]]:
+    """The base spans, of the other tokens that pass the battery start, end, band and bucket of -ln p, and the bands of all that were tested."""
     found = ordered(base_spans(text), KINDS)
-    tokens = {}
-    for m in TOKEN.finditer(text):
-        for a, b, size, p in random_parts(m[0]):
+    runs = {("random", *m.span()): m for m in TOKEN.finditer(text)}
+    tokens, tested = {}, []
+    for m in runs.values():
+        bands = {band(m.end() - m.start())}
+        for a, b, size, p in random_parts(m[0], model):
             a, b = m.start() + a, m.start() + b
             tokens["random", a, b] = (a, b, band(size), min(BUCKETS - 1, int(-p)))
-    return found, [tokens[s] for s in apart(tokens, found)]
+            bands.add(band(size))
+        tested += bands
+    return found, [tokens[s] for s in apart(tokens, found)], tested
+
 
+def _scan(model: TextModel):
+    """(id, base spans, of the other random tokens start, end, band and -ln p bucket, and how many tokens of each band were tested)."""
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, base spans, and of the other random tokens start, end, band and -ln p bucket)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            base, extra, tested = [], [], []
+            for cell in batch.column(1):
+                found, tokens, bands = scan_text(cell.as_py() or "", model)
+                extra.append([{"start": a, "end": b, "band": d, "bucket": u} for a, b, d, u in tokens])
+                base.append([{"kind": k, "start": a, "end": b} for k, a, b in found])
+                tested.append([bands.count(d) for d in range(len(BANDS) + 1)] if bands else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, _BASE), pa.array(extra, _EXTRA), pa.array(tested, pa.list_(pa.int64()))], ["id", "base", "extra", "tested"])
+
+    return run
+
+
+_CODE = np.full(256, LETTERS, np.uint8)
+_CODE[65:91] = _CODE[97:123] = np.arange(LETTERS)
+_SIGN = np.zeros(256, bool)
+_SIGN[list(b"".join(c.encode() for c in TEXT_CLASSES))] = True
+_SIGN[list(b"=")] = True
+
+
+def letter_pairs(data: np.ndarray) -> np.ndarray:
+    """Counts of letters, their case ignored, after each letter or after none, in what is too short for a token."""
+    cuts = np.flatnonzero(np.diff(_SIGN[data], prepend=False, append=False))
+    long = np.zeros(len(data) + 1, np.int8)
+    for a, b in zip(cuts[::2][(cuts[1::2] - cuts[::2]) >= 20], cuts[1::2][(cuts[1::2] - cuts[::2]) >= 20], strict=True):
+        long[a] += 1
+        long[b] -= 1
+    code = _CODE[data].astype(np.int64)
+    code[np.cumsum(long[:-1]) > 0] = LETTERS
+    pairs = np.append(LETTERS, code[:-1]) * (LETTERS + 1) + code
+    return np.bincount(pairs, minlength=(LETTERS + 1) ** 2).reshape(LETTERS + 1, LETTERS + 1)[:, :LETTERS]
+
+
+def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros((LETTERS + 1, LETTERS), np.int64)
     for batch in batches:
-        base, extra = [], []
-        for cell in batch.column(1):
-            text = cell.as_py() or ""
-            found, tokens = scan_text(text)
-            extra.append([{"start": a, "end": b, "band": d, "bucket": u} for a, b, d, u in tokens])
-            base.append([{"kind": k, "start": a, "end": b} for k, a, b in found])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, _BASE), pa.array(extra, _EXTRA)], ["id", "base", "extra"])
+        data, offsets = K.utf8(batch.column(0))
+        for a, b in K.slices(offsets):
+            total += letter_pairs(data[offsets[a] : offsets[b]])
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["pair", "n"])
+
+
+def text_model(docs: DataFrame, text_col: str = "text") -> TextModel:
+    """The model of docs' own words; what is summed and sent to the driver is one row for each pair of letters."""
+    counts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_count_pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
+    pairs = np.zeros((LETTERS + 1) * LETTERS)
+    pairs[[r.pair for r in counts]] = [r.n for r in counts]
+    return TextModel(pairs.reshape(LETTERS + 1, LETTERS))
 
 
 _BASE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -197,22 +268,19 @@ def discovery_cuts(counts: dict[tuple[int, int], int], tested: dict[int, int], r
     return cuts
 
 
-def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _found(docs: DataFrame, id_col: str, text_col: str, model: TextModel) -> DataFrame:
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     base = "base array<struct<kind:string,start:bigint,end:bigint>>"
     extra = "extra array<struct<start:bigint,end:bigint,band:int,bucket:int>>"
-    found = docs.mapInArrow(_scan, f"id {docs.schema['id'].dataType.simpleString()}, {base}, {extra}")
+    found = docs.mapInArrow(_scan(model), f"id {docs.schema['id'].dataType.simpleString()}, {base}, {extra}, tested array<bigint>")
     return Workspace(docs.sparkSession, "secret-scan").save(found, "found")
 
 
 def _cuts(found: DataFrame, rate: float) -> list[int]:
     """The cut of each length band, from a grid of counts whose size is fixed."""
     grid = found.select(F.explode("extra").alias("t")).groupBy("t.band", "t.bucket").count().collect()
-    counts = {(r.band, r.bucket): r["count"] for r in grid}
-    tested: dict[int, int] = {}
-    for (b, _), n in counts.items():
-        tested[b] = tested.get(b, 0) + n
-    cuts = discovery_cuts(counts, tested, rate)
+    sums = found.agg(*(F.sum(F.col("tested")[b]).alias(str(b)) for b in range(len(BANDS) + 1))).first()
+    cuts = discovery_cuts({(r.band, r.bucket): r["count"] for r in grid}, {b: n for b, n in enumerate(sums) if n}, rate)
     return [cuts.get(b, BUCKETS) for b in range(len(BANDS) + 1)]
 
 
@@ -220,9 +288,10 @@ def secret_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """Secrets of each row of docs: id_col, base and extra spans as arrays of (kind, start, end) in code points.
 
     A null text counts as empty; rows with the same id are scanned each by its
-    own text; texts are scanned whole.  Other columns are ignored.
+    own text; texts are scanned whole.  Null ids stay; an empty table finds
+    nothing.  Other columns are ignored.
     """
-    found = _found(docs, id_col, text_col)
+    found = _found(docs, id_col, text_col, text_model(docs, text_col))
     cut = F.array(*map(F.lit, _cuts(found, rate)))
     kept = F.filter("extra", lambda t: t["bucket"] >= F.element_at(cut, t["band"] + 1))
     extra = F.transform(kept, lambda t: F.struct(F.lit("random").alias("kind"), t["start"].alias("start"), t["end"].alias("end")))
@@ -231,13 +300,14 @@ def secret_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 def mask_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rate: float = FALSE_DISCOVERIES, mark: str = "[SECRET]") -> DataFrame:
     """docs with every secret that secret_scan finds in the text replaced by mark; all columns stay, a null text stays null."""
-    cuts = _cuts(_found(docs, id_col, text_col), rate)
+    model = text_model(docs, text_col)
+    cuts = _cuts(_found(docs, id_col, text_col, model), rate)
     position = docs.columns.index(text_col)
 
     def clean(text: str | None) -> str | None:
         if text is None:
             return None
-        found, tokens = scan_text(text)
+        found, tokens, _ = scan_text(text, model)
         return masked(text, found + [("random", a, b) for a, b, d, u in tokens if u >= cuts[d]], mark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterable, Sequence
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,12 +30,27 @@ def apart(found: Iterable[Span], taken: Iterable[Span]) -> list[Span]:
     """Those of found, by start, that overlap neither one of taken nor an earlier one kept."""
     out: list[Span] = []
     busy = sorted((a, b) for _, a, b in taken)
+    starts, ends = [a for a, _ in busy], list(accumulate((b for _, b in busy), max))
     for span in sorted(found, key=lambda s: (s[1], -s[2])):
-        if all(span[2] <= a or b <= span[1] for a, b in busy) and (not out or out[-1][2] <= span[1]):
+        before = bisect_left(starts, span[2])  # of these the latest end decides
+        if (not before or ends[before - 1] <= span[1]) and (not out or out[-1][2] <= span[1]):
             out.append(span)
     return out
 
 
+def beyond(found: Iterable[Span], taken: Iterable[Span]) -> list[Span]:
+    """Those of found, by start, that lie inside no other one of their kind, neither of taken nor of found."""
+    reach: dict[str, int] = {}
+    out: list[Span] = []
+    rows = [(a, -b, 0, kind) for kind, a, b in taken] + [(a, -b, 1, kind) for kind, a, b in set(found)]
+    for a, end, new, kind in sorted(rows):
+        if -end > reach.get(kind, -1):
+            reach[kind] = -end
+            if new:
+                out.append((kind, a, -end))
+    return out
+
+
 def masked(text: str, spans: Iterable[Span], mark: str) -> str:
     """The text with each span replaced; overlapping spans are replaced as one."""
     parts, at = [], 0
