@@ -1,19 +1,22 @@
 """Chaos-game counts: a cell's count is how often its k bases end a prefix of the sequence.
 
-The counts are windows over a padded string.  Only sequences with a run long
-enough to carry in float64 are walked base by base, where they are read.
+The counts are windows over a padded string, taken where the sequences are read;
+only (id, cell, count) is shuffled.  Only sequences with a run long enough to
+carry in float64 are walked base by base.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.bases import carry_pattern, clean, digits, padding, require_power_of_two, row_major
+from ..functions.bases import carry_pattern, clean, padding, require_power_of_two, row_major
 
 
 def walk_cells(bases: str, k: int) -> Counter:
@@ -30,36 +33,83 @@ def named_cells(found: Counter, k: int) -> Counter:
     return Counter({"".join(str(2 * (i >> j & 1) + (j2 >> j & 1)) for j in range(k - 1, -1, -1)): n for (i, j2), n in found.items()})
 
 
-def _walk(k: int):
+#: Bases whose windows are counted at once.
+STRETCH = 1 << 22
+_DIGIT = np.zeros(256, np.int64)
+_DIGIT[list(b"ATCG")] = range(4)
+
+
+def window_cells(bases: str, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cells, as numbers of k base-4 digits, and their counts; a long sequence is taken in stretches that overlap by k - 1 bases."""
+    codes = _DIGIT[np.frombuffer((padding(k) + bases).encode(), np.uint8)]
+    cells, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for at in range(0, len(bases), STRETCH):
+        own = codes[at : at + STRETCH + k - 1]
+        size = len(own) - k + 1
+        value = np.zeros(size, np.int64)
+        for back in range(k):
+            value += own[k - 1 - back : k - 1 - back + size] << 2 * (k - 1 - back)
+        more, n = np.unique(value, return_counts=True)
+        cells, place = np.unique(np.concatenate([cells, more]), return_inverse=True)
+        counts = np.bincount(place, np.concatenate([counts, n]), len(cells)).astype(np.int64)
+    return cells, counts
+
+
+def _names(cells: np.ndarray, k: int) -> pa.Array:
+    """The digits of each cell as text."""
+    places = 2 * np.arange(k - 1, -1, -1)
+    text = ((cells[:, None] >> places & 3) + ord("0")).astype(np.uint8)
+    return pa.StringArray.from_buffers(len(cells), pa.py_buffer((np.arange(len(cells) + 1) * k).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(text)))
+
+
+def _count(k: int):
+    """Rows (id, n, z, cnt) of the cells of each sequence (id, bases)."""
+    carries = re.compile(carry_pattern(k))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in range(len(batch)):
-                bases = batch.column(1)[row].as_py()
-                cells = walk_cells(bases, k)
-                ids = batch.column(0).take(pa.array([row] * len(cells), pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids, pa.array([len(bases)] * len(cells), pa.int64()), pa.array(list(cells), pa.string()), pa.array(list(cells.values()), pa.int64())], ["id", "n", "z", "cnt"])
+            rows, lengths, names, counts, held = [], [], [], [], 0
+            for row, cell in enumerate(batch.column(1)):
+                bases = cell.as_py()
+                if not bases:
+                    continue
+                if carries.search(bases):
+                    found = walk_cells(bases, k)
+                    names.append(pa.array(list(found), pa.string()))
+                    counts.append(np.fromiter(found.values(), np.int64))
+                else:
+                    cells, own = window_cells(bases, k)
+                    names.append(_names(cells, k))
+                    counts.append(own)
+                rows.append(row)
+                lengths.append(len(bases))
+                held += len(counts[-1])
+                if held >= 1 << 20:
+                    yield _cells_of(batch.column(0), rows, lengths, names, counts)
+                    rows, lengths, names, counts, held = [], [], [], [], 0
+            if rows:
+                yield _cells_of(batch.column(0), rows, lengths, names, counts)
 
     return run
 
 
-def cleaned(seqs: DataFrame, id_col: str, seq_col: str) -> DataFrame:
-    """(id, b, n), dealt by id: everything per sequence that follows needs no further shuffle."""
-    return seqs.select(F.col(id_col).alias("id"), clean(F.col(seq_col)).alias("b")).repartition("id").withColumn("n", F.length("b").cast("long"))
+def _cells_of(ids: pa.Array, rows: list[int], lengths: list[int], names: list[pa.Array], counts: list[np.ndarray]) -> pa.RecordBatch:
+    size = list(map(len, counts))
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(np.repeat(rows, size))), pa.array(np.repeat(np.array(lengths, np.int64), size)), pa.concat_arrays(names), pa.array(np.concatenate(counts))], ["id", "n", "z", "cnt"])
 
 
 def fcgr_counts(seqs: DataFrame, k: int, *, id_col: str = "doc_id", seq_col: str = "text") -> DataFrame:
-    """(id, n, z, cnt): bases of the sequence, a cell's digits and its count; empty cells and sequences have no rows."""
+    """(id, n, z, cnt), dealt by id: bases of the sequence, a cell's digits and its count; empty cells and sequences have no rows.
+
+    A null sequence is empty.  Rows that repeat an id and have as many bases are
+    counted together.
+    """
     if not 1 <= k <= 26:
         raise ValueError(f"k must be 1 to 26, not {k}")
-    rows = cleaned(seqs, id_col, seq_col)
-    long_run = F.col("b").rlike(carry_pattern(k))
-    text = F.concat(F.lit(padding(k)), F.col("b")).cast("binary")
-    at = rows.where(~long_run & (F.col("n") > 0)).select("id", "n", text.alias("text"), F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("at"))
-    closed = at.groupBy("id", "n", F.substring("text", F.col("at"), F.lit(k)).alias("w")).agg(F.count("*").alias("cnt"))
-    closed = closed.select("id", "n", digits(F.col("w").cast("string")).alias("z"), "cnt")
+    rows = seqs.select(F.col(id_col).alias("id"), clean(F.col(seq_col)).alias("b"))
     kind = seqs.schema[id_col].dataType.simpleString()
-    walked = rows.where(long_run).select("id", "b").mapInArrow(_walk(k), f"id {kind}, n long, z string, cnt long")
-    return closed.unionByName(walked)
+    cells = rows.mapInArrow(_count(k), f"id {kind}, n long, z string, cnt long")
+    return cells.repartition("id").groupBy("id", "n", "z").agg(F.sum("cnt").alias("cnt"))
 
 
 def pooled(counts: DataFrame, k: int) -> DataFrame:

@@ -22,7 +22,7 @@ MAX_DEPTH, COMBINED_DEPTH, SPLIT_THRESHOLD, MIN_COUNT = 6, 4, 0.05, 8
 def qt_leaves(counts: DataFrame, max_depth: int = MAX_DEPTH, split_threshold: float = SPLIT_THRESHOLD, min_count: int = MIN_COUNT, *, normalize: bool = True) -> DataFrame:
     """(id, depth, node, value) of counts at max_depth; value is what each of the leaf's slots holds.  Empty leaves have no rows."""
     crit = critical_value(split_threshold)
-    at = counts.repartition("id").select("id", "n", "z", "cnt", F.explode(F.sequence(F.lit(0), F.lit(max(max_depth - 1, 0)))).alias("d"))
+    at = counts.select("id", "n", "z", "cnt", F.explode(F.sequence(F.lit(0), F.lit(max(max_depth - 1, 0)))).alias("d"))
     at = at.withColumn("node", F.expr("substring(z, 1, d)")).withColumn("child", F.expr("substring(z, 1, d + 1)"))
     at = at.withColumn("c", F.sum("cnt").over(Window.partitionBy("id", "d", "node", "child")))
     node = Window.partitionBy("id", "d", "node")
