@@ -8,7 +8,7 @@ suffix filter thins them again once the sets are at hand, and each pair that is
 left is verified once, by its exact overlap.
 
 Rarity is counted, not estimated, at the cost of some bytes for each n-gram: a
-task sends sorted fingerprints of the n-grams of about a megabyte of them at
+task sends sorted fingerprints of the n-grams of half a million of them at
 once, as compressed differences, to the counters of their ranges; these answer
 with a byte for each, which the task finds by the place of its first row when it
 reads the same rows again.  A fingerprint has ten bits more than the number of
@@ -50,7 +50,7 @@ from .places import Facts, place, placed, places
 from .workspace import Workspace
 
 #: N-grams whose fingerprints are sent together, and that one range of them has on the average.
-PIECE_GRAMS, RANGE_GRAMS = 1 << 20, 1 << 22
+PIECE_GRAMS, RANGE_GRAMS = 1 << 19, 1 << 21
 #: Bits of a fingerprint beyond those of the number of n-grams.
 SPARE_BITS = 10
 #: A prefix n-gram that has more nodes than this is handled in several parts.
@@ -168,13 +168,15 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def answers(part: int, rows: list[tuple[int, int, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         prints = np.concatenate([x[2] for x in rows])
-        own = np.concatenate([x[3] for x in rows]).astype(np.int64)
+        own = np.concatenate([x[3] for x in rows])
+        cuts = np.cumsum([0] + [len(x[2]) for x in rows])
+        rows = [x[:2] for x in rows]
         order = np.argsort(prints, kind="stable")
-        new = np.append(True, np.diff(prints[order]) != 0)
-        sums = np.add.reduceat(own[order], np.flatnonzero(new))
+        prints = prints[order]
+        new = np.append(True, prints[1:] != prints[:-1])
+        sums = np.add.reduceat(own[order], np.flatnonzero(new), dtype=np.int64)
         levels = np.empty(len(prints), np.uint8)
         levels[order] = level(sums)[np.cumsum(new) - 1]
-        cuts = np.cumsum([0] + [len(x[2]) for x in rows])
         packed = [_packed(levels[a:b]) for a, b in zip(cuts, cuts[1:])]  # noqa: B905
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.int64()), pa.array([part] * len(rows), pa.int32()), pa.array(packed, pa.binary())], ["file", "row", "part", "levels"])
 

@@ -2,7 +2,7 @@
 
 The model file is read once by the driver; what is broadcast is the double array
 and the scores, bounded by the vocabulary.  Encoding and decoding work on slices
-of about a megabyte, so memory does not grow with a batch.
+of a quarter of a megabyte, so memory does not grow with a batch.
 """
 
 from __future__ import annotations

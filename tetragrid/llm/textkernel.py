@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SEPARATORS = b"\x20\x09\x0a\x0b\x0c\x0d"
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
