@@ -453,3 +453,19 @@ def test_empty_tables(spark):
     model = load_model(spark)
     for out in (source_mix.mix_sources(none), source_mix.mixed(none), chat_format.format_chats(chats), secret_scan.secret_scan(none), ngram_jaccard_join(none), one_of_each(none), html_text(pages), warc.archive_pages(pages), quality_rules(none, labels), pii_scan.pii_scan(none), encode_pieces(none, model), *media.media_columns(none)):
         assert out.collect() == []
+
+
+def test_null_and_repeated_ids(spark):
+    long = " ".join(f"long{i}" for i in range(20000))
+    rows = [(None, texts()[0]), (None, texts()[1]), (5, texts()[0]), (5, texts()[0]), (5, None), (5, texts()[2]), (7, long)]
+    table = spark.createDataFrame([(i, t, "en", None, 1, "n", 1, 2, 3) for i, t in rows], SCHEMA)
+    classes = sorted(((r.doc_id, r.component_id) for r in ngram_jaccard_join(table).collect()), key=str)
+    assert classes == sorted([(None, 5), (None, None), (5, 5), (5, 5), (5, 5), (5, 5), (7, 7)], key=str)
+    assert sorted(((r.doc_id, r.text) for r in one_of_each(table).collect()), key=str) == sorted([(5, texts()[0]), (None, texts()[1]), (5, None), (5, texts()[2]), (7, long)], key=str)
+    model = load_model(spark)
+    ids = sorted((r[0] for r in rows), key=str)
+    for out in (source_mix.mix_sources(table), secret_scan.secret_scan(table), secret_scan.mask_secrets(table), pii_scan.pii_scan(table), quality_rules(table, None), encode_pieces(table, model), media.media_columns(table)[1]):
+        assert sorted((r.doc_id for r in out.select("doc_id").collect()), key=str) == ids
+    pages = table.withColumnRenamed("doc_id", "page_id").withColumnRenamed("text", "html").withColumnRenamed("lang", "url")
+    for out in (html_text(pages), warc.archive_pages(pages)):
+        assert sorted((r.page_id for r in out.select("page_id").collect()), key=str) == ids
