@@ -99,7 +99,7 @@ def test_stream_of_chunks_ends_at_the_whole_sequences_point(spark, tmp_path):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:

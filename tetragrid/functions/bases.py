@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 MANTISSA_BITS = 53
 
@@ -49,6 +51,12 @@ def chi_square_tail(x: float) -> float:
     return math.erfc(math.sqrt(x / 2)) + math.sqrt(2 * x / math.pi) * math.exp(-x / 2)
 
 
+@F.pandas_udf(DoubleType())
+def chi_square_p(statistic: pd.Series) -> pd.Series:
+    """The tail as a column, to be shown; splits compare the statistic with a literal instead."""
+    return statistic.map(chi_square_tail, na_action="ignore")
+
+
 def critical_value(p: float) -> float:
     """The statistic above which the tail is below p: a literal of the plan."""
     if p <= 0:

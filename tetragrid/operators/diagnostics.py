@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -11,12 +11,53 @@ def premature_leaves(leaves: DataFrame, max_depth: int) -> DataFrame:
     return leaves.agg(F.avg((F.col("depth") < max_depth).cast("double")).alias("premature"))
 
 
+def _by_class(features: DataFrame, labels: DataFrame, *sums: Column) -> DataFrame:
+    """(label, idx, rows, total, classes) and sums over the slots there are; rows is a class's size, total that of all, and classes their number."""
+    every = Window.partitionBy()  # one row for each class
+    sizes = labels.where("label is not null").groupBy("label").agg(F.count("*").alias("rows"))
+    sizes = sizes.withColumn("total", F.sum("rows").over(every)).withColumn("classes", F.count("*").over(every))
+    return features.join(labels, "id").groupBy("label", "idx").agg(*sums).join(sizes, "label")
+
+
 def class_means(features: DataFrame, labels: DataFrame) -> DataFrame:
     """(label, idx, mean, variance) with absent slots as zeros, which class sizes account for."""
-    sizes = labels.groupBy("label").agg(F.count("*").alias("rows"))
-    sums = features.join(labels, "id").groupBy("label", "idx").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("ss"))
+    sums = _by_class(features, labels, F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("ss"))
     mean = F.col("s") / F.col("rows")
-    return sums.join(F.broadcast(sizes), "label").select("label", "idx", mean.alias("mean"), (F.col("ss") / F.col("rows") - mean * mean).alias("variance"))
+    return sums.select("label", "idx", mean.alias("mean"), (F.col("ss") / F.col("rows") - mean * mean).alias("variance"), "rows", "total", "classes")
+
+
+def fisher_scores(features: DataFrame, labels: DataFrame) -> DataFrame:
+    """(idx, fisher): variance between classes over variance inside them; null where either cannot be told."""
+    n, m = F.col("rows"), F.col("mean")
+    sums = class_means(features, labels).groupBy("idx").agg(F.sum(n * m).alias("s"), F.sum(n * m * m).alias("ss"), F.sum(n * F.col("variance")).alias("inside"), F.first("total").alias("total"), F.first("classes").alias("classes"))
+    between = (F.col("ss") - F.col("s") * F.col("s") / F.col("total")) / (F.col("classes") - 1)
+    known = (F.col("classes") > 1) & (F.col("total") > F.col("classes")) & (F.col("inside") > 0)
+    return sums.select("idx", F.when(known, between / (F.col("inside") / (F.col("total") - F.col("classes")))).alias("fisher"))
+
+
+def differing_slots(features: DataFrame, labels: DataFrame, tolerance: float) -> DataFrame:
+    """One row, slots: how many slots have class means further apart than the tolerance; a class without the slot has mean 0."""
+    slots = class_means(features, labels).groupBy("idx").agg(F.max("mean").alias("high"), F.min("mean").alias("low"), (F.count("*") < F.first("classes")).alias("lacks"))
+    zero = F.lit(0.0)
+    high, low = (F.when(F.col("lacks"), f(F.col(c), zero)).otherwise(F.col(c)) for f, c in ((F.greatest, "high"), (F.least, "low")))
+    return slots.agg(F.count_if(high - low > tolerance).alias("slots"))
+
+
+def mutual_information(features: DataFrame, labels: DataFrame) -> DataFrame:
+    """(idx, information), in nats, between the label and whether a slot is above its mean over all rows; an absent slot is 0."""
+    means = _by_class(features, labels, F.sum("value").alias("s")).groupBy("idx").agg((F.sum("s") / F.first("total")).alias("middle"))
+    above = _by_class(features.join(means, "idx"), labels, F.count_if(F.col("value") > F.col("middle")).alias("above"))
+    f = lambda x: F.when(x > 0, x * F.log(x.cast("double"))).otherwise(F.lit(0.0))
+    a, n = F.col("above"), F.col("rows")
+    sums = above.groupBy("idx").agg(F.sum(f(a) + f(n - a) - f(n)).alias("own"), F.sum(a).alias("a"), F.first("total").alias("n"))
+    own = (F.col("own") - f(F.col("a")) - f(F.col("n") - F.col("a")) + f(F.col("n"))) / F.col("n")
+    return sums.select("idx", F.greatest(own, F.lit(0.0)).alias("information"))
+
+
+def stability(results: DataFrame) -> DataFrame:
+    """(method, k) with the number of tasks and the mean and sample variance of mcc and auroc over them; a NaN area is left out."""
+    area = F.when(~F.isnan("auroc"), F.col("auroc"))
+    return results.groupBy("method", "k").agg(F.countDistinct("task").alias("tasks"), F.avg("mcc").alias("mcc_mean"), F.var_samp("mcc").alias("mcc_variance"), F.avg(area).alias("auroc_mean"), F.var_samp(area).alias("auroc_variance"))
 
 
 def depth_by_length(leaves: DataFrame, lengths: DataFrame) -> DataFrame:

@@ -19,13 +19,18 @@ from pyspark.sql import functions as F
 from ..functions.bases import carry_pattern, clean, padding, require_power_of_two, row_major
 
 
-def walk_cells(bases: str, k: int) -> Counter:
-    """Counts of cells of the float64 walk; a coordinate that rounds to 1 stays in the last row or column."""
-    x = y = 0.5
-    side, found = 2**k, Counter()
+def walk(bases: str, side: int, found: Counter, x: float = 0.5, y: float = 0.5) -> tuple[float, float]:
+    """Adds the cells of the float64 walk from a point and gives its end; a coordinate that rounds to 1 stays in the last row or column."""
     for base in bases:
         x, y = (x + (base in "CG")) / 2, (y + (base in "GT")) / 2
         found[min(int(x * side), side - 1), min(int(y * side), side - 1)] += 1
+    return x, y
+
+
+def walk_cells(bases: str, k: int) -> Counter:
+    """Counts of cells of the float64 walk from the centre."""
+    found = Counter()
+    walk(bases, 2**k, found)
     return named_cells(found, k)
 
 

@@ -32,30 +32,35 @@ def scores(rows: DataFrame) -> DataFrame:
     return s.select((F.col("c") / F.col("s")).alias("accuracy"), "macro_f1", mcc.alias("mcc"))
 
 
-def auroc(rows: DataFrame) -> DataFrame:
-    """One row, auroc, from (positive, score): how often a positive row stands above a negative one, ties half.
+def auroc(rows: DataFrame, *by: str) -> DataFrame:
+    """auroc, from (positive, score), for each value of the columns by: how often a positive row stands above a negative one, ties half.
 
-    Rows are counted by score first, so the running sum is over distinct scores;
-    it runs by range of scores, with one offset for each range.
+    Without by it is one row.  Rows are counted by score first, so the running
+    sum is over distinct scores; it runs by range of scores, with one offset for
+    each range.
     """
-    by = rows.groupBy("score").agg(F.sum(F.col("positive").cast("long")).alias("p"), F.sum(1 - F.col("positive").cast("long")).alias("q"))
-    by = by.repartitionByRange("score").withColumn("part", F.spark_partition_id())
-    inside = Window.partitionBy("part").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    by = by.withColumn("below", F.coalesce(F.sum("q").over(inside), F.lit(0)))
-    parts = by.groupBy("part").agg(F.sum("p").alias("p"), F.sum("q").alias("q"), F.sum(F.col("p") * (F.col("below") + F.col("q") / 2.0)).alias("won"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    at = rows.groupBy(*by, "score").agg(F.sum(F.col("positive").cast("long")).alias("p"), F.sum(1 - F.col("positive").cast("long")).alias("q"))
+    at = at.repartitionByRange(*by, "score").withColumn("part", F.spark_partition_id())
+    inside = Window.partitionBy("part", *by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    at = at.withColumn("below", F.coalesce(F.sum("q").over(inside), F.lit(0)))
+    parts = at.groupBy(*by, "part").agg(F.sum("p").alias("p"), F.sum("q").alias("q"), F.sum(F.col("p") * (F.col("below") + F.col("q") / 2.0)).alias("won"))
+    before = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
     parts = parts.withColumn("offset", F.coalesce(F.sum("q").over(before), F.lit(0)))
-    whole = parts.agg(F.sum(F.col("won") + F.col("p") * F.col("offset")).alias("won"), F.sum("p").alias("p"), F.sum("q").alias("q"))
-    return whole.select(F.when((F.col("p") > 0) & (F.col("q") > 0), F.col("won") / (F.col("p").cast("double") * F.col("q"))).otherwise(F.lit(float("nan"))).alias("auroc"))
+    whole = parts.groupBy(*by).agg(F.sum(F.col("won") + F.col("p") * F.col("offset")).alias("won"), F.sum("p").alias("p"), F.sum("q").alias("q"))
+    return whole.select(*by, F.when((F.col("p") > 0) & (F.col("q") > 0), F.col("won") / (F.col("p").cast("double") * F.col("q"))).otherwise(F.lit(float("nan"))).alias("auroc"))
 
 
 def auroc_ovr(rows: DataFrame, classes: list[int]) -> DataFrame:
-    """Mean of auroc over classes, each against the rest, from (label, probability array); NaN if one is missing."""
-    parts = None
-    for place, kind in enumerate(classes):
-        one = auroc(rows.select((F.col("label") == kind).alias("positive"), F.col("probability")[place].alias("score")))
-        parts = one if parts is None else parts.unionByName(one)
-    return parts.agg(F.avg("auroc").alias("auroc"))
+    """Mean of auroc over classes, each against the rest, from (label, probability array), in one pass; NaN if one is missing."""
+    sides = [F.struct(F.lit(place).alias("kind"), (F.col("label") == kind).alias("positive"), F.col("probability")[place].alias("score")) for place, kind in enumerate(classes)]
+    areas = auroc(rows.select(F.explode(F.array(*sides)).alias("s")).select("s.*"), "kind")
+    return areas.agg(F.coalesce(F.avg("auroc"), F.lit(float("nan"))).alias("auroc"))
+
+
+def best_candidate(rows: DataFrame) -> DataFrame:
+    """One row, candidate and its mean score over folds, from (candidate, fold, score): the highest mean, of equal ones the least candidate; NaN comes last."""
+    means = rows.groupBy("candidate").agg(F.avg("score").alias("mean_score"))
+    return means.orderBy(F.isnan("mean_score"), F.desc_nulls_last("mean_score"), "candidate").limit(1)
 
 
 def label_codes(*tables: DataFrame, label_col: str = "label_raw") -> DataFrame:

@@ -73,5 +73,5 @@ def updated(bits: Column, vertex: Column) -> Column:
 
 
 def shown(points: DataFrame) -> DataFrame:
-    """The point as text with ten decimals."""
-    return points.withColumn("point", F.format_string("CGRPoint(x=%.10f, y=%.10f)", bits_to_float("x_bits"), bits_to_float("y_bits")))
+    """The point as text with ten decimals; the format is a fixed value."""
+    return points.withColumn("point", F.format_string("CGRPointPrecise(x=%.10f, y=%.10f, bits=%d)", bits_to_float("x_bits"), bits_to_float("y_bits"), "precision_bits"))

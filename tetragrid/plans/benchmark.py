@@ -13,6 +13,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.bases import require_power_of_two
 from ..operators.fcgr import fcgr_counts, kmer_features, pooled, sparse_arrays
 from ..operators.metrics import auroc, auroc_ovr, scores, stratified_folds
 from ..operators.quadtree import combined_features, qt_leaves, qt_slots
@@ -23,11 +24,13 @@ METHODS = ("kmer", "adaptive", "kmer_qt")
 FULL_GRID = {"n_estimators": (1000, 500, 200), "max_features": ("sqrt", "log2"), "max_depth": (20, None), "min_samples_split": (2, 5)}
 SMALL_GRID = {"n_estimators": (200,), "max_features": ("sqrt", "log2"), "max_depth": (None,), "min_samples_split": (2,)}
 SEED, FOLDS, DEEPEST = 42, 4, 30
+#: Forests that are fitted side by side; each is a job over all partitions.
+FITS_AT_ONCE = 4
 
 
 def vectors(rows: DataFrame, features: DataFrame, size: int, *, id_col: str = "seq_id") -> DataFrame:
-    """rows with a sparse vector column: the one place where rows meet Python, at the model's border."""
-    build = F.udf(lambda i, v: Vectors.sparse(size, i, v), VectorUDT())
+    """rows with a sparse vector column: the one place where rows meet Python, in Arrow batches at the model's border."""
+    build = F.udf(lambda i, v: Vectors.sparse(size, i, v), VectorUDT(), useArrow=True)
     return sparse_arrays(rows, features, id_col=id_col).withColumn("features", build("indices", "values")).drop("indices", "values")
 
 
@@ -51,7 +54,7 @@ def train_and_evaluate(train: DataFrame, test: DataFrame, grid: dict = FULL_GRID
         maps += one.build()
         plain.append(dict(zip(names, values, strict=True)))
     judge = BinaryClassificationEvaluator(labelCol="label", numBins=0) if len(classes) == 2 else MulticlassClassificationEvaluator(labelCol="label", metricName="accuracy")
-    found = CrossValidator(estimator=forest, estimatorParamMaps=maps, evaluator=judge, numFolds=folds, foldCol="fold", seed=SEED).fit(train)
+    found = CrossValidator(estimator=forest, estimatorParamMaps=maps, evaluator=judge, numFolds=folds, foldCol="fold", seed=SEED, parallelism=FITS_AT_ONCE).fit(train)
     best = max(range(len(maps)), key=lambda i: (found.avgMetrics[i], -i))
     seen = found.bestModel.transform(test).select(F.col("label").cast("long").alias("label"), F.col("prediction").cast("long").alias("prediction"), vector_to_array("probability").alias("probability")).persist()
     row = scores(seen).first()
@@ -69,6 +72,9 @@ def train_and_evaluate(train: DataFrame, test: DataFrame, grid: dict = FULL_GRID
 
 def run_task(spark: SparkSession, rows: DataFrame, name: str, *, ks=(4, 5, 6, 7, 8), methods=METHODS, grid_size: int = 128, depth: int = 6, threshold: float = 0.05, grid: dict = FULL_GRID, output: str | None = None) -> list[dict]:
     """One result for each k that fits the grid and each method; the counts are made once, at the deepest level."""
+    require_power_of_two(grid_size, 0)
+    if set(methods) - {"kmer"}:
+        require_power_of_two(grid_size, depth)
     rows = rows.persist()
     fit = [k for k in ks if 2**k <= grid_size]
     for k in sorted(set(ks) - set(fit)):
@@ -77,8 +83,6 @@ def run_task(spark: SparkSession, rows: DataFrame, name: str, *, ks=(4, 5, 6, 7,
     counts = fcgr_counts(rows, deepest, id_col="seq_id", seq_col="seq").persist()
     results, adaptive = [], None
     for k, method in itertools.product(fit, methods):
-        if method != "kmer" and 2**depth > grid_size:
-            raise ValueError(f"grid {grid_size} < 2^{depth}")
         if method == "kmer":
             size, features, label = 4**k, kmer_features(pooled(counts, k), k), str(k)
         elif method == "adaptive":
@@ -110,9 +114,9 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--qt-split-threshold", type=float, default=0.05)
     p.add_argument("--n-workers", type=int, help="accepted; executors set the parallelism")
     p.add_argument("--n-jobs", type=int, default=-1, help="accepted; executors set the parallelism")
-    p.add_argument("--output", default="benchmark_results")
+    p.add_argument("--output", default="benchmark_results.csv")
     p.add_argument("--tasks", nargs="+")
-    p.add_argument("--data-root", required=True)
+    p.add_argument("--data-root", default="data")
     p.add_argument("--list-tasks", action="store_true")
     p.add_argument("--full-grid", action="store_true", help="accepted; it is the default")
     p.add_argument("--small-grid", action="store_true", help="2 of the 24 candidates, 200 trees each")

@@ -104,6 +104,66 @@ def diag_premature_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diagnostics.premature_leaves(quadtree.qt_leaves(_counts(spark, sf_dir, 4), 4), 4)
 
 
+def auroc_ovr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    score = lambda i: (F.col("n_chars") * (2 * i + 3) % 101).cast("double")
+    label = F.when(F.col("lang") == "de", 0).when(F.col("lang") == "en", 1).otherwise(2)
+    return metrics.auroc_ovr(docs.select(label.alias("label"), F.array(*map(score, range(3))).alias("probability")), [0, 1, 2])
+
+
+#: Candidates of `best_candidate`: a text of more characters is taken as good.
+LENGTHS = (100, 200, 400, 800, 1600)
+
+
+def best_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")).join(_read(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
+    rows = metrics.stratified_folds(rows, id_col="doc_id")
+    right = lambda i, n: F.struct(F.lit(i).cast("long").alias("candidate"), (F.col("label") == (F.col("n_chars") > n).cast("int")).cast("double").alias("right"))
+    rows = rows.select("fold", F.explode(F.array(*(right(i, n) for i, n in enumerate(LENGTHS)))).alias("c"))
+    best = metrics.best_candidate(rows.groupBy("c.candidate", "fold").agg(F.round(F.avg("c.right"), 9).alias("score")))
+    return best.withColumn("mean_score", F.round("mean_score", 9))
+
+
+def rf_kmer_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Random forests on frequencies of three bases of the labelled documents; a fifth of them, by hash, is the test set."""
+    from .benchmark import train_and_evaluate, vectors
+
+    labels = _read(spark, sf_dir, "labels").select(F.col("doc_id").alias("seq_id"), F.col("quality").alias("label"), F.when(F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0, "test").otherwise("train").alias("split"))
+    seqs = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq_id"), "text").join(labels.select("seq_id"), "seq_id", "left_semi")
+    table = vectors(labels, fcgr.kmer_features(fcgr.fcgr_counts(seqs, 3, id_col="seq_id"), 3), 64)
+    grid = {"n_estimators": (20,), "max_features": ("sqrt", "log2"), "max_depth": (None,), "min_samples_split": (2,)}
+    found = train_and_evaluate(table.where("split = 'train'"), table.where("split = 'test'"), grid)
+    return spark.createDataFrame([found], "mcc double, auroc double, f1_macro double, accuracy double, n_classes long, train_size long, test_size long, best_params string")
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    labels = _read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
+    return fcgr.kmer_features(_counts(spark, sf_dir, 2), 2), labels
+
+
+def diag_class_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rounded = lambda c: F.round(c, 9).alias(c)
+    return diagnostics.class_means(*_labelled(spark, sf_dir)).select("label", "idx", rounded("mean"), rounded("variance"))
+
+
+def diag_fisher(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagnostics.fisher_scores(*_labelled(spark, sf_dir)).withColumn("fisher", F.round("fisher", 6))
+
+
+def diag_differing_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagnostics.differing_slots(*_labelled(spark, sf_dir), 0.002)
+
+
+def diag_mutual_information(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagnostics.mutual_information(*_labelled(spark, sf_dir)).withColumn("information", F.round("information", 9))
+
+
+def diag_depth_by_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaves = quadtree.qt_leaves(_counts(spark, sf_dir, 4), 4)
+    lengths = clean_stats(spark, sf_dir).withColumnRenamed("doc_id", "id")
+    return diagnostics.depth_by_length(leaves, lengths).withColumn("correlation", F.round("correlation", 9))
+
+
 QUERIES: dict[str, Query] = {
     "clean_stats": clean_stats, "fcgr_counts_k1": _fcgr(1), "fcgr_counts_k3": _fcgr(3), "fcgr_counts_k4": _fcgr(4), "fcgr_counts_k6": _fcgr(6),
     "kmer_freq_k3": _kmer(3, True), "kmer_raw_k3": _kmer(3, False), "kmer_pool_6_to_4": kmer_pool_6_to_4,
@@ -111,6 +171,9 @@ QUERIES: dict[str, Query] = {
     "combined_k3_d3": combined_k3_d3, "final_point_bits_p64": final_point_bits_p64, "final_point_stats_p64": final_point_stats_p64, "precision_levels": precision_levels,
     "label_encode": label_encode, "confusion": confusion, "scores": scores, "auroc_binary": auroc_binary, "stratified_folds": stratified_folds,
     "chunked_fcgr_k3": chunked_fcgr_k3, "diag_premature_leaves": diag_premature_leaves,
+    "auroc_ovr": auroc_ovr, "best_candidate": best_candidate, "rf_kmer_eval": rf_kmer_eval,
+    "diag_class_means": diag_class_means, "diag_fisher": diag_fisher, "diag_differing_slots": diag_differing_slots,
+    "diag_mutual_information": diag_mutual_information, "diag_depth_by_length": diag_depth_by_length,
 }
 
 _CLEAN = "coalesce(regexp_replace(upper({0}), '[^ACGT]', '', 'g'), '')"
@@ -204,4 +267,26 @@ def oracle_sql() -> dict[str, str]:
     chunks = f"c AS (SELECT conv_id AS doc_id, string_agg({_CLEAN.format('text')}, '' ORDER BY turn) AS b FROM conversations GROUP BY conv_id)"
     out["chunked_fcgr_k3"] = f"{_cells(3, chunks)} SELECT doc_id AS conv_id, z, cnt FROM cells"
     out["diag_premature_leaves"] = f"{_qt_sql(4, 0.05)} SELECT avg((depth < 4)::INT::DOUBLE) AS premature FROM leaves"
+    out["auroc_ovr"] = """WITH r AS (SELECT k, CASE lang WHEN 'de' THEN 0 WHEN 'en' THEN 1 ELSE 2 END = k AS pos, n_chars * (2 * k + 3) % 101 AS score FROM documents, generate_series(0, 2) t(k)),
+      m AS (SELECT k, pos, rank() OVER (PARTITION BY k ORDER BY score) + (count(*) OVER (PARTITION BY k, score) - 1) / 2.0 AS midrank FROM r),
+      a AS (SELECT k, sum(midrank) FILTER (WHERE pos)::DOUBLE AS s, count(*) FILTER (WHERE pos)::DOUBLE AS p, count(*) FILTER (WHERE NOT pos)::DOUBLE AS q FROM m GROUP BY k)
+      SELECT avg(CASE WHEN p > 0 AND q > 0 THEN (s - p * (p + 1) / 2) / (p * q) ELSE 'NaN'::DOUBLE END) AS auroc FROM a"""
+    lengths = ", ".join(f"({i}::BIGINT, {n})" for i, n in enumerate(LENGTHS))
+    out["best_candidate"] = f"""WITH f AS (SELECT doc_id, quality, ntile(4) OVER (PARTITION BY quality ORDER BY doc_id) AS fold FROM labels),
+      s AS (SELECT candidate, fold, round(avg((quality = (n_chars > least_chars)::INT)::INT::DOUBLE), 9) AS score FROM f JOIN documents USING (doc_id), (VALUES {lengths}) c(candidate, least_chars) GROUP BY ALL)
+      SELECT candidate, round(avg(score), 9) AS mean_score FROM s GROUP BY candidate ORDER BY avg(score) DESC, candidate LIMIT 1"""
+    labelled = f"""{_cells(2)}, l AS (SELECT doc_id, quality AS label FROM labels), slot AS (SELECT DISTINCT {_index(2)} AS idx FROM cells JOIN l USING (doc_id)),
+      kf AS (SELECT doc_id, {_index(2)} AS idx, cnt::DOUBLE / n AS value FROM cells),
+      wide AS (SELECT l.doc_id, label, s.idx, coalesce(value, 0.0) AS value FROM l CROSS JOIN slot s LEFT JOIN kf ON kf.doc_id = l.doc_id AND kf.idx = s.idx),
+      means AS (SELECT label, idx, avg(value) AS mean, var_pop(value) AS variance, count(*) AS rows, bool_or(value > 0) AS seen FROM wide GROUP BY ALL)"""
+    out["diag_class_means"] = f"{labelled} SELECT label, idx, round(mean, 9) AS mean, round(variance, 9) AS variance FROM means WHERE seen"
+    out["diag_fisher"] = f"""{labelled}, w AS (SELECT idx, avg(value) AS middle, count(*) AS n FROM wide GROUP BY idx),
+      v AS (SELECT idx, n, sum(rows * (mean - middle) ** 2) AS between_, sum(rows * variance) AS inside, count(*) AS classes FROM means JOIN w USING (idx) GROUP BY ALL)
+      SELECT idx, CASE WHEN classes > 1 AND n > classes AND inside > 0 THEN round(between_ / (classes - 1) / (inside / (n - classes)), 6) END AS fisher FROM v"""
+    out["diag_differing_slots"] = f"{labelled} SELECT count(*)::BIGINT AS slots FROM (SELECT idx FROM means GROUP BY idx HAVING max(mean) - min(mean) > 0.002)"
+    out["diag_mutual_information"] = f"""{labelled}, w AS (SELECT idx, avg(value) AS middle, count(*)::DOUBLE AS n FROM wide GROUP BY idx),
+      b AS (SELECT idx, label, n, value > middle AS above, count(*)::DOUBLE AS c FROM wide JOIN w USING (idx) GROUP BY ALL),
+      p AS (SELECT idx, c, n, sum(c) OVER (PARTITION BY idx, label) AS x, sum(c) OVER (PARTITION BY idx, above) AS y FROM b)
+      SELECT idx, round(greatest(sum(c / n * ln(c * n / (x * y))), 0.0), 9) AS information FROM p GROUP BY idx"""
+    out["diag_depth_by_length"] = f"{_qt_sql(4, 0.05)}, d AS (SELECT doc_id, avg(depth) AS depth FROM leaves GROUP BY doc_id) SELECT round(corr(depth, length(b)), 9) AS correlation FROM d JOIN c USING (doc_id)"
     return out

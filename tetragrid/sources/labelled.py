@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import csv
+import os
 from datetime import datetime
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +16,9 @@ from ..operators.metrics import label_codes
 #: Fixed columns of a result row, in order.
 RESULT_SCHEMA = "task string, method string, k string, grid_size int, feature_dim int, train_size bigint, test_size bigint, n_classes int, mcc double, auroc double, f1_macro double, accuracy double, best_params string, timestamp string"
 
+#: A table of up to so many classes is broadcast; a larger one is joined by a shuffle.
+FEW_CLASSES = 100_000
+
 
 def discover_tasks(spark: SparkSession, root: str) -> DataFrame:
     """(name, train_path, test_path) of every folder below root that holds train.csv and test.csv, by name; only paths are read."""
@@ -27,7 +33,10 @@ def discover_tasks(spark: SparkSession, root: str) -> DataFrame:
 
 
 def load_task(spark: SparkSession, train_path: str, test_path: str, name: str = ".") -> DataFrame:
-    """(seq_id, task, split, seq, label): the first column is the sequence, the second its label; names are ignored."""
+    """(seq_id, task, split, seq, label): the first column is the sequence, the second its label; names are ignored.
+
+    A row without a label fails the query that reads it.
+    """
 
     def side(path: str, split: str) -> DataFrame:
         table = spark.read.csv(path, header=True)
@@ -36,12 +45,27 @@ def load_task(spark: SparkSession, train_path: str, test_path: str, name: str =
 
     rows = side(train_path, "train").unionByName(side(test_path, "test"))
     rows = rows.withColumn("seq_id", F.monotonically_increasing_id())
-    coded = rows.join(label_codes(rows), "label_raw")
+    codes = label_codes(rows).persist()
+    if codes.count() <= FEW_CLASSES:
+        codes = F.broadcast(codes)
+    coded = rows.join(codes, "label_raw", "left").withColumn("label", F.coalesce("label", F.raise_error(F.lit("a row has no label")).cast("int")))
     return coded.select("seq_id", F.lit(name).alias("task"), "split", F.upper("seq").alias("seq"), F.col("label").cast("int").alias("label"))
 
 
 def save_result(spark: SparkSession, path: str, result: dict) -> None:
-    """Appends a result as CSV with a header in each part; unknown keys are left out, missing ones empty."""
+    """Appends a result: a line of a local file that ends in .csv, with a header in a new one, else a part of a folder.
+
+    Unknown keys are left out, missing ones empty.
+    """
     schema = StructType.fromDDL(RESULT_SCHEMA)
     row = result | {"timestamp": datetime.now().isoformat()}
+    place = urlparse(path)
+    if path.endswith(".csv") and place.scheme in ("", "file"):
+        new = not os.path.exists(place.path)
+        with open(place.path, "a", newline="") as out:
+            lines = csv.DictWriter(out, schema.names, restval="", extrasaction="ignore")
+            if new:
+                lines.writeheader()
+            lines.writerow(row)
+        return
     spark.createDataFrame([tuple(row.get(f.name) for f in schema)], schema).coalesce(1).write.mode("append").csv(path, header=True)

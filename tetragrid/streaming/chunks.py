@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.bases import MANTISSA_BITS, carry_pattern, clean, digits, padding
-from ..operators.fcgr import named_cells
+from ..operators.fcgr import named_cells, walk
 from ..operators.point import PRECISION_BITS, point_bits
 from ..operators.ranges import ranged
 
@@ -44,6 +44,29 @@ def points(states: DataFrame, precision: int = PRECISION_BITS) -> DataFrame:
     return states.select("id", F.lit(precision).alias("precision_bits"), x.alias("x_bits"), y.alias("y_bits"), "iterations")
 
 
+def stream_cells(chunks: DataFrame, k: int, *, id_col: str = "conv_id", order_col: str = "turn", seq_col: str = "text") -> DataFrame:
+    """(id, z, cnt) that each trigger adds, in append mode: a sequence's counts are the sums by (id, z) of what was written.
+
+    The state is the point of the float64 walk and the last order seen.  Chunks
+    must arrive in order, as for the end point.
+    """
+
+    def step(key: tuple, pages: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        x, y, last = state.get if state.exists else (0.5, 0.5, None)
+        page = pd.concat(list(pages)).sort_values("at")
+        if last is not None and len(page) and page["at"].iloc[0] <= last:
+            raise ValueError(f"chunk {page['at'].iloc[0]} of {key[0]} came after {last}")
+        found: Counter = Counter()
+        x, y = walk("".join(page["b"]), 2**k, found, x, y)
+        state.update((x, y, int(page["at"].iloc[-1])))
+        cells = named_cells(found, k)
+        yield pd.DataFrame({"id": [key[0]] * len(cells), "z": list(cells), "cnt": list(cells.values())})
+
+    rows = chunks.select(F.col(id_col).alias("id"), F.col(order_col).cast("long").alias("at"), clean(F.col(seq_col)).alias("b"))
+    kind = chunks.schema[id_col].dataType.simpleString()
+    return rows.groupBy("id").applyInPandasWithState(step, f"id {kind}, z string, cnt long", "x double, y double, last long", "append", GroupStateTimeout.NoTimeout)
+
+
 def joined_chunks(chunks: DataFrame, *, id_col: str = "conv_id", order_col: str = "turn", seq_col: str = "text") -> DataFrame:
     """(id, seq): the batch form, each sequence's chunks in order."""
     parts = F.array_sort(F.collect_list(F.struct(F.col(order_col).alias("at"), clean(F.col(seq_col)).alias("b"))))
@@ -67,9 +90,7 @@ def _walk(k: int):
                     if own:
                         yield cells()
                     own, found, x, y = name, Counter(), 0.5, 0.5
-                for base in bases.as_py():
-                    x, y = (x + (base in "CG")) / 2, (y + (base in "GT")) / 2
-                    found[min(int(x * side), side - 1), min(int(y * side), side - 1)] += 1
+                x, y = walk(bases.as_py(), side, found, x, y)
         if own:
             yield cells()
 
