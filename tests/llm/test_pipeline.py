@@ -77,3 +77,33 @@ def test_an_empty_corpus_stays_empty(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_run_with_labels_and_random_keys(spark, tmp_path):
+    """Unlabelled rows go by what labelled ones taught, and keys no pattern names are masked in what stays."""
+    rng = random.Random(23)
+    words = "the of and to in market price water house record letter garden summer report number station people answer".split()
+    alphabet = dict(secret_scan.ENCODINGS)["base64"]
+    good, rows = set(), []
+    keys = {}
+    for i in range(300):
+        text = [rng.choice(words) for _ in range(rng.randrange(60, 120))]
+        if i % 3 == 0:
+            text = [w + rng.choice(("##", "$|", "&&%", "<>")) for w in text]
+        else:
+            good.add(i)
+            if i % 6 == 1:
+                keys[i] = "".join(rng.choice(alphabet) for _ in range(44))
+                text.insert(30, keys[i])
+        rows.append((i, " ".join(text), "en", "a", None))
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, int(i in good), 0) for i in range(200)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = {r.doc_id: r.text for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    unseen = set(range(200, 300))
+    assert len(unseen & good & set(out)) >= 0.95 * len(unseen & good)
+    assert len((unseen - good) & set(out)) <= 0.05 * len(unseen - good)
+    planted = set(keys) & set(out)
+    assert sum(keys[i] not in out[i] for i in planted) >= 0.9 * len(planted) > 0
+    before = dict(r[:2] for r in rows)
+    assert all(out[i] == before[i] for i in set(out) - set(keys))
