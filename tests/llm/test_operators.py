@@ -293,7 +293,9 @@ CHATS = [(1, 0, "system", "be brief"), (1, 1, "user", "hi " * 300), (1, 2, "assi
          (2, 0, "user: odd\\", "a"), (2, 1, None, "b"), (2, 1, None, "b"), (None, None, "assistant", "lone"), (3, 600, "assistant", ""), (3, 5, "assistant", "early")]
 
 
-def test_chat_windows_read_back(spark):
+@pytest.mark.parametrize("stretch", [1, 3, chat_format.STRETCH])
+def test_chat_windows_read_back(spark, monkeypatch, stretch):
+    monkeypatch.setattr(chat_format, "STRETCH", stretch)
     rows = spark.createDataFrame([(*r, 9) for r in CHATS], "conv_id long, turn long, role string, text string, window int")
     windows = chat_format.format_chats(rows, budget=120, history=40).cache()
     got = {r.conv_id: r for r in chat_format.chat_digests(windows).collect()}

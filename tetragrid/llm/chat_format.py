@@ -14,7 +14,7 @@ the assistant's turns; a repeated one is not a target again.
 
 Prefix sums run inside blocks of turn numbers and over the blocks' sums, so a
 conversation with very many turns is spread over tasks; window keys spread it
-further.  Reading turns back gathers a conversation only as far as its own digest
+further, and the system turn is sent to each stretch of windows.  Reading turns back gathers a conversation only as far as its own digest
 asks for.
 """
 
@@ -28,6 +28,8 @@ BUDGET, HISTORY = 1024, 192
 TURN_TOKENS, CHARS_PER_TOKEN = 4, 4
 #: Turn numbers in one block of the prefix sums.
 BLOCK = 256
+#: Window numbers of one conversation that meet in one task to be given the system turn.
+STRETCH = 1024
 HEAD, AFTER_ROLE, END = "### ", ": ", "</turn>\n"
 TARGET, SYSTEM = "assistant", "system"
 
@@ -41,7 +43,7 @@ def unescaped(text: Column) -> Column:
 
 
 def _turns(rows: DataFrame, id_col: str, turn_col: str, role_col: str, text_col: str, size: int) -> DataFrame:
-    """(id, at, role, text, w, own, sys): a turn's place on the token line, its window, and whether it is the leading system turn."""
+    """(id, at, role, text, w, sys, last): a turn's place on the token line, its window, whether it is the leading system turn, and what no window of its conversation is after."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     t = rows.select(F.col(id_col).alias("id"), F.col(turn_col).alias("turn"), text(role_col).alias("role"), text(text_col).alias("text"))
     t = t.withColumn("tokens", F.ceil(F.char_length("text") / CHARS_PER_TOKEN) + TURN_TOKENS).withColumn("block", F.floor(F.col("turn") / BLOCK))
@@ -49,12 +51,12 @@ def _turns(rows: DataFrame, id_col: str, turn_col: str, role_col: str, text_col:
     t = t.withColumn("upto", F.sum("tokens").over(inside))
     blocks = t.groupBy("id", "block").agg(F.sum("tokens").alias("sum"))
     before = Window.partitionBy("id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select(F.col("id").alias("bid"), F.col("block").alias("bblock"), F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("offset"))
+    blocks = blocks.select(F.col("id").alias("bid"), F.col("block").alias("bblock"), F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("offset"), F.sum("sum").over(Window.partitionBy("id")).alias("total"))
     t = t.join(blocks, F.col("id").eqNullSafe(F.col("bid")) & F.col("block").eqNullSafe(F.col("bblock")))
-    t = t.select("id", "role", "text", (F.col("offset") + F.col("upto") - F.col("tokens")).alias("at"), (F.col("offset") + F.col("upto")).alias("end"))
+    t = t.select("id", "role", "text", (F.col("offset") + F.col("upto") - F.col("tokens")).alias("at"), (F.col("offset") + F.col("upto")).alias("end"), "total")
     w = F.floor(F.col("at") / size)
     # window 2w holds the turns inside the w-th stretch of the line, 2w + 1 the one that crosses its end
-    return t.select("id", "at", "role", "text", (2 * w + (F.col("end") > (w + 1) * size).cast("long")).alias("w"), ((F.col("at") == 0) & (F.col("role") == SYSTEM)).alias("sys"))
+    return t.select("id", "at", "role", "text", (2 * w + (F.col("end") > (w + 1) * size).cast("long")).alias("w"), ((F.col("at") == 0) & (F.col("role") == SYSTEM)).alias("sys"), (2 * F.floor(F.col("total") / size) + 1).alias("last"))
 
 
 def format_chats(rows: DataFrame, *, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
@@ -75,8 +77,9 @@ def format_chats(rows: DataFrame, *, id_col: str = "conv_id", turn_col: str = "t
     repeats = t.where((2 * F.floor((F.col("at") + history) / size) + 1 > F.col("w")) & ~F.col("sys")).select(F.col("id").alias("tid"), "at", "role", "text", F.explode(ahead).alias("to"))
     old = repeats.join(windows, F.col("tid").eqNullSafe(F.col("id")) & (F.col("to") == F.col("w"))).where(F.col("at") + history >= F.col("start"))
     old = old.select("id", "w", "at", "role", "text", F.lit(False).alias("new"))
-    first = t.where("sys").select(F.col("id").alias("tid"), "at", "role", "text", F.col("w").alias("from"))
-    lead = first.join(windows, F.col("tid").eqNullSafe(F.col("id")) & (F.col("from") != F.col("w"))).select("id", "w", "at", "role", "text", F.lit(False).alias("new"))
+    stretches = F.sequence(F.lit(0).cast("long"), F.floor(F.col("last") / STRETCH))
+    first = t.where("sys").select(F.col("id").alias("tid"), "at", "role", "text", F.col("w").alias("from"), F.explode(stretches).alias("stretch"))
+    lead = first.join(windows, F.col("tid").eqNullSafe(F.col("id")) & (F.col("stretch") == F.floor(F.col("w") / STRETCH)) & (F.col("from") != F.col("w"))).select("id", "w", "at", "role", "text", F.lit(False).alias("new"))
     every = t.select("id", "w", "at", "role", "text", F.lit(True).alias("new")).unionByName(old).unionByName(lead)
     turns = F.array_sort(F.collect_list(F.struct("at", "role", "text", "new")))
     made = every.groupBy("id", "w").agg(turns.alias("turns"))
