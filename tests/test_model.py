@@ -46,6 +46,15 @@ def test_tasks_are_found_and_loaded(spark, root):
     assert [t.name for t in labelled.discover_tasks(spark, str(root / "three")).collect()] == ["."]
 
 
+def test_a_side_of_a_task_may_be_a_folder_of_parts(spark, tmp_path):
+    for split in ("train", "test"):
+        spark.createDataFrame([("ACGT", "2"), ("", "10"), ("gg", "10")], "s string, l string").repartition(2).write.csv(str(tmp_path / "parts" / f"{split}.csv"), header=True)
+    (task,) = labelled.discover_tasks(spark, str(tmp_path)).collect()
+    assert task.name == "parts"
+    rows = labelled.load_task(spark, task.train_path, task.test_path, task.name).where("split = 'test'")
+    assert sorted((r.seq, r.label) for r in rows.collect()) == [("", 1), ("ACGT", 0), ("GG", 1)]
+
+
 def test_a_row_without_a_label_is_an_error(spark, tmp_path):
     for split in ("train", "test"):
         write(tmp_path / f"{split}.csv", [("ACGT", "1", "x"), ("ACGT", "", "x")])
@@ -148,6 +157,8 @@ def test_point_steps_and_text(spark):
     assert bits.first().x_bits == "01100000"
     moved = bits.withColumn("x_bits", point.updated(F.col("x_bits"), F.lit(1)))
     assert point.shown(moved).first().point == "CGRPointPrecise(x=0.6875000000, y=0.5000000000, bits=8)"
+    tie = moved.withColumn("x_bits", F.lit("00000000001")).withColumn("y_bits", F.lit("00000000011"))
+    assert point.shown(tie).first().point == "CGRPointPrecise(x=0.0004882812, y=0.0014648438, bits=8)"
     with pytest.raises(Exception, match="precision must be below 1024"):
         row.select(point.float_to_bits(1024)("x")).collect()
 

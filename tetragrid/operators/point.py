@@ -72,6 +72,13 @@ def updated(bits: Column, vertex: Column) -> Column:
     return F.concat(vertex.cast("int").cast("string"), F.substring(bits, F.lit(1), F.length(bits) - 1))
 
 
+@F.pandas_udf(StringType())
+def ten_decimals(values: pd.Series) -> pd.Series:
+    """Ten decimals of the exact value, a tie to the even digit; Spark's own format rounds ties up."""
+    return values.map("{:.10f}".format)
+
+
 def shown(points: DataFrame) -> DataFrame:
     """The point as text with ten decimals; the format is a fixed value."""
-    return points.withColumn("point", F.format_string("CGRPointPrecise(x=%.10f, y=%.10f, bits=%d)", bits_to_float("x_bits"), bits_to_float("y_bits"), "precision_bits"))
+    side = lambda c: ten_decimals(bits_to_float(c))
+    return points.withColumn("point", F.format_string("CGRPointPrecise(x=%s, y=%s, bits=%d)", side("x_bits"), side("y_bits"), "precision_bits"))

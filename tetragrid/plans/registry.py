@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions.bases import clean, critical_value
 from ..operators import diagnostics, fcgr, metrics, point, quadtree
-from ..streaming.chunks import chunk_counts
+from ..session import shared_dir
+from ..sources.labelled import discover_tasks, load_task
+from ..streaming.chunks import chunk_counts, points, stream_cells, stream_final_point
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -164,6 +167,89 @@ def diag_depth_by_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diagnostics.depth_by_length(leaves, lengths).withColumn("correlation", F.round("correlation", 9))
 
 
+def extract_kmer_k3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _id(fcgr.extract_kmer_features(_read(spark, sf_dir, "documents"), 3, id_col="doc_id", seq_col="text"))
+
+
+def extract_adaptive_d3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _id(quadtree.extract_adaptive_features(_read(spark, sf_dir, "documents"), max_depth=3, id_col="doc_id", seq_col="text"))
+
+
+def extract_combined_k2_d3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _id(quadtree.extract_combined_features(_read(spark, sf_dir, "documents"), 2, qt_max_depth=3, id_col="doc_id", seq_col="text"))
+
+
+def kmer_sparse_k2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The arrays, one row for each entry; a document without bases has one row, at -1."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id")
+    arrays = fcgr.sparse_arrays(docs, fcgr.kmer_features(_counts(spark, sf_dir, 2), 2), id_col="doc_id")
+    entries = arrays.select("doc_id", F.explode_outer(F.arrays_zip("indices", "values")).alias("e"))
+    return entries.select("doc_id", F.coalesce("e.indices", F.lit(-1)).alias("idx"), F.coalesce("e.values", F.lit(0.0)).alias("value"))
+
+
+def feature_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([fcgr.feature_info(k) for k in range(1, 9)], "type string, k long, dimensions long")
+
+
+def point_floats_p64(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, y = point.bits_to_float("x_bits"), point.bits_to_float("y_bits")
+    return final_point_bits_p64(spark, sf_dir).select("doc_id", x.alias("x"), y.alias("y"))
+
+
+def point_fractions_p60(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _id(point.final_point(_read(spark, sf_dir, "documents"), 60))
+    rows = rows.select("doc_id", point.bits_to_fraction("x_bits").alias("x"), point.bits_to_fraction("y_bits").alias("y"))
+    return rows.select("doc_id", *(F.col(f"{c}.{part}").alias(f"{c}_{part}") for c in "xy" for part in ("numerator", "denominator")))
+
+
+def point_from_float_p20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    value = F.pmod("doc_id", F.lit(1000)) / 1000.0
+    return _read(spark, sf_dir, "documents").select("doc_id", point.float_to_bits(20)(value).alias("bits"))
+
+
+def point_update_p64(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each end point after one more step, to the vertex (1, 0)."""
+    x, y = point.updated(F.col("x_bits"), F.lit(1)), point.updated(F.col("y_bits"), F.lit(0))
+    return final_point_bits_p64(spark, sf_dir).select("doc_id", x.alias("x_bits"), y.alias("y_bits"))
+
+
+def point_shown_p64(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return point.shown(final_point_bits_p64(spark, sf_dir)).select("doc_id", "point")
+
+
+def csv_task(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents written as a task of CSV parts, then discovered and loaded."""
+    root = f"{shared_dir(spark)}/tasks-{uuid.uuid4().hex}"
+    rows = _read(spark, sf_dir, "documents").select("doc_id", clean(F.col("text")).alias("sequence")).join(_read(spark, sf_dir, "labels"), "doc_id")
+    for split, test in (("train", False), ("test", True)):
+        side = rows.where((F.pmod("doc_id", F.lit(5)) == 0) == F.lit(test))
+        side.select("sequence", (F.col("quality") * 8 + 2).alias("kind"), "doc_id").write.csv(f"{root}/labelled/{split}.csv", header=True)
+    task = discover_tasks(spark, root).first()
+    return load_task(spark, task.train_path, task.test_path, task.name).select("task", "split", "seq", F.col("label").cast("long").alias("label"))
+
+
+def _streamed(spark: SparkSession, sf_dir: str, operator: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
+    """What the operator gives for the conversations read as a stream; each trigger is written once, under its number."""
+    path = f"{sf_dir.rstrip('/')}/conversations.parquet"
+    out = operator(spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*"))  # a stream reads one file only by a pattern
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    keep = lambda batch, n: batch.write.mode("overwrite").parquet(f"{base}/out/trigger={n}")
+    query = out.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{base}/out")
+
+
+def stream_fcgr_k3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    added = _streamed(spark, sf_dir, lambda chunks: stream_cells(chunks, 3), "append")
+    return added.groupBy(F.col("id").alias("conv_id"), "z").agg(F.sum("cnt").alias("cnt"))
+
+
+def stream_point_p64(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = _streamed(spark, sf_dir, lambda chunks: stream_final_point(chunks, 64), "update")
+    last = seen.groupBy("id").agg(F.max_by("tail", "iterations").alias("tail"), F.max("iterations").alias("iterations"))
+    return points(last, 64).withColumnRenamed("id", "conv_id")
+
+
 QUERIES: dict[str, Query] = {
     "clean_stats": clean_stats, "fcgr_counts_k1": _fcgr(1), "fcgr_counts_k3": _fcgr(3), "fcgr_counts_k4": _fcgr(4), "fcgr_counts_k6": _fcgr(6),
     "kmer_freq_k3": _kmer(3, True), "kmer_raw_k3": _kmer(3, False), "kmer_pool_6_to_4": kmer_pool_6_to_4,
@@ -174,6 +260,9 @@ QUERIES: dict[str, Query] = {
     "auroc_ovr": auroc_ovr, "best_candidate": best_candidate, "rf_kmer_eval": rf_kmer_eval,
     "diag_class_means": diag_class_means, "diag_fisher": diag_fisher, "diag_differing_slots": diag_differing_slots,
     "diag_mutual_information": diag_mutual_information, "diag_depth_by_length": diag_depth_by_length,
+    "extract_kmer_k3": extract_kmer_k3, "extract_adaptive_d3": extract_adaptive_d3, "extract_combined_k2_d3": extract_combined_k2_d3, "kmer_sparse_k2": kmer_sparse_k2, "feature_info": feature_info,
+    "point_floats_p64": point_floats_p64, "point_fractions_p60": point_fractions_p60, "point_from_float_p20": point_from_float_p20, "point_update_p64": point_update_p64, "point_shown_p64": point_shown_p64,
+    "csv_task": csv_task, "stream_fcgr_k3": stream_fcgr_k3, "stream_point_p64": stream_point_p64,
 }
 
 _CLEAN = "coalesce(regexp_replace(upper({0}), '[^ACGT]', '', 'g'), '')"
@@ -289,4 +378,20 @@ def oracle_sql() -> dict[str, str]:
       p AS (SELECT idx, c, n, sum(c) OVER (PARTITION BY idx, label) AS x, sum(c) OVER (PARTITION BY idx, above) AS y FROM b)
       SELECT idx, round(greatest(sum(c / n * ln(c * n / (x * y))), 0.0), 9) AS information FROM p GROUP BY idx"""
     out["diag_depth_by_length"] = f"{_qt_sql(4, 0.05)}, d AS (SELECT doc_id, avg(depth) AS depth FROM leaves GROUP BY doc_id) SELECT round(corr(depth, length(b)), 9) AS correlation FROM d JOIN c USING (doc_id)"
+    out["extract_kmer_k3"] = out["kmer_freq_k3"]
+    out["extract_adaptive_d3"] = f"{_qt_sql(3, 0.05)} SELECT * FROM {_slots(3)}"
+    out["extract_combined_k2_d3"] = f"{_qt_sql(3, 0.05)} SELECT doc_id, {_index(2)} AS idx, sum(cnt)::DOUBLE / n AS value FROM cells GROUP BY doc_id, n, idx UNION ALL SELECT doc_id, idx + 16, value FROM {_slots(3)}"
+    out["kmer_sparse_k2"] = f"{_cells(2)} SELECT doc_id, coalesce({_index(2)}, -1) AS idx, coalesce(cnt::DOUBLE / cells.n, 0.0) AS value FROM documents LEFT JOIN cells USING (doc_id)"
+    out["feature_info"] = "SELECT 'kmer' AS type, k, pow(4, k)::BIGINT AS dimensions FROM generate_series(1, 8) t(k)"
+    number = lambda c: f"('0b' || {c})::UBIGINT"
+    p64 = f"WITH {_DOCS}, p AS (SELECT doc_id, {_bits(64)} FROM c)"
+    out["point_floats_p64"] = f"{p64} SELECT doc_id, {number('x_bits')}::DOUBLE / pow(2, 64) AS x, {number('y_bits')}::DOUBLE / pow(2, 64) AS y FROM p"
+    parts = ", ".join(f"{number(c + '_bits')}::VARCHAR AS {c}_numerator, '{2**60}' AS {c}_denominator" for c in "xy")
+    out["point_fractions_p60"] = f"WITH {_DOCS}, p AS (SELECT doc_id, {_bits(60)} FROM c) SELECT doc_id, {parts} FROM p"
+    out["point_from_float_p20"] = f"SELECT doc_id, lpad(bin(floor((doc_id % 1000) / 1000.0::DOUBLE * {2**20})::BIGINT), 20, '0') AS bits FROM documents"
+    out["point_update_p64"] = f"{p64} SELECT doc_id, '1' || x_bits[:63] AS x_bits, '0' || y_bits[:63] AS y_bits FROM p"
+    out["point_shown_p64"] = f"WITH f AS ({out['point_floats_p64']}) SELECT doc_id, printf('CGRPointPrecise(x=%.10f, y=%.10f, bits=64)', x, y) AS point FROM f"
+    out["csv_task"] = f"WITH {_DOCS} SELECT 'labelled' AS task, CASE WHEN doc_id % 5 = 0 THEN 'test' ELSE 'train' END AS split, b AS seq, (dense_rank() OVER (ORDER BY quality) - 1)::BIGINT AS label FROM c JOIN labels USING (doc_id)"
+    out["stream_fcgr_k3"] = out["chunked_fcgr_k3"]
+    out["stream_point_p64"] = f"WITH {chunks} SELECT doc_id AS conv_id, 64::INTEGER AS precision_bits, {_bits(64)}, length(b)::BIGINT AS iterations FROM c"
     return out

@@ -25,3 +25,19 @@ def ship(spark: SparkSession) -> None:
             out.write(file, str(file.relative_to(root.parent)))
     context.addPyFile(path)
     _shipped.add(context.applicationId)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a temporary folder is used on a local master, where
+    driver and executors are one process; on a cluster that is an error.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path:
+        return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    path = "file://" + tempfile.mkdtemp(prefix="tetragrid-")
+    spark.conf.set("spark.checkpoint.dir", path)
+    return path

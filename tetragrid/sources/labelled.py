@@ -21,10 +21,15 @@ FEW_CLASSES = 100_000
 
 
 def discover_tasks(spark: SparkSession, root: str) -> DataFrame:
-    """(name, train_path, test_path) of every folder below root that holds train.csv and test.csv, by name; only paths are read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "{train,test}.csv").load(root).select("path")
-    folder = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
-    both = files.groupBy(folder.alias("folder")).agg(F.max(F.when(F.col("path").endswith("/train.csv"), F.col("path"))).alias("train_path"), F.max(F.when(F.col("path").endswith("/test.csv"), F.col("path"))).alias("test_path"))
+    """(name, train_path, test_path) of every folder below root that holds train.csv and test.csv, by name; only paths are read.
+
+    Either may be a file or a folder of parts.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
+    part = lambda group: F.regexp_extract("path", r"^(.*)/(train|test)\.csv(?:/[^/]*)?$", group)
+    sides = files.select(part(1).alias("folder"), part(2).alias("side")).where("side <> ''")
+    path = lambda side: F.max(F.when(F.col("side") == side, F.concat("folder", F.lit(f"/{side}.csv")))).alias(f"{side}_path")
+    both = sides.groupBy("folder").agg(path("train"), path("test"))
     top = F.lit(root.split("://")[-1].removeprefix("file:").rstrip("/"))
     plain = F.regexp_replace("folder", "^[a-z0-9]+:/*(?=/)", "")
     name = F.when(plain == top, ".").otherwise(F.expr("substring(plain, length(top) + 2)"))
@@ -35,7 +40,8 @@ def discover_tasks(spark: SparkSession, root: str) -> DataFrame:
 def load_task(spark: SparkSession, train_path: str, test_path: str, name: str = ".") -> DataFrame:
     """(seq_id, task, split, seq, label): the first column is the sequence, the second its label; names are ignored.
 
-    A row without a label fails the query that reads it.
+    An empty cell is an empty sequence; a row without a label fails the query
+    that reads it.
     """
 
     def side(path: str, split: str) -> DataFrame:
@@ -49,7 +55,7 @@ def load_task(spark: SparkSession, train_path: str, test_path: str, name: str =
     if codes.count() <= FEW_CLASSES:
         codes = F.broadcast(codes)
     coded = rows.join(codes, "label_raw", "left").withColumn("label", F.coalesce("label", F.raise_error(F.lit("a row has no label")).cast("int")))
-    return coded.select("seq_id", F.lit(name).alias("task"), "split", F.upper("seq").alias("seq"), F.col("label").cast("int").alias("label"))
+    return coded.select("seq_id", F.lit(name).alias("task"), "split", F.upper(F.coalesce("seq", F.lit(""))).alias("seq"), F.col("label").cast("int").alias("label"))
 
 
 def save_result(spark: SparkSession, path: str, result: dict) -> None:

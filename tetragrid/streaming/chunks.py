@@ -26,7 +26,7 @@ def stream_final_point(chunks: DataFrame, precision: int = PRECISION_BITS, *, id
 
     def step(key: tuple, pages: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         tail, count, last = state.get if state.exists else ("", 0, None)
-        page = pd.concat(list(pages)).sort_values("at")
+        page = pd.concat(list(pages)).sort_values(["at", "b"])
         if last is not None and len(page) and page["at"].iloc[0] <= last:
             raise ValueError(f"chunk {page['at'].iloc[0]} of {key[0]} came after {last}")
         bases = "".join(page["b"])
@@ -53,7 +53,7 @@ def stream_cells(chunks: DataFrame, k: int, *, id_col: str = "conv_id", order_co
 
     def step(key: tuple, pages: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         x, y, last = state.get if state.exists else (0.5, 0.5, None)
-        page = pd.concat(list(pages)).sort_values("at")
+        page = pd.concat(list(pages)).sort_values(["at", "b"])
         if last is not None and len(page) and page["at"].iloc[0] <= last:
             raise ValueError(f"chunk {page['at'].iloc[0]} of {key[0]} came after {last}")
         found: Counter = Counter()
