@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 import brute
-from tetragrid.llm import chat_format, media, pii_scan, secret_scan, source_mix, spans, warc
+from tetragrid.llm import chat_format, media, pii_scan, secret_scan, source_mix, spans, store, warc
 from tetragrid.llm.html_layout import html_text, render
 from tetragrid.llm.ngram_join import ngram_jaccard_join, one_of_each
 from tetragrid.llm.piece_model import PieceModel
@@ -335,6 +335,14 @@ def test_media_query_returns_header_only_reads(spark, tmp_path):
         assert hashlib.sha256(image).hexdigest() == r.media_sha256 and (r.width, r.height, r.bit_depth) == media.png_header(image)
 
 
+@pytest.mark.parametrize("scheme", ["s3", "s3a", "s3n"])
+def test_hadoop_schemes_of_object_stores(monkeypatch, scheme):
+    seen = []
+    monkeypatch.setattr(store, "fs", type("fs", (), {"FileSystem": type("F", (), {"from_uri": staticmethod(seen.append)})}))
+    store.opened(f"{scheme}://bucket/folder")
+    assert seen == ["s3://bucket/folder"]
+
+
 def test_media_shards_are_tar_files(spark, tmp_path):
     import tarfile
 

@@ -1,18 +1,21 @@
 """Files in the shared folder, written and range-read by tasks.
 
-Paths are URIs, so the folder may be any store that pyarrow knows.  A task writes
+Paths are URIs, so the folder may be any store that pyarrow knows; the schemes
+that Hadoop has for S3 are read as its own.  A task writes
 under a name of its own attempt and hands the name out only with its rows; what a
 lost task left behind is never read.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyarrow import fs
 
 
 def opened(uri: str) -> tuple[fs.FileSystem, str]:
+    uri = re.sub("^s3[an]://", "s3://", uri)
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
