@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, pii_scan, secret_scan, source_mix, warc
+from . import chat_format, periodic_runs, pii_scan, secret_scan, source_mix, spelling, warc
 from .html_layout import html_text
+from .language_id import language_id
 from .media import media_columns
 from .ngram_join import ngram_jaccard_join
 from .pieces import decode_pieces, encode_pieces, load_model
@@ -71,7 +72,20 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(read(spark, sf_dir, "documents"))[1]
 
 
-QUERIES = (op1_source_mix, op2_chat_format, op3_secret_scan, op4_ngram_jaccard_join, op5_html_layout, op6_warc, op7_quality_rules, op8_pii_scan, op9_sentencepiece, op10_media_columns)
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(spelling.count_words(read(spark, sf_dir, "documents")))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(read(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic_runs.planted(read(spark, sf_dir, "documents"))
+    return periodic_runs.run_digests(periodic_runs.periodic_runs(docs))
+
+
+QUERIES = (op1_source_mix, op2_chat_format, op3_secret_scan, op4_ngram_jaccard_join, op5_html_layout, op6_warc, op7_quality_rules, op8_pii_scan, op9_sentencepiece, op10_media_columns, op11_spelling_variants, op12_language_id, op13_periodic_runs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
