@@ -14,58 +14,80 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.bases import require_power_of_two
+from ..operators import forest
 from ..operators.fcgr import fcgr_counts, kmer_features, pooled, sparse_arrays
+from ..operators.forest import candidates
 from ..operators.metrics import auroc, auroc_ovr, scores, stratified_folds
 from ..operators.quadtree import combined_features, qt_leaves, qt_slots
 from ..sources.labelled import discover_tasks, load_task, save_result
 
 METHODS = ("kmer", "adaptive", "kmer_qt")
-#: The full grid; a depth of None is Spark's deepest, 30.
+#: The full grid; a depth of None is no bound.
 FULL_GRID = {"n_estimators": (1000, 500, 200), "max_features": ("sqrt", "log2"), "max_depth": (20, None), "min_samples_split": (2, 5)}
 SMALL_GRID = {"n_estimators": (200,), "max_features": ("sqrt", "log2"), "max_depth": (None,), "min_samples_split": (2,)}
 SEED, FOLDS, DEEPEST = 42, 4, 30
-#: Forests that are fitted side by side; each is a job over all partitions.
+#: Forests of Spark's own that are fitted side by side; each is a job over all partitions.
 FITS_AT_ONCE = 4
 
 
-def vectors(rows: DataFrame, features: DataFrame, size: int, *, id_col: str = "seq_id") -> DataFrame:
-    """rows with a sparse vector column: the one place where rows meet Python, in Arrow batches at the model's border."""
+def vector_rows(rows: DataFrame, size: int) -> DataFrame:
+    """rows with a sparse vector column in place of indices and values: in Arrow batches, at the border of Spark's models only."""
     build = F.udf(lambda i, v: Vectors.sparse(size, i, v), VectorUDT(), useArrow=True)
-    return sparse_arrays(rows, features, id_col=id_col).withColumn("features", build("indices", "values")).drop("indices", "values")
+    return rows.withColumn("features", build("indices", "values")).drop("indices", "values")
 
 
-def train_and_evaluate(train: DataFrame, test: DataFrame, grid: dict = FULL_GRID, *, id_col: str = "seq_id", folds: int = FOLDS) -> dict:
-    """Grid search with stratified folds, a refit, and the metrics of the test rows.
+def _distributed(train: DataFrame, test: DataFrame, size: int, grid: dict, binary: bool) -> tuple[dict, DataFrame]:
+    """The best candidate and the test rows' (label, prediction, probability), with Spark's own forest, level by level over all partitions.
 
-    Spark has no least size of a split node: a least size of 2 is its default,
-    and 5 is taken as two rows in each child.
+    It has no least size of a split node and 32 cuts for each feature: a least
+    size of 2 is its default, 5 is taken as two rows in each child, and a depth
+    of None is 30.
     """
-    train = stratified_folds(train, folds, id_col=id_col).withColumn("fold", F.col("fold").cast("int")).persist()
-    classes = [r.label for r in train.select("label").distinct().orderBy("label").collect()]
-    forest = RandomForestClassifier(labelCol="label", featuresCol="features", seed=SEED)
-    names = list(grid)
-    params = {"n_estimators": forest.numTrees, "max_features": forest.featureSubsetStrategy, "max_depth": forest.maxDepth, "min_samples_split": forest.minInstancesPerNode}
+    train, test = (vector_rows(rows.drop("seq_id"), size) for rows in (train, test))
+    trees = RandomForestClassifier(labelCol="label", featuresCol="features", seed=SEED)
+    params = {"n_estimators": trees.numTrees, "max_features": trees.featureSubsetStrategy, "max_depth": trees.maxDepth, "min_samples_split": trees.minInstancesPerNode}
     to = {"max_depth": lambda v: DEEPEST if v is None else v, "min_samples_split": lambda v: 1 if v == 2 else 2}
-    maps, plain = [], []
-    for values in itertools.product(*grid.values()):
+    plain, maps = candidates(grid), []
+    for chosen in plain:
         one = ParamGridBuilder()
-        for n, v in zip(names, values, strict=True):
+        for n, v in chosen.items():
             one.addGrid(params[n], [to.get(n, lambda x: x)(v)])
         maps += one.build()
-        plain.append(dict(zip(names, values, strict=True)))
-    judge = BinaryClassificationEvaluator(labelCol="label", numBins=0) if len(classes) == 2 else MulticlassClassificationEvaluator(labelCol="label", metricName="accuracy")
-    found = CrossValidator(estimator=forest, estimatorParamMaps=maps, evaluator=judge, numFolds=folds, foldCol="fold", seed=SEED, parallelism=FITS_AT_ONCE).fit(train)
+    judge = BinaryClassificationEvaluator(labelCol="label", numBins=0) if binary else MulticlassClassificationEvaluator(labelCol="label", metricName="accuracy")
+    found = CrossValidator(estimator=trees, estimatorParamMaps=maps, evaluator=judge, numFolds=train.agg(F.max("fold")).first()[0] + 1, foldCol="fold", seed=SEED, parallelism=FITS_AT_ONCE).fit(train)
     best = max(range(len(maps)), key=lambda i: (found.avgMetrics[i], -i))
-    seen = found.bestModel.transform(test).select(F.col("label").cast("long").alias("label"), F.col("prediction").cast("long").alias("prediction"), vector_to_array("probability").alias("probability")).persist()
+    seen = found.bestModel.transform(test).select(F.col("label").cast("long").alias("label"), F.col("prediction").cast("long").alias("prediction"), vector_to_array("probability").alias("probability"))
+    return plain[best], seen
+
+
+def train_and_evaluate(train: DataFrame, test: DataFrame, size: int, grid: dict = FULL_GRID, *, id_col: str = "seq_id", folds: int = FOLDS) -> dict:
+    """Grid search with stratified folds, a refit, and the metrics of the test rows, from (id, label, indices, values).
+
+    A table that fits is broadcast, and its forests are grown tree by tree in
+    tasks, the whole grid from its largest forest; a larger one is left to
+    Spark's own forest.
+    """
+    columns = [F.col(id_col).alias("seq_id"), F.col("label").cast("int").alias("label"), "indices", "values"]
+    train = stratified_folds(train.select(columns), folds, id_col="seq_id")
+    rows = train.unionByName(test.select(columns).withColumn("fold", F.lit(-1))).persist()
+    sizes = rows.agg(F.count_if(F.col("fold") >= 0).alias("train"), F.count_if(F.col("fold") < 0).alias("test")).first()
+    classes = [int(r.label) for r in rows.where("fold >= 0").select("label").distinct().orderBy("label").collect()]
+    spark = rows.sparkSession
+    if forest.fits(sizes.train + sizes.test, size):
+        table, extra = forest.fetched(rows, size, "fold")
+        best, seen = forest.searched(spark, table, extra["fold"], extra["fold"] < 0, grid, SEED)
+    else:
+        best, seen = _distributed(rows.where("fold >= 0"), rows.where("fold < 0"), size, grid, len(classes) == 2)
+    seen = seen.persist()
     row = scores(seen).first()
     if len(classes) == 2:
-        area = auroc(seen.select((F.col("label") == classes[1]).alias("positive"), F.col("probability")[int(classes[1])].alias("score"))).first().auroc
+        area = auroc(seen.select((F.col("label") == classes[1]).alias("positive"), F.col("probability")[classes[1]].alias("score"))).first().auroc
     elif len(classes) > 2:
-        area = auroc_ovr(seen, [int(c) for c in classes]).first().auroc
+        area = auroc_ovr(seen, classes).first().auroc
     else:
         area = float("nan")
-    out = {"mcc": row.mcc, "auroc": area, "f1_macro": row.macro_f1, "accuracy": row.accuracy, "n_classes": len(classes), "train_size": train.count(), "test_size": seen.count(), "best_params": str({k: plain[best][k] for k in sorted(plain[best])})}
-    train.unpersist()
+    out = {"mcc": row.mcc, "auroc": area, "f1_macro": row.macro_f1, "accuracy": row.accuracy, "n_classes": len(classes), "train_size": sizes.train, "test_size": sizes.test, "best_params": str({k: best[k] for k in sorted(best)})}
+    rows.unpersist()
     seen.unpersist()
     return out
 
@@ -92,8 +114,8 @@ def run_task(spark: SparkSession, rows: DataFrame, name: str, *, ks=(4, 5, 6, 7,
         if method == "adaptive" and adaptive:
             seen = adaptive  # it does not depend on k
         else:
-            table = vectors(rows, features, size)
-            seen = train_and_evaluate(table.where("split = 'train'"), table.where("split = 'test'"), grid)
+            table = sparse_arrays(rows, features)
+            seen = train_and_evaluate(table.where("split = 'train'"), table.where("split = 'test'"), size, grid)
             adaptive = seen if method == "adaptive" else adaptive
         result = {"task": name, "method": method, "k": label, "grid_size": grid_size, "feature_dim": size} | seen
         print(f"  {method} k={label}: mcc {seen['mcc']:.4f} auroc {seen['auroc']:.4f} f1 {seen['f1_macro']:.4f} accuracy {seen['accuracy']:.4f}")
