@@ -86,18 +86,6 @@ def test_auroc_without_one_class_is_nan(spark):
     assert str(metrics.auroc(rows).first().auroc) == "nan"
 
 
-def test_stream_of_chunks_ends_at_the_whole_sequences_point(spark, tmp_path):
-    chunks = [(i, t, s) for i, parts in enumerate((["ACG", "", "TTA"], ["GGG"], ["xAx", "CC", "GT"])) for t, s in enumerate(parts)]
-    for t in range(3):
-        spark.createDataFrame([c for c in chunks if c[1] == t], "conv_id long, turn long, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("conv_id long, turn long, text string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    query = stream_final_point(stream, 8).writeStream.format("memory").queryName("tails").outputMode("update").option("checkpointLocation", str(tmp_path / "ckpt")).trigger(availableNow=True).start()
-    query.awaitTermination(120)
-    last = spark.table("tails").groupBy("id").agg(F.max_by("tail", "iterations").alias("tail"), F.max("iterations").alias("iterations"))
-    whole = spark.createDataFrame([(0, "ACGTTA"), (1, "GGG"), (2, "xAxCCGT")], "doc_id long, text string")
-    assert sorted(points(last, 8).collect()) == sorted(point.final_point(whole, 8).collect())
-
-
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_query_equals_its_sql(spark, name):

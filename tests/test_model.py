@@ -10,7 +10,6 @@ from tetragrid.functions.bases import chi_square_p, chi_square_tail
 from tetragrid.operators import diagnostics, fcgr, metrics, point, quadtree
 from tetragrid.plans import benchmark, registry
 from tetragrid.sources import labelled
-from tetragrid.streaming.chunks import stream_cells
 
 TINY = {"n_estimators": (5,), "max_features": ("sqrt",), "max_depth": (None,), "min_samples_split": (2,)}
 
@@ -179,17 +178,3 @@ def test_batch_features_are_those_of_their_parts(spark):
 def test_the_registered_forest_gives_one_row(spark):
     r = registry.rf_kmer_eval(spark, "/root/testdata/sf0.001").first()
     assert r.n_classes == 2 and r.train_size > r.test_size > 0 and 0 < r.accuracy <= 1
-
-
-def test_streamed_cells_add_up_to_the_counts(spark, tmp_path):
-    rng = random.Random(8)
-    parts = [[(i, t, "CG" * 30 if i == 0 else "".join(rng.choice("ACGTn") for _ in range(rng.randrange(30)))) for i in range(4)] for t in range(5)]
-    for t, rows in enumerate(parts):
-        spark.createDataFrame(rows, "conv_id long, turn long, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("conv_id long, turn long, text string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    run = stream_cells(stream, 3).writeStream.outputMode("append").format("parquet").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(str(tmp_path / "out"))
-    run.awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "out")).groupBy("id", "z").agg(F.sum("cnt").alias("cnt"))
-    whole = spark.createDataFrame([(i, "".join(rows[i][2] for rows in parts)) for i in range(4)], "id long, seq string")
-    want = fcgr.fcgr_counts(whole, 3, id_col="id", seq_col="seq").select("id", "z", "cnt")
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))

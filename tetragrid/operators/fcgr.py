@@ -1,12 +1,14 @@
 """Chaos-game counts: a cell's count is how often its k bases end a prefix of the sequence.
 
 The counts are windows over a padded string, taken where the sequences are read;
-only (id, cell, count) is shuffled.  Only sequences with a run long enough to
-carry in float64 are walked base by base.
+only (id, cell, count) is shuffled.  Only the bases around a run long enough to
+carry in float64 are walked one by one.
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -27,40 +29,117 @@ def walk(bases: str, side: int, found: Counter, x: float = 0.5, y: float = 0.5)
     return x, y
 
 
-def walk_cells(bases: str, k: int) -> Counter:
-    """Counts of cells of the float64 walk from the centre."""
-    found = Counter()
-    walk(bases, 2**k, found)
-    return named_cells(found, k)
-
-
 def named_cells(found: Counter, k: int) -> Counter:
     return Counter({"".join(str(2 * (i >> j & 1) + (j2 >> j & 1)) for j in range(k - 1, -1, -1)): n for (i, j2), n in found.items()})
 
 
+#: Bases that are looked back on first for a point of the float64 walk; then four times as many, and so on.
+LOOK_BACK = 128
+
+
+def _path(bases: str, x: float, y: float) -> Iterator[tuple[float, float]]:
+    for base in bases:
+        x, y = (x + (base in "CG")) / 2, (y + (base in "GT")) / 2
+        yield x, y
+
+
+def end_point(bases: str, x: float = 0.5, y: float = 0.5) -> tuple[float, float]:
+    """The end of the float64 walk over the bases from a point, from the last of them wherever these decide it.
+
+    A step keeps the order of points, so where the walks from 0 and from 1 meet,
+    all walks do.
+    """
+    back = LOOK_BACK
+    while back < len(bases):
+        tail = bases[-back:]
+        low, high = ((0.0, 0.0), (1.0, 1.0))
+        for low, high in zip(_path(tail, *low), _path(tail, *high), strict=True):  # noqa: B020
+            pass
+        if low == high:
+            return low
+        back *= 4
+    for x, y in _path(bases, x, y):  # noqa: B020
+        pass
+    return x, y
+
+
+def carried_cells(bases: str, first: int, last: int, k: int, start: tuple[float, float] | None) -> np.ndarray | None:
+    """The cells, as numbers, of the float64 walk after each of bases[first:last].
+
+    The walk is begun so far before them that walks from 0 and from 1 give the
+    same cells.  start is the point before all bases; without it, None is the
+    answer where the bases do not decide.
+    """
+    side, back = 2**k, LOOK_BACK
+    cell = lambda v: min(int(v * side), side - 1)
+    while True:
+        begin = max(0, first - back)
+        exact = begin == 0 and start is not None
+        low, high = (start, start) if exact else ((0.0, 0.0), (1.0, 1.0))
+        part, skip = bases[begin:last], first - begin
+        cells = [(cell(x), cell(y)) for x, y in itertools.islice(_path(part, *low), skip, None)]
+        if exact or cells == [(cell(x), cell(y)) for x, y in itertools.islice(_path(part, *high), skip, None)]:
+            xy = np.array(cells, np.int64).reshape(-1, 2)
+            places = np.arange(k)
+            return ((xy[:, :1] >> places & 1) * 2 + (xy[:, 1:] >> places & 1) << 2 * places).sum(1)
+        if begin == 0:
+            return None
+        back *= 4
+
+
 #: Bases whose windows are counted at once.
 STRETCH = 1 << 22
 _DIGIT = np.zeros(256, np.int64)
 _DIGIT[list(b"ATCG")] = range(4)
 
 
-def window_cells(bases: str, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Cells, as numbers of k base-4 digits, and their counts; a long sequence is taken in stretches that overlap by k - 1 bases."""
-    codes = _DIGIT[np.frombuffer((padding(k) + bases).encode(), np.uint8)]
+def _summed(cells: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    cells, place = np.unique(cells, return_inverse=True)
+    counts = np.bincount(place, counts, len(cells)).astype(np.int64)
+    return cells[counts != 0], counts[counts != 0]
+
+
+def window_cells(bases: str, k: int, before: str = "", start: tuple[float, float] | None = (0.5, 0.5)) -> tuple[np.ndarray, np.ndarray] | None:
+    """Cells, as numbers of k base-4 digits, and their counts over bases, which follow on the bases before; start is the point before both.
+
+    A cell is that of the last k bases but for those within reach of a run that
+    can carry: there the float64 walk is taken up again a bounded way before.  A
+    long sequence is taken in stretches that overlap by k - 1 bases.  None if a
+    run is not decided by what is known, which needs an unknown start.
+    """
+    text = before + bases
+    codes = _DIGIT[np.frombuffer(((padding(k) + text)[-(len(bases) + k - 1) :] if k > 1 else bases).encode(), np.uint8)] if bases else np.zeros(0, np.int64)
     cells, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for at in range(0, len(bases), STRETCH):
-        own = codes[at : at + STRETCH + k - 1]
-        size = len(own) - k + 1
-        value = np.zeros(size, np.int64)
+
+    def of(begin: int, end: int) -> np.ndarray:
+        value = np.zeros(end - begin, np.int64)
         for back in range(k):
-            value += own[k - 1 - back : k - 1 - back + size] << 2 * (k - 1 - back)
-        more, n = np.unique(value, return_counts=True)
-        cells, place = np.unique(np.concatenate([cells, more]), return_inverse=True)
-        counts = np.bincount(place, np.concatenate([counts, n]), len(cells)).astype(np.int64)
+            value += codes[begin + k - 1 - back : end + k - 1 - back] << 2 * (k - 1 - back)
+        return value
+
+    for at in range(0, len(bases), STRETCH):
+        more, n = np.unique(of(at, min(at + STRETCH, len(bases))), return_counts=True)
+        cells, counts = _summed(np.concatenate([cells, more]), np.concatenate([counts, n]))
+    done = len(before)
+    for first, last in sorted((run.start(), min(len(text), run.end() + k + 1)) for axis in _carries(k) for run in axis.finditer(text)):
+        first = max(first, done)
+        if first < last:
+            own = carried_cells(text, first, last, k, start)
+            if own is None:
+                return None
+            plain = of(first - len(before), last - len(before))
+            cells, counts = _summed(np.concatenate([cells, own, plain]), np.concatenate([counts, np.ones(len(own)), -np.ones(len(plain))]))
+            done = last
     return cells, counts
 
 
-def _names(cells: np.ndarray, k: int) -> pa.Array:
+@functools.cache
+def _carries(k: int) -> list[re.Pattern]:
+    """For each axis the runs that can carry; those of different axes may share bases."""
+    return [re.compile(axis) for axis in carry_pattern(k).split("|")]
+
+
+def cell_names(cells: np.ndarray, k: int) -> pa.Array:
     """The digits of each cell as text."""
     places = 2 * np.arange(k - 1, -1, -1)
     text = ((cells[:, None] >> places & 3) + ord("0")).astype(np.uint8)
@@ -69,7 +148,6 @@ def _names(cells: np.ndarray, k: int) -> pa.Array:
 
 def _count(k: int):
     """Rows (id, n, z, cnt) of the cells of each sequence (id, bases)."""
-    carries = re.compile(carry_pattern(k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,14 +156,9 @@ def _count(k: int):
                 bases = cell.as_py()
                 if not bases:
                     continue
-                if carries.search(bases):
-                    found = walk_cells(bases, k)
-                    names.append(pa.array(list(found), pa.string()))
-                    counts.append(np.fromiter(found.values(), np.int64))
-                else:
-                    cells, own = window_cells(bases, k)
-                    names.append(_names(cells, k))
-                    counts.append(own)
+                cells, own = window_cells(bases, k)
+                names.append(cell_names(cells, k))
+                counts.append(own)
                 rows.append(row)
                 lengths.append(len(bases))
                 held += len(counts[-1])

@@ -8,11 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import sql
 from ..functions.bases import clean, critical_value
 from ..operators import diagnostics, fcgr, metrics, point, quadtree
 from ..session import shared_dir
 from ..sources.labelled import discover_tasks, load_task
-from ..streaming.chunks import chunk_counts, points, stream_cells, stream_final_point
+from ..streaming.chunks import chunk_counts, chunked_final_point, points, state_store, stream_cells, stream_final_point
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -187,7 +188,12 @@ def kmer_sparse_k2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feature_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([fcgr.feature_info(k) for k in range(1, 9)], "type string, k long, dimensions long")
+    """What the features of each k are, and how many slots the documents fill of them."""
+    counts = _counts(spark, sf_dir, 4)
+    info = spark.createDataFrame([fcgr.feature_info(k) for k in range(1, 5)], "type string, k long, dimensions long")
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.substring("z", 1, k).alias("z")) for k in range(1, 5))))
+    used = counts.select(each.alias("c")).groupBy("c.k").agg(F.count_distinct("c.z").alias("used"))
+    return info.join(used, "k", "left").select("type", "k", "dimensions", F.coalesce("used", F.lit(0)).alias("used"))
 
 
 def point_floats_p64(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,14 +233,22 @@ def csv_task(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_task(spark, task.train_path, task.test_path, task.name).select("task", "split", "seq", F.col("label").cast("long").alias("label"))
 
 
+#: Triggers that the streamed conversations are spread over; which chunk comes in which is decided by a hash.
+TRIGGERS = 5
+
+
 def _streamed(spark: SparkSession, sf_dir: str, operator: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
-    """What the operator gives for the conversations read as a stream; each trigger is written once, under its number."""
-    path = f"{sf_dir.rstrip('/')}/conversations.parquet"
-    out = operator(spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*"))  # a stream reads one file only by a pattern
+    """What the operator gives for the conversations, whose chunks come out of order over several triggers; each trigger is written once, under its number."""
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    chunks = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    dealt = chunks.withColumn("_trigger", F.pmod(F.xxhash64("conv_id", "turn"), F.lit(TRIGGERS)))
+    for n in range(TRIGGERS):
+        dealt.where(F.col("_trigger") == n).drop("_trigger").coalesce(1).write.parquet(f"{base}/in/{n}")
+    out = operator(spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in/*"))
     keep = lambda batch, n: batch.write.mode("overwrite").parquet(f"{base}/out/trigger={n}")
-    query = out.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
+    with state_store(spark):
+        query = out.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{base}/out")
 
 
@@ -249,6 +263,32 @@ def stream_point_p64(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points(last, 64).withColumnRenamed("id", "conv_id")
 
 
+def chunked_point_p64(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunked_final_point(_read(spark, sf_dir, "conversations"), 64).withColumnRenamed("id", "conv_id")
+
+
+def sql_kmer_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In SQL: the cells of each document by the table function, and whether its four bases are far from even."""
+    sql.register(spark)
+    text = """
+        WITH even AS (
+          SELECT d.doc_id, chi_square_p(4.0D * sum(w.cnt * w.cnt) / sum(w.cnt) - sum(w.cnt)) < 0.05 AS uneven
+          FROM {docs} d, LATERAL kmer_windows(d.text, 1) w GROUP BY d.doc_id)
+        SELECT c.doc_id, c.z, c.cnt, even.uneven
+        FROM (SELECT d.doc_id, w.z, sum(w.cnt) AS cnt FROM {docs} d, LATERAL kmer_windows(d.text, 3) w GROUP BY d.doc_id, w.z) c JOIN even ON c.doc_id = even.doc_id"""
+    return spark.sql(text, docs=_read(spark, sf_dir, "documents"))
+
+
+def sql_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In SQL: each document's end point as bits, numbers and fractions, and the bits of a number."""
+    sql.register(spark)
+    text = """
+        WITH p AS (SELECT doc_id, cgr_bits(text, 60, 'x') AS x_bits, cgr_bits(text, 60, 'y') AS y_bits FROM {docs})
+        SELECT doc_id, x_bits, y_bits, cgr_to_float(x_bits) AS x, cgr_to_float(y_bits) AS y, cgr_to_fraction(x_bits).numerator AS x_numerator, cgr_from_float(pmod(doc_id, 1000) / 1000.0D, 20) AS bits
+        FROM p"""
+    return spark.sql(text, docs=_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "clean_stats": clean_stats, "fcgr_counts_k1": _fcgr(1), "fcgr_counts_k3": _fcgr(3), "fcgr_counts_k4": _fcgr(4), "fcgr_counts_k6": _fcgr(6),
     "kmer_freq_k3": _kmer(3, True), "kmer_raw_k3": _kmer(3, False), "kmer_pool_6_to_4": kmer_pool_6_to_4,
@@ -261,6 +301,7 @@ QUERIES: dict[str, Query] = {
     "diag_mutual_information": diag_mutual_information, "diag_depth_by_length": diag_depth_by_length,
     "extract_kmer_k3": extract_kmer_k3, "extract_adaptive_d3": extract_adaptive_d3, "extract_combined_k2_d3": extract_combined_k2_d3, "kmer_sparse_k2": kmer_sparse_k2, "feature_info": feature_info,
     "point_floats_p64": point_floats_p64, "point_fractions_p60": point_fractions_p60, "point_from_float_p20": point_from_float_p20, "point_update_p64": point_update_p64, "point_shown_p64": point_shown_p64,
+    "chunked_point_p64": chunked_point_p64, "sql_kmer_windows": sql_kmer_windows, "sql_points": sql_points,
     "csv_task": csv_task, "stream_fcgr_k3": stream_fcgr_k3, "stream_point_p64": stream_point_p64,
 }
 
@@ -381,7 +422,7 @@ def oracle_sql() -> dict[str, str]:
     out["extract_adaptive_d3"] = f"{_qt_sql(3, 0.05)} SELECT * FROM {_slots(3)}"
     out["extract_combined_k2_d3"] = f"{_qt_sql(3, 0.05)} SELECT doc_id, {_index(2)} AS idx, sum(cnt)::DOUBLE / n AS value FROM cells GROUP BY doc_id, n, idx UNION ALL SELECT doc_id, idx + 16, value FROM {_slots(3)}"
     out["kmer_sparse_k2"] = f"{_cells(2)} SELECT doc_id, coalesce({_index(2)}, -1) AS idx, coalesce(cnt::DOUBLE / cells.n, 0.0) AS value FROM documents LEFT JOIN cells USING (doc_id)"
-    out["feature_info"] = "SELECT 'kmer' AS type, k, pow(4, k)::BIGINT AS dimensions FROM generate_series(1, 8) t(k)"
+    out["feature_info"] = f"{_cells(4)} SELECT 'kmer' AS type, k, pow(4, k)::BIGINT AS dimensions, count(DISTINCT substr(z, 1, k))::BIGINT AS used FROM generate_series(1, 4) t(k) LEFT JOIN cells ON true GROUP BY k"
     number = lambda c: f"('0b' || {c})::UBIGINT"
     p64 = f"WITH {_DOCS}, p AS (SELECT doc_id, {_bits(64)} FROM c)"
     out["point_floats_p64"] = f"{p64} SELECT doc_id, {number('x_bits')}::DOUBLE / pow(2, 64) AS x, {number('y_bits')}::DOUBLE / pow(2, 64) AS y FROM p"
@@ -393,4 +434,10 @@ def oracle_sql() -> dict[str, str]:
     out["csv_task"] = f"WITH {_DOCS} SELECT 'labelled' AS task, CASE WHEN doc_id % 5 = 0 THEN 'test' ELSE 'train' END AS split, b AS seq, (dense_rank() OVER (ORDER BY quality) - 1)::BIGINT AS label FROM c JOIN labels USING (doc_id)"
     out["stream_fcgr_k3"] = out["chunked_fcgr_k3"]
     out["stream_point_p64"] = f"WITH {chunks} SELECT doc_id AS conv_id, 64::INTEGER AS precision_bits, {_bits(64)}, length(b)::BIGINT AS iterations FROM c"
+    out["chunked_point_p64"] = out["stream_point_p64"]
+    out["sql_kmer_windows"] = f"""{_cells(3)}, even AS (
+        SELECT doc_id, 4.0 * sum(c * c)::DOUBLE / sum(c) - sum(c) > {critical_value(0.05)!r}::DOUBLE AS uneven FROM (SELECT doc_id, substr(z, 1, 1) AS base, sum(cnt) AS c FROM cells GROUP BY ALL) GROUP BY doc_id)
+      SELECT doc_id, z, cnt, uneven FROM cells JOIN even USING (doc_id)"""
+    out["sql_points"] = f"""WITH {_DOCS}, p AS (SELECT doc_id, {_bits(60)} FROM c)
+      SELECT doc_id, x_bits, y_bits, {number('x_bits')}::DOUBLE / pow(2, 60) AS x, {number('y_bits')}::DOUBLE / pow(2, 60) AS y, {number('x_bits')}::VARCHAR AS x_numerator, lpad(bin(floor((doc_id % 1000) / 1000.0::DOUBLE * {2**20})::BIGINT), 20, '0') AS bits FROM p"""
     return out
