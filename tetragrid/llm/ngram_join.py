@@ -8,12 +8,13 @@ suffix filter thins them again once the sets are at hand, and each pair that is
 left is verified once, by its exact overlap.
 
 Rarity is counted, not estimated, at the cost of some bytes for each n-gram: a
-task sends sorted fingerprints of the n-grams of half a million of them at
-once, as compressed differences, to the counters of their ranges; these answer
-with a byte for each, which the task finds by the place of its first row when it
-reads the same rows again.  A fingerprint has ten bits more than the number of
-n-grams, so one in a thousand counts too many and none too few.  N-grams of one
-document alone then never leave their task.
+task sends sorted fingerprints of the n-grams of a piece of a file, as
+compressed differences, to the counters of their ranges; these answer with the
+fingerprints and a byte for each.  A piece lies within a fixed range of rows of
+one file, and who reads rows of that range again looks fingerprints up in all
+its answers, so it does not matter how either scan was split.  A fingerprint has
+ten bits more than the number of n-grams, so one in a thousand counts too many
+and none too few.  N-grams of one document alone then never leave their task.
 
 Groups of copies are never expanded into all their pairs:
 
@@ -46,11 +47,13 @@ from pyspark.sql.types import StructType
 
 from . import textkernel as K
 from .components import connected_components
-from .places import Facts, place, placed, places
+from .places import Facts, column_of, place, placed, places, stretches
 from .workspace import Workspace
 
-#: N-grams whose fingerprints are sent together, and that one range of them has on the average.
-PIECE_GRAMS, RANGE_GRAMS = 1 << 19, 1 << 21
+#: N-grams whose fingerprints are sent together at most, the rows of a file that share answers, and n-grams that one range of them has on the average.
+PIECE_GRAMS, PIECE_ROWS, RANGE_GRAMS = 1 << 19, 1024, 1 << 21
+#: Rows of the table whose answers lie in one bucket, on the average.
+RARITY_ROWS = 1 << 14
 #: Bits of a fingerprint beyond those of the number of n-grams.
 SPARE_BITS = 10
 #: A prefix n-gram that has more nodes than this is handled in several parts.
@@ -98,18 +101,19 @@ def _scan(k: int):
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], k: int, copies: Facts) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
-    """Files, rows and sets of runs of rows of (text, file, row) that are no copies; the same runs whenever the table is read."""
+    """Files, rows and sets of runs of rows of (text, file, row) that are no copies; a run lies within PIECE_ROWS rows of one file, and where it is cut does not matter."""
     for batch in batches:
         file, row = places(batch)
         keep = ~copies.holds(file, row)
         texts, file, row = batch.column(0).filter(pa.array(keep)), file[keep], row[keep]
-        held, grams, first = [], 0, 0
-        for a, sets in shingle_sets(texts, k):
-            held += sets
-            grams += sum(map(len, sets))
-            if grams >= PIECE_GRAMS or a + len(sets) == len(texts):
-                yield file[first : first + len(held)], row[first : first + len(held)], held
-                held, grams, first = [], 0, first + len(held)
+        for begin, end in stretches(file, row // PIECE_ROWS):
+            held, grams, first = [], 0, begin
+            for a, sets in shingle_sets(texts.slice(begin, end - begin), k):
+                held += sets
+                grams += sum(map(len, sets))
+                if grams >= PIECE_GRAMS or begin + a + len(sets) == end:
+                    yield file[first : first + len(held)], row[first : first + len(held)], held
+                    held, grams, first = [], 0, first + len(held)
 
 
 def _prints(sets: list[np.ndarray], bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -140,7 +144,7 @@ def _requests(k: int, bits: int, range_bits: int, copies: Facts):
             prints, counts = _prints(sets, bits)
             if not len(prints):
                 continue
-            counts = np.minimum(counts, 65535).astype(np.uint16)
+            counts = counts.astype(np.uint32)
             part = (prints >> cut).astype(np.int64)
             at = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
             ends = np.append(at[1:], len(part))
@@ -164,13 +168,13 @@ def least_count(levels: np.ndarray) -> np.ndarray:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (file, row, part, levels) that answer those of _requests, which come by part."""
+    """Rows (file, row, part, grams, levels) that answer those of _requests, which come by part."""
 
-    def answers(part: int, rows: list[tuple[int, int, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        prints = np.concatenate([x[2] for x in rows])
-        own = np.concatenate([x[3] for x in rows])
-        cuts = np.cumsum([0] + [len(x[2]) for x in rows])
-        rows = [x[:2] for x in rows]
+    def answers(part: int, rows: list[tuple[int, int, bytes, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        prints = np.concatenate([x[3] for x in rows])
+        own = np.concatenate([x[4] for x in rows])
+        cuts = np.cumsum([0] + [len(x[3]) for x in rows])
+        rows = [x[:3] for x in rows]
         order = np.argsort(prints, kind="stable")
         prints = prints[order]
         new = np.append(True, prints[1:] != prints[:-1])
@@ -178,9 +182,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = np.empty(len(prints), np.uint8)
         levels[order] = level(sums)[np.cumsum(new) - 1]
         packed = [_packed(levels[a:b]) for a, b in zip(cuts, cuts[1:])]  # noqa: B905
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.int64()), pa.array([part] * len(rows), pa.int32()), pa.array(packed, pa.binary())], ["file", "row", "part", "levels"])
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.int64()), pa.array([part] * len(rows), pa.int32()), pa.array([x[2] for x in rows], pa.binary()), pa.array(packed, pa.binary())], ["file", "row", "part", "grams", "levels"])
 
-    held: list[tuple[int, int, np.ndarray, np.ndarray]] = []
+    held: list[tuple[int, int, bytes, np.ndarray, np.ndarray]] = []
     last = None
     for batch in batches:
         for part, file, row, grams, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -188,7 +192,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield from answers(last, held)
                 held = []
             last = part
-            held.append((file, row, np.cumsum(_unpacked(grams, np.uint64)), _unpacked(counts, np.uint16)))
+            held.append((file, row, grams, np.cumsum(_unpacked(grams, np.uint64)), _unpacked(counts, np.uint32)))
     if held:
         yield from answers(last, held)
 
@@ -197,25 +201,38 @@ def prefix_length(n, num: int, den: int):
     return n - _ceil(num * n, den) + 1
 
 
-def _postings(k: int, num: int, den: int, bits: int, copies: Facts, rarity: Facts):
+class Rarity:
+    """The levels of the n-grams of one piece's range of rows at a time, from all answers about it."""
+
+    def __init__(self, facts: Facts, bits: int, range_bits: int):
+        self.facts, self.shift, self.cut, self._at = facts, np.uint64(64 - bits), np.uint64(bits - range_bits), None
+
+    def levels(self, file: int, row: int, grams: np.ndarray) -> np.ndarray:
+        if self._at != (file, row // PIECE_ROWS):
+            known = self.facts.of(file, row)
+            rows = known.column("row").to_numpy()
+            a, b = np.searchsorted(rows, [row // PIECE_ROWS * PIECE_ROWS, (row // PIECE_ROWS + 1) * PIECE_ROWS])
+            own = known.slice(a, b - a)
+            parts = [np.zeros(0, np.uint64)] + [(np.uint64(part) << self.cut) + np.cumsum(_unpacked(g, np.uint64)) for part, g in zip(own.column("part").to_pylist(), own.column("grams").to_pylist(), strict=True)]
+            levels = [np.zeros(0, np.uint8)] + [_unpacked(x, np.uint8) for x in own.column("levels").to_pylist()]
+            self._prints, first = np.unique(np.concatenate(parts), return_index=True)
+            self._levels, self._at = np.concatenate(levels)[first], (file, row // PIECE_ROWS)
+        prints = grams >> self.shift
+        at = np.searchsorted(self._prints, prints)
+        if len(prints) and (at.max() >= len(self._prints) or (self._prints[at] != prints).any()):
+            raise ValueError("the table has n-grams that were not counted: it changed while it was read")
+        return self._levels[at]
+
+
+def _postings(k: int, num: int, den: int, bits: int, range_bits: int, copies: Facts, facts: Facts):
     """Prefix n-grams that other nodes have too as rows (gram, salt, file, row, n, pos); the salt is 0 unless the n-gram is handled in parts."""
-    shift = np.uint64(64 - bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rarity = Rarity(facts, bits, range_bits)
         for file, row, sets in _pieces(batches, k, copies):
-            prints, _ = _prints(sets, bits)
-            if not len(prints):
-                continue
-            facts = rarity.of(int(file[0]))
-            at = facts.column("row").to_numpy()
-            a, b = np.searchsorted(at, row[0]), np.searchsorted(at, row[0], side="right")
-            own = facts.slice(a, b - a).sort_by("part").column("levels").to_pylist()
-            levels = np.concatenate([_unpacked(x, np.uint8) for x in own]) if own else np.zeros(0, np.uint8)
-            if len(levels) != len(prints):
-                raise ValueError("the table was not read in the same pieces as before")
             out = []
             for f, r, grams in zip(file.tolist(), row.tolist(), sets, strict=True):
-                often = levels[np.searchsorted(prints, grams >> shift)]
+                often = rarity.levels(f, r, grams)
                 order = np.argsort(often, kind="stable")[: prefix_length(len(grams), num, den)] if len(grams) else np.zeros(0, np.int64)
                 shared = np.flatnonzero(often[order] > 1)
                 if len(shared):
@@ -262,7 +279,7 @@ def _sets(k: int, wanted: Facts):
             for first, sets in shingle_sets(batch.column(0).filter(pa.array(keep)), k):
                 uses = []
                 for f, r in zip(file[first : first + len(sets)].tolist(), row[first : first + len(sets)].tolist(), strict=True):
-                    known = wanted.of(f)
+                    known = wanted.of(f, r)
                     at = known.column("row").to_numpy()
                     a, b = np.searchsorted(at, r), np.searchsorted(at, r, side="right")
                     uses.append(known.slice(a, b - a))
@@ -363,7 +380,7 @@ def _open_pairs(posts: DataFrame, roots: DataFrame, tested: DataFrame, ws: Works
     return pairs.join(known, ["head", "place"], "left_anti")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, files: int, ws: Workspace, name: str, k: int, num: int, den: int) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, size: int, ws: Workspace, name: str, k: int, num: int, den: int) -> DataFrame:
     """(head, place, linked) for each pair, from the whole texts of the nodes' rows."""
     pairs = ws.save(pairs, f"{name}-pairs")
     hot = _hot(pairs, "head")
@@ -371,7 +388,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, files: int, ws: Workspace, nam
     member = salted.select("head", F.pmod(F.xxhash64("place"), F.col("shares")).cast("int").alias("salt"), "place")
     heads = salted.groupBy("head").agg(F.max("shares").alias("shares")).select("head", F.explode(F.sequence(F.lit(0), F.col("shares").cast("int") - 1)).alias("salt"), F.col("head").alias("place"))
     uses = member.unionByName(heads).select("place.file", "place.row", F.col("head.file").alias("head_file"), F.col("head.row").alias("head_row"), "salt")
-    wanted = Facts.save(uses, ws, f"{name}-wanted", files)
+    wanted = Facts.save(uses, ws, f"{name}-wanted", size)
     sets = texts.mapInArrow(_sets(k, wanted), "head_file long, head_row long, salt int, file long, row long, grams binary")
     by_head = sets.repartition("head_file", "head_row", "salt").sortWithinPartitions("head_file", "head_row", "salt", F.expr("file <> head_file or row <> head_row"), "file", "row")
     tested = by_head.mapInArrow(_verify(num, den), "head_file long, head_row long, file long, row long, linked boolean")
@@ -379,27 +396,27 @@ def _verified(pairs: DataFrame, texts: DataFrame, files: int, ws: Workspace, nam
 
 
 def _classes(texts: DataFrame, ws: Workspace, k: int, num: int, den: int) -> tuple[DataFrame, int]:
-    """(id, file, row, n, least) of each row of (id, text, file, row), and the number of files; least is (no_id, id, file, row) of the class's row of least id, null for an empty set."""
+    """(id, file, row, n, least) of each row of (id, text, file, row), and the number of rows; least is (no_id, id, file, row) of the class's row of least id, null for an empty set."""
     fields = StructType([texts.schema["id"], *StructType.fromDDL("file long, row long, n long, digest binary").fields])
     rows = ws.save(texts.mapInArrow(_scan(k), fields), "rows")
     own = F.struct(F.col("id").isNull().alias("no_id"), "id", "file", "row")
     nodes = ws.save(rows.where("digest is not null").groupBy("digest").agg(F.min(own).alias("least"), F.max("n").alias("n")), "nodes")
-    files, grams = rows.select("file").distinct().count(), nodes.agg(F.sum("n")).first()[0] or 0
+    size, grams = rows.count(), nodes.agg(F.sum("n")).first()[0] or 0
     texts = texts.select("text", "file", "row")
     copies = rows.select("file", "row").join(nodes.select("least.file", "least.row"), ["file", "row"], "left_anti")
-    copies = Facts.save(copies, ws, "copies", files)
+    copies = Facts.save(copies, ws, "copies", size)
     bits = min(64, max(grams, 1).bit_length() + SPARE_BITS)
     range_bits = max(0, math.ceil(math.log2(max(grams, 1) / RANGE_GRAMS)))
     asked = texts.mapInArrow(_requests(k, bits, range_bits, copies), "part int, file long, row long, grams binary, counts binary")
     asked = asked.repartition(2**range_bits, "part").sortWithinPartitions("part")
-    rarity = Facts.save(asked.mapInArrow(_count, "file long, row long, part int, levels binary"), ws, "rarity", files, "part")
-    posts = texts.mapInArrow(_postings(k, num, den, bits, copies, rarity), "gram long, salt int, file long, row long, n long, pos long")
+    rarity = Facts.save(asked.mapInArrow(_count, "file long, row long, part int, grams binary, levels binary"), ws, "rarity", size, "part", each=RARITY_ROWS)
+    posts = texts.mapInArrow(_postings(k, num, den, bits, range_bits, copies, rarity), "gram long, salt int, file long, row long, n long, pos long")
     posts = ws.save(_matchable(posts, num, den), "posts")
     ws.drop("rarity", "copies")
-    tested = _verified(_hub_pairs(posts, num, den), texts, files, ws, "hub", k, num, den)
+    tested = _verified(_hub_pairs(posts, num, den), texts, size, ws, "hub", k, num, den)
     edge = lambda t: t.where("linked").select(F.col("head").alias("a"), F.col("place").alias("b"))
     roots = connected_components(edge(tested), ws, "near").withColumnRenamed("node", "place")
-    more = _verified(_open_pairs(posts, roots, tested, ws, num, den), texts, files, ws, "open", k, num, den)
+    more = _verified(_open_pairs(posts, roots, tested, ws, num, den), texts, size, ws, "open", k, num, den)
     roots = connected_components(roots.select(F.col("place").alias("a"), F.col("root").alias("b")).unionByName(edge(more)), ws, "all")
     nodes = nodes.withColumn("node", F.struct("least.file", "least.row")).join(roots, "node", "left").select("digest", "least", F.coalesce("root", "node").alias("root"))
     nodes = ws.save(nodes, "rooted-nodes")
@@ -407,7 +424,7 @@ def _classes(texts: DataFrame, ws: Workspace, k: int, num: int, den: int) -> tup
     least = ws.save(nodes.groupBy("root").agg(F.min("least").alias("class")), "least")
     nodes = ws.save(nodes.join(least, "root").select("digest", F.col("class").alias("least")), "classes")
     ws.drop("posts", "rooted", "mixed", "open", "hub-pairs", "open-pairs", "hub-wanted", "open-wanted", "hub-tested", "open-tested", "nodes", "rooted-nodes", "least")
-    return rows.join(nodes, "digest", "left").select("id", "file", "row", "n", "least"), files
+    return rows.join(nodes, "digest", "left").select("id", "file", "row", "n", "least"), size
 
 
 def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: tuple[int, int] = (3, 4)) -> DataFrame:
@@ -421,7 +438,8 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     are documents of their own, each with the component of its text; a null id
     never becomes a component_id unless all rows of the class have it.  Other
     columns are ignored, whatever their names.  A table that is no plain scan of
-    Parquet files is written to the workspace first.
+    Parquet files is written to the workspace first; an empty one gives an empty
+    result.
     """
     ws = Workspace(docs.sparkSession, "ngram-join")
     docs = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
@@ -439,11 +457,9 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """
     ws = Workspace(docs.sparkSession, "one-of-each")
     whole = placed(docs, ws)
-    fields = whole.schema["doc"].dataType.fields
-    doc = lambda c: F.col("doc").getField(next(f.name for f in fields if f.name.lower() == c.lower()))
-    out, files = _classes(whole.select(doc(id_col).alias("id"), doc(text_col).cast("string").alias("text"), "file", "row"), ws, k, *threshold)
+    out, size = _classes(whole.select(column_of(whole, id_col).alias("id"), column_of(whole, text_col).cast("string").alias("text"), "file", "row"), ws, k, *threshold)
     copies = out.where("least is not null and (file <> least.file or row <> least.row)").select("file", "row")
-    copies = Facts.save(copies, ws, "dropped", files)
+    copies = Facts.save(copies, ws, "dropped", size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,9 +1,10 @@
 """Rows of a table of files, addressed by their place: the file, by a hash of its path, and the row's number in it.
 
-Facts about rows are kept in the shared folder, in buckets of files.  A task that
-reads the table again fetches the facts about its own files only, so rows are
-picked, passed over or annotated where they stand: no text is shuffled and
-nothing that grows with the table is broadcast.
+Facts about rows are kept in the shared folder, in buckets of spans: a span is a
+fixed number of rows of a file.  A task that reads the table again fetches the
+facts about the spans it meets, one at a time, so rows are picked, passed over
+or annotated where they stand, however the files are split: no text is shuffled
+and nothing that grows with the table is broadcast.
 """
 
 from __future__ import annotations
@@ -19,8 +20,10 @@ from pyspark.sql import functions as F
 from .store import opened
 from .workspace import Workspace
 
-#: Files in one bucket, on the average.
-BUCKET_FILES = 8
+#: Rows of a span, and rows of the table that a bucket of facts stands for, on the average.
+SPAN_ROWS, BUCKET_ROWS = 4096, 1 << 16
+#: Spans of a file lie this many buckets apart.
+_STEP = 7919
 
 
 def place() -> Column:
@@ -47,44 +50,69 @@ def placed(docs: DataFrame, ws: Workspace) -> DataFrame:
     return ws.save(docs.select(doc), "copy").select("doc", *place)
 
 
+def column_of(whole: DataFrame, name: str) -> Column:
+    """A column of the rows of placed(), its name in any case."""
+    fields = whole.schema["doc"].dataType.fields
+    return F.col("doc").getField(next(f.name for f in fields if f.name.lower() == name.lower()))
+
+
 class Facts:
-    """A table with columns file and row, as tasks see it: the rows of one file at a time, in order of row."""
+    """A table with columns file and row, as tasks see it: the rows of one span at a time, in order of row."""
 
     def __init__(self, path: str, buckets: int, schema: pa.Schema):
-        self.path, self.buckets, self.schema, self._file, self._rows = path, buckets, schema, None, None
+        self.path, self.buckets, self.schema, self._span, self._rows = path, buckets, schema, None, None
 
     @staticmethod
-    def save(df: DataFrame, ws: Workspace, name: str, files: int, *order: str) -> Facts:
-        buckets = max(1, files // BUCKET_FILES)
-        out = df.withColumn("bucket", F.pmod("file", F.lit(buckets)).cast("int")).repartition("bucket").sortWithinPartitions("bucket", "file", "row", *order)
+    def save(df: DataFrame, ws: Workspace, name: str, rows: int, *order: str, each: int = BUCKET_ROWS) -> Facts:
+        """Facts about a table of so many rows, each bucket about `each` of them."""
+        buckets = max(1, rows // each)
+        bucket = F.expr(f"int(pmod(pmod(file, {buckets}L) + pmod(span * {_STEP}L, {buckets}L), {buckets}L))")
+        out = df.withColumn("span", F.expr(f"row div {SPAN_ROWS}L")).withColumn("bucket", bucket)
+        out = out.repartition("bucket").sortWithinPartitions("bucket", "file", "span", "row", *order)
         path = f"{ws.base}/{name}"
         out.write.partitionBy("bucket").option("compression", "zstd").parquet(path)
         from pyspark.sql.pandas.types import to_arrow_schema
 
         return Facts(path, buckets, to_arrow_schema(df.schema))
 
-    def of(self, file: int) -> pa.Table:
-        if file != self._file:
-            system, path = opened(f"{self.path}/bucket={file % self.buckets}")
+    def of(self, file: int, row: int) -> pa.Table:
+        """The facts of the span of a row."""
+        span = row // SPAN_ROWS
+        if (file, span) != self._span:
+            system, path = opened(f"{self.path}/bucket={(file % self.buckets + span * _STEP % self.buckets) % self.buckets}")
             if system.get_file_info(path).type.name == "NotFound":
                 self._rows = self.schema.empty_table()
             else:
-                self._rows = pq.read_table(path, filesystem=system, filters=[("file", "=", file)], columns=self.schema.names, partitioning=None).sort_by("row")
-            self._file = file
+                self._rows = pq.read_table(path, filesystem=system, filters=[("file", "=", file), ("span", "=", span)], columns=self.schema.names, partitioning=None).sort_by("row")
+            self._span = file, span
         return self._rows
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_file": None, "_rows": None}
+        return self.__dict__ | {"_span": None, "_rows": None}
 
     def holds(self, file: np.ndarray, row: np.ndarray) -> np.ndarray:
         """Which of some places the table has."""
-        out = np.zeros(len(file), bool)
-        starts = np.flatnonzero(np.append(True, file[1:] != file[:-1])) if len(file) else []
-        for a, b in zip(starts, [*starts[1:], len(file)], strict=True):
-            known = self.of(int(file[a])).column("row").to_numpy()
-            at = np.minimum(np.searchsorted(known, row[a:b]), max(len(known) - 1, 0))
-            out[a:b] = known[at] == row[a:b] if len(known) else False
-        return out
+        return self.find(file, row, "row")[0]
+
+    def find(self, file: np.ndarray, row: np.ndarray, column: str) -> tuple[np.ndarray, np.ndarray]:
+        """Which of some places the table has, and a whole-number column there, 0 elsewhere."""
+        found, values = np.zeros(len(file), bool), np.zeros(len(file), np.int64)
+        for a, b in stretches(file, row // SPAN_ROWS):
+            facts = self.of(int(file[a]), int(row[a]))
+            known = facts.column("row").to_numpy()
+            if len(known):
+                at = np.minimum(np.searchsorted(known, row[a:b]), len(known) - 1)
+                found[a:b] = known[at] == row[a:b]
+                values[a:b] = np.where(found[a:b], facts.column(column).to_numpy()[at], 0)
+        return found, values
+
+
+def stretches(*keys: np.ndarray) -> list[tuple[int, int]]:
+    """The stretches of rows in which no key changes."""
+    if not len(keys[0]):
+        return []
+    starts = np.flatnonzero(np.append(True, np.any([k[1:] != k[:-1] for k in keys], axis=0))).tolist()
+    return list(zip(starts, [*starts[1:], len(keys[0])], strict=True))
 
 
 def places(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
