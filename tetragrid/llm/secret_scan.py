@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -69,6 +70,11 @@ TEXT_CLASSES = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "012
 CLASS_STEPS = ((0.80, 0.08, 0.04, 0.08), (0.40, 0.42, 0.06, 0.12), (0.14, 0.16, 0.60, 0.10), (0.50, 0.30, 0.18, 0.02), (0.50, 0.30, 0.18, 0.02))
 #: Shares of the letters a to z in English text, in thousandths.
 LETTER_SHARES = (82, 15, 28, 43, 127, 22, 20, 61, 70, 1.5, 7.7, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 9.8, 24, 1.5, 20, 0.7)
+#: What is typed along the keys, and the chance that the next key is a neighbour.
+TYPED_ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890", "abcdefghijklmnopqrstuvwxyz")
+TYPED = 0.8
+#: Texts of about so many bytes are scanned before their spans are handed on.
+SCAN_BYTES = 1 << 22
 #: How many counted letters the fixed shares weigh as much as.
 PRIOR_LETTERS = 300.0
 LETTERS = 26
@@ -122,6 +128,18 @@ def battery(symbols: list[int], base: int) -> tuple[float, float, float]:
     return uniform, run_p, _two_sided((serial + 1 / n) * math.sqrt(n))
 
 
+def _typed_steps() -> dict[tuple[str, str], float]:
+    """ln of the chance of a character after another one where keys are typed in rows."""
+    chars = "".join(TEXT_CLASSES)
+    follow = {(a, b) for row in TYPED_ROWS for way in (row, row[::-1]) for line in (way, way.upper()) for a, b in zip(line, line[1:])}  # noqa: B905
+    out: dict[tuple[str, str], float] = {}
+    for last in ("", *chars):
+        after = [c for c in chars if (last, c) in follow]
+        for c in chars:
+            out[last, c] = math.log((1 - TYPED) / len(chars) + (TYPED / len(after) if c in after else 0))
+    return out
+
+
 def _steps(pairs: np.ndarray) -> dict[tuple[str, str], float]:
     """ln of the chance of a character after another one or at the start, from counts of letter pairs (LETTERS + 1, LETTERS); the last row is of letters after no letter."""
     shares = np.array(LETTER_SHARES) / sum(LETTER_SHARES)
@@ -137,14 +155,14 @@ def _steps(pairs: np.ndarray) -> dict[tuple[str, str], float]:
 
 
 class TextModel:
-    """Two models of text: with the letter pairs of the corpus, and with fixed shares of letters for names that are not made of its words."""
+    """Models of text: with the letter pairs of the corpus, with fixed shares of letters for names that are not made of its words, and of rows of keys."""
 
     def __init__(self, pairs: np.ndarray | None = None):
         none = np.zeros((LETTERS + 1, LETTERS))
-        self.models = [_steps(none)] + ([] if pairs is None else [_steps(pairs)])
+        self.models = [_steps(none), _typed_steps()] + ([] if pairs is None else [_steps(pairs)])
 
     def log_p(self, token: str, base: int) -> float:
-        """ln of a bound on the chance that a text of either model is as likely under uniformity as this token."""
+        """ln of a bound on the chance that a text of any model is as likely under uniformity as this token."""
         steps = list(zip(("", *token), token))  # noqa: B905
         return min(0.0, max(sum(map(m.__getitem__, steps)) for m in self.models) + len(token) * math.log(base))
 
@@ -168,15 +186,23 @@ def random_parts(run: str, model: TextModel) -> list[tuple[int, int, int, float]
     """Start, end, tested length and ln p of what is random in a run: of its readings that overlap, the range of all that a cut may accept."""
     places = {(0, len(run))} | {m.span() for part in PARTS for m in part.finditer(run)}
     readings = [(seen[1], a - b, a, b) for a, b in places if (seen := random_token(run[a:b], model))]
-    out: list[tuple[int, int, int, float]] = []
-    for p, _, a, b in sorted(readings):
-        near = [t for t in out if t[0] < b and a < t[1]]
-        if not near:
-            out.append((a, b, b - a, p))
+    # clusters never overlap; they are kept by start, with the tested length and p of the reading that counts and when it came
+    starts: list[int] = []
+    held: list[tuple[int, int, float, int]] = []
+    for turn, (p, _, a, b) in enumerate(sorted(readings)):
+        i = bisect_left(starts, a)
+        if i and held[i - 1][0] > a:
+            i -= 1
+        j = bisect_left(starts, b)
+        if i == j:
+            starts.insert(i, a)
+            held.insert(i, (b, b - a, p, turn))
         elif p <= math.log(FALSE_DISCOVERIES):
-            out = [t for t in out if t not in near] + [(min(a, *(t[0] for t in near)), max(b, *(t[1] for t in near)), *near[0][2:])]
-            out.sort(key=lambda t: t[3])
-    return [(a, b, size, min(0.0, p + math.log(len(places)))) for a, b, size, p in out]
+            near = held[i:j]
+            best = min(near, key=lambda t: t[2:])
+            a, b = min(a, starts[i]), max(b, near[-1][0])
+            starts[i:j], held[i:j] = [a], [(b, best[1], best[2], turn)]
+    return [(a, b, size, min(0.0, p + math.log(len(places)))) for a, (b, size, p, _) in zip(starts, held, strict=True)]
 
 
 def band(length: int) -> int:
@@ -202,7 +228,7 @@ def _scan(model: TextModel):
     """(id, base spans, of the other random tokens start, end, band and -ln p bucket, and how many tokens of each band were tested)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1, SCAN_BYTES):
             base, extra, tested = [], [], []
             for cell in batch.column(1):
                 found, tokens, bands = scan_text(cell.as_py() or "", model)
@@ -251,6 +277,12 @@ def text_model(docs: DataFrame, text_col: str = "text") -> TextModel:
     return TextModel(pairs.reshape(LETTERS + 1, LETTERS))
 
 
+def sliced(batches: Iterator[pa.RecordBatch], column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The batches cut into slices of about so many bytes of a text column."""
+    for batch in batches:
+        yield from (batch.slice(a, b - a) for a, b in K.slices(K.utf8(batch.column(column))[1], size))
+
+
 _BASE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 _EXTRA = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("band", pa.int32()), ("bucket", pa.int32())]))
 
@@ -311,7 +343,7 @@ def mask_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         return masked(text, found + [("random", a, b) for a, b, d, u in tokens if u >= cuts[d]], mark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, position, SCAN_BYTES):
             texts = [clean(cell.as_py()) for cell in batch.column(position)]
             yield batch.set_column(position, batch.schema.field(position), pa.array(texts, batch.schema.field(position).type))
 
