@@ -6,8 +6,8 @@ Each record is a gzip member of its own, so a file can be read from any record
 on; tasks read stretches of files that end between transactions.
 
 Payloads are never shuffled.  Which capture of a payload is the response is
-decided on digests, by an aggregation and a join that is salted, since one
-payload may have a third of all captures.
+decided on digests alone; that a row is a revisit, and of which page, is looked
+up by the row's place when the table is read again to be written.
 """
 
 from __future__ import annotations
@@ -22,15 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .places import Facts, column_of, placed, places
 from .store import Ranges, Roller
 from .workspace import Workspace
 
 #: Payloads below this size are always responses.
 REVISIT_BYTES = 1000
 ARCHIVE_BYTES, STRETCH_BYTES = 64 << 20, 4 << 20
-#: Up to this many rows of digests (some 5 MB) are broadcast; beyond it they are joined by a shuffle.
-BROADCAST_ROWS = 50_000
-SALTS = 16
 #: Fixed values of the format.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
@@ -71,18 +69,21 @@ def transaction(page_id: int | None, url: str | None, payload: bytes, digest: st
     )
 
 
-def write_archives(pages: DataFrame, folder: str, *, archive_bytes: int = ARCHIVE_BYTES, stretch_bytes: int = STRETCH_BYTES) -> DataFrame:
+def write_archives(pages: DataFrame, revisits: Facts, folder: str, *, archive_bytes: int = ARCHIVE_BYTES, stretch_bytes: int = STRETCH_BYTES) -> DataFrame:
     """(path, offset, length) of stretches of whole transactions; run it once and keep the rows.
 
-    pages has page_id, url, html, digest, refers_to (a page id) and revisit.
+    pages has page_id, url, html, file and row; revisits the page (column best)
+    that the row at a place is a revisit of.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, rows = Roller(folder, ".warc.gz", archive_bytes), []
         for batch in batches:
-            for page_id, url, html, digest, refers_to, revisit in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            again, best = revisits.find(*places(batch), "best")
+            for page_id, url, html, revisit, of in zip(*(batch.column(i) for i in range(3)), again.tolist(), best.tolist(), strict=True):
                 path, at, _ = out.place()
-                data = transaction(page_id, url, (html or "").encode(), digest, refers_to, revisit)
+                payload = (html.as_py() or "").encode()
+                data = transaction(page_id.as_py(), url.as_py(), payload, hashlib.sha1(payload).hexdigest(), of if revisit else None, revisit)
                 out.write(data)
                 if rows and rows[-1][0] == path and rows[-1][2] < stretch_bytes:
                     rows[-1][2] += len(data)
@@ -92,7 +93,7 @@ def write_archives(pages: DataFrame, folder: str, *, archive_bytes: int = ARCHIV
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["path", "offset", "length"])
 
-    return pages.select("page_id", "url", "html", "digest", "refers_to", "revisit").mapInArrow(run, "path string, offset long, length long")
+    return pages.select("page_id", "url", "html", "file", "row").mapInArrow(run, "path string, offset long, length long")
 
 
 def members(data: bytes) -> Iterator[bytes]:
@@ -169,10 +170,11 @@ def with_targets(captures: DataFrame) -> DataFrame:
     wanted = flat.where("named is not null").select(F.col("named").alias("wanted")).distinct()
     pages = flat.where("record_type = 'response'").join(wanted, F.col("capture") == F.col("wanted"), "left_semi")
     pages = pages.select(F.col("capture").alias("at"), F.col("page_id").alias("to"), F.col("bytes").alias("to_bytes")).dropDuplicates(["at"])
-    pages = pages.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = flat.withColumn("lot", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
-    out = salted.join(pages, (F.col("named") == F.col("at")) & (F.col("lot") == F.col("salt")), "left")
-    return out.select("page_id", F.coalesce("bytes", "to_bytes").alias("payload_bytes"), "payload_digest", "record_type", F.col("to").alias("refers_to"))
+    names = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    own = flat.where("named is null").select("page_id", F.col("bytes").alias("payload_bytes"), "payload_digest", "record_type", F.lit(None).cast("long").alias("refers_to"))
+    # both sides are ids and digests; Spark splits what one named record has on the left
+    out = flat.where("named is not null").join(pages, F.col("named") == F.col("at"), "left")
+    return own.unionByName(out.select("page_id", F.coalesce("bytes", "to_bytes").alias("payload_bytes"), "payload_digest", "record_type", F.col("to").alias("refers_to"))).select(*names)
 
 
 def archive_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
@@ -182,24 +184,18 @@ def archive_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
     the response.  A null html is an empty payload, a null url an empty target;
     line breaks in a url become spaces.  Rows that repeat the largest id and its
     payload are each a response; a null id ranks below all others.  Other
-    columns are ignored.
+    columns are ignored, whatever their names; an empty table gives an empty one.
     """
-    spark = pages.sparkSession
-    ws = Workspace(spark, "warc")
-    html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("html"))
-    rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary")))
-    sums = rows.where(F.octet_length("html") >= revisit_bytes).groupBy("digest").agg(F.max("page_id").alias("best"), F.count("*").alias("n"))
-    shared = ws.save(sums.where("n > 1 and best is not null").select(F.col("digest").alias("shared"), "best"), "shared")
-    if shared.count() <= BROADCAST_ROWS:
-        rows = rows.join(F.broadcast(shared), F.col("digest") == F.col("shared"), "left")
-    else:
-        shared = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rows = rows.withColumn("lot", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
-        rows = rows.join(shared, (F.col("digest") == F.col("shared")) & (F.col("lot") == F.col("salt")), "left")
-    revisit = F.col("best").isNotNull() & ~F.col("best").eqNullSafe(F.col("page_id"))
-    rows = rows.select("page_id", "url", "html", "digest", F.when(revisit, F.col("best")).alias("refers_to"), revisit.alias("revisit"))
-    stretches = ws.save(write_archives(rows, f"{ws.base}/archives"), "stretches")
+    ws = Workspace(pages.sparkSession, "warc")
+    whole = placed(pages.select(id_col, url_col, html_col), ws)
+    cell = lambda name, kind: column_of(whole, name).cast(kind)
+    rows = whole.select(cell(id_col, "long").alias("page_id"), cell(url_col, "string").alias("url"), F.coalesce(cell(html_col, "string"), F.lit("")).alias("html"), "file", "row")
+    digests = ws.save(rows.select("page_id", F.sha1(F.col("html").cast("binary")).alias("digest"), F.octet_length("html").alias("bytes"), "file", "row"), "digests")
+    large = digests.where(F.col("bytes") >= revisit_bytes)
+    shared = large.groupBy("digest").agg(F.max("page_id").alias("best"), F.count("*").alias("n")).where("n > 1 and best is not null").select("digest", "best")
+    again = large.join(shared, "digest").where(~F.col("best").eqNullSafe(F.col("page_id"))).select("file", "row", "best")
+    revisits = Facts.save(again, ws, "revisits", digests.count())
+    stretches = ws.save(write_archives(rows, revisits, f"{ws.base}/archives"), "stretches")
     captures = ws.save(assemble(read_records(stretches)), "captures")
     return with_targets(captures).withColumnRenamed("page_id", id_col)
 
