@@ -1,14 +1,17 @@
+import glob
 import hashlib
 import math
+import os
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
 
 import brute
-from tetragrid.llm import chat_format, media, pii_scan, secret_scan, source_mix, spans, store, warc
+from tetragrid.llm import chat_format, media, ngram_join, pii_scan, places, secret_scan, source_mix, spans, store, warc, workspace
 from tetragrid.llm.html_layout import html_text, render
 from tetragrid.llm.ngram_join import ngram_jaccard_join, one_of_each
 from tetragrid.llm.piece_model import PieceModel
@@ -328,13 +331,36 @@ def test_media_query_returns_header_only_reads(spark, tmp_path):
     docs(spark).write.parquet(f"{tmp_path}/documents.parquet")
     out = op10_media_columns(spark, str(tmp_path))
     assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 2
-    for r in out.collect():
-        with open(r.shard.removeprefix("file:"), "rb") as file:
+    rows = out.collect()
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    for r in rows:
+        path = max(glob.glob(f"{folder}/media-*/shards/{r.shard}"), key=os.path.getmtime)  # of this run
+        with open(path, "rb") as file:
             file.seek(r.offset)
             image = file.read(r.length)
         assert hashlib.sha256(image).hexdigest() == r.media_sha256 and (r.width, r.height, r.bit_depth) == media.png_header(image)
 
 
+def test_a_payload_has_one_address_in_every_run(spark, tmp_path):
+    from tetragrid.llm.queries import op10_media_columns
+
+    same = [*texts(), *["copy"] * 40, "a", "a\0", "b" * 64, "b" * 64 + "\0"]
+    docs(spark, same).repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        runs = [op10_media_columns(spark, str(tmp_path)) for _ in range(2)]
+        one, two = (sorted(map(tuple, r.collect())) for r in runs)
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(one) == len(same) and {r[1:] for r in one} == {r[1:] for r in two}
+    by = {}
+    for r in runs[0].collect():
+        by.setdefault(r.payload_sha256, set()).add((r.shard, r.offset, r.length, r.media_sha256, r.feature))
+    assert all(len(v) == 1 for v in by.values()) and len({a for v in by.values() for a in v}) == len(by)
+
+
 @pytest.mark.parametrize("scheme", ["s3", "s3a", "s3n"])
 def test_hadoop_schemes_of_object_stores(monkeypatch, scheme):
     seen = []
@@ -363,6 +389,72 @@ def test_warc_round_trip(spark):
     assert {i: (r.record_type, r.refers_to) for i, r in got.items()} == {1: ("revisit", 9), 2: ("revisit", 9), 9: ("response", None)} | {i: ("response", None) for i in (3, 4, 5, 6)}
 
 
+def test_html_is_not_shuffled_to_be_archived(spark, tmp_path, monkeypatch):
+    big = [f"<p>{i % 20}</p>" * 200 for i in range(200)]
+    spark.createDataFrame([(i, "u", h) for i, h in enumerate(big)] + [(i, "u", big[0]) for i in range(200, 400)], "page_id long, url string, html string").repartition(3).write.parquet(f"{tmp_path}/pages")
+    seen = []
+    monkeypatch.setattr(warc, "write_archives", lambda pages, *a, plain=warc.write_archives, **b: (seen.append(pages), plain(pages, *a, **b))[1])
+    pages = spark.read.parquet(f"{tmp_path}/pages")
+    got = warc.archive_pages(pages).collect()
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert "html" in plan and "Exchange" not in plan and "Join" not in plan
+    last = {i % 20: i for i in range(200)} | {0: 399}
+    assert {r.page_id: r.refers_to for r in got} == {i: None if i == last[i % 20 if i < 200 else 0] else last[i % 20 if i < 200 else 0] for i in range(400)}
+
+
+def test_join_does_not_depend_on_how_the_table_is_split(spark, tmp_path, monkeypatch):
+    rows = texts()
+    frame = docs(spark, rows)
+    frame.repartition(6).write.parquet(f"{tmp_path}/many")
+    frame.coalesce(1).write.option("parquet.block.size", 600).option("parquet.page.size", 200).option("parquet.page.row.count.limit", 4).option("parquet.block.row.count.limit", 7).parquet(f"{tmp_path}/one")
+    want = [(i, n, c) for i, (n, c) in enumerate(brute.jaccard_components(rows))]
+    scans = [1]
+    plain, keys = ngram_join.Facts.save, ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum", "spark.sql.execution.arrow.maxRecordsPerBatch")
+
+    def save(*a, **b):
+        scans[0] += 1
+        for key, value in zip(keys, (str(700 * scans[0] ** 3), "1", str(1 + 5 * (scans[0] % 3)), str(3 + 4 * (scans[0] % 3))), strict=True):
+            spark.conf.set(key, value)  # as if executors came and went between the scans
+        return plain(*a, **b)
+
+    monkeypatch.setattr(ngram_join.Facts, "save", save)
+    monkeypatch.setattr(ngram_join, "PIECE_GRAMS", 300)
+    monkeypatch.setattr(ngram_join, "PIECE_ROWS", 8)
+    try:
+        for folder in ("many", "one"):
+            table = spark.read.parquet(f"{tmp_path}/{folder}")
+            assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_jaccard_join(table).collect()) == want
+            assert sorted(r.doc_id for r in one_of_each(table).collect()) == sorted({c for _, _, c in want})
+    finally:
+        for key in keys:
+            spark.conf.unset(key)
+
+
+def test_facts_are_bucketed_by_spans(spark, monkeypatch):
+    ws = workspace.Workspace(spark, "facts")
+    rows = [(f, r, 7 * r) for f in (-5, 9) for r in range(0, 40_000, 3)]
+    facts = places.Facts.save(spark.createDataFrame(rows, "file long, row long, best long"), ws, "facts", 80_000, each=5000)
+    assert facts.buckets == 16 and len(glob.glob(facts.path.removeprefix("file://") + "/bucket=*")) > 6
+    file, row = np.repeat([-5, 9, 4], 5000), np.tile(np.arange(20_000, 25_000), 3)
+    found, best = facts.find(file, row, "best")
+    assert (found == ((row % 3 == 0) & (file != 4))).all() and (best == np.where(found, 7 * row, 0)).all()
+
+
+def test_secret_scan_of_one_long_run_takes_time_in_proportion():
+    model, unit = secret_scan.TextModel(), "Ab3Xq9Zr8Lm0PtYw5Nc2Vb7Q/-"
+    begin = time.time()
+    found = secret_scan.random_parts(unit * 40_000, model)
+    assert len(found) == 40_000 and time.time() - begin < 30
+    assert [t[:3] for t in secret_scan.random_parts(unit * 3, model)[:2]] == [t[:3] for t in found[:2]]
+
+
+def test_rows_of_keys_are_no_secrets():
+    model = secret_scan.TextModel()
+    for typed in ("QWERTYUIOPASDFGHJKLZ", "qwertyuiopasdfghjkl1234567890", "abcdefghijklmnopqrstuvwxyz012345", "0987654321poiuytrewq"):
+        seen = secret_scan.random_token(typed, model)
+        assert seen is None or seen[1] > -5
+
+
 @pytest.mark.parametrize(("page", "text"), [
     (None, ""), ("", ""), ("a<b", "a<b"), ("<p>a<p>b", "a\n\nb"), ("<ul><li>a<li>b<ul><li>c</ul></ul>", "- a\n- b\n  - c"),
     ("<ol start=3><li>a<li>b</ol>", "3. a\n4. b"), ("<table><tr><td>aa<td>b<tr><td>c<td>dd</table>", "aa  b\nc   dd"),

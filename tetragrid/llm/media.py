@@ -1,10 +1,12 @@
 """Media columns: payloads as grey PNG images in tar shards, addressed by content.
 
-A payload of a multiple of 64 bytes is an image 64 samples wide.  A task writes
-the images of its rows to tar shards of its own, each under the digest of its
-bytes and once per shard; rows carry the digest, shard, offset and length.  So
-nothing is shuffled to write, and equal payloads in different shards have equal
-names and bytes.  Metadata columns need the first bytes of each range only.
+A payload of a multiple of 64 bytes is an image 64 samples wide.  Of equal
+payloads one is stored, that of the least place, which is decided on digests
+alone; a task writes those of its rows to tar shards of its own, each image under
+the digest of its bytes, each shard under the name of its first image.  So no
+payload is shuffled, a digest has one address, and the address is the same
+whenever the table is cut the same way.  Rows carry digest, shard, offset and
+length.  Metadata columns need the first bytes of each range only.
 """
 
 from __future__ import annotations
@@ -17,9 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .places import Facts, column_of, placed, places
 from .store import Ranges, Roller
 from .workspace import Workspace
 
@@ -82,104 +85,115 @@ def feature(payload: bytes) -> str:
     return np.packbits(bits).tobytes().hex()
 
 
-INDEX = "n_bytes long, digest string, shard string, offset long, length long"
+STORED = "key string, digest string, shard string, offset long, length long"
 
 
-def store_media(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """(id, n_bytes, digest, shard, offset, length) of each row's image; run it once and keep the rows.
+def payload_key(text: Column) -> Column:
+    """The digest of a text's payload: of its bytes, padded."""
+    data = F.coalesce(text.cast("string"), F.lit("")).cast("binary")
+    size = F.greatest(F.lit(WIDTH), F.ceil(F.octet_length(data) / WIDTH) * WIDTH).cast("int")
+    return F.sha2(F.rpad(data, size, F.lit(b"\0")), 256)
 
-    A null text is empty.  Memory holds one image, and the digests of one shard.
+
+def store_media(rows: DataFrame, folder: str, copies: Facts | None = None, *, text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """(key, digest, shard, offset, length) of each image; run it once and keep the rows.
+
+    Rows at the places of copies (then rows has file and row) are passed over. A
+    null text is empty.  Memory holds one image, and the digests of one shard.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tar, placed = Roller(folder, ".tar", shard_bytes), {}
+        tar, placed_here = Roller(folder, ".tar", shard_bytes), set()
         for batch in batches:
-            rows = []
-            for cell in batch.column(1).cast(pa.large_binary()):
-                data = cell.as_py() or b""
-                image = png(padded(data))
+            if copies is not None:
+                batch = batch.filter(pa.array(~copies.holds(*places(batch))))
+            out = []
+            for cell in batch.column(0).cast(pa.large_binary()):
+                payload = padded(cell.as_py() or b"")
+                key, image = hashlib.sha256(payload).hexdigest(), png(payload)
+                if key in placed_here:
+                    continue
                 digest = hashlib.sha256(image).hexdigest()
-                if digest not in placed:
-                    if tar.out is not None and tar.at >= shard_bytes:
-                        tar.close(bytes(2 * TAR_BLOCK))
-                    shard, at, new = tar.place()
-                    if new:
-                        placed = {}
-                    name = tarfile.TarInfo(f"{digest}.png")
-                    name.size = len(image)
-                    tar.write(name.tobuf(tarfile.USTAR_FORMAT))
-                    placed[digest] = (shard, tar.at)
-                    tar.write(image + bytes(-len(image) % TAR_BLOCK))
-                rows.append((len(data), digest, *placed[digest], len(image)))
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()))] if rows else []  # noqa: B905
-            if rows:
-                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", "n_bytes", "digest", "shard", "offset", "length"])
+                if tar.full():
+                    tar.close(bytes(2 * TAR_BLOCK))
+                shard, at, new = tar.place(digest)
+                if new:
+                    placed_here = set()
+                placed_here.add(key)
+                name = tarfile.TarInfo(f"{digest}.png")
+                name.size = len(image)
+                tar.write(name.tobuf(tarfile.USTAR_FORMAT))
+                out.append((key, digest, shard, tar.at, len(image)))
+                tar.write(image + bytes(-len(image) % TAR_BLOCK))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["key", "digest", "shard", "offset", "length"])
         tar.close(bytes(2 * TAR_BLOCK))
 
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, {INDEX}")
+    place = [] if copies is None else ["file", "row"]
+    return rows.select(F.col(text_col).cast("string").alias("text"), *place).mapInArrow(run, STORED)
 
 
-def _spread(index: DataFrame) -> DataFrame:
-    """Rows of one shard together, in order; an explicit number of partitions, since the index is small and what it points to is not."""
-    parts = max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), index.select("shard").distinct().count())
-    return index.repartition(parts, "shard").sortWithinPartitions("shard", "offset")
+def _spread(stored: DataFrame) -> DataFrame:
+    """Rows of one shard together, in order; an explicit number of partitions, since the rows are small and what they point to is not."""
+    parts = max(int(stored.sparkSession.conf.get("spark.sql.shuffle.partitions")), stored.select("shard").distinct().count())
+    return stored.repartition(parts, "shard").sortWithinPartitions("shard", "offset")
 
 
-def media_headers(index: DataFrame) -> DataFrame:
-    """The index with width, height and bit_depth, from a read of each range's first bytes."""
+def media_headers(stored: DataFrame) -> DataFrame:
+    """The rows of store_media with width, height and bit_depth, from a read of each range's first bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, last, seen = Ranges(), None, None
+        files = Ranges()
         for batch in batches:
-            rows = []
-            for shard, offset in zip(batch.column("shard").to_pylist(), batch.column("offset").to_pylist(), strict=True):
-                if (shard, offset) != last:
-                    last, seen = (shard, offset), png_header(files.read(shard, offset, HEADER_BYTES))
-                rows.append(seen)
+            rows = [png_header(files.read(shard, offset, HEADER_BYTES)) for shard, offset in zip(batch.column("shard").to_pylist(), batch.column("offset").to_pylist(), strict=True)]
             more = [pa.array([r[i] for r in rows], pa.int64()) for i in range(3)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "width", "height", "bit_depth"])
         files.close()
 
-    kind = index.schema["id"].dataType.simpleString()
-    return _spread(index).mapInArrow(run, f"id {kind}, {INDEX}, width long, height long, bit_depth long")
+    return _spread(stored).mapInArrow(run, f"{STORED}, width long, height long, bit_depth long")
 
 
-def media_features(headers: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
-    """For each row of media_headers, in its order, what its stored bytes hold, and its place and header columns; a range that copies share is read once in a task."""
+def media_features(headers: DataFrame) -> DataFrame:
+    """For each row of media_headers, in its order, what its stored bytes hold, and its place and header columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, last, seen = Ranges(), None, None
+        files = Ranges()
         for batch in batches:
             rows = []
             for digest, shard, offset, length, *head in zip(*(batch.column(c).to_pylist() for c in ("digest", "shard", "offset", "length", "width", "height", "bit_depth")), strict=True):
-                if (shard, offset) != last:
-                    image = files.read(shard, offset, length)
-                    if hashlib.sha256(image).hexdigest() != digest:
-                        raise ValueError(f"{shard} at {offset} does not hold {digest}")
-                    if png_header(image) != tuple(head):
-                        raise ValueError(f"{shard} at {offset} has not the header that was read")
-                    payload = samples(image)
-                    last, seen = (shard, offset), (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(image), digest, feature(payload))
-                rows.append(seen)
+                image = files.read(shard, offset, length)
+                if hashlib.sha256(image).hexdigest() != digest:
+                    raise ValueError(f"{shard} at {offset} does not hold {digest}")
+                if png_header(image) != tuple(head):
+                    raise ValueError(f"{shard} at {offset} has not the header that was read")
+                payload = samples(image)
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(image), digest, feature(payload)))
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             more = [pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n_bytes"), *more, *map(batch.column, place)], ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", *place])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), *more, *map(batch.column, place)], ["key", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", *place])
         files.close()
 
     place = ("height", "width", "bit_depth", "shard", "offset", "length")
-    kind = headers.schema["id"].dataType.simpleString()
-    out = headers.mapInArrow(run, f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, height long, width long, bit_depth long, shard string, offset long, length long")
-    return out.withColumnRenamed("id", id_col)
+    return headers.mapInArrow(run, "key string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, height long, width long, bit_depth long, shard string, offset long, length long")
 
 
 def media_columns(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Stores docs' texts; the index with header columns, and these with the features of the stored bytes.
+    """Stores docs' texts; for each row its address with header columns, and these with the features of the stored bytes.
 
-    A null or empty text is stored as 64 bytes 0.  Rows that repeat an id each
-    have their own text's values; other columns are ignored.
+    A null or empty text is stored as 64 bytes 0.  Rows with equal payloads have
+    one address.  Rows that repeat an id, or have none, each have their own
+    text's values; other columns are ignored, whatever their names; an empty
+    table gives empty ones.  What is joined is ids, digests and addresses.
     """
     ws = Workspace(docs.sparkSession, "media")
-    index = ws.save(store_media(docs, f"{ws.base}/shards", id_col=id_col, text_col=text_col), "index")
-    headers = media_headers(index)
-    return headers.withColumnRenamed("id", id_col), media_features(headers, id_col=id_col)
+    whole = placed(docs.select(id_col, text_col), ws)
+    rows = whole.select(column_of(whole, id_col).alias("id"), column_of(whole, text_col).cast("string").alias("text"), "file", "row")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    keys = ws.save(rows.select("id", size.alias("n_bytes"), payload_key(F.col("text")).alias("key"), "file", "row"), "keys")
+    first = keys.groupBy("key").agg(F.min(F.struct("file", "row")).alias("first"))
+    copies = keys.select("file", "row").join(first.select("first.file", "first.row"), ["file", "row"], "left_anti")
+    stored = ws.save(store_media(rows, f"{ws.base}/shards", Facts.save(copies, ws, "copies", keys.count())), "stored")
+    headers = media_headers(stored)
+    owners = keys.select(F.col("id").alias(id_col), "n_bytes", "key")
+    # both sides are shuffled by key; Spark splits what a frequent payload has on the left
+    return owners.join(headers, "key").drop("key"), owners.join(media_features(headers), "key").drop("key")

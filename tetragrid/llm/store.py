@@ -20,19 +20,27 @@ def opened(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 class Roller:
-    """Appends to files of about `most` bytes below a folder; `place` gives the file and offset of what comes next."""
+    """Appends to files of about `most` bytes below a folder; `place` gives the file and offset of what comes next.
+
+    A file that is given a name is written under another one and moved when it is
+    complete, so attempts that write the same file do not meet.
+    """
 
     def __init__(self, folder: str, suffix: str, most: int):
         self.folder, self.suffix, self.most = folder, suffix, most
-        self.uri, self.out, self.at = "", None, 0
+        self.uri, self.out, self.at, self._own = "", None, 0, ""
+
+    def full(self) -> bool:
+        return self.out is not None and self.at >= self.most
 
-    def place(self) -> tuple[str, int, bool]:
-        """File, offset, and whether the file is new."""
-        new = self.out is None or self.at >= self.most
+    def place(self, name: str = "") -> tuple[str, int, bool]:
+        """File, offset, and whether the file is new; name is for a new one."""
+        new = self.out is None or self.full()
         if new:
             self.close()
-            self.uri = f"{self.folder}/{uuid.uuid4().hex}{self.suffix}"
-            system, path = opened(self.uri)
+            self._own = f"{self.folder}/{uuid.uuid4().hex}{self.suffix}"
+            self.uri = f"{self.folder}/{name}{self.suffix}" if name else self._own
+            system, path = opened(self._own)
             system.create_dir(path.rsplit("/", 1)[0], recursive=True)
             self.out, self.at = system.open_output_stream(path, compression=None), 0
         return self.uri, self.at, new
@@ -46,6 +54,13 @@ class Roller:
             self.out.write(tail)
             self.out.close()
             self.out = None
+            if self.uri != self._own:
+                system, path = opened(self._own)
+                to = opened(self.uri)[1]
+                if system.get_file_info(to).type.name == "NotFound":
+                    system.move(path, to)
+                else:
+                    system.delete_file(path)
 
 
 class Ranges:
