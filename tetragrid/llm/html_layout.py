@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 #: Fixed values of the format: elements by how they behave.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template noscript title iframe noembed noframes object datalist audio video canvas".split())
+HIDDEN = frozenset("head script style template noscript title iframe noembed noframes object datalist audio video canvas rp".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul caption xmp".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl menu dir table pre blockquote figure fieldset hr xmp".split())
 #: What may stand in a head; any other opening tag ends it.
@@ -49,10 +49,12 @@ DEPTH = 40
 #: Elements nested deeper than this, other than hidden ones, hold nothing: what follows stands beside them.
 STACK = 512
 RAW_END = {name: re.compile(rf"</{name}(?=[ \t\n\r\f/>])", re.IGNORECASE | re.ASCII) for name in RAW}
-UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b")
+COMMENT_END = re.compile(r"--!?>")
 RULE = re.compile(r"([^{}]*)([{}])")
-SELECTOR = re.compile(r"([a-z][a-z0-9]*)?(?:([.#])([a-z0-9_-]+))?")
-SHOWN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*(?!none)[a-z]|visibility\s*:\s*visible)")
+#: A compound selector without attributes and pseudo-classes; another one matches nothing.
+COMPOUND = re.compile(r"([a-z][a-z0-9-]*|\*)?((?:[.#][a-z0-9_-]+)*)")
+#: Media that a page is read on; a query with conditions is passed over.
+MEDIA = frozenset(("", "all", "screen", "only screen", "only all"))
 SPACE = re.compile(r"[ \t\n\r\f]+")
 GAP = "  "
 #: Lines, columns spanned and rows spanned; 0 rows reach to the end of the group.
@@ -60,10 +62,10 @@ Cell = tuple[list[str], int, int]
 
 
 class Node:
-    __slots__ = ("attributes", "children", "tag")
+    __slots__ = ("attributes", "children", "parent", "tag")
 
-    def __init__(self, tag: str, attributes: dict[str, str]):
-        self.tag, self.attributes, self.children = tag, attributes, []
+    def __init__(self, tag: str, attributes: dict[str, str], parent: Node | None = None):
+        self.tag, self.attributes, self.parent, self.children = tag, attributes, parent, []
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -86,8 +88,11 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
         if to > at:
             yield "text", html.unescape(page[at:to]), ""
         if page.startswith("<!--", to):
-            end = page.find("-->", to + 4)
-            at = size if end < 0 else end + 3
+            if page.startswith((">", "->"), to + 4):
+                at = page.index(">", to) + 1
+            else:
+                found = COMMENT_END.search(page, to + 4)
+                at = found.end() if found else size
         elif page[to + 1 : to + 2] in ("!", "?"):
             end = page.find(">", to)
             at = size if end < 0 else end + 1
@@ -113,7 +118,7 @@ def tree(page: str) -> Node:
     opened: dict[str, int] = {}
 
     def push(tag: str, attributes: dict[str, str]) -> None:
-        node = Node(tag, attributes)
+        node = Node(tag, attributes, stack[-1])
         stack[-1].children.append(node)
         if tag not in VOID and (len(stack) < STACK or tag in HIDDEN or tag in RAW):
             stack.append(node)
@@ -165,39 +170,120 @@ def tree(page: str) -> Node:
     return root
 
 
-def hiding(sheet: str, rules: dict[tuple[str, str, str], bool]) -> None:
-    """Adds to rules what a style sheet hides: by (tag, "." or "#", name), for selectors of these parts alone; a later rule for the same one wins."""
-    depth, selectors, skipped = 0, "", 0
-    for m in RULE.finditer(re.sub(r"/\*.*?\*/", "", sheet.lower(), flags=re.DOTALL)):
-        if m[2] == "{":
-            depth += 1
-            if skipped or m[1].strip().rpartition(";")[2].strip().startswith("@"):
-                skipped = skipped or depth  # what holds for some media only
-            selectors = m[1]
-        elif depth:
-            if not skipped and (UNSEEN.search(m[1]) or SHOWN.search(m[1])):
-                for part in selectors.split(","):
-                    if (own := SELECTOR.fullmatch(part.strip())) and own[0]:
-                        rules[own[1] or "", own[2] or "", own[3] or ""] = bool(UNSEEN.search(m[1]))
-            skipped = 0 if skipped == depth else skipped
-            depth -= 1
+def declared(style: str) -> dict[str, tuple[bool, bool]]:
+    """Of some declarations (important, shown) of display and visibility: what comes last, an important one first."""
+    out: dict[str, tuple[bool, bool]] = {}
+    for part in style.lower().split(";"):
+        name, colon, value = part.partition(":")
+        name, words = name.strip(), value.replace("!", " !").split()
+        if colon and words and name in ("display", "visibility"):
+            important = "".join(words[1:]).endswith("!important")
+            shown = words[0] != "none" if name == "display" else words[0] not in ("hidden", "collapse")
+            if important or not out.get(name, (False,))[0]:
+                out[name] = important, shown
+    return out
+
+
+#: A compound selector: tag, ids and classes.
+Compound = tuple[str, frozenset[str], frozenset[str]]
 
 
-def visible(node: Node, rules: dict[tuple[str, str, str], bool]) -> bool:
+def _selector(text: str) -> list[tuple[str, Compound]] | None:
+    """The compounds of a selector, the last one first, each with how the one before it is related: " " or ">"."""
+    out: list[tuple[str, Compound]] = []
+    relation = " "
+    for part in text.replace(">", " > ").split():
+        if part == ">":
+            relation = ">"
+            continue
+        own = COMPOUND.fullmatch(part)
+        if not own or not own[0]:
+            return None
+        names = re.findall(r"[.#][^.#]+", own[2])
+        out.append((relation, ("" if own[1] in (None, "*") else own[1], frozenset(n[1:] for n in names if n[0] == "#"), frozenset(n[1:] for n in names if n[0] == "."))))
+        relation = " "
+    return out[::-1] or None
+
+
+class Sheets:
+    """What a page's style sheets say about display and visibility, by the last compound of a selector."""
+
+    def __init__(self) -> None:
+        self.by: dict[tuple[str, str], list[tuple[list[tuple[str, Compound]], tuple[int, int, int, int], dict[str, tuple[bool, bool]]]]] = {}
+        self.count = 0
+
+    def add(self, sheet: str) -> None:
+        """Adds a sheet; comments are blanks, unknown at-rules are passed over with all they hold."""
+        open_: list[tuple[bool, str]] = []
+        for m in RULE.finditer(re.sub(r"/\*.*?(?:\*/|\Z)", " ", sheet.lower(), flags=re.DOTALL)):
+            if m[2] == "{":
+                head = m[1].rpartition(";")[2].strip()
+                applies = all(a for a, _ in open_)
+                if head.startswith("@"):
+                    name, _, query = head.partition(" ")
+                    open_.append((applies and (name == "@layer" or name == "@media" and any(" ".join(q.split()) in MEDIA for q in query.split(","))), ""))
+                else:
+                    open_.append((applies, head))
+            elif open_:
+                applies, selectors = open_.pop()
+                if applies and selectors and (own := declared(m[1])):
+                    for text in selectors.split(","):
+                        if parts := _selector(text):
+                            self._add(parts, own)
+
+    def _add(self, parts: list[tuple[str, Compound]], own: dict[str, tuple[bool, bool]]) -> None:
+        self.count += 1
+        weight = (sum(len(c[1]) for _, c in parts), sum(len(c[2]) for _, c in parts), sum(bool(c[0]) for _, c in parts), self.count)
+        tag, ids, classes = parts[0][1]
+        key = ("#", min(ids)) if ids else (".", min(classes)) if classes else ("", tag)
+        self.by.setdefault(key, []).append((parts, weight, own))
+
+    def of(self, node: Node) -> dict[str, bool]:
+        """Whether the sheets show a node, for display and visibility, where they say so."""
+        if not self.by:
+            return {}
+        ids, classes = _names(node)
+        best: dict[str, tuple[bool, tuple[int, int, int, int], bool]] = {}
+        for key in (("", ""), ("", node.tag), *(("#", i) for i in ids), *((".", c) for c in classes)):
+            for parts, weight, own in self.by.get(key, ()):
+                if _matches(parts, 0, node):
+                    for name, (important, shown) in own.items():
+                        best[name] = max(best.get(name, (False, (-1,) * 4, True)), (important, weight, shown))
+        return {name: shown for name, (_, _, shown) in best.items()}
+
+
+def _names(node: Node) -> tuple[frozenset[str], frozenset[str]]:
     a = node.attributes
-    if node.tag in HIDDEN or "hidden" in a or node.tag == "dialog" and "open" not in a:
+    return frozenset([a["id"].strip().lower()] if "id" in a else ()), frozenset(a["class"].lower().split() if "class" in a else ())
+
+
+def _matches(parts: list[tuple[str, Compound]], i: int, node: Node) -> bool:
+    """Whether the compounds from i on hold for a node and its ancestors."""
+    tag, ids, classes = parts[i][1]
+    own = _names(node) if ids or classes else ((), ())
+    if tag and tag != node.tag or ids and not ids <= own[0] or classes and not classes <= own[1]:
         return False
-    if "style" in a and (UNSEEN.search(a["style"].lower()) or SHOWN.search(a["style"].lower())):
-        return not UNSEEN.search(a["style"].lower())
-    if not rules:
+    if i + 1 == len(parts):
         return True
-    names = [("#", a["id"].strip().lower())] if "id" in a else []
-    names += [(".", c) for c in a.get("class", "").lower().split()]
-    for kind, name in [*names, ("", "")]:  # an id's rule weighs more than a class's, this more than a tag's
-        for tag in (node.tag, ""):
-            if (hides := rules.get((tag, kind, name))) is not None:
-                return not hides
-    return True
+    above = node.parent
+    while above is not None and above.tag != "#root":
+        if _matches(parts, i + 1, above):
+            return True
+        if parts[i][0] == ">":
+            return False
+        above = above.parent
+    return False
+
+
+def visible(node: Node, sheets: Sheets, inherited: bool) -> bool | None:
+    """Whether a node's own text shows, where its parent's does or does not; None if neither it nor what it holds is displayed."""
+    a = node.attributes
+    if node.tag in HIDDEN or "hidden" in a or node.tag == "dialog" and "open" not in a:
+        return None
+    said = sheets.of(node)
+    if "style" in a:
+        said |= {name: shown for name, (_, shown) in declared(a["style"]).items()}
+    return said.get("visibility", inherited) if said.get("display", True) else None
 
 
 def wide(text: str) -> int:
@@ -318,14 +404,16 @@ def _place(text: str, default: int) -> int:
     return int(text) if re.fullmatch(r"-?[0-9]{1,9}", text) else default
 
 
-def _sheets(root: Node, rules: dict[tuple[str, str, str], bool]) -> None:
+def _sheets(root: Node) -> Sheets:
+    out = Sheets()
     todo: list[Node | str] = [root]
     while todo:
         node = todo.pop()
         if isinstance(node, Node):
-            if node.tag == "style" and "media" not in node.attributes:
-                hiding("".join(c for c in node.children if isinstance(c, str)), rules)
+            if node.tag == "style" and any(" ".join(q.split()) in MEDIA for q in node.attributes.get("media", "").lower().split(",")):
+                out.add("".join(c for c in node.children if isinstance(c, str)))
             todo += reversed(node.children)
+    return out
 
 
 def render(page: str | None) -> str:
@@ -335,25 +423,27 @@ def render(page: str | None) -> str:
     lists: list[tuple[bool, list[int], int]] = []
     pre = 0
     root = tree(page or "")
-    rules: dict[tuple[str, str, str], bool] = {}
-    if page and "<style" in page.lower():
-        _sheets(root, rules)
-    todo: list[tuple[bool, Node | str, bool]] = [(True, root, False)]
+    sheets = _sheets(root) if page and "<style" in page.lower() else Sheets()
+    # own is of a node that is left: whether it has a flow; of one that is entered: whether its parent's text shows
+    todo: list[tuple[bool, Node | str, bool]] = [(True, root, True)]
     while todo:
         enter, node, own = todo.pop()
         if isinstance(node, str):
-            flows[-1].text(node, pre > 0)
+            if own:
+                flows[-1].text(node, pre > 0)
             continue
         tag = node.tag
         spaced = tag in SPACED and not (tag in LISTS and len(lists) > (0 if enter else 1))
         if enter:
-            if not visible(node, rules):
+            shows = visible(node, sheets, own)
+            if shows is None:
                 continue
             own = (tag in ("li", "dd", "blockquote", "table", "caption") or tag in CELLS) and len(flows) <= DEPTH
             todo.append((False, node, own))
-            todo += [(True, c, False) for c in reversed(node.children)]
+            todo += [(True, c, shows) for c in reversed(node.children)]
             if tag == "br":
-                flows[-1].newline()
+                if shows:
+                    flows[-1].newline()
             elif tag in BLOCK and (tag not in CELLS or not own):
                 flows[-1].block(spaced)
             if tag in ("pre", "xmp", "textarea"):
