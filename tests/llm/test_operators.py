@@ -448,6 +448,53 @@ def test_secret_scan_of_one_long_run_takes_time_in_proportion():
     assert [t[:3] for t in secret_scan.random_parts(unit * 3, model)[:2]] == [t[:3] for t in found[:2]]
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    ("<!--a--!>b", "b"), ("x<!-->y-->z", "xy-->z"), ("x<!--->y", "xy"), ("x<!-- a -- b --!> y --> z", "x y --> z"), ("x<!-- open", "x"), ("<!---->x", "x"),
+    ("<p style='visibility:hidden'>a<b style='visibility:visible'>b</b>c", "b"), ("<div style='display:none'><p style='visibility:visible;display:block'>a</div>b", "b"),
+    ("<style>.a .b{display:none}</style><div class=a><p><i class=b>x</i>y</div><i class=b>z</i>", "y\n\nz"),
+    ("<style>p.x.y{display:none}</style><p class='y x z'>a<p class=x>b", "b"), ("<style>@media screen{#q{display:none}} @media print{b{display:none}}</style><i id=q>a</i><b>c</b>", "c"),
+    ("<style>@media all , print{u{visibility:hidden}} @media screen and (min-width:9px){b{display:none}}</style><u>a<i>d</i></u><b>c</b>", "c"),
+    ("<style media=screen>u{display:none}</style><style media=print>b{display:none}</style><u>a</u><b>c</b>", "c"),
+    ("<style>div>i{display:none}</style><div><i>a</i><b><i>c</i></b></div>", "c"), ("<style>i{display:none!important}#k{display:inline}</style><i id=k>a</i>b", "b"),
+    ("<style>.a{display:none}.a.b{display:block}</style><p class='a b'>x<p class=a>y", "x"), ("<style>a:hover,a[b]{display:none}*{color:red}</style><a b=1>x</a>", "x"),
+    ("<style>@font-face{x{display:none}} /* b{display:none} */ i{display:none}</style><b>x</b><i>y</i>", "x"), ("<style>ul .n{visibility:hidden}</style><ul><li>a<li class=n>b<li>c</ul>", "- a\n- c"),
+    ("<ruby>k<rp>(</rp><rt>r</rt><rp>)</rp></ruby>", "kr"), ("<style>x{display:none", ""),
+])
+def test_html_comments_and_visibility(page, text):
+    assert render(page) == text
+
+
+BARE = [("look at the dot net framework at microsoft dot com", 0), ("we meet at noon dot com was new", 0), ("arrived at work dot com boom started", 0), ("the price at store dot com", 0), ("stay-at-home dot com parents", 0)]
+HIDDEN_ADDRESSES = ["jane_at_site_dot_org", "jane -at- site -dot- org", "jane&#64;site.org", "jane&commat;site&period;org", "mail jane at site dot com", "write to jane.doe at site dot com today", "jane at site dot com", "jane [at] site [dot] org", "jane(at)site.org"]
+
+
+@pytest.mark.parametrize(("text", "n"), BARE + [(f"see {t}, ok" if not t.startswith("jane at") else t, 1) for t in HIDDEN_ADDRESSES])
+def test_disguised_addresses_and_prose(text, n):
+    base, extra = pii_scan.scan_text(text)
+    assert [k for k, _, _ in base + extra] == ["email"] * n, (text, base, extra)
+
+
+def labelled_prose(rng, n):
+    """Texts with whether an address is disguised in them: prose with the same words, and disguises of all kinds."""
+    names, hosts, tops = "jane bob.smith maria_k t.w.lee x99 info-desk carlos kim".split(), "site mailhost example-corp uni posteo netz".split(), "com org net de fr es io".split()
+    plain = "we looked at the {a} dot matrix printer;the {a} met at noon and the point of it was clear;a shop at {a} dot com is closed;they arrived at {a} and spoke;the dot com bubble at {a} burst;meet me at {a} at nine;look at point {a} of the list;price at {a} dot net was low;he works at {a};ein punkt {a} und chez {a} aussi;the stay-at-home {a} dot;version one dot two at {a}".split(";")
+    frames = ("contact {x}", "my mail: {x} thanks", "{x}", "write to {x}, please", "email {x} for more")
+    forms = ("{l} at {h} dot {t}", "{l} [at] {h} [dot] {t}", "{l}(at){h}.{t}", "{l}_at_{h}_dot_{t}", "{l} -at- {h} -dot- {t}", "{l}&#64;{h}.{t}", "{l} @ {h} . {t}" if False else "{l} @ {h}.{t}", "{l}＠{h}.{t}", "{l} {{at}} {h} {{dot}} {t}", "{l}@{h}[.]{t}")
+    for _ in range(n):
+        if rng.random() < 0.5:
+            yield rng.choice(plain).format(a=rng.choice(hosts)), False
+        else:
+            yield rng.choice(frames).format(x=rng.choice(forms).format(l=rng.choice(names), h=rng.choice(hosts), t=rng.choice(tops))), True
+
+
+def test_disguises_are_found_and_prose_is_left_alone():
+    rows = list(labelled_prose(random.Random(9), 2000))
+    seen = [(any(k == "email" for k, _, _ in sum(pii_scan.scan_text(t), [])), hidden, t) for t, hidden in rows]
+    hits = sum(found and hidden for found, hidden, _ in seen)
+    precision, recall = hits / sum(found for found, _, _ in seen), hits / sum(hidden for _, hidden, _ in seen)
+    assert precision >= 0.98 and recall >= 0.9, (precision, recall, [t for found, hidden, t in seen if found != hidden][:10])
+
+
 def test_rows_of_keys_are_no_secrets():
     model = secret_scan.TextModel()
     for typed in ("QWERTYUIOPASDFGHJKLZ", "qwertyuiopasdfghjkl1234567890", "abcdefghijklmnopqrstuvwxyz012345", "0987654321poiuytrewq"):

@@ -5,9 +5,12 @@ the source range each came from.  The first has one state and gives every
 look-alike, wide, mathematical or invisible character its ASCII form.  The second
 reads words and turns runs of spelled digits into digits.  The third reads words
 and signs and finds what stands for an at sign or a dot: a word or a sign in
-brackets, or a word between spaces.  A bare word is weak evidence, since prose
-has such words too: a bare "at" counts only before a host with a disguised dot,
-and a bare "dot" only before a common top-level domain or between numbers.
+brackets, a word between hyphens or underscores, or a word between spaces.  A
+bare word is weak evidence, since prose has such words too: a bare "at" counts
+only before a host with a disguised dot, and a bare "dot" only before a common
+top-level domain or between numbers.  Where all signs are bare, the name must
+have a sign or a digit in it, a word such as "mail" must come shortly before, or
+the address must be all that its line has.
 
 Spans found in the copy are mapped back by those ranges; one that lies inside a
 span of its kind is dropped, one that goes beyond it is kept beside it.
@@ -60,13 +63,21 @@ _SIGNS = {
     ("", " "): "space", ("", "("): "open", ("space", "("): "open", ("open", " "): "open",
     ("space", "at"): "word at", ("space", "@"): "word @", ("space", "dot"): "word dot", ("word at", " "): "bare at", ("word @", " "): "spaced at", ("word dot", " "): "bare dot",
     ("open", "at"): "inside at", ("open", "@"): "inside at", ("open", "dot"): "inside dot", ("open", "."): "inside dot", ("inside at", " "): "inside at", ("inside dot", " "): "inside dot",
+    ("", "-"): "dash", ("space", "-"): "dash", ("dash", "at"): "dashed at", ("dash", "dot"): "dashed dot", ("dashed at", "-"): "enclosed at", ("dashed dot", "-"): "enclosed dot", ("enclosed at", " "): "enclosed at", ("enclosed dot", " "): "enclosed dot",
     ("inside at", ")"): "bracketed at", ("inside dot", ")"): "bracketed dot", ("bracketed at", " "): "closed at", ("bracketed dot", " "): "closed dot",
 }
-#: Final states: the sign they emit, and whether a bare word alone stands for it.
-_FINAL = {"bare at": ("@", True), "bare dot": (".", True), "spaced at": ("@", False), "bracketed at": ("@", False), "closed at": ("@", False), "bracketed dot": (".", False), "closed dot": (".", False)}
-_CLASSES = dict.fromkeys("[({<", "(") | dict.fromkeys("])}>", ")") | {" ": " ", "@": "@", ".": "."} | dict.fromkeys(AT_WORDS, "at") | dict.fromkeys(DOT_WORDS, "dot")
+#: Final states: the sign they emit, and whether a bare word alone stands for it; None for a word between hyphens, which may be a compound.
+_FINAL = {"enclosed at": ("@", None), "enclosed dot": (".", None), "bare at": ("@", True), "bare dot": (".", True), "spaced at": ("@", False), "bracketed at": ("@", False), "closed at": ("@", False), "bracketed dot": (".", False), "closed dot": (".", False)}
+_CLASSES = dict.fromkeys("[({<", "(") | dict.fromkeys("])}>", ")") | {" ": " ", "@": "@", ".": ".", "-": "-", "_": "-"} | dict.fromkeys(AT_WORDS, "at") | dict.fromkeys(DOT_WORDS, "dot")
 _MAY_SIGN = tuple(f" {w} " for w in sorted(DOT_WORDS))
-_HAS_BRACKETS = re.compile(rf"[\[({{<]\x20?(?:{'|'.join(sorted(AT_WORDS | DOT_WORDS))}|@|\.)\x20?[\])}}>]|[A-Za-z0-9]\x20@\x20[A-Za-z0-9]")
+_HAS_BRACKETS = re.compile(rf"[\[({{<]\x20?(?:{'|'.join(sorted(AT_WORDS | DOT_WORDS))}|@|\.)\x20?[\])}}>]|[A-Za-z0-9]\x20@\x20[A-Za-z0-9]|[-_](?:{'|'.join(sorted(AT_WORDS | DOT_WORDS))})[-_]")
+#: Words that announce an address in the corpus's languages, and how many words before it they may stand.
+CUES, CUE_WORDS = frozenset("mail email mails emails contact contacts write reach address correo contacto escribe escriba direccion courriel adresse contactez kontakt schreib schreiben mailto".split()), 4
+#: Words that go on after an address, and never are a host.
+JOINING = frozenset("at on in or and for to if by from is who the a an my our your this that".split())
+_LAST_WORDS = re.compile(r"[^\W_]+")
+#: Character references that stand for the signs.
+_REFERENCE = re.compile(r"&(?:#0*(?:64|46)|#[xX]0*(?:40|2[eE])|commat|period);")
 _HAS_SPELLED = re.compile(rf"(?:{'|'.join(sorted(SPELLED, key=len, reverse=True))})[\x20,.-]{{1,2}}(?:{'|'.join(sorted(SPELLED, key=len, reverse=True))}|[0-9])")
 _LINK = re.compile(r"[A-Za-z0-9._%+-]+")
 _HOST = re.compile(r"[A-Za-z0-9.-]*")
@@ -209,6 +220,23 @@ def disguised_signs(text: str) -> list[tuple[int, int, str, bool]]:
     return out
 
 
+def _announced(text: str, chain: list[tuple[int, int, str, bool]], begin: int, at: int, last: int) -> bool:
+    """Whether an address whose signs are all bare words is likely one: by its name, what comes before it, or because it stands alone."""
+    start = end = chain[at][0]
+    while start and (text[start - 1] in LOCAL):
+        start -= 1
+    if at > begin or not text[start:end].strip(".%+-").isalpha():
+        return True
+    line = text[text.rfind("\n", 0, start) + 1 : start]
+    if any(w.lower() in CUES for w in _LAST_WORDS.findall(line[-200:])[-CUE_WORDS:]):
+        return True
+    after = _HOST.match(text, chain[last - 1][1]).end()
+    rest = text[after : after + 200].partition("\n")[0]
+    follows = _LAST_WORDS.match(rest.lstrip(" "))
+    host = _HOST.match(text, chain[at][1])[0].strip(".-").lower()
+    return not line.strip() and host not in JOINING and (not rest.strip(" .,;!?)") or rest[0] in ".,;!?)" or bool(follows and follows[0].lower() in JOINING))
+
+
 def _accepted(text: str, signs: list[tuple[int, int, str, bool]]) -> list[tuple[int, int, str]]:
     """Which signs are to be rewritten: chains of names with signs between them that make an address or a number."""
     chains: list[list[tuple[int, int, str, bool]]] = []
@@ -239,6 +267,9 @@ def _accepted(text: str, signs: list[tuple[int, int, str, bool]]) -> list[tuple[
             if bare and (plain if stop == len(chain) else not chain[stop][3]):  # a word before a plainer at sign
                 begin = at + 1
                 continue
+            if host and chain[at][3] is not False and all(x[3] for x in chain[at + 1 : last]) and not _announced(text, chain, begin, at, last):
+                begin = at + 1
+                continue
             own = "." in names[at].strip(".") and len(tops[at]) >= 2 and tops[at].isalpha()
             if host or own and not bare:
                 out += [x[:3] for x in chain[begin : at + 1]] + host
@@ -253,9 +284,12 @@ def _accepted(text: str, signs: list[tuple[int, int, str, bool]]) -> list[tuple[
 def deobfuscated(text: str) -> Tape | None:
     """The rewritten text, None where nothing is to be rewritten."""
     tape = None
+    if "&" in text and (found := [(m.start(), m.end(), "@" if m[0][-3:-1] in ("64", "40", "at") else ".") for m in _REFERENCE.finditer(text)]):
+        tape = Tape(text).rewritten(found)
+        text = tape.text
     odd = None if text.isascii() else _ODD if _FAR.search(text) else _ODD_NEAR
     if odd and odd.search(text):
-        tape = Tape(text).rewritten([(m.start(), m.end(), FORMS[m[0]]) for m in odd.finditer(text)])
+        tape = (tape or Tape(text)).rewritten([(m.start(), m.end(), FORMS[m[0]]) for m in odd.finditer(text)])
     for may, edits in ((lambda low: _HAS_SPELLED.search(low), spelled_digits), (lambda low: any(w in low for w in _MAY_SIGN) or _HAS_BRACKETS.search(low), lambda t: _accepted(t, disguised_signs(t)))):
         now = text if tape is None else tape.text
         if may(now.lower()) and (found := edits(now)):
