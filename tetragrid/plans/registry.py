@@ -12,7 +12,7 @@ from ..functions import sql
 from ..functions.bases import clean, critical_value
 from ..operators import diagnostics, fcgr, metrics, point, quadtree
 from ..session import shared_dir
-from ..sources.labelled import discover_tasks, load_task
+from ..sources.labelled import discover_tasks, read_task
 from ..streaming.chunks import chunk_counts, chunked_final_point, points, state_store, stream_cells, stream_final_point
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -223,14 +223,14 @@ def point_shown_p64(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def csv_task(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled documents written as a task of CSV parts, then discovered and loaded."""
+    """Labelled documents written as a task of CSV parts, then discovered and read through the data source."""
     root = f"{shared_dir(spark)}/tasks-{uuid.uuid4().hex}"
     rows = _read(spark, sf_dir, "documents").select("doc_id", clean(F.col("text")).alias("sequence")).join(_read(spark, sf_dir, "labels"), "doc_id")
     for split, test in (("train", False), ("test", True)):
         side = rows.where((F.pmod("doc_id", F.lit(5)) == 0) == F.lit(test))
         side.select("sequence", (F.col("quality") * 8 + 2).alias("kind"), "doc_id").write.csv(f"{root}/labelled/{split}.csv", header=True)
     task = discover_tasks(spark, root).first()
-    return load_task(spark, task.train_path, task.test_path, task.name).select("task", "split", "seq", F.col("label").cast("long").alias("label"))
+    return read_task(spark, root, task.name).select("task", "split", "seq", F.col("label").cast("long").alias("label"))
 
 
 #: Triggers that the streamed conversations are spread over; which chunk comes in which is decided by a hash.

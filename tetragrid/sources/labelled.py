@@ -12,13 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators.metrics import label_codes
+from . import tables
 
 #: Fixed columns of a result row, in order.
 RESULT_SCHEMA = "task string, method string, k string, grid_size int, feature_dim int, train_size bigint, test_size bigint, n_classes int, mcc double, auroc double, f1_macro double, accuracy double, best_params string, timestamp string"
 
-#: A table of up to so many classes is broadcast; a larger one is joined by a shuffle.
-FEW_CLASSES = 100_000
-
 
 def discover_tasks(spark: SparkSession, root: str) -> DataFrame:
     """(name, train_path, test_path) of every folder below root that holds train.csv and test.csv, by name; only paths are read.
@@ -49,17 +47,25 @@ def load_task(spark: SparkSession, train_path: str, test_path: str, name: str =
         table = table.select(F.col(f"`{table.columns[0]}`").alias("seq"), F.col(f"`{table.columns[1]}`").alias("label_raw"))
         return table.withColumn("split", F.lit(split))
 
-    rows = side(train_path, "train").unionByName(side(test_path, "test"))
+    return _coded(side(train_path, "train").unionByName(side(test_path, "test")).withColumn("task", F.lit(name)))
+
+
+def _coded(rows: DataFrame) -> DataFrame:
+    """(seq_id, task, split, seq, label) of one task's (task, split, seq, label_raw)."""
     rows = rows.withColumn("seq_id", F.monotonically_increasing_id())
-    codes = label_codes(rows).persist()
-    if codes.count() <= FEW_CLASSES:
-        codes = F.broadcast(codes)
-    coded = rows.join(codes, "label_raw", "left").withColumn("label", F.coalesce("label", F.raise_error(F.lit("a row has no label")).cast("int")))
-    return coded.select("seq_id", F.lit(name).alias("task"), "split", F.upper(F.coalesce("seq", F.lit(""))).alias("seq"), F.col("label").cast("int").alias("label"))
+    # Spark broadcasts the codes where they are few; an error in a row without a label comes when it is read
+    coded = rows.join(label_codes(rows), "label_raw", "left").withColumn("label", F.coalesce("label", F.raise_error(F.lit("a row has no label")).cast("int")))
+    return coded.select("seq_id", "task", "split", F.upper(F.coalesce("seq", F.lit(""))).alias("seq"), F.col("label").cast("int").alias("label"))
+
+
+def read_task(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """As load_task, for a task below root, through the data source `cgr_tasks`: a partition for each CSV part."""
+    tables.register(spark)
+    return _coded(spark.read.format("cgr_tasks").load(root).where(F.col("task") == name))
 
 
 def save_result(spark: SparkSession, path: str, result: dict) -> None:
-    """Appends a result: a line of a local file that ends in .csv, with a header in a new one, else a part of a folder.
+    """Appends a result: a line of a local file that ends in .csv, with a header in a new one, else a part of a folder, which is seen when it is complete.
 
     Unknown keys are left out, missing ones empty.
     """
@@ -74,4 +80,5 @@ def save_result(spark: SparkSession, path: str, result: dict) -> None:
                 lines.writeheader()
             lines.writerow(row)
         return
-    spark.createDataFrame([tuple(row.get(f.name) for f in schema)], schema).coalesce(1).write.mode("append").csv(path, header=True)
+    tables.register(spark)
+    spark.createDataFrame([tuple(row.get(f.name) for f in schema)], schema).coalesce(1).write.format("cgr_results").mode("append").save(path)
