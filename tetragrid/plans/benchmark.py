@@ -10,10 +10,10 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClass
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.bases import require_power_of_two
+from ..functions.bases import carry_pattern, clean, require_power_of_two
 from ..operators import forest
 from ..operators.fcgr import fcgr_counts, kmer_features, pooled, sparse_arrays
 from ..operators.forest import candidates
@@ -93,16 +93,25 @@ def train_and_evaluate(train: DataFrame, test: DataFrame, size: int, grid: dict
 
 
 def run_task(spark: SparkSession, rows: DataFrame, name: str, *, ks=(4, 5, 6, 7, 8), methods=METHODS, grid_size: int = 128, depth: int = 6, threshold: float = 0.05, grid: dict = FULL_GRID, output: str | None = None) -> list[dict]:
-    """One result for each k that fits the grid and each method; the counts are made once, at the deepest level."""
+    """One result for each k that fits the grid and each method; the counts are made once, at the deepest level.
+
+    What is printed about the sequences is observed in the scan that counts them.
+    """
     require_power_of_two(grid_size, 0)
     if set(methods) - {"kmer"}:
         require_power_of_two(grid_size, depth)
     rows = rows.persist()
+    scan, bases = Observation(), clean(F.col("seq"))
     fit = [k for k in ks if 2**k <= grid_size]
     for k in sorted(set(ks) - set(fit)):
         print(f"  SKIP k={k}: grid {grid_size} < {2**k}")
     deepest = max([*fit, depth, 1])
-    counts = fcgr_counts(rows, deepest, id_col="seq_id", seq_col="seq").persist()
+    observed = rows.observe(scan, F.count_if(F.col("split") == "train").alias("train"), F.count_if(F.col("split") == "test").alias("test"), F.sum(F.length("seq") - F.length(bases)).alias("dropped"), F.count_if(bases.rlike(carry_pattern(deepest))).alias("guarded"))
+    counts = fcgr_counts(observed, deepest, id_col="seq_id", seq_col="seq").persist()
+    counts.write.format("noop").mode("overwrite").save()
+    seen = scan.get
+    print(f"{name}: {seen['train']} train, {seen['test']} test")
+    print(f"  {seen['dropped'] or 0} characters are no bases, {seen['guarded']} sequences have a run that can carry")
     results, adaptive = [], None
     for k, method in itertools.product(fit, methods):
         if method == "kmer":
@@ -158,7 +167,6 @@ def main(argv: list[str] | None = None) -> None:
     methods = METHODS if a.method == "all" else (a.method,)
     for t in chosen:
         rows = load_task(spark, t.train_path, t.test_path, t.name)
-        print(f"{t.name}: {rows.where(rows.split == 'train').count()} train, {rows.where(rows.split == 'test').count()} test")
         run_task(spark, rows, t.name, ks=a.k_values, methods=methods, grid_size=a.grid_size, depth=a.qt_max_depth, threshold=a.qt_split_threshold, grid=SMALL_GRID if a.small_grid else FULL_GRID, output=a.output)
 
 
