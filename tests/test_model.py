@@ -2,12 +2,14 @@
 
 import csv
 import random
+from collections import Counter
 from math import log
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tetragrid.functions.bases import chi_square_p, chi_square_tail
-from tetragrid.operators import diagnostics, fcgr, metrics, point, quadtree
+from tetragrid.operators import diagnostics, fcgr, metrics, point, principal, quadtree
 from tetragrid.plans import benchmark, registry
 from tetragrid.sources import labelled
 
@@ -140,6 +142,45 @@ def test_diagnostics_are_those_of_dense_tables(spark):
     assert diagnostics.fisher_scores(features.where("false"), table).collect() == []
 
 
+def test_principal_components_are_those_of_a_dense_solver(spark):
+    rng = np.random.default_rng(2)
+    dense = np.abs(rng.standard_normal((300, 5)) @ rng.standard_normal((5, 30)) + 0.1 * rng.standard_normal((300, 30)))
+    dense[rng.random(dense.shape) < 0.5] = 0
+    dense[:20] = 0
+    rows = spark.createDataFrame([(np.flatnonzero(r).tolist(), r[r != 0].tolist()) for r in dense], "indices array<long>, values array<double>").repartition(3)
+    values, vectors = np.linalg.eigh(np.cov(dense.T, bias=True))
+    got = {}
+    for r in principal.principal_components(rows, 30, 3).collect():
+        got.setdefault(r.component, np.zeros(30))[r.idx] = r.loading
+        assert r.variance == pytest.approx(values[-1 - r.component]) and r.share == pytest.approx(values[-1 - r.component] / values.sum())
+    for j in range(3):
+        own = vectors[:, -1 - j] * np.sign(vectors[np.abs(vectors[:, -1 - j]).argmax(), -1 - j])
+        assert np.abs(got[j] - own).max() < 1e-6
+    assert principal.principal_components(rows.limit(0), 30).collect() == []
+    with pytest.raises(ValueError, match="too many"):
+        principal.principal_components(rows, 1 << 30)
+
+
+def test_binned_information_and_grids(spark):
+    rng = random.Random(3)
+    labels = [(i, i % 3) for i in range(200)] + [(900, None)]
+    values = {(i, s): rng.random() * (1 + (i % 3 == s)) / 2 for i in range(200) for s in range(3) if rng.random() < 0.7}
+    features = spark.createDataFrame([(i, s, v) for (i, s), v in values.items()] + [(900, 0, 0.5)], "id long, idx long, value double")
+    table = spark.createDataFrame(labels, "id long, label int")
+    got = {r.idx: r.information for r in diagnostics.binned_information(features, table, 4).collect()}
+    for s in range(3):
+        cells = {i: int(values.get((i, s), 0.0) * diagnostics.CELLS) for i in range(200)}
+        joint = Counter((i % 3, 4 * sum(c < cells[i] for c in cells.values()) // 200) for i in range(200))
+        x, y = Counter(), Counter()
+        for (a, b), c in joint.items():
+            x[a] += c
+            y[b] += c
+        assert got[s] == pytest.approx(sum(c / 200 * log(c * 200 / (x[a] * y[b])) for (a, b), c in joint.items()))
+    grid = {(r.label, r.row, r.col): r.mean for r in diagnostics.class_grid(features, table, 1).collect()}
+    assert len(grid) == 12 and grid[1, 1, 1] == 0.0
+    assert grid[2, 1, 0] == pytest.approx(sum(values.get((i, 2), 0.0) for i in range(2, 200, 3)) / 66)
+
+
 def test_stability_over_tasks(spark):
     rows = spark.createDataFrame([("a", "kmer", "4", 0.5, 0.8), ("b", "kmer", "4", 0.7, float("nan"))], "task string, method string, k string, mcc double, auroc double")
     r = diagnostics.stability(rows).first()

@@ -64,3 +64,41 @@ def depth_by_length(leaves: DataFrame, lengths: DataFrame) -> DataFrame:
     """Correlation of a sequence's mean leaf depth with its length."""
     depth = leaves.groupBy("id").agg(F.avg("depth").alias("depth"))
     return depth.join(lengths.select("id", "n"), "id").agg(F.corr("depth", "n").alias("correlation"))
+
+
+#: Cells of the histogram that summarises a slot's values from 0 to 1, and the bins that are made of them.
+CELLS, BINS = 4096, 10
+
+
+def binned_information(features: DataFrame, labels: DataFrame, bins: int = BINS) -> DataFrame:
+    """(idx, information), in nats, between the label and a slot's value in bins of about as many rows; an absent slot is 0.
+
+    A slot is summarised by a histogram of a fixed number of cells for each
+    label, which is made in one pass and adds up.  A cell belongs to the bin that
+    the rows below it reach; its rows are not parted, so many zeros are one bin.
+    """
+    every = Window.partitionBy()  # one row for each class
+    sizes = labels.where("label is not null").groupBy("label").agg(F.count("*").alias("rows")).withColumn("total", F.sum("rows").over(every))
+    cell = F.least(F.floor(F.col("value") * CELLS), F.lit(CELLS - 1)).cast("int")
+    held = features.join(labels.where("label is not null"), "id").groupBy("idx", "label", cell.alias("cell")).agg(F.count("*").alias("c"))
+    # a class without a row in a slot has all its rows there as zeros
+    slots = held.select("idx").distinct().join(F.broadcast(sizes), F.lit(True))
+    seen = held.groupBy("idx", "label").agg(F.sum("c").alias("seen"))
+    zeros = slots.join(seen, ["idx", "label"], "left").select("idx", "label", F.lit(0).alias("cell"), (F.col("rows") - F.coalesce("seen", F.lit(0))).alias("c"))
+    cells = held.unionByName(zeros).groupBy("idx", "label", "cell").agg(F.sum("c").alias("c"))
+    below = Window.partitionBy("idx").orderBy("cell").rangeBetween(Window.unboundedPreceding, -1)  # the cells of a slot, whose number is fixed
+    cells = cells.withColumn("below", F.coalesce(F.sum("c").over(below), F.lit(0))).join(F.broadcast(sizes), "label")
+    cells = cells.withColumn("bin", F.expr(f"least({bins} * below div total, {bins - 1})"))
+    table = cells.groupBy("idx", "label", "bin").agg(F.sum("c").alias("c"), F.first("rows").alias("x"), F.first("total").alias("n"))
+    table = table.withColumn("y", F.sum("c").over(Window.partitionBy("idx", "bin"))).where("c > 0")
+    part = F.col("c") / F.col("n") * F.log(F.col("c").cast("double") * F.col("n") / (F.col("x").cast("double") * F.col("y")))
+    return table.groupBy("idx").agg(F.greatest(F.sum(part), F.lit(0.0)).alias("information"))
+
+
+def class_grid(features: DataFrame, labels: DataFrame, k: int) -> DataFrame:
+    """(label, row, col, mean) for every cell of the chaos game's grid of side 2^k: the heat map of each class; an absent slot is 0."""
+    means = class_means(features, labels).select("label", "idx", "mean")
+    cells = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4**k - 1).cast("long"))).alias("idx")
+    every = labels.where("label is not null").select("label").distinct().select("label", cells)
+    side = 2**k
+    return every.join(means, ["label", "idx"], "left").select("label", F.expr(f"idx div {side}").alias("row"), (F.col("idx") % side).alias("col"), F.coalesce("mean", F.lit(0.0)).alias("mean"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sql
 from ..functions.bases import clean, critical_value
-from ..operators import diagnostics, fcgr, metrics, point, quadtree
+from ..operators import diagnostics, fcgr, metrics, point, principal, quadtree
 from ..session import shared_dir
 from ..sources.labelled import discover_tasks, read_task
 from ..streaming.chunks import chunk_counts, chunked_final_point, points, state_store, stream_cells, stream_final_point
@@ -161,6 +161,22 @@ def diag_mutual_information(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diagnostics.mutual_information(*_labelled(spark, sf_dir)).withColumn("information", F.round("information", 9))
 
 
+def diag_binned_information(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagnostics.binned_information(*_labelled(spark, sf_dir)).withColumn("information", F.round("information", 9))
+
+
+def diag_class_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagnostics.class_grid(*_labelled(spark, sf_dir), 2).withColumn("mean", F.round("mean", 9))
+
+
+def diag_principal_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first component of the frequencies of two bases, over all documents."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id")
+    arrays = fcgr.sparse_arrays(docs, fcgr.kmer_features(_counts(spark, sf_dir, 2), 2), id_col="doc_id")
+    found = principal.principal_components(arrays, 16).where("component = 0")
+    return found.select("idx", F.round("loading", 6).alias("loading"), F.round("variance", 9).alias("variance"), F.round("share", 6).alias("share"))
+
+
 def diag_depth_by_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaves = quadtree.qt_leaves(_counts(spark, sf_dir, 4), 4)
     lengths = clean_stats(spark, sf_dir).withColumnRenamed("doc_id", "id")
@@ -299,6 +315,7 @@ QUERIES: dict[str, Query] = {
     "auroc_ovr": auroc_ovr, "best_candidate": best_candidate, "rf_kmer_eval": rf_kmer_eval,
     "diag_class_means": diag_class_means, "diag_fisher": diag_fisher, "diag_differing_slots": diag_differing_slots,
     "diag_mutual_information": diag_mutual_information, "diag_depth_by_length": diag_depth_by_length,
+    "diag_binned_information": diag_binned_information, "diag_class_grid": diag_class_grid, "diag_principal_components": diag_principal_components,
     "extract_kmer_k3": extract_kmer_k3, "extract_adaptive_d3": extract_adaptive_d3, "extract_combined_k2_d3": extract_combined_k2_d3, "kmer_sparse_k2": kmer_sparse_k2, "feature_info": feature_info,
     "point_floats_p64": point_floats_p64, "point_fractions_p60": point_fractions_p60, "point_from_float_p20": point_from_float_p20, "point_update_p64": point_update_p64, "point_shown_p64": point_shown_p64,
     "chunked_point_p64": chunked_point_p64, "sql_kmer_windows": sql_kmer_windows, "sql_points": sql_points,
@@ -417,6 +434,24 @@ def oracle_sql() -> dict[str, str]:
       b AS (SELECT idx, label, n, value > middle AS above, count(*)::DOUBLE AS c FROM wide JOIN w USING (idx) GROUP BY ALL),
       p AS (SELECT idx, c, n, sum(c) OVER (PARTITION BY idx, label) AS x, sum(c) OVER (PARTITION BY idx, above) AS y FROM b)
       SELECT idx, round(greatest(sum(c / n * ln(c * n / (x * y))), 0.0), 9) AS information FROM p GROUP BY idx"""
+    out["diag_binned_information"] = f"""{labelled}, w AS (SELECT idx, label, least(floor(value * 4096), 4095)::BIGINT AS cell, count(*) OVER (PARTITION BY idx)::BIGINT AS n FROM wide),
+      b AS (SELECT idx, label, n, least(10 * (rank() OVER (PARTITION BY idx ORDER BY cell) - 1) // n, 9) AS bin FROM w),
+      t AS (SELECT idx, label, bin, n::DOUBLE AS n, count(*)::DOUBLE AS c FROM b GROUP BY ALL),
+      p AS (SELECT idx, c, n, sum(c) OVER (PARTITION BY idx, label) AS x, sum(c) OVER (PARTITION BY idx, bin) AS y FROM t)
+      SELECT idx, round(greatest(sum(c / n * ln(c * n / (x * y))), 0.0), 9) AS information FROM p GROUP BY idx"""
+    out["diag_class_grid"] = f"{labelled} SELECT l.label, i // 4 AS row, i % 4 AS col, round(coalesce(mean, 0.0), 9) AS mean FROM (SELECT DISTINCT label FROM l) l CROSS JOIN generate_series(0, 15) t(i) LEFT JOIN means m ON m.label = l.label AND m.idx = i"
+    out["diag_principal_components"] = f"""{_cells(2)}, kf AS (SELECT doc_id, {_index(2)} AS idx, cnt::DOUBLE / n AS value FROM cells),
+      wide AS (SELECT c.doc_id, i AS idx, coalesce(value, 0.0) AS value FROM c CROSS JOIN generate_series(0, 15) t(i) LEFT JOIN kf ON kf.doc_id = c.doc_id AND kf.idx = i),
+      cov AS (SELECT a.idx AS i, b.idx AS j, covar_pop(a.value, b.value) AS v FROM wide a JOIN wide b USING (doc_id) GROUP BY ALL),
+      lines AS (SELECT i, list(v ORDER BY j) AS line FROM cov GROUP BY i),
+      matrix AS (SELECT list(line ORDER BY i) AS m FROM lines),
+      power AS (
+        SELECT 0 AS step, list_transform(range(16), lambda i: (1.0 + i * i)::DOUBLE) AS w FROM matrix
+        UNION ALL
+        SELECT step + 1, list_transform(u, lambda x: x / sqrt(list_dot_product(u, u))) AS w FROM (SELECT step, list_transform(m, lambda line: list_dot_product(line, w)) AS u FROM power, matrix WHERE step < 2000)),
+      last AS (SELECT w, list_transform(m, lambda line: list_dot_product(line, w)) AS u, (SELECT sum(v) FROM cov WHERE i = j) AS whole FROM power, matrix WHERE step = 2000),
+      best AS (SELECT w, list_dot_product(w, u) AS variance, whole, CASE WHEN list_max(w) < -list_min(w) THEN -1 ELSE 1 END AS side FROM last)
+      SELECT (i - 1)::BIGINT AS idx, round(side * w[i], 6) AS loading, round(variance, 9) AS variance, round(variance / whole, 6) AS share FROM best, generate_series(1, 16) t(i)"""
     out["diag_depth_by_length"] = f"{_qt_sql(4, 0.05)}, d AS (SELECT doc_id, avg(depth) AS depth FROM leaves GROUP BY doc_id) SELECT round(corr(depth, length(b)), 9) AS correlation FROM d JOIN c USING (doc_id)"
     out["extract_kmer_k3"] = out["kmer_freq_k3"]
     out["extract_adaptive_d3"] = f"{_qt_sql(3, 0.05)} SELECT * FROM {_slots(3)}"
