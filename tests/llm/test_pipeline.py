@@ -107,3 +107,17 @@ def test_run_with_labels_and_random_keys(spark, tmp_path):
     assert sum(keys[i] not in out[i] for i in planted) >= 0.9 * len(planted) > 0
     before = dict(r[:2] for r in rows)
     assert all(out[i] == before[i] for i in set(out) - set(keys))
+
+
+def test_stages_keep_columns_with_names_of_their_own(spark, tmp_path):
+    names = ["doc", "row", "file", "mix", "whole", "below", "_of", "id", "text", "hash", "bucket", "span", "repeats", "size", "least", "grams", "piece", "kept"]
+    rows = [(i, "a", *(t if n == "text" else f"{n}{i}" for n in names)) for i, t in enumerate([" ".join(f"w{j * (i + 1) % 97}" for j in range(40)) for i in range(12)])]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, " + ", ".join(f"`{n}` string" for n in names))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs.write.parquet(f"{tmp_path}/docs")
+    for table in (docs, spark.read.parquet(f"{tmp_path}/docs")):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, table, str(tmp_path))
+            assert out.columns[: len(table.columns)] == table.columns, name
+            got = out.collect()
+            assert got and all(r[n] == f"{n}{r.doc_id}" for r in got for n in names if n != "text"), name

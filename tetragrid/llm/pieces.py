@@ -38,7 +38,8 @@ def encode_pieces(docs: DataFrame, model: PieceModel, *, text_col: str = "text",
 
     A null or empty text has no ids.  A character without a piece is spelled in
     bytes.  Of segmentations of equal score the one whose last piece starts
-    earliest wins.
+    earliest wins.  Each row is cut by its own text, whatever its id: null and
+    repeated ones are rows like others; an empty table gives an empty one.
     """
     _new(docs, ids_col)
     shared, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)

@@ -162,8 +162,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame | None, *, id_col: str = "d
     null where there is no model).  A null text counts as empty and fails the
     base rules.  Labels with a null id or label, or whose id has two different
     labels, are not used; without labels of both kinds only the base rules
-    decide.  Rows with the same id are judged each by its own text.  Other
-    columns are ignored.
+    decide.  Rows with the same id, or without one, are judged each by its own
+    text; an empty table gives an empty one.  Other columns are ignored.
     """
     ws = Workspace(docs.sparkSession, "quality-rules")
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))

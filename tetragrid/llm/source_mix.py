@@ -11,10 +11,15 @@ again, by the next bits, until the boundary holds one hash.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from .places import Facts, column_of, placed, places
 from .workspace import Workspace
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,8 +28,10 @@ WEIGHTS = (5, 2, 1)
 #: No document is taken more often.
 MOST_REPEATS = 3
 HASH_BITS, LEVEL_BITS = 60, 12
-#: The plan has one row for each source; up to this many (some 10 MB) it is broadcast, beyond it joined by a shuffle.
+#: The plan has one row for each source; up to this many (some 10 MB) it is broadcast, beyond it joined by a shuffle of ids and sizes.
 BROADCAST_SOURCES = 100_000
+#: Rows that are repeated at a time.
+TAKEN_ROWS = 1024
 
 
 def hash60(id_: Column) -> Column:
@@ -110,7 +117,8 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     last.  A source's taken words differ from its target by at most half the
     words that share one hash, that is, one document's.  Rows with the same id
     are taken or left together.  The driver holds one row for each source.
-    Other columns are ignored.
+    Other columns are ignored, whatever their names; an empty table gives an
+    empty one.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
     rows = _sized(rows, "id", "text", "source").select("id", "mix.source", "mix.size", "mix.hash")
@@ -123,18 +131,29 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
     """The rows of docs, each as often as mix_sources takes it; all columns stay.
 
-    Where the plan is broadcast no text is shuffled.  A null text or one without
-    words has no size and is taken as often as its hash says; rows that repeat an
-    id are taken or left together, null ids count as one id.
+    No text is shuffled: sizes and hashes decide, and how often a row is taken is
+    looked up by its place when the table is read again.  A null text or one
+    without words has no size and is taken as often as its hash says; rows that
+    repeat an id are taken or left together, null ids count as one id.  An empty
+    table gives an empty one.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
-    rows = _sized(rows, "id", "text", "source").select("mix.source", "mix.size", "mix.hash")
-    plan = _plan(Workspace(docs.sparkSession, "source-mix").save(rows, "sizes"), weights, most)
-    plan = plan.select(F.col("source").alias("_of"), "whole", "below")
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    own = docs.select(F.struct(*names).alias("row"), F.col(source_col).cast("string").alias("_mix_source"), hash60(F.col(id_col)).alias("_mix_hash"))
-    own = own.join(plan, own["_mix_source"].eqNullSafe(plan["_of"])).where(_repeats(F.col("_mix_hash"), most) > 0)
-    return own.select("row", F.explode(F.sequence(F.lit(1), _repeats(F.col("_mix_hash"), most)))).select("row.*")
+    ws = Workspace(docs.sparkSession, "source-mix")
+    whole = placed(docs, ws)
+    rows = whole.select(column_of(whole, id_col).alias("id"), column_of(whole, text_col).alias("text"), column_of(whole, source_col).alias("source"), "file", "row")
+    rows = ws.save(_sized(rows, "id", "text", "source").select("file", "row", "mix.source", "mix.size", "mix.hash"), "sizes")
+    plan = _plan(rows, weights, most)
+    taken = rows.join(plan, rows["source"].eqNullSafe(plan["source"])).select("file", "row", _repeats(F.col("hash"), most).cast("long").alias("repeats")).where("repeats > 0")
+    facts = Facts.save(taken, ws, "taken", rows.count())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, often = facts.find(*places(batch), "repeats")
+            column = batch.column(0)
+            for at in range(0, len(batch), TAKEN_ROWS):  # a row is repeated a few times at most
+                own = np.repeat(np.arange(at, min(at + TAKEN_ROWS, len(batch))), often[at : at + TAKEN_ROWS])
+                yield pa.RecordBatch.from_arrays([column.take(pa.array(own))], ["doc"])
+
+    return whole.mapInArrow(run, StructType([whole.schema["doc"]])).select("doc.*")
 
 
 #: The same rows from one sort for each source.
