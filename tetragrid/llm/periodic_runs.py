@@ -203,3 +203,28 @@ def run_digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
         id_col, F.size("runs").cast("long").alias("n_runs"), F.col("top.s").alias("start"), (-F.col("top.l")).alias("length"), F.col("top.p").alias("period"),
         F.expr("-1000 * top.l div top.p").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+#: The same rows from all pairs of equal six words of a text, whose distances are periods; the checksum is computed byte by byte.
+ORACLE_SQL = r"""
+WITH crc AS (
+  SELECT list(list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws, hex(encode(coalesce(doc_id::VARCHAR, ''))) AS x FROM documents),
+h AS (
+  SELECT doc_id, ws, len(ws) AS n, xor(list_reduce([4294967295::BIGINT] || list_transform(range(1, length(x), 2), lambda i: ('0x' || substr(x, i, 2))::BIGINT), lambda s, b: xor(s >> 8, t[(xor(s, b) & 255) + 1])), 4294967295) AS h
+  FROM d, crc),
+f AS (SELECT *, CASE WHEN n > 0 THEN (h // 10) % n END AS a FROM h),
+l AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(0, n), lambda i: ws[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) END]) ELSE ws END AS ws FROM f),
+g AS (SELECT doc_id, unnest(range(0, n - 5)) AS i, unnest(list_transform(range(1, n - 4), lambda i: array_to_string(ws[i:i + 5], ' '))) AS gram FROM l WHERE n > 5),
+e AS (SELECT doc_id, a.i, b.i - a.i AS q FROM g a JOIN g b USING (doc_id, gram) WHERE b.i > a.i),
+m AS (SELECT doc_id, q, min(i) AS start, count(*) + 5 AS same FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM e) GROUP BY doc_id, q, k),
+r AS (SELECT doc_id, start, same + q AS length, min(q) AS period FROM m WHERE same >= q AND same + q >= 12 GROUP BY doc_id, start, same + q),
+s AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines, first({'s': start, 'l': length, 'p': period} ORDER BY length DESC, start, period) AS top
+  FROM r GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM (SELECT doc_id, unnest(range(0, n)) AS i, unnest(ws) AS word FROM l) ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT l.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, top.s::BIGINT AS start, top.l::BIGINT AS length, top.p::BIGINT AS period, (1000 * top.l // top.p)::BIGINT AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM l LEFT JOIN s USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""

@@ -11,6 +11,7 @@ from . import chat_format, periodic_runs, pii_scan, secret_scan, source_mix, spe
 from .html_layout import html_text
 from .language_id import language_id
 from .media import media_columns
+from .ngram_join import ORACLE_SQL as NGRAM_SQL
 from .ngram_join import ngram_jaccard_join
 from .pieces import decode_pieces, encode_pieces, load_model
 from .quality_rules import quality_rules
@@ -95,4 +96,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     extra = f"SELECT -7, 0, 'user', '{CONTROL_TEXT}' UNION ALL SELECT -7, 1, 'assistant', '{CONTROL_TEXT}'"
-    return {"op1_source_mix": source_mix.ORACLE_SQL, "op2_chat_format": chat_format.oracle_sql(extra), "op6_warc": warc.ORACLE_SQL}
+    return {"op1_source_mix": source_mix.ORACLE_SQL, "op2_chat_format": chat_format.oracle_sql(extra), "op4_ngram_jaccard_join": NGRAM_SQL, "op6_warc": warc.ORACLE_SQL, "op11_spelling_variants": spelling.ORACLE_SQL, "op13_periodic_runs": periodic_runs.ORACLE_SQL}

@@ -117,3 +117,28 @@ def spelling_variants(words: DataFrame, *, ratio: int = RATIO) -> DataFrame:
         roots = ws.save(roots.join(on, F.col("root") == F.col("_word"), "left").select("word", F.coalesce("_root", "root").alias("root")), f"roots-{step}")
     rows = words.join(best, "word", "left").join(roots, "word", "left")
     return rows.select("word", "form", F.coalesce("root", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), "form_n")
+
+
+#: The same rows by the words that are left when each letter in turn is taken away; the checksum is computed byte by byte.
+ORACLE_SQL = f"""
+WITH RECURSIVE crc AS (
+  SELECT list(list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+runs AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS id, translate(unnest(regexp_extract_all(text, '{RUN}' || '{{{MIN_LENGTH},}}')), '{UPPER}', '{LOWER}') AS run FROM documents),
+own AS (SELECT id, run, count(*) AS c, hex(encode(id || ':' || run)) AS h FROM runs GROUP BY id, run),
+summed AS (
+  SELECT run, c, xor(list_reduce([4294967295::BIGINT] || list_transform(range(1, length(h), 2), lambda i: ('0x' || substr(h, i, 2))::BIGINT), lambda s, b: xor(s >> 8, t[(xor(s, b) & 255) + 1])), 4294967295) AS h
+  FROM own, crc),
+damaged AS (SELECT CASE WHEN h % {DAMAGE} = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, c FROM summed),
+words AS (SELECT word, sum(c)::BIGINT AS n FROM damaged WHERE length(word) >= {MIN_LENGTH} GROUP BY word HAVING sum(c) >= {MIN_COUNT}),
+less AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM words, range(1, length(word) + 1) r(i)),
+near AS (
+  SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM less a JOIN less b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT l.word, l.n, w.word, w.n FROM less l JOIN words w ON w.word = l.rest
+  UNION SELECT w.word, w.n, l.word, l.n FROM less l JOIN words w ON w.word = l.rest),
+best AS (SELECT word, n, count(*) AS n_near, first(other ORDER BY other_n DESC, encode(other)) AS top, max(other_n) AS top_n FROM near GROUP BY ALL),
+forms AS (SELECT word, top AS form, top_n AS form_n FROM best WHERE top_n >= {RATIO} * n),
+chain AS (SELECT word, word AS root, 0 AS step FROM words UNION ALL SELECT c.word, f.form, step + 1 FROM chain c JOIN forms f ON f.word = c.root),
+ends AS (SELECT word, last(root ORDER BY step) AS root FROM chain GROUP BY word)
+SELECT w.word, form, root, w.n, coalesce(n_near, 0)::BIGINT AS n_near, form_n FROM words w JOIN ends USING (word) LEFT JOIN best USING (word) LEFT JOIN forms USING (word)
+"""
