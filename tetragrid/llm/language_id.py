@@ -31,6 +31,8 @@ SAMPLE_TEXTS, STRETCH_CHARS = 256, 600
 MAX_LANGUAGES = 1000
 #: Bytes that are compressed at a time, and zstandard's level.
 PIECE_BYTES, LEVEL = 2048, 6
+#: A text of fewer bytes is compressed behind as many blanks.
+SHORT_BYTES = 128
 #: An answer is accepted from this margin on, as a share of the next smallest size.
 MARGIN = 0.01
 #: How fast a language's weight falls with the share by which it is larger than the smallest.
@@ -59,7 +61,7 @@ def dictionary(stretches: list[str], size: int = DICTIONARY_BYTES) -> bytes:
 
 
 def learn(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str) -> dict[str, bytes]:
-    """The dictionary of each language of docs; rows without text or language teach nothing.
+    """The dictionary of each language of docs, the most frequent language first; rows without text or language teach nothing.
 
     Stretches are chosen, and placed, by a hash of the text, so that it does not
     matter how the table is cut, and equal texts count once.
@@ -78,14 +80,14 @@ def learn(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str) -> dict
     found: dict[str, list] = {lang: [] for lang in counts}
     for r in sorted(seen):
         found[r.lang].append(r.text)
-    return {lang: d for lang in sorted(found) if (d := dictionary(found[lang]))}
+    return {lang: d for lang in sorted(found, key=lambda lang: (-counts[lang], lang)) if (d := dictionary(found[lang]))}
 
 
 class Judge:
     """The learned languages, ready to compress."""
 
     def __init__(self, dictionaries: dict[str, bytes]):
-        self.languages = sorted(dictionaries)
+        self.languages = list(dictionaries)
         self._coders = []
         for lang in self.languages:
             own = zstandard.ZstdCompressionDict(dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -93,12 +95,18 @@ class Judge:
             self._coders.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=own, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
 
     def sizes(self, data: bytes) -> np.ndarray:
-        """The compressed size of the data for each language."""
+        """The compressed size of the data for each language.
+
+        A short text alone is stored as it is; behind blanks, which cost the same
+        for each language, its matches count.
+        """
+        if len(data) < SHORT_BYTES:
+            data = bytes(SHORT_BYTES) + data
         pieces = [data[i : i + PIECE_BYTES] for i in range(0, len(data), PIECE_BYTES)]
         return np.array([sum(len(coder(piece)) for piece in pieces) for coder in self._coders], np.int64)
 
     def of(self, text: str | None) -> tuple[str, float, float, bool]:
-        """Language, score, margin and whether the margin is wide enough; ties go to the first language by code point."""
+        """Language, score, margin and whether the margin is wide enough; ties go to the language learned from more texts."""
         data = letters(text)
         if not data or not self.languages:
             return UNKNOWN, 0.0, 0.0, False
@@ -116,7 +124,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], *, id_col: str = "
     """(id_col, lang_pred, score, margin, accepted) for each row of docs.
 
     The whole text is compressed.  lang_pred is the language of the smallest
-    size (ties: the first by code point), "und" for a null text, one without a
+    size (ties: the one learned from more texts), "und" for a null text, one without a
     letter, or where nothing was learned.  score, from 0 to 1, is the language's
     weight among all; margin the share that the next language is larger by;
     accepted is false below a margin of 1 %.  Ids may be null or repeat; other
