@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
 
@@ -177,6 +178,18 @@ def diag_principal_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("idx", F.round("loading", 6).alias("loading"), F.round("variance", 9).alias("variance"), F.round("share", 6).alias("share"))
 
 
+def diag_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stability over tasks of a table of results: each language is a task, and texts over k characters are taken as good."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("task"), "n_chars")
+    rows = _read(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("long").alias("label")).join(docs, "doc_id")
+    tasks = sorted(r.task for r in docs.select("task").distinct().collect())
+    found = [metrics.scores(rows.where(F.col("task") == t).withColumn("prediction", (F.col("n_chars") > k).cast("long"))).select(F.lit(t).alias("task"), F.lit("length").alias("method"), F.lit(str(k)).alias("k"), "mcc") for t in tasks for k in LENGTHS[-2:]]
+    areas = metrics.auroc(rows.select("task", (F.col("label") == 1).alias("positive"), F.col("n_chars").cast("double").alias("score")), "task")
+    results = functools.reduce(DataFrame.unionByName, found).join(areas, "task")
+    out = diagnostics.stability(results)
+    return out.select("method", "k", "tasks", *(F.round(c, 9).alias(c) for c in out.columns[3:]))
+
+
 def diag_depth_by_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaves = quadtree.qt_leaves(_counts(spark, sf_dir, 4), 4)
     lengths = clean_stats(spark, sf_dir).withColumnRenamed("doc_id", "id")
@@ -315,7 +328,7 @@ QUERIES: dict[str, Query] = {
     "auroc_ovr": auroc_ovr, "best_candidate": best_candidate, "rf_kmer_eval": rf_kmer_eval,
     "diag_class_means": diag_class_means, "diag_fisher": diag_fisher, "diag_differing_slots": diag_differing_slots,
     "diag_mutual_information": diag_mutual_information, "diag_depth_by_length": diag_depth_by_length,
-    "diag_binned_information": diag_binned_information, "diag_class_grid": diag_class_grid, "diag_principal_components": diag_principal_components,
+    "diag_binned_information": diag_binned_information, "diag_class_grid": diag_class_grid, "diag_principal_components": diag_principal_components, "diag_stability": diag_stability,
     "extract_kmer_k3": extract_kmer_k3, "extract_adaptive_d3": extract_adaptive_d3, "extract_combined_k2_d3": extract_combined_k2_d3, "kmer_sparse_k2": kmer_sparse_k2, "feature_info": feature_info,
     "point_floats_p64": point_floats_p64, "point_fractions_p60": point_fractions_p60, "point_from_float_p20": point_from_float_p20, "point_update_p64": point_update_p64, "point_shown_p64": point_shown_p64,
     "chunked_point_p64": chunked_point_p64, "sql_kmer_windows": sql_kmer_windows, "sql_points": sql_points,
@@ -452,6 +465,16 @@ def oracle_sql() -> dict[str, str]:
       last AS (SELECT w, list_transform(m, lambda line: list_dot_product(line, w)) AS u, (SELECT sum(v) FROM cov WHERE i = j) AS whole FROM power, matrix WHERE step = 2000),
       best AS (SELECT w, list_dot_product(w, u) AS variance, whole, CASE WHEN list_max(w) < -list_min(w) THEN -1 ELSE 1 END AS side FROM last)
       SELECT (i - 1)::BIGINT AS idx, round(side * w[i], 6) AS loading, round(variance, 9) AS variance, round(variance / whole, 6) AS share FROM best, generate_series(1, 16) t(i)"""
+    ks = ", ".join(f"({k})" for k in LENGTHS[-2:])
+    out["diag_stability"] = f"""WITH r AS (SELECT lang AS task, quality = 1 AS pos, n_chars AS score FROM labels JOIN documents USING (doc_id)),
+      c AS (SELECT task, k, count(*) FILTER (pos AND score > k)::DOUBLE AS tp, count(*) FILTER (NOT pos AND score > k)::DOUBLE AS fp, count(*) FILTER (pos AND score <= k)::DOUBLE AS fn, count(*) FILTER (NOT pos AND score <= k)::DOUBLE AS tn
+        FROM r, (VALUES {ks}) v(k) GROUP BY task, k),
+      m AS (SELECT task, k, CASE WHEN (tp + fp) * (tp + fn) * (tn + fp) * (tn + fn) = 0 THEN 0.0 ELSE (tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)) END AS mcc FROM c),
+      k AS (SELECT task, pos, rank() OVER (PARTITION BY task ORDER BY score) + (count(*) OVER (PARTITION BY task, score) - 1) / 2.0 AS midrank FROM r),
+      a AS (SELECT task, sum(midrank) FILTER (pos)::DOUBLE AS s, count(*) FILTER (pos)::DOUBLE AS p, count(*) FILTER (NOT pos)::DOUBLE AS q FROM k GROUP BY task),
+      z AS (SELECT task, CASE WHEN p > 0 AND q > 0 THEN (s - p * (p + 1) / 2) / (p * q) END AS auroc FROM a)
+      SELECT 'length' AS method, k::VARCHAR AS k, count(DISTINCT task)::BIGINT AS tasks, round(avg(mcc), 9) AS mcc_mean, round(var_samp(mcc), 9) AS mcc_variance, round(avg(auroc), 9) AS auroc_mean, round(var_samp(auroc), 9) AS auroc_variance
+      FROM m JOIN z USING (task) GROUP BY k"""
     out["diag_depth_by_length"] = f"{_qt_sql(4, 0.05)}, d AS (SELECT doc_id, avg(depth) AS depth FROM leaves GROUP BY doc_id) SELECT round(corr(depth, length(b)), 9) AS correlation FROM d JOIN c USING (doc_id)"
     out["extract_kmer_k3"] = out["kmer_freq_k3"]
     out["extract_adaptive_d3"] = f"{_qt_sql(3, 0.05)} SELECT * FROM {_slots(3)}"

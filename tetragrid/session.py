@@ -10,11 +10,15 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Spark's bound on the bytes of a batch that goes to Python, and what it is set to where the session has not set it.
+_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
 
 
 def ship(spark: SparkSession) -> None:
-    """Makes this package importable on the executors, once per application."""
+    """Makes this package importable on the executors, once per application, and bounds batches of texts by bytes where the session has not."""
     context = spark.sparkContext
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, BATCH_BYTES)
     if context.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent
