@@ -448,6 +448,65 @@ def test_secret_scan_of_one_long_run_takes_time_in_proportion():
     assert [t[:3] for t in secret_scan.random_parts(unit * 3, model)[:2]] == [t[:3] for t in found[:2]]
 
 
+def random_page(rng):
+    """A page and its text: paragraphs, lists in lists, tables and hidden parts, with tags that may be left out left out at random."""
+    end = lambda tag: rng.choice((f"</{tag}>", ""))
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(rng.randrange(1, 7)))
+    noise = lambda: rng.choice(("", "", "<!-- <p>x --!>", "<script>'<li>'</script>", "<i class=off>gone</i>", "<b hidden>x</b>", "<!-->"))
+
+    def words():
+        own = [word() for _ in range(rng.randrange(1, 5))]
+        return rng.choice((" ", "\n", "  ")).join(own) + noise(), " ".join(own)
+
+    def listed(depth):
+        tag, first = rng.choice((("ul", None), ("ol", rng.randrange(1, 12))))
+        html, lines = f"<{tag} start={first}>" if first else f"<{tag}>", []
+        for i in range(rng.randrange(1, 4)):
+            text, plain = words()
+            html += f"<li>{text}"
+            mark = f"{first + i}. " if first else "- "
+            lines.append(mark + plain)
+            if depth and rng.random() < 0.4:
+                inner, more = listed(depth - 1)
+                html += inner
+                lines += [" " * len(mark) + line for line in more]
+            html += end("li")
+        if rng.random() < 0.3:
+            html += "<li class='x off'>gone"
+        return html + f"</{tag}>", lines
+
+    def table():
+        wide = rng.randrange(1, 4)
+        rows = [[word() for _ in range(wide)] for _ in range(rng.randrange(1, 4))]
+        sizes = [max(len(r[c]) for r in rows) for c in range(wide)]
+        cells = lambda r: "".join(rng.choice((f"<td>{w}", f"<th> {w}")) + (noise() if rng.random() < 0.3 else "") for w in r)
+        return "<table>" + "".join(f"<tr>{cells(r)}{end('tr')}" for r in rows) + "</table>", ["  ".join(w.ljust(n) for w, n in zip(r, sizes, strict=True)).rstrip() for r in rows]
+
+    html, blocks = rng.choice(("", "<!doctype html><html><head><title>t</title></head><body>")) + "<style>.off{display:none}div.up i.in{visibility:hidden}@media print{p{display:none}}</style>", []
+    for _ in range(rng.randrange(1, 7)):
+        kind = rng.randrange(5)
+        if kind < 2:
+            text, plain = words()
+            html, blocks = html + f"<p>{text}{end('p')}", [*blocks, [plain]]
+        elif kind == 2:
+            part, lines = listed(2)
+            html, blocks = html + part, [*blocks, lines]
+        elif kind == 3:
+            part, lines = table()
+            html, blocks = html + part, [*blocks, lines]
+        else:
+            part, lines = rng.choice((listed(1), table()))
+            html += rng.choice((f"<div class='b off'>{part}</div>", f"<div style='display : none'>{part}</div>", "<div class=up><i class=in>x</i></div>"))
+    return html, "\n\n".join("\n".join(lines) for lines in blocks)
+
+
+def test_random_pages_are_laid_out_as_the_plain_model_says():
+    rng = random.Random(12)
+    for _ in range(1500):
+        page, text = random_page(rng)
+        assert render(page) == text, page
+
+
 @pytest.mark.parametrize(("page", "text"), [
     ("<!--a--!>b", "b"), ("x<!-->y-->z", "xy-->z"), ("x<!--->y", "xy"), ("x<!-- a -- b --!> y --> z", "x y --> z"), ("x<!-- open", "x"), ("<!---->x", "x"),
     ("<p style='visibility:hidden'>a<b style='visibility:visible'>b</b>c", "b"), ("<div style='display:none'><p style='visibility:visible;display:block'>a</div>b", "b"),
