@@ -1,7 +1,9 @@
 """Files in the shared folder, written and range-read by tasks.
 
 Paths are URIs, so the folder may be any store that pyarrow knows; the schemes
-that Hadoop has for S3 are read as its own.  A task writes
+that Hadoop has for S3 are read as its own.  Credentials and endpoints are those
+that pyarrow finds in the environment of driver and executors, not those of the
+Spark session.  A task writes
 under a name of its own attempt and hands the name out only with its rows; what a
 lost task left behind is never read.
 """
