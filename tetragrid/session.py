@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import zipfile
@@ -28,6 +29,7 @@ def ship(spark: SparkSession) -> None:
         for file in sorted(root.rglob("*.py")):
             out.write(file, str(file.relative_to(root.parent)))
     context.addPyFile(path)
+    atexit.register(lambda: os.path.exists(path) and os.unlink(path))  # the driver serves it while it lives
     _shipped.add(context.applicationId)
 
 
