@@ -12,7 +12,7 @@ from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
 #: Spark's bound on the bytes of a batch that goes to Python, and what it is set to where the session has not set it.
-_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
+_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 
 
 def ship(spark: SparkSession) -> None:
