@@ -51,9 +51,9 @@ from .places import Facts, column_of, place, placed, places, stretches
 from .workspace import Workspace
 
 #: N-grams whose fingerprints are sent together at most, the rows of a file that share answers, and n-grams that one range of them has on the average.
-PIECE_GRAMS, PIECE_ROWS, RANGE_GRAMS = 1 << 19, 1024, 1 << 20
+PIECE_GRAMS, PIECE_ROWS, RANGE_GRAMS = 1 << 18, 1024, 1 << 19
 #: Rows of the table whose answers lie in one bucket, on the average.
-RARITY_ROWS = 1 << 14
+RARITY_ROWS = 1 << 13
 #: Bits of a fingerprint beyond those of the number of n-grams.
 SPARE_BITS = 10
 #: A prefix n-gram that has more nodes than this is handled in several parts.
