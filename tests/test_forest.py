@@ -57,7 +57,7 @@ def plain_share(node, row, stop):
 def test_trees_are_those_of_the_plain_recursion(classes, distinct, rule):
     rng = random.Random(classes * distinct)
     x, y = data(rng, 70, 9, classes, distinct)
-    table = forest.Table.of(x, y)
+    table = forest.Table.dense(x, y)
     train, seen = np.arange(50), np.arange(50, 70)
     got = forest.votes(table, train, seen, range(3), rule, STOPS, (1, 0, 0)) / forest.VOTE
     want = np.zeros_like(got)
@@ -72,7 +72,7 @@ def test_trees_are_those_of_the_plain_recursion(classes, distinct, rule):
 
 def test_batches_do_not_change_a_forest(monkeypatch):
     x, y = data(random.Random(1), 60, 8, 2, 9)
-    table = forest.Table.of(x, y)
+    table = forest.Table.dense(x, y)
     whole = forest.votes(table, np.arange(40), np.arange(40, 60), range(12), "sqrt", STOPS, (7,))
     monkeypatch.setattr(forest, "HELD_VALUES", 200)
     assert (forest.votes(table, np.arange(40), np.arange(40, 60), range(12), "sqrt", STOPS, (7,)) == whole).all()
@@ -86,7 +86,7 @@ GRID = {"n_estimators": (12, 5, 30), "max_features": ("sqrt", "log2"), "max_dept
 @pytest.mark.parametrize("classes", [2, 3])
 def test_the_nested_grid_scores_every_candidate_as_its_own_forest_does(spark, classes):
     x, y = data(random.Random(classes), 80, 9, classes, 30)
-    table, fold = forest.Table.of(x, y), np.arange(80) % 4
+    table, fold = forest.Table.dense(x, y), np.arange(80) % 4
     got = {(r.candidate, r.fold): r.score for r in forest.grid_scores(spark, table, fold, GRID, 3).collect()}
     assert len(got) == 24 * 4
     for i, c in enumerate(forest.candidates(GRID)):
@@ -116,9 +116,23 @@ def test_large_tables_are_left_to_the_distributed_forest(spark, monkeypatch):
     assert set(near) == set(far) and near["train_size"] == far["train_size"] == 40 and 0 <= far["accuracy"] <= 1
 
 
+def test_a_table_is_ranked_some_features_at_a_time(monkeypatch):
+    rng = np.random.default_rng(3)
+    x = np.round(np.abs(rng.standard_normal((200, 17))), 1) * (rng.random((200, 17)) < 0.3)
+    x[:, 5] = 0
+    whole = forest.Table.dense(x, np.zeros(200, int))
+    monkeypatch.setattr(forest, "BLOCK_VALUES", 500)
+    parts = forest.Table.dense(x, np.zeros(200, int))
+    assert (whole.values[whole.first[None, :] + whole.ranks] == x).all()
+    assert (whole.ranks == parts.ranks).all() and (whole.first == parts.first).all() and (whole.values == parts.values).all()
+    wide = forest.Table.dense(np.arange(70_000.0)[:, None], np.zeros(70_000, int))
+    assert wide.ranks.dtype == np.uint32 and wide.ranks[-1, 0] == 69_999
+    assert forest.Table.dense(np.zeros((0, 3)), np.zeros(0, int)).ranks.shape == (0, 3)
+
+
 def test_a_table_holds_its_values_and_guards_its_size():
     x = np.array([[0.5, 2.0], [0.25, 2.0], [0.5, 1.0]])
-    t = forest.Table.of(x, np.array([0, 1, 1]))
+    t = forest.Table.dense(x, np.array([0, 1, 1]))
     assert (t.values[t.first[None, :] + t.ranks] == x).all() and t.ranks.dtype == np.uint16 and t.classes == 2
-    assert forest.fits(1000, 4096) and not forest.fits(10**6, 4096)
+    assert forest.fits(1000, 4096, 10**6) and not forest.fits(10**6, 4096, 10**6) and not forest.fits(1000, 4096, 10**8)
     assert forest.tried("sqrt", 256) == 16 and forest.tried("log2", 256) == 8 and forest.tried("log2", 1) == 1

@@ -10,7 +10,8 @@ grown, and rows that are pushed down with it are voted on wherever a candidate
 of the grid stops: trees, depths and split sizes are prefixes of one run.
 
 Tasks are batches of trees.  Each holds the table as ranks of its values, two or
-four bytes for each, which is broadcast: `fits` is to be asked first.
+four bytes for each, which is broadcast: `fits` is to be asked first.  The driver
+ranks some features at a time and never holds the table as numbers.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ from pyspark.sql import functions as F
 
 from .metrics import auroc, best_candidate
 
-#: The most bytes of ranks that are broadcast, counted before the table is fetched.
+#: The most bytes of ranks that are broadcast, and of entries that are fetched to rank them, counted before.
 TABLE_BYTES = 1 << 28
+#: Values that are ranked at a time.
+BLOCK_VALUES = 1 << 22
 #: Trees of a task, and sorted values that a task holds at once.
 BATCH_TREES, HELD_VALUES = 25, 1 << 21
 #: Votes are summed as whole numbers of this part, so that sums do not depend on their order.
@@ -43,9 +46,9 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fits(rows: int, size: int) -> bool:
-    """Whether a table of so many rows and features may be broadcast."""
-    return rows * size * 4 <= TABLE_BYTES
+def fits(rows: int, size: int, entries: int) -> bool:
+    """Whether a table of so many rows, features and entries that are not zero may be broadcast."""
+    return rows * size * 4 <= TABLE_BYTES and entries * 16 <= TABLE_BYTES
 
 
 @dataclass
@@ -59,16 +62,34 @@ class Table:
     classes: int
 
     @staticmethod
-    def of(dense: np.ndarray, label: np.ndarray) -> Table:
-        order = np.argsort(dense, axis=0, kind="stable")
-        ordered = np.take_along_axis(dense, order, 0)
-        new = np.ones(dense.shape, bool)
-        new[1:] = ordered[1:] != ordered[:-1]
-        number = np.cumsum(new, 0) - 1
-        distinct = new.sum(0) if len(dense) else np.zeros(dense.shape[1], np.int64)
-        ranks = np.empty(dense.shape, np.uint16 if distinct.max(initial=0) <= 1 << 16 else np.uint32)
-        np.put_along_axis(ranks, order, number.astype(ranks.dtype), 0)
-        return Table(ranks, ordered.T[new.T], np.concatenate([[0], np.cumsum(distinct)[:-1]]), label.astype(np.int64), int(label.max(initial=0)) + 1)
+    def of(rows: int, size: int, row: np.ndarray, index: np.ndarray, value: np.ndarray, label: np.ndarray) -> Table:
+        """From the entries that are not zero."""
+        order = np.argsort(index, kind="stable")
+        row, index, value = row[order], index[order], value[order]
+        ranks, values, counts = np.zeros((rows, size), np.uint16), [np.zeros(0)], [np.zeros(0, np.int64)]
+        width = max(1, BLOCK_VALUES // max(rows, 1))
+        for begin in range(0, size if rows else 0, width):
+            end = min(size, begin + width)
+            a, b = np.searchsorted(index, [begin, end])
+            dense = np.zeros((rows, end - begin))
+            dense[row[a:b], index[a:b] - begin] = value[a:b]
+            by = np.argsort(dense, axis=0, kind="stable")
+            ordered = np.take_along_axis(dense, by, 0)
+            new = np.ones(dense.shape, bool)
+            new[1:] = ordered[1:] != ordered[:-1]
+            number = np.cumsum(new, 0) - 1
+            if number[-1].max() >= 1 << 16 and ranks.dtype == np.uint16:
+                ranks = ranks.astype(np.uint32)
+            np.put_along_axis(ranks[:, begin:end], by, number.astype(ranks.dtype), 0)
+            values.append(ordered.T[new.T])
+            counts.append(new.sum(0))
+        first = np.concatenate([[0], np.cumsum(np.concatenate(counts))])[:size]
+        return Table(ranks, np.concatenate(values), first, label.astype(np.int64), int(label.max(initial=0)) + 1)
+
+    @staticmethod
+    def dense(table: np.ndarray, label: np.ndarray) -> Table:
+        row, index = np.nonzero(table)
+        return Table.of(*table.shape, row, index, table[row, index], label)
 
 
 def tried(rule: str, size: int) -> int:
@@ -212,13 +233,10 @@ def candidates(grid: dict) -> list[dict]:
 def fetched(rows: DataFrame, size: int, *extra: str) -> tuple[Table, dict[str, np.ndarray]]:
     """The table of (seq_id, label, indices, values) in order of seq_id, and the extra columns; only for rows that fit."""
     held = rows.select("seq_id", F.col("label").cast("long").alias("label"), "indices", "values", *extra).orderBy("seq_id").toArrow()
-    dense = np.zeros((held.num_rows, size), np.float64)
-    ends = np.zeros(held.num_rows, np.int64)
-    indices = held.column("indices").combine_chunks()
-    if held.num_rows:
-        ends = np.diff(indices.offsets.to_numpy())
-        dense[np.repeat(np.arange(held.num_rows), ends), indices.flatten().to_numpy()] = held.column("values").combine_chunks().flatten().to_numpy()
-    return Table.of(dense, held.column("label").to_numpy()), {c: held.column(c).to_numpy() for c in extra}
+    indices, values = (held.column(c).combine_chunks() for c in ("indices", "values"))
+    row = np.repeat(np.arange(held.num_rows), indices.value_lengths().to_numpy())
+    table = Table.of(held.num_rows, size, row, indices.flatten().to_numpy(), values.flatten().to_numpy(), held.column("label").to_numpy())
+    return table, {c: held.column(c).to_numpy() for c in extra}
 
 
 def grown(spark: SparkSession, table: Table, parts: Sequence[tuple[np.ndarray, np.ndarray]], rules: Sequence[str], stops: Sequence[Stop], trees: Sequence[int], seed: int) -> DataFrame:

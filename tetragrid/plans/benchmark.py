@@ -70,10 +70,10 @@ def train_and_evaluate(train: DataFrame, test: DataFrame, size: int, grid: dict
     columns = [F.col(id_col).alias("seq_id"), F.col("label").cast("int").alias("label"), "indices", "values"]
     train = stratified_folds(train.select(columns), folds, id_col="seq_id")
     rows = train.unionByName(test.select(columns).withColumn("fold", F.lit(-1))).persist()
-    sizes = rows.agg(F.count_if(F.col("fold") >= 0).alias("train"), F.count_if(F.col("fold") < 0).alias("test")).first()
+    sizes = rows.agg(F.count_if(F.col("fold") >= 0).alias("train"), F.count_if(F.col("fold") < 0).alias("test"), F.sum(F.size("indices")).alias("entries")).first()
     classes = [int(r.label) for r in rows.where("fold >= 0").select("label").distinct().orderBy("label").collect()]
     spark = rows.sparkSession
-    if forest.fits(sizes.train + sizes.test, size):
+    if forest.fits(sizes.train + sizes.test, size, sizes.entries or 0):
         table, extra = forest.fetched(rows, size, "fold")
         best, seen = forest.searched(spark, table, extra["fold"], extra["fold"] < 0, grid, SEED)
     else:
