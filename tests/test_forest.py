@@ -136,3 +136,16 @@ def test_a_table_holds_its_values_and_guards_its_size():
     assert (t.values[t.first[None, :] + t.ranks] == x).all() and t.ranks.dtype == np.uint16 and t.classes == 2
     assert forest.fits(1000, 4096, 10**6) and not forest.fits(10**6, 4096, 10**6) and not forest.fits(1000, 4096, 10**8)
     assert forest.tried("sqrt", 256) == 16 and forest.tried("log2", 256) == 8 and forest.tried("log2", 1) == 1
+
+
+def test_a_row_drawn_several_times_is_sorted_once(monkeypatch):
+    x, y = data(random.Random(8), 200, 9, 2, 50)
+    table, seen, plain = forest.Table.dense(x, y), [], forest._best_splits
+
+    def spied(table, row, *more):
+        seen.append(row)
+        return plain(table, row, *more)
+
+    monkeypatch.setattr(forest, "_best_splits", spied)
+    forest.votes(table, np.arange(150), np.arange(150, 200), [0], "sqrt", STOPS, (2,))
+    assert all(len(set(row)) == len(row) for row in seen) and len(seen[0]) < 150
