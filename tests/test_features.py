@@ -1,7 +1,10 @@
 import os
 import random
+from collections import Counter
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,3 +100,48 @@ def test_query_equals_its_sql(spark, name):
     columns = [c[0] for c in want.description]
     assert sorted(columns) == sorted(got.columns)
     assert sorted(map(tuple, got.select(*columns).collect()), key=repr) == sorted(want.fetchall(), key=repr)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def _repeated(spark):
+    rng, rows = random.Random(5), []
+    for i in range(40):
+        rows += [(i % 7 if i % 5 else None, "".join(rng.choice("ACGTN") for _ in range(rng.choice([0, 3, 30, 200]))))]
+    return spark.createDataFrame([*rows, *rows[:9], (3, None), (3, "C" * 120)], "doc_id long, text string").repartition(3)
+
+
+def _sorted(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+def test_counts_hold_bases_and_no_cells(spark, monkeypatch):
+    rows = _repeated(spark)
+    assert "Aggregate" not in _plan(fcgr.fcgr_counts(rows, 6)) and "Aggregate" not in _plan(fcgr.fcgr_counts(rows, 6, at=4))
+    want = Counter()
+    for doc_id, text in rows.collect():
+        b = "".join(c for c in text or "" if c in "ACGT")
+        for cell, n in zip(*fcgr.window_cells(b, 3), strict=True):
+            want[doc_id, len(b), fcgr.cell_names(np.array([cell]), 3)[0].as_py()] += n
+    got = {(r.id, r.n, r.z): r.cnt for r in fcgr.fcgr_counts(rows, 3).collect()}
+    assert got == want
+    with pytest.raises(ValueError):
+        fcgr.fcgr_counts(rows, 3, at=4)
+    assert _sorted(fcgr.fcgr_counts(rows, 6, at=4)) == _sorted(fcgr.pooled(fcgr.fcgr_counts(rows, 6), 4))
+    one = [pa.RecordBatch.from_pylist([{"id": i // 2, "b": "ACGT" * 9} for i in range(6)])]
+    monkeypatch.setattr(fcgr, "HELD_CELLS", 1)
+    put_out = list(fcgr._sequences(2, lambda cells: [cells.rows(np.arange(len(cells.cell)), ("cnt", pa.array(cells.count)))])(iter(one)))
+    assert [set(b.column(0).to_pylist()) for b in put_out] == [{0}, {1}, {2}] and {sum(b.column(1).to_pylist()) for b in put_out} == {72}
+
+
+@pytest.mark.parametrize("depth", [0, 1, 3])
+def test_leaves_and_features_of_sequences_are_those_of_counts(spark, depth):
+    rows = _repeated(spark)
+    counts = fcgr.fcgr_counts(rows, max(depth, 1))
+    leaves, features = quadtree.sequence_leaves(rows, depth), quadtree.sequence_features(rows, 2, depth)
+    assert not any(word in _plan(df) for df in (leaves, features) for word in ("Aggregate", "Union"))
+    assert _sorted(leaves) == _sorted(quadtree.qt_leaves(counts, depth))
+    if depth:
+        assert _sorted(features) == _sorted(quadtree.combined_features(fcgr.fcgr_counts(rows, max(2, depth)), 2, depth))
