@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..functions.bases import critical_value, require_power_of_two, z_order
-from .fcgr import fcgr_counts, kmer_features, pooled
+from ..functions.bases import critical_value, require_power_of_two, row_major, z_order
+from .fcgr import Cells, cell_names, kmer_features, of_sequences, pooled
 
 MAX_DEPTH, COMBINED_DEPTH, SPLIT_THRESHOLD, MIN_COUNT = 6, 4, 0.05, 8
 
@@ -119,6 +119,18 @@ def qt_leaves(counts: DataFrame, max_depth: int = MAX_DEPTH, split_threshold: fl
     return rows.mapInArrow(_fold(max_depth, critical_value(split_threshold), min_count, normalize), fields)
 
 
+def sequence_leaves(seqs: DataFrame, max_depth: int = MAX_DEPTH, split_threshold: float = SPLIT_THRESHOLD, min_count: int = MIN_COUNT, *, normalize: bool = True, id_col: str = "doc_id", seq_col: str = "text") -> DataFrame:
+    """(id, depth, node, value): the same leaves from the sequences, folded where their cells are counted."""
+    return of_sequences(seqs, max(max_depth, 1), lambda cells: [_leaves(cells, max_depth, critical_value(split_threshold), min_count, normalize)], "depth int, node string, value double", id_col=id_col, seq_col=seq_col)
+
+
+def _leaves(cells: Cells, max_depth: int, crit: float, min_count: int, normalize: bool) -> pa.RecordBatch:
+    cell = cells.cell if max_depth else cells.cell >> 2
+    heads, depth, node, count = fold_leaves(cells.owner, cell, cells.count, max_depth, crit, min_count)
+    value = count.astype(float) / 4.0 ** (max_depth - depth)
+    return cells.rows(heads, ("depth", pa.array(depth.astype(np.int32))), ("node", _nodes(node, depth)), ("value", pa.array(value / cells.lengths[cells.owner[heads]] if normalize else value)))
+
+
 def qt_slots(leaves: DataFrame, max_depth: int) -> DataFrame:
     """(id, idx, value): each leaf spread over its slots in Z order."""
     stride = F.pow(F.lit(4.0), F.lit(max_depth) - F.col("depth")).cast("long")
@@ -142,14 +154,30 @@ def combined_features(counts: DataFrame, k: int, qt_max_depth: int = COMBINED_DE
     return kmer.unionByName(tree.select("id", (F.col("idx") + 4**k).alias("idx"), "value"))
 
 
+def sequence_features(seqs: DataFrame, k: int, qt_max_depth: int = COMBINED_DEPTH, qt_split_threshold: float = SPLIT_THRESHOLD, *, id_col: str = "doc_id", seq_col: str = "text") -> DataFrame:
+    """The same features from the sequences, in one pass: a count of a cell, or a leaf, is a row before leaves are spread over their slots."""
+    deepest, crit = max(k, qt_max_depth, 1), critical_value(qt_split_threshold)
+
+    def put_out(cells: Cells) -> Iterator[pa.RecordBatch]:
+        own = cells.pooled(deepest - k)
+        some = np.arange(len(own.cell))
+        frequency = own.count / own.lengths[own.owner].astype(float)
+        yield own.rows(some, ("depth", pa.nulls(len(some), pa.int32())), ("node", cell_names(own.cell, k)), ("value", pa.array(frequency)))
+        yield _leaves(cells.pooled(deepest - max(qt_max_depth, 1)), qt_max_depth, crit, MIN_COUNT, True)
+
+    rows = of_sequences(seqs, deepest, put_out, "depth int, node string, value double", id_col=id_col, seq_col=seq_col)
+    stride = F.pow(F.lit(4.0), F.lit(qt_max_depth) - F.col("depth")).cast("long")
+    first = z_order(F.col("node")) * stride + 4**k
+    index = F.when(F.col("depth").isNull(), F.array(row_major(F.col("node"), k))).otherwise(F.sequence(first, first + stride - 1))
+    return rows.select("id", F.explode(index).alias("idx"), "value")
+
+
 def extract_adaptive_features(seqs: DataFrame, grid_size: int = 128, max_depth: int = MAX_DEPTH, split_threshold: float = SPLIT_THRESHOLD, min_count: int = MIN_COUNT, normalize: bool = True, *, id_col: str = "seq_id", seq_col: str = "seq") -> DataFrame:
     require_power_of_two(grid_size, max_depth)
-    counts = fcgr_counts(seqs, max(max_depth, 1), id_col=id_col, seq_col=seq_col)
-    return qt_slots(qt_leaves(counts, max_depth, split_threshold, min_count, normalize=normalize), max_depth)
+    return qt_slots(sequence_leaves(seqs, max_depth, split_threshold, min_count, normalize=normalize, id_col=id_col, seq_col=seq_col), max_depth)
 
 
 def extract_combined_features(seqs: DataFrame, k: int, grid_size: int = 128, qt_max_depth: int = COMBINED_DEPTH, qt_split_threshold: float = SPLIT_THRESHOLD, *, id_col: str = "seq_id", seq_col: str = "seq") -> DataFrame:
     require_power_of_two(grid_size, k)
     require_power_of_two(grid_size, qt_max_depth)
-    counts = fcgr_counts(seqs, max(k, qt_max_depth), id_col=id_col, seq_col=seq_col)
-    return combined_features(counts, k, qt_max_depth, qt_split_threshold)
+    return sequence_features(seqs, k, qt_max_depth, qt_split_threshold, id_col=id_col, seq_col=seq_col)
