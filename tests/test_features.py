@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tetragrid.functions import sql
 from tetragrid.functions.bases import critical_value
 from tetragrid.operators import fcgr, metrics, point, quadtree
 from tetragrid.plans import registry
@@ -145,3 +146,17 @@ def test_leaves_and_features_of_sequences_are_those_of_counts(spark, depth):
     assert _sorted(leaves) == _sorted(quadtree.qt_leaves(counts, depth))
     if depth:
         assert _sorted(features) == _sorted(quadtree.combined_features(fcgr.fcgr_counts(rows, max(2, depth)), 2, depth))
+
+
+def test_small_grids_are_counted_in_a_table_and_bases_are_picked_by_bytes(monkeypatch):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("acgtACGTnx \u00e9\ufb05\u1e97\u4e2d") for _ in range(n)) for n in (1, 40, 700)] + ["\ufb05", "\u00e9", ""]
+    sorted_ = []
+    plain = np.unique
+    monkeypatch.setattr(np, "unique", lambda *a, **o: sorted_.append(1) or plain(*a, **o))
+    for text in texts:
+        bases = "".join(c for c in text.upper() if c in "ACGT")
+        for k in (1, 3):
+            want = Counter(walk(bases, k))
+            assert Counter(dict(sql.KmerWindows().eval(text, k))) == want
+    assert not sorted_

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,14 +13,15 @@ from ..operators.fcgr import cell_names, window_cells
 from ..operators.point import bits_to_float, bits_to_fraction, float_to_bits
 from .bases import chi_square_p
 
-_NO_BASE = re.compile("[^ACGT]")
+#: Bytes of UTF-8 that are no bases; those of other characters are all among them.
+_NO_BASES = bytes(set(range(256)) - set(b"ACGT"))
 
 
 class KmerWindows:
     """kmer_windows(seq, k): a row (z, cnt) for each cell of a sequence; none for a null or one without bases."""
 
     def eval(self, seq: str, k: int) -> Iterator[tuple[str, int]]:
-        if seq is not None and k is not None and (bases := _NO_BASE.sub("", seq.upper())):
+        if seq is not None and k is not None and (bases := seq.upper().encode("utf-8", "surrogatepass").translate(None, _NO_BASES).decode()):
             cells, counts = window_cells(bases, k)
             yield from zip(cell_names(cells, k).to_pylist(), counts.tolist(), strict=True)
 
