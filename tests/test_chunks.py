@@ -9,7 +9,7 @@ from tetragrid.operators.fcgr import fcgr_counts
 from tetragrid.operators.point import final_point
 from tetragrid.operators.ranges import ranged
 from tetragrid.plans import registry
-from tetragrid.streaming.chunks import chunk_counts, chunked_final_point, joined_chunks, points, state_store, stream_cells, stream_final_point
+from tetragrid.streaming.chunks import InOrder, chunk_counts, chunked_final_point, joined_chunks, points, state_store, stream_cells, stream_final_point
 
 SCHEMA = "conv_id long, turn long, text string"
 
@@ -164,3 +164,26 @@ def test_what_is_missing_is_given_up_in_time(spark, tmp_path):
             time.sleep(0.5)
         query.stop()
     assert last_of(seen) == {1: ("A", 0, 0), 2: ("T", 1, 0)}
+
+
+def test_chunks_of_a_stream_are_rows_and_no_tables():
+    class Value:
+        own = None
+
+        def get(self):
+            return self.own
+
+        def update(self, value):
+            self.own = value
+
+    class Waiting(dict):
+        containsKey, getValue, updateValue, removeKey = dict.__contains__, dict.__getitem__, dict.__setitem__, dict.pop  # noqa: N815
+
+    class Handle:
+        getValueState, getMapState = (lambda *_: Value()), (lambda *_: Waiting())  # noqa: N815
+
+    fold = lambda name, own, bases, gaps, late: ((own[0] + bases,), [(name, own[0] + bases, late)])
+    chunks = InOrder(fold, "tail string", ("",), 0, None, 9)
+    chunks.init(Handle())
+    put_out = [r for rows in ([(7, 1, "C")], [(7, 0, "A"), (7, 0, "G")], [(7, 2, "T")]) for r in chunks.handleInputRows((7,), iter(rows), None)]
+    assert put_out == [(7, "", 0), (7, "AC", 1), (7, "ACT", 1)]
