@@ -149,3 +149,40 @@ def test_a_row_drawn_several_times_is_sorted_once(monkeypatch):
     monkeypatch.setattr(forest, "_best_splits", spied)
     forest.votes(table, np.arange(150), np.arange(150, 200), [0], "sqrt", STOPS, (2,))
     assert all(len(set(row)) == len(row) for row in seen) and len(seen[0]) < 150
+
+
+@pytest.mark.parametrize(("classes", "name", "value"), [(2, "PIECE_VALUES", 1), (3, "PIECE_VALUES", 60), (5, "PIECE_VALUES", 300), (2, "COLUMN_ROWS", 1), (4, "HELD_VALUES", 1), (3, "rank_bits", 33)])
+def test_pieces_do_not_change_a_forest(monkeypatch, classes, name, value):
+    x, y = data(random.Random(classes), 300, 11, classes, 40)
+    table, train, seen = forest.Table.dense(x, y), np.arange(200), np.arange(200, 300)
+    whole = forest.votes(table, train, seen, range(6), "sqrt", STOPS, (5,))
+    if name == "rank_bits":
+        monkeypatch.setattr(forest.Table, name, value)
+    else:
+        monkeypatch.setattr(forest, name, value)
+    assert (forest.votes(table, train, seen, range(6), "sqrt", STOPS, (5,)) == whole).all()
+
+
+@pytest.mark.parametrize("classes", [2, 3])
+def test_trees_of_many_rows_are_those_of_the_plain_recursion(classes):
+    x, y = data(random.Random(classes), 12_000, 3, classes, 6)
+    train, seen = np.arange(11_900), np.arange(11_900, 12_000)
+    got = forest.votes(forest.Table.dense(x, y), train, seen, [0], "sqrt", STOPS, (6,)) / forest.VOTE
+    g = np.random.default_rng([6, 0])
+    own, order, path = train[g.integers(0, len(train), len(train))], g.permutation(3), int(g.integers(0, 1 << 63))
+    tree = plain_tree(x[own], y[own], classes, path, order, forest.tried("sqrt", 3))
+    assert np.abs(got - [[plain_share(tree, x[i], stop) for i in seen] for stop in STOPS]).max() < 1e-6
+
+
+def test_a_node_that_no_row_to_vote_on_reaches_is_not_split(monkeypatch):
+    x, y = data(random.Random(9), 400, 9, 2, 60)
+    table, sizes, plain = forest.Table.dense(x, y), [], forest._best_splits
+
+    def spied(table, row, *more):
+        sizes.append(len(row))
+        return plain(table, row, *more)
+
+    monkeypatch.setattr(forest, "_best_splits", spied)
+    one = forest.votes(table, np.arange(350), np.array([377]), [0], "sqrt", STOPS, (2,))
+    assert len(sizes) > 3 and all(a > b for a, b in itertools.pairwise(sizes))
+    assert (one[:, 0] == forest.votes(table, np.arange(350), np.arange(350, 400), [0], "sqrt", STOPS, (2,))[:, 27]).all()
